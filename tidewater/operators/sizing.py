@@ -1,0 +1,20 @@
+"""Size-checked broadcast."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+# A side is broadcast only when it has at most this many rows.  The sides we
+# broadcast are bounded by run dates (one row per date), far below this.
+BROADCAST_MAX_ROWS = 1_000_000
+
+
+def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> tuple[DataFrame, int]:
+    """Return ``(broadcast(df), n)`` when ``df`` has at most ``max_rows`` rows,
+    else ``(df, n)`` so the planner falls back to a shuffle join.
+
+    The count is one small job over the side being checked.
+    """
+    n = df.count()
+    return (F.broadcast(df) if n <= max_rows else df), n
