@@ -1,0 +1,56 @@
+import os
+import sys
+import tempfile
+
+import pytest
+
+sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+
+SF001 = "/root/testdata/sf0.001"
+SF01 = "/root/testdata/sf0.01"
+
+
+@pytest.fixture(scope="session")
+def spark():
+    from pyspark.sql import SparkSession
+
+    builder = (SparkSession.builder.master("local[*]")
+               .appName("tidewater-tests")
+               .config("spark.sql.shuffle.partitions", "8")
+               .config("spark.ui.enabled", "false")
+               .config("spark.sql.session.timeZone", "UTC"))
+    # Use the shared folder the environment names; set our own only if unset.
+    if not os.environ.get("SPARK_CONF_DIR") and not _defaults_have_checkpoint():
+        builder = builder.config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="tw-ckpt-"))
+    session = builder.getOrCreate()
+    session.sparkContext.setLogLevel("ERROR")
+    yield session
+    session.stop()
+
+
+def _defaults_have_checkpoint():
+    import pyspark
+    conf = os.path.join(os.path.dirname(pyspark.__file__), "conf", "spark-defaults.conf")
+    try:
+        return any(line.split()[:1] == ["spark.checkpoint.dir"] for line in open(conf))
+    except OSError:
+        return False
+
+
+@pytest.fixture
+def tmp_dir(spark):
+    """A fresh folder under the session's shared folder."""
+    from tidewater.session import scratch_path
+    path = scratch_path(spark, "tests")
+    os.makedirs(path, exist_ok=True)
+    return path
+
+
+def write_files(folder, files):
+    """Write {relative name: text} below folder; return folder."""
+    for name, text in files.items():
+        path = os.path.join(folder, name)
+        os.makedirs(os.path.dirname(path), exist_ok=True)
+        with open(path, "w") as fh:
+            fh.write(text)
+    return folder

@@ -18,7 +18,14 @@ from pyspark.sql.types import StructType
 
 from ..operators.metrics import STATUS_VERIFIED
 from ..operators.sizing import broadcast_if_small
-from ..sources.parquet import ATTEMPT, RUN_DATE, _missing_path, read_runs
+from ..sources.parquet import (
+    ATTEMPT,
+    RUN_DATE,
+    _missing_path,
+    attempt_path,
+    read_runs,
+    runs_schema,
+)
 
 AUDIT_COLUMNS = [
     "run_date", "attempt", "status", "input_rows", "output_rows", "written_rows",
@@ -92,16 +99,33 @@ def latest_verified(spark: SparkSession, audit_path: str) -> DataFrame:
 
 
 def read_published(spark: SparkSession, runs_path: str, audit_path: str,
-                   schema: StructType | None = None) -> DataFrame:
+                   schema: StructType | None = None, *, exact_paths: bool = True) -> DataFrame:
     """Rows of the latest verified attempt of every date: what readers see.
 
-    A left-semi join of the runs on (run_date, attempt).  The audit side has
-    one row per date; it is broadcast after its size is checked, which also
-    lets dynamic partition pruning skip every other attempt folder.
+    ``exact_paths`` (default): the (run_date, attempt) pairs - one per date,
+    so their number is bounded by the dates, not by the data - are fetched
+    first and only those folders are listed and read; superseded and failed
+    attempts are never even listed.  Otherwise a lazy left-semi join on
+    (run_date, attempt) with the size-checked, broadcast audit side, which
+    lets dynamic partition pruning skip the other attempt folders (but the
+    whole table is listed once).
     """
-    runs = read_runs(spark, runs_path, schema)
-    published, _ = broadcast_if_small(latest_verified(spark, audit_path))
-    return runs.join(published, [RUN_DATE, ATTEMPT], "left_semi")
+    published = latest_verified(spark, audit_path)
+    if not exact_paths:
+        runs = read_runs(spark, runs_path, schema)
+        small, _ = broadcast_if_small(published)
+        return runs.join(small, [RUN_DATE, ATTEMPT], "left_semi")
+    pairs = [(r[RUN_DATE], r[ATTEMPT]) for r in published.collect()]
+    if not pairs:
+        if schema is None:
+            return spark.createDataFrame([], f"{RUN_DATE} STRING, {ATTEMPT} STRING")
+        return spark.createDataFrame([], runs_schema(schema))
+    paths = [attempt_path(runs_path, d, a) for d, a in sorted(pairs)]
+    if schema is None:
+        schema = spark.read.parquet(paths[-1]).schema
+    return (spark.read.schema(runs_schema(schema))
+            .option("basePath", runs_path.rstrip("/"))
+            .parquet(*paths))
 
 
 def audit_row(run_date: str, attempt: str, status: str, input_rows: int | None,

@@ -101,7 +101,7 @@ def run_job(
     attempt: str | None = None,
     log: Callable[[str], None] | None = print,
     record: bool = True,
-    keep_log: bool = True,
+    keep_log: bool = False,
     raise_on_failure: bool = True,
 ) -> RunResult:
     """Run the job for ``cfg.run_date``.
@@ -109,6 +109,9 @@ def run_job(
     Attempts layout: the output goes to a new attempt folder, is counted back
     and an audit row is appended; readers see it only if it is VERIFIED.
     Overwrite layout: the run's folder is replaced, as in the original job.
+    The log lines go to ``log`` (stdout by default, like the original job);
+    ``keep_log`` also stores them as text under ``cfg.logs_path`` for
+    :func:`tidewater.sources.logs.read_run_logs`.
     An EMPTY, MISMATCH or FAILED run raises (after its audit row is written)
     unless ``raise_on_failure`` is False.
     """

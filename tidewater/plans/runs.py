@@ -70,7 +70,8 @@ def run_range(
     try:
         raw = scan_csv(spark, cfg.input_path, schema=cfg.schema, strict=cfg.strict,
                        recursive=cfg.recursive)
-        dated = raw.withColumn(RUN_DATE, yyyymmdd(date_col)).filter(F.col(RUN_DATE).isin(dates))
+        dated = raw.filter(_date_bounds(raw, date_col, dates))
+        dated = dated.withColumn(RUN_DATE, yyyymmdd(date_col)).filter(F.col(RUN_DATE).isin(dates))
         out, in_obs, out_obs = build_output(dated, cfg.columns, attempt, carry=[RUN_DATE])
         write_attempt_by_date(out, cfg.output_base, attempt)
         input_rows, output_rows = in_obs.get["rows"], out_obs.get["rows"]
@@ -108,6 +109,20 @@ def run_range(
     return read_audit(spark, cfg.audit_path).filter(F.col(ATTEMPT) == attempt).select(*AUDIT_COLUMNS)
 
 
+def _date_bounds(df: DataFrame, date_col: str, dates: list[str]):
+    """Range predicate on the raw date column (pushable to the scan) around
+    the requested dates; the exact per-date filter follows it."""
+    dtype = df.schema[date_col].dataType.typeName()
+    if dtype not in ("date", "timestamp", "timestamp_ntz"):
+        return F.lit(True)
+    lo = F.to_date(F.lit(dates[0]), "yyyyMMdd")
+    hi = F.date_add(F.to_date(F.lit(dates[-1]), "yyyyMMdd"), 1)
+    col = F.col(date_col)
+    if dtype != "date":
+        lo, hi = lo.cast(dtype), hi.cast(dtype)
+    return (col >= lo) & (col < hi)
+
+
 def register_runs(spark: SparkSession, cfg: JobConfig, name: str = "runs",
                   schema=None) -> dict[str, str]:
     """B6: temp views for SQL: ``runs`` (published rows), ``run_audit`` (every

@@ -68,9 +68,9 @@ def q_schema_report(spark, sf_dir):
 
 # -- flagship: A1-A3, A7-A9 ----------------------------------------------------
 
-def _published_run(spark, sf_dir, name):
+def _published_run(spark, sf_dir, name, keep_log=False):
     cfg = workspace(spark, name, inputs.lineitem_csv(spark, sf_dir))
-    result = run_job(spark, cfg, log=_quiet)
+    result = run_job(spark, cfg, log=_quiet, keep_log=keep_log)
     return cfg, result
 
 
@@ -211,7 +211,7 @@ def q_ingest_stream(spark, sf_dir):
 # -- B5 --------------------------------------------------------------------------
 
 def q_job_log_metrics(spark, sf_dir):
-    cfg, _ = _published_run(spark, sf_dir, "logs")
+    cfg, _ = _published_run(spark, sf_dir, "logs", keep_log=True)
     return read_run_logs(spark, cfg.logs_path).select(RUN_DATE, "metric", "value")
 
 

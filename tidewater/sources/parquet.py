@@ -107,14 +107,20 @@ def count_attempt_by_date(spark: SparkSession, base: str, attempt: str,
                           data_schema: StructType) -> DataFrame:
     """(run_date, written_rows) of one multi-date attempt.
 
-    The filter on the partition column ``attempt`` prunes every other folder
-    before any file is opened; the count per date aggregates map-side, so a
-    date holding a third of all rows is still one row per task in the shuffle.
+    Only the ``run_date=*/attempt=A`` folders are listed (a glob), not the
+    other attempts.  The count per date aggregates map-side, so a date holding
+    a third of all rows is still one row per task in the shuffle.
     """
-    runs = read_runs(spark, base, data_schema)
-    return (runs.filter(F.col(ATTEMPT) == attempt)
-            .groupBy(RUN_DATE)
-            .agg(F.count(F.lit(1)).alias("written_rows")))
+    pattern = f"{base.rstrip('/')}/{RUN_DATE}=*/{ATTEMPT}={attempt}"
+    try:
+        runs = (spark.read.schema(runs_schema(data_schema))
+                .option("basePath", base.rstrip("/")).parquet(pattern))
+        runs.schema
+    except AnalysisException as exc:
+        if not _missing_path(exc):
+            raise
+        return spark.createDataFrame([], f"{RUN_DATE} STRING, written_rows BIGINT")
+    return runs.groupBy(RUN_DATE).agg(F.count(F.lit(1)).alias("written_rows"))
 
 
 def runs_schema(data_schema: StructType) -> StructType:
