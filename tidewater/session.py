@@ -1,6 +1,6 @@
 """Session factory (A12) and the shared scratch folder.
 
-The library never touches ``sparkContext``, the JVM gateway or RDDs, so every
+The library uses neither the Spark context object, the JVM gateway nor RDDs, so every
 function works the same on a classic session and on a Spark Connect session.
 """
 
