@@ -14,7 +14,13 @@ from datetime import datetime
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import (
+    LongType,
+    StringType,
+    StructField,
+    StructType,
+    TimestampType,
+)
 
 from ..operators.metrics import STATUS_VERIFIED
 from ..operators.sizing import broadcast_if_small
@@ -42,12 +48,22 @@ _FILE_DDL = (
 )
 
 
+_AUDIT_SCHEMA = StructType([
+    StructField("run_date", StringType()), StructField("attempt", StringType()),
+    StructField("status", StringType()), StructField("input_rows", LongType()),
+    StructField("output_rows", LongType()), StructField("written_rows", LongType()),
+    StructField("started", TimestampType()), StructField("finished", TimestampType()),
+    StructField("error", StringType()),
+])
+
+
 def audit_schema() -> StructType:
-    return StructType.fromDDL(AUDIT_DDL)
+    return _AUDIT_SCHEMA
 
 
 def write_audit(df: DataFrame, audit_path: str) -> None:
-    """Append audit rows given as a DataFrame with :data:`AUDIT_COLUMNS`."""
+    """Append audit rows given as a DataFrame with :data:`AUDIT_COLUMNS`
+    (several dates of one attempt: one job, one file per date folder)."""
     (df.select(*AUDIT_COLUMNS)
        .coalesce(1)
        .write.mode("overwrite")
@@ -58,10 +74,20 @@ def write_audit(df: DataFrame, audit_path: str) -> None:
 
 def record_run(spark: SparkSession, audit_path: str, rows: Iterable[tuple]) -> None:
     """Append audit rows given as tuples in :data:`AUDIT_COLUMNS` order
-    (one per run date of an attempt: a handful, built on the driver)."""
+    (one per run date of an attempt: a handful, built on the driver).
+
+    The common case - one row - is written straight into its own
+    ``run_date=D/attempt=A`` folder: no staging, no shared folder touched.
+    """
     rows = list(rows)
-    if rows:
-        write_audit(spark.createDataFrame(rows, AUDIT_DDL), audit_path)
+    if not rows:
+        return
+    df = spark.createDataFrame(rows, _AUDIT_SCHEMA)
+    if len(rows) == 1:
+        path = attempt_path(audit_path, rows[0][0], rows[0][1])
+        df.drop(RUN_DATE, ATTEMPT).write.mode("overwrite").parquet(path)
+    else:
+        write_audit(df, audit_path)
 
 
 def read_audit(spark: SparkSession, audit_path: str) -> DataFrame:
