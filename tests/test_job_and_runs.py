@@ -81,6 +81,23 @@ def test_rerun_is_idempotent_for_readers(spark, tmp_dir):
     assert values(semi) == first
 
 
+def test_write_and_read_run(spark, tmp_dir):
+    from tidewater.plans.audit import read_run, run_metrics
+    from tidewater.sources.parquet import write_run
+    good = write_files(os.path.join(tmp_dir, "good"), {"a.csv": "price,seller,status\n1.0,a,ok\n"})
+    cfg = cfg_for(tmp_dir, good, run_date="20240113")
+    res = run_job(spark, cfg, log=None)
+    assert values(read_run(spark, cfg.output_base, cfg.audit_path, "20240113")) == [(1.0, "a", "ok")]
+    m = run_metrics(spark, cfg.audit_path, res.attempt).collect()[0]
+    assert (m["input_rows"], m["output_rows"], m["written_rows"], m["status"]) == (1, 1, 1, "VERIFIED")
+    with pytest.raises(LookupError):
+        read_run(spark, cfg.output_base, cfg.audit_path, "20240114")
+    df = spark.createDataFrame([(2.0, "b", "ok")], "price DOUBLE, seller STRING, status STRING")
+    path = write_run(df, cfg.output_base, "20240114", attempt="x1")
+    assert path.endswith("run_date=20240114/attempt=x1")
+    assert spark.read.parquet(path).count() == 1
+
+
 def test_latest_verified_prefers_latest(spark, tmp_dir):
     a = write_files(os.path.join(tmp_dir, "a"), {"a.csv": "price,seller,status\n1.0,a,ok\n"})
     b = write_files(os.path.join(tmp_dir, "b"), {"a.csv": "price,seller,status\n2.0,b,ok\n"})

@@ -11,13 +11,21 @@ from .config import BATCH_CONF, INTERACTIVE_CONF, JobConfig, date_range, redact,
 from .operators.metrics import RunMetrics, require_non_empty
 from .operators.mirror import check_keys, mirror_apply, mirror_diff
 from .operators.transforms import drop_all_null, preview, project, schema_report
-from .plans.audit import latest_verified, read_audit, read_published, record_run, run_status
+from .plans.audit import (
+    latest_verified,
+    read_audit,
+    read_published,
+    read_run,
+    record_run,
+    run_metrics,
+    run_status,
+)
 from .plans.job import RunResult, run_job, run_job_multipass
 from .plans.runs import register_runs, run_range
 from .session import get_session, scratch_path, shared_root
 from .sources.csv import scan_csv
 from .sources.logs import parse_job_logs, read_run_logs
-from .sources.parquet import read_attempt, read_runs, write_attempt
+from .sources.parquet import read_attempt, read_runs, write_attempt, write_run
 from .streaming.ingest import ingest_stream, read_ingested
 
 __all__ = [
@@ -27,5 +35,5 @@ __all__ = [
     "read_audit", "read_ingested", "read_published", "read_run_logs", "read_runs",
     "record_run", "redact", "register_runs", "require_non_empty", "run_job",
     "run_job_multipass", "run_range", "run_status", "s3a_conf", "scan_csv", "schema_report",
-    "scratch_path", "shared_root", "write_attempt",
+    "scratch_path", "shared_root", "write_attempt", "write_run", "read_run", "run_metrics",
 ]

@@ -29,6 +29,7 @@ from ..sources.parquet import (
     RUN_DATE,
     _missing_path,
     attempt_path,
+    read_attempt,
     read_runs,
     runs_schema,
 )
@@ -154,6 +155,25 @@ def read_published(spark: SparkSession, runs_path: str, audit_path: str,
             .parquet(*paths))
 
 
+def read_run(spark: SparkSession, runs_path: str, audit_path: str, run_date: str,
+             attempt: str | None = None, schema: StructType | None = None) -> DataFrame:
+    """A8: rows of one run date - the given attempt, or the published
+    (latest verified) one.  Only that attempt's folder is listed."""
+    if attempt is None:
+        pairs = (latest_verified(spark, audit_path)
+                 .filter(F.col(RUN_DATE) == run_date).select(ATTEMPT).collect())
+        if not pairs:
+            raise LookupError(f"no verified run for {run_date}")
+        attempt = pairs[0][ATTEMPT]
+    return read_attempt(spark, runs_path, run_date, attempt, schema)
+
+
+def run_metrics(spark: SparkSession, audit_path: str, attempt: str) -> DataFrame:
+    """A4: (run_date, input_rows, output_rows, written_rows, status) of one attempt."""
+    return (read_audit(spark, audit_path).filter(F.col(ATTEMPT) == attempt)
+            .select(RUN_DATE, "input_rows", "output_rows", "written_rows", "status"))
+
+
 def audit_row(run_date: str, attempt: str, status: str, input_rows: int | None,
               output_rows: int | None, written_rows: int | None, started: datetime,
               finished: datetime, error: str | None = None) -> tuple:

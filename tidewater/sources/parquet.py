@@ -73,6 +73,15 @@ def write_overwrite(df: DataFrame, base: str, run_date: str) -> str:
     return path
 
 
+def write_run(df: DataFrame, base: str, run_date: str, attempt: str | None = None,
+              layout: str = "attempts") -> str:
+    """A7: write one run.  ``attempts``: a new attempt folder (id generated
+    when not given); ``overwrite``: replace ``{base}/{run_date}/`` in place."""
+    if layout == "overwrite":
+        return write_overwrite(df, base, run_date)
+    return write_attempt(df, base, run_date, attempt or new_attempt_id())
+
+
 def _missing_path(exc: AnalysisException) -> bool:
     cond = getattr(exc, "getCondition", None) or getattr(exc, "getErrorClass", None)
     name = cond() if cond else None
