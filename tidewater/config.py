@@ -100,6 +100,10 @@ class JobConfig:
     strict: bool = False
     recursive: bool = False
     layout: str = LAYOUT_ATTEMPTS
+    # Shuffle the (projected) output into files of the advisory size before
+    # writing (AQE rebalance; by run date in backfills, hot dates split).
+    # Off: one file per input split, no shuffle.
+    rebalance: bool = False
     # Rows to print from the input and the output, like ``show(n)``; 0 = none.
     preview_input: int = 0
     preview_output: int = 0

@@ -140,6 +140,8 @@ def run_job(
             for line in preview_text(raw, cfg.preview_input):
                 emit(line)
         out, in_obs, out_obs = build_output(raw, cfg.columns, attempt)
+        if cfg.rebalance:
+            out = out.hint("rebalance")
         if cfg.layout == LAYOUT_OVERWRITE:
             path = write_overwrite(out, cfg.output_base, cfg.run_date)
         else:
