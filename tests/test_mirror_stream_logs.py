@@ -95,3 +95,19 @@ def test_job_keeps_its_log(spark, tmp_dir):
     assert got == sorted([("20240101", res.attempt, "input_rows", 2),
                           ("20240101", res.attempt, "output_rows", 1),
                           ("20240101", res.attempt, "written_rows", 1)])
+
+
+def test_stream_processing_time_mode(spark, tmp_dir):
+    raw = os.path.join(tmp_dir, "raw")
+    out, ckpt = os.path.join(tmp_dir, "out"), os.path.join(tmp_dir, "ckpt")
+    write_files(raw, {"a.csv": "price,seller,status\n1,a,ok\n"})
+    q = ingest_stream(spark, raw, out, ckpt, SCHEMA, name="live", available_now=False,
+                      processing_time="1 second")
+    try:
+        q.processAllAvailable()
+        write_files(raw, {"b.csv": "price,seller,status\n2,b,ok\n,,\n"})
+        q.processAllAvailable()
+    finally:
+        q.stop()
+    got = sorted((r["price"], r["seller"]) for r in read_ingested(spark, out, "live", SCHEMA).collect())
+    assert got == [(1.0, "a"), (2.0, "b")]

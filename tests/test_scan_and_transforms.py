@@ -132,3 +132,10 @@ def test_scan_prunes_columns(spark, capsys):
     project(scan_csv(spark, csv), COLS).explain()
     plan = capsys.readouterr().out
     assert "ReadSchema: struct<price:double,seller:int,status:string>" in plan
+
+
+def test_strict_with_inferred_schema(spark, tmp_dir):
+    d = write_files(tmp_dir, {"a.csv": "price,seller,status\n1.5,a,ok\n",
+                              "b.csv": "seller,price,status\nb,2.5,ok\n"})
+    with pytest.raises(Exception):
+        scan_csv(spark, d, strict=True).collect()
