@@ -192,3 +192,24 @@ def test_bad_run_date_rejected():
         JobConfig(run_date="2024-01-01")
     with pytest.raises(ValueError):
         JobConfig(run_date="20240230")
+
+
+def test_overwrite_layout_empty_run_destroys_output(spark, tmp_dir):
+    """Parity layout keeps the original behaviour: the overwrite happens before
+    the emptiness check, so an empty run replaces good output and then fails."""
+    good = write_files(os.path.join(tmp_dir, "good"), {"a.csv": "price,seller,status\n1.0,a,ok\n"})
+    empty = write_files(os.path.join(tmp_dir, "empty"), {"a.csv": "price,seller,status\n,,\n"})
+    cfg = cfg_for(tmp_dir, good, run_date="20240115", layout="overwrite")
+    run_job(spark, cfg, log=None)
+    assert spark.read.parquet(cfg.output_path).count() == 1
+    with pytest.raises(EmptyRunError):
+        run_job(spark, replace(cfg, input_uri=empty), log=None)
+    assert spark.read.parquet(cfg.output_path).count() == 0
+
+
+def test_run_date_read_as_text(spark, tmp_dir):
+    good = write_files(os.path.join(tmp_dir, "good"), {"a.csv": "price,seller,status\n1.0,a,ok\n"})
+    cfg = cfg_for(tmp_dir, good, run_date="20240116")
+    run_job(spark, cfg, log=None)
+    types = dict(read_runs(spark, cfg.output_base).dtypes)
+    assert types["run_date"] == "string" and types["attempt"] == "string"

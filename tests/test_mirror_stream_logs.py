@@ -77,7 +77,7 @@ def test_stream_equals_batch(spark, tmp_dir):
 
 def test_log_metrics(spark, tmp_dir):
     logs = write_files(os.path.join(tmp_dir, "logs"), {
-        "a/driver.log": "Pipeline start\nInput row count : 12\nOutput row count : 10\n"
+        "a/driver.log": "Job start\nInput row count : 12\nOutput row count : 10\n"
                         "Verification: 10 rows written to s3a://b/p/20240101/\nnoise 5\n",
         "b/driver.log": "Input row count: 7\n  Output row count : 3\n"})
     got = sorted((os.path.basename(os.path.dirname(r["file"])), r["metric"], r["value"])
