@@ -213,3 +213,25 @@ def test_run_date_read_as_text(spark, tmp_dir):
     run_job(spark, cfg, log=None)
     types = dict(read_runs(spark, cfg.output_base).dtypes)
     assert types["run_date"] == "string" and types["attempt"] == "string"
+
+
+def test_rebalance_splits_hot_date(spark, tmp_dir):
+    """One date holding most rows is written by several tasks, not one."""
+    import glob
+    header = "price,seller,status,day\n"
+    files = {f"hot{j}.csv": header + "".join(f"{i}.5,s{i},ok,2024-01-01\n" for i in range(750))
+             for j in range(4)}
+    files["cold.csv"] = header + "".join(f"{i}.5,s{i},ok,2024-01-02\n" for i in range(30))
+    src = write_files(os.path.join(tmp_dir, "raw"), files)
+    cfg = replace(cfg_for(tmp_dir, src), rebalance=True)
+    key = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    old = spark.conf.get(key)
+    spark.conf.set(key, "4k")
+    try:
+        st = {r["run_date"]: r["written_rows"]
+              for r in run_range(spark, cfg, ["20240101", "20240102"], "day", log=None).collect()}
+    finally:
+        spark.conf.set(key, old)
+    assert st == {"20240101": 3000, "20240102": 30}
+    hot = glob.glob(os.path.join(cfg.output_base, "run_date=20240101", "attempt=*", "*.parquet"))
+    assert len(hot) > 1
