@@ -235,3 +235,12 @@ def test_rebalance_splits_hot_date(spark, tmp_dir):
     assert st == {"20240101": 3000, "20240102": 30}
     hot = glob.glob(os.path.join(cfg.output_base, "run_date=20240101", "attempt=*", "*.parquet"))
     assert len(hot) > 1
+
+
+def test_backfill_failure_recorded_and_raised(spark, tmp_dir):
+    src = write_files(os.path.join(tmp_dir, "raw"), {"a.csv": "price,seller,day\n1.0,a,2024-01-01\n"})
+    cfg = cfg_for(tmp_dir, src)
+    with pytest.raises(Exception):
+        run_range(spark, cfg, ["20240101", "20240102"], "day", log=None)
+    st = sorted((r["run_date"], r["status"]) for r in read_audit(spark, cfg.audit_path).collect())
+    assert st == [("20240101", "FAILED"), ("20240102", "FAILED")]

@@ -9,7 +9,7 @@ from __future__ import annotations
 import os
 import re
 from collections.abc import Mapping
-from dataclasses import dataclass, field, replace
+from dataclasses import dataclass, replace
 from datetime import date, datetime
 
 # ---------------------------------------------------------------------------
@@ -107,7 +107,6 @@ class JobConfig:
     # Rows to print from the input and the output, like ``show(n)``; 0 = none.
     preview_input: int = 0
     preview_output: int = 0
-    extra: Mapping[str, str] = field(default_factory=dict)
 
     def __post_init__(self):
         validate_run_date(self.run_date)

@@ -55,6 +55,8 @@ def run_range(
       input, so each date gets the whole input, one job per date.
 
     Re-running a date adds a new attempt; the latest verified one is published.
+    Dates without rows are EMPTY (no error); an exception is recorded as
+    FAILED for every date of the attempt and then raised.
     """
     dates = _dates(dates)
     if date_col is None:
@@ -66,6 +68,7 @@ def run_range(
 
     started = _now()
     attempt = attempt or new_attempt_id()
+    failure: BaseException | None = None
     dates_df = spark.createDataFrame([(d,) for d in dates], f"{RUN_DATE} STRING")
     try:
         raw = scan_csv(spark, cfg.input_path, schema=cfg.schema, strict=cfg.strict,
@@ -90,6 +93,7 @@ def run_range(
         per_date = dates_df.withColumn("written_rows", F.lit(None).cast("bigint"))
         status = F.lit(STATUS_FAILED)
         error = F.lit(f"{type(exc).__name__}: {exc}"[:4000])
+        failure = exc
         if log:
             log(f"Status: {STATUS_FAILED} {exc}")
     finished = _now()
@@ -105,6 +109,8 @@ def run_range(
         error.alias("error"),
     )
     write_audit(audit, cfg.audit_path)
+    if failure is not None:
+        raise failure
     if log and input_rows is not None:
         log(f"Input row count : {input_rows}")
         log(f"Output row count : {output_rows}")

@@ -44,8 +44,10 @@ def get_session(
         if active is not None and "connect" not in type(active).__module__:
             active.stop()
         builder = SparkSession.builder.remote(url)
+        # Only SQL settings can change in a running server session; the rest of
+        # INTERACTIVE_CONF belongs in the server's own configuration.
         for k, v in {**INTERACTIVE_CONF, **(conf or {})}.items():
-            if not k.startswith("spark.serializer") and not k.startswith("spark.driver"):
+            if k.startswith("spark.sql."):
                 builder = builder.config(k, v)
         spark = builder.getOrCreate()
         check_session(spark, expect_connect=True)
