@@ -111,3 +111,15 @@ def test_stream_processing_time_mode(spark, tmp_dir):
         q.stop()
     got = sorted((r["price"], r["seller"]) for r in read_ingested(spark, out, "live", SCHEMA).collect())
     assert got == [(1.0, "a"), (2.0, "b")]
+
+
+def test_mirror_published_as_attempt(spark, tmp_dir):
+    from tidewater.plans.audit import read_published
+    from tidewater.plans.job import publish_frame
+    from tidewater.queries import mirror_sides
+    src, tgt = mirror_sides(spark, SF001)
+    cfg = JobConfig(base_uri=tmp_dir, run_date="20240201")
+    res = publish_frame(spark, mirror_apply(src, tgt, "c_custkey"), cfg, log=None)
+    assert res.status == "VERIFIED" and res.written_rows == src.count()
+    pub = read_published(spark, cfg.output_base, cfg.audit_path).drop("run_date", "attempt")
+    assert pub.exceptAll(src).count() == 0 and src.exceptAll(pub).count() == 0

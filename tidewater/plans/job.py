@@ -180,6 +180,51 @@ def run_job(
     return result
 
 
+def publish_frame(
+    spark: SparkSession,
+    df: DataFrame,
+    cfg: JobConfig,
+    *,
+    attempt: str | None = None,
+    log: Callable[[str], None] | None = print,
+    raise_on_failure: bool = True,
+) -> RunResult:
+    """Publish any DataFrame as a new attempt of ``cfg.run_date``: observed
+    count, write, read-back count, audit row - the same guarantees as
+    :func:`run_job` (e.g. for the result of a mirror)."""
+    started = _now()
+    attempt = attempt or new_attempt_id()
+    output_rows = written = None
+    path = error = None
+    failure: BaseException | None = None
+    try:
+        out, obs = observe_rows(df, f"pub-{attempt}")
+        if cfg.rebalance:
+            out = out.hint("rebalance")
+        path = write_attempt(out, cfg.output_base, cfg.run_date, attempt)
+        output_rows = obs.get["rows"]
+        written = count_attempt(spark, cfg.output_base, cfg.run_date, attempt)
+        status = RunMetrics(None, output_rows, written).status
+    except Exception as exc:
+        status, error, failure = STATUS_FAILED, f"{type(exc).__name__}: {exc}"[:4000], exc
+    finished = _now()
+    lines = [format_output_count(output_rows)] if output_rows is not None else []
+    if written is not None:
+        lines.append(format_verification(written, path))
+    lines.append(f"Status: {status}")
+    for line in lines:
+        if log is not None:
+            log(line)
+    result = RunResult(cfg.run_date, attempt, status, None, output_rows, written, None, path,
+                       started, finished, error, lines)
+    record_run(spark, cfg.audit_path, [result.audit()])
+    if raise_on_failure:
+        if failure is not None:
+            raise failure
+        require_non_empty(RunMetrics(None, output_rows, written or 0), where=path or "")
+    return result
+
+
 def run_job_multipass(spark: SparkSession, cfg: JobConfig,
                       log: Callable[[str], None] | None = print) -> int:
     """The original job's shape, for comparison: inferred read, count, schema,
