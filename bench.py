@@ -46,6 +46,7 @@ def main() -> None:
              .config("spark.driver.memory", os.environ.get("BENCH_DRIVER_MEMORY", "16g"))
              .config("spark.sql.shuffle.partitions", str(int(cpus) * 2))
              .config("spark.sql.adaptive.enabled", "true")
+             .config("spark.sql.files.openCostInBytes", str(1 << 20))
              .getOrCreate())
     spark.sparkContext.setLogLevel("ERROR")
 

@@ -36,6 +36,11 @@ def norm(v):
     return (1, str(v))
 
 
+SPARK_TO_DUCK = {"int": "INTEGER", "bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR",
+                 "boolean": "BOOLEAN", "date": "DATE", "float": "FLOAT", "smallint": "SMALLINT",
+                 "timestamp": "TIMESTAMP WITH TIME ZONE", "timestamp_ntz": "TIMESTAMP"}
+
+
 def rows_of(records, cols):
     return sorted(tuple(norm(r[c]) for c in cols) for r in records)
 
@@ -65,14 +70,18 @@ def main(argv):
                 continue
             rel = con.execute(ORACLE_SQL[name])
             ocols = [d[0] for d in rel.description]
+            otypes = {d[0]: str(d[1]) for d in rel.description}
+            stypes = {c: SPARK_TO_DUCK.get(t, t) for c, t in df.dtypes}
+            type_diff = {c: (stypes[c], otypes.get(c)) for c in stypes if stypes[c] != otypes.get(c)}
             exp = [dict(zip(ocols, r)) for r in rel.fetchall()]
             same_cols = sorted(gcols) == sorted(ocols)
             cols = sorted(gcols)
             same_vals = same_cols and rows_of(got, cols) == rows_of(exp, cols)
-            ok = same_cols and same_vals and len(got) == len(exp)
+            ok = same_cols and same_vals and len(got) == len(exp) and not type_diff
             bad += not ok
             print(f"{name:22s} rows={len(got):7d}/{len(exp):7d} cols={'ok' if same_cols else 'DIFF'} "
-                  f"values={'ok' if same_vals else 'DIFF'} {sec:6.1f}s")
+                  f"values={'ok' if same_vals else 'DIFF'} "
+                  f"types={'ok' if not type_diff else type_diff} {sec:6.1f}s")
             if not same_cols:
                 print("   spark:", gcols, "\n   sql:  ", ocols)
             elif not same_vals:

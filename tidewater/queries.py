@@ -17,16 +17,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .config import JobConfig, date_range
-from .operators.mirror import mirror_apply, mirror_diff
+from .operators.mirror import change_counts, mirror_apply, mirror_diff
 from .operators.transforms import drop_all_null, preview, project, schema_report
 from .plans import inputs
 from .plans.audit import read_audit, read_published, run_status
-from .plans.job import run_job
+from .plans.job import publish_frame, run_job
 from .plans.runs import register_runs, run_range
 from .session import scratch_path
 from .sources.csv import scan_csv
 from .sources.logs import read_run_logs
-from .sources.parquet import RUN_DATE, read_attempt, read_runs
+from .sources.parquet import RUN_DATE, read_attempt, read_overwrite_runs, read_runs
 from .streaming.ingest import ingest_stream, read_ingested
 
 COLS = ["price", "seller", "status"]
@@ -215,6 +215,58 @@ def q_job_log_metrics(spark, sf_dir):
     return read_run_logs(spark, cfg.logs_path).select(RUN_DATE, "metric", "value")
 
 
+# -- further modes of the same operators -----------------------------------------
+
+def q_csv_scan_declared(spark, sf_dir):
+    """A1 with a declared schema: no inference pass, bad rows quarantined."""
+    return scan_csv(spark, inputs.lineitem_csv(spark, sf_dir), schema=LINEITEM_CSV_DDL)
+
+
+def q_overwrite_layout_run(spark, sf_dir):
+    """A7/A8 parity layout: the run's folder replaced in place, read back."""
+    cfg = workspace(spark, "overwrite", inputs.lineitem_csv(spark, sf_dir), layout="overwrite")
+    run_job(spark, cfg, log=_quiet)
+    return read_overwrite_runs(spark, cfg.output_base).select(RUN_DATE, *COLS)
+
+
+def q_run_audit(spark, sf_dir):
+    """B4: every attempt of the history, oldest first."""
+    cfg = _attempt_history(spark, sf_dir, "audit")
+    return read_audit(spark, cfg.audit_path).select(
+        RUN_DATE, "status", "input_rows", "output_rows", "written_rows")
+
+
+def q_backfill_published(spark, sf_dir):
+    """B1 + A8: the rows a reader sees after a sliced backfill of ``events``."""
+    csv = inputs.events_csv(spark, sf_dir)
+    cfg = workspace(spark, "backfill-rows", csv, columns=tuple(EVENT_COLS))
+    bounds = inputs.table(spark, sf_dir, "events").agg(
+        F.to_date(F.min("ts")).alias("lo"), F.to_date(F.max("ts")).alias("hi")).first()
+    run_range(spark, cfg, date_range(bounds["lo"], bounds["hi"]), date_col="ts", log=_quiet)
+    return read_published(spark, cfg.output_base, cfg.audit_path).select(RUN_DATE, *EVENT_COLS)
+
+
+def q_backfill_parity(spark, sf_dir):
+    """B1 parity mode: every date gets the whole input, one job per date."""
+    cfg = workspace(spark, "parity", inputs.lineitem_csv(spark, sf_dir))
+    return run_range(spark, cfg, ["20240101", "20240102"], log=_quiet).select(
+        RUN_DATE, "status", "input_rows", "output_rows", "written_rows")
+
+
+def q_mirror_changes(spark, sf_dir):
+    """B3 summary: rows per kind of change."""
+    src, tgt = mirror_sides(spark, sf_dir)
+    return change_counts(mirror_diff(src, tgt, ["c_custkey"]))
+
+
+def q_mirror_publish(spark, sf_dir):
+    """B3 + publication: the mirrored table written as a verified attempt."""
+    src, tgt = mirror_sides(spark, sf_dir)
+    cfg = workspace(spark, "mirror")
+    publish_frame(spark, mirror_apply(src, tgt, ["c_custkey"]), cfg, log=_quiet)
+    return read_published(spark, cfg.output_base, cfg.audit_path).drop(RUN_DATE, "attempt")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "csv_scan_infer": q_csv_scan_infer,
     "project_three": q_project_three,
@@ -232,6 +284,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "ingest_stream": q_ingest_stream,
     "job_log_metrics": q_job_log_metrics,
     "runs_sql": q_runs_sql,
+    "csv_scan_declared": q_csv_scan_declared,
+    "overwrite_layout_run": q_overwrite_layout_run,
+    "run_audit": q_run_audit,
+    "backfill_published": q_backfill_published,
+    "backfill_parity": q_backfill_parity,
+    "mirror_changes": q_mirror_changes,
+    "mirror_publish": q_mirror_publish,
 }
 
 
@@ -262,6 +321,9 @@ _COUNTS = f"""
            count(*) FILTER (WHERE price IS NOT NULL OR seller IS NOT NULL
                             OR status IS NOT NULL) AS output_rows
     FROM ({_DERIVED}) d"""
+_NAN_COUNTS = f"""
+    SELECT (SELECT count(*) FROM lineitem) AS input_rows, count(*) AS output_rows
+    FROM ({_NAN_KEPT}) k"""
 _RUN_AGG = """
     SELECT count(*) AS n_rows, count(price) AS n_price, count(DISTINCT seller) AS n_sellers,
            min(price) AS min_price, max(price) AS max_price,
@@ -357,6 +419,35 @@ ORACLE_SQL: dict[str, str] = {
         SELECT c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment
         FROM ({_MIRROR_DIFF}) m WHERE change <> 'delete'""",
     "ingest_stream": _KEPT,
+    "csv_scan_declared": f"""
+        SELECT *, CAST(NULL AS VARCHAR) AS _corrupt_record FROM ({_DERIVED}) d""",
+    "overwrite_layout_run": f"SELECT '20240101' AS run_date, price, seller, status FROM ({_KEPT}) k",
+    "run_audit": f"""
+        SELECT '20240101' AS run_date, 'VERIFIED' AS status, input_rows,
+               output_rows, output_rows AS written_rows FROM ({_NAN_COUNTS}) c
+        UNION ALL
+        SELECT '20240101', 'VERIFIED', input_rows, output_rows, output_rows FROM ({_COUNTS}) c
+        UNION ALL
+        SELECT '20240101', 'EMPTY', input_rows, CAST(0 AS BIGINT), CAST(0 AS BIGINT)
+        FROM ({_COUNTS}) c
+        UNION ALL
+        SELECT '20240102', 'VERIFIED', input_rows, output_rows, output_rows FROM ({_COUNTS}) c""",
+    "backfill_published": """
+        SELECT strftime(ts, '%Y%m%d') AS run_date, CAST(user_id AS INTEGER) AS user_id,
+               event_type, value
+        FROM events
+        WHERE user_id IS NOT NULL OR event_type IS NOT NULL
+           OR NOT (value IS NULL OR isnan(value))""",
+    "backfill_parity": f"""
+        SELECT '20240101' AS run_date, 'VERIFIED' AS status, input_rows, output_rows,
+               output_rows AS written_rows FROM ({_COUNTS}) c
+        UNION ALL
+        SELECT '20240102', 'VERIFIED', input_rows, output_rows, output_rows FROM ({_COUNTS}) c""",
+    "mirror_changes": f"""
+        SELECT change, count(*) AS rows FROM ({_MIRROR_DIFF}) m GROUP BY change""",
+    "mirror_publish": f"""
+        SELECT c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment
+        FROM ({_MIRROR_DIFF}) m WHERE change <> 'delete'""",
     "job_log_metrics": f"""
         SELECT '20240101' AS run_date, 'input_rows' AS metric, input_rows AS value
         FROM ({_COUNTS}) c
