@@ -8,7 +8,7 @@ separate count / preview / write / read-back actions) on the same input - as
 the self-relative baseline, and ``backfill_one_job_per_date`` (timed once) -
 the same backfill as ``daily_backfill`` run as one job per date, the way a
 daily scheduler would.  Inputs are derived once before timing.  Each
-query runs ``BENCH_REPEAT`` times (default 2); the best time is reported.
+query runs ``BENCH_REPEAT`` times (default 3); the best time is reported.
 """
 
 from __future__ import annotations
@@ -39,7 +39,7 @@ def materialize(df) -> None:
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1").rstrip("/")
     cpus = os.environ.get("BENCH_CPUS", "8")
-    repeat = int(os.environ.get("BENCH_REPEAT", "2"))
+    repeat = int(os.environ.get("BENCH_REPEAT", "3"))
     spark = (SparkSession.builder.master(f"local[{cpus}]")
              .appName("tidewater-bench")
              .config("spark.ui.enabled", "false")
