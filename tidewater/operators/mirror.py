@@ -1,10 +1,9 @@
 """B3: null-safe table mirror (insert / update / delete / same).
 
 ``mirror_diff`` compares a source snapshot with the target table on key
-columns; ``mirror_apply`` produces the new target.  Both are one full outer
-join on the keys (both sides hash-partitioned on the keys, sort-merge or
-shuffled-hash as the planner sees fit).  Values are compared with ``<=>`` so
-that null equals null.
+columns: one full outer join on the keys (both sides hash-partitioned on the
+keys), values compared with ``<=>`` so that null equals null.
+``mirror_apply`` produces the new target without a full join (see there).
 
 Keys must be unique and non-null on both sides: a duplicated key would pair
 rows arbitrarily and a null key never matches.  :func:`check_keys` rejects both
@@ -91,11 +90,25 @@ def mirror_apply(src: DataFrame, tgt: DataFrame, keys: Sequence[str] | str, *,
     """The target after mirroring the source: inserts and updates applied;
     target-only rows removed when ``delete`` (sync), kept otherwise (copy
     without delete).  Columns in source order.  Write the result as a new
-    attempt; the join is not an in-place update."""
-    diff = mirror_diff(src, tgt, keys, check=check)
+    attempt (:func:`tidewater.plans.job.publish_frame`); this is not an
+    in-place update.
+
+    No full join is needed for either mode.  With ``delete`` the result *is*
+    the source (once its keys are checked).  Without, it is the source plus
+    the target rows whose key the source lacks: a left-anti join that
+    shuffles only the source's key columns.
+    """
+    keys = _keys(keys)
+    missing = set(src.columns) ^ set(tgt.columns)
+    if missing:
+        raise ValueError(f"source and target columns differ: {sorted(missing)}")
+    if check:
+        check_keys(src, tgt, keys)
+    out = src.select(*src.columns)
     if delete:
-        diff = diff.filter(F.col(CHANGE) != DELETE)
-    return diff.select(*src.columns)
+        return out
+    target_only = tgt.join(src.select(*keys), on=keys, how="left_anti")
+    return out.unionByName(target_only.select(*src.columns))
 
 
 def change_counts(diff: DataFrame) -> DataFrame:
