@@ -156,7 +156,8 @@ def run_job(
             verify = spark.read.parquet(path)
             written = verify.count()
         else:
-            written = count_attempt(spark, cfg.output_base, cfg.run_date, attempt)
+            # the schema is known: no footer job to infer it again
+            written = count_attempt(spark, cfg.output_base, cfg.run_date, attempt, out.schema)
         emit(format_verification(written, path))
         if cfg.preview_output:
             for line in preview_text(spark.read.parquet(path), cfg.preview_output):
@@ -203,7 +204,7 @@ def publish_frame(
             out = out.hint("rebalance")
         path = write_attempt(out, cfg.output_base, cfg.run_date, attempt)
         output_rows = obs.get["rows"]
-        written = count_attempt(spark, cfg.output_base, cfg.run_date, attempt)
+        written = count_attempt(spark, cfg.output_base, cfg.run_date, attempt, out.schema)
         status = RunMetrics(None, output_rows, written).status
     except Exception as exc:
         status, error, failure = STATUS_FAILED, f"{type(exc).__name__}: {exc}"[:4000], exc
