@@ -1,9 +1,11 @@
 """B4: run audit table and the published (latest verified) view of the runs.
 
-The audit table holds one row per (run_date, attempt).  It is stored as
-``{audit}/run_date=D/attempt=A/``: every job writes only its own folders (via a
-job-private staging folder), so concurrent runs never meet in a shared
-temporary directory and no row is ever rewritten.
+The audit table holds one row per (run_date, attempt).  Every attempt writes
+its rows (one per date it covers) as one file in its own folder
+``{audit}/{attempt}/``: concurrent runs never meet in a shared temporary
+directory, no row is ever rewritten, and a backfill over many dates is still
+one small write.  Readers list the folders recursively; the table is small
+(one file per attempt).
 """
 
 from __future__ import annotations
@@ -42,13 +44,6 @@ AUDIT_DDL = (
     "run_date STRING, attempt STRING, status STRING, input_rows BIGINT, output_rows BIGINT, "
     "written_rows BIGINT, started TIMESTAMP, finished TIMESTAMP, error STRING"
 )
-# Stored in the files; run_date and attempt live in the folder names.
-_FILE_DDL = (
-    "status STRING, input_rows BIGINT, output_rows BIGINT, written_rows BIGINT, "
-    "started TIMESTAMP, finished TIMESTAMP, error STRING, run_date STRING, attempt STRING"
-)
-
-
 _AUDIT_SCHEMA = StructType([
     StructField("run_date", StringType()), StructField("attempt", StringType()),
     StructField("status", StringType()), StructField("input_rows", LongType()),
@@ -62,39 +57,28 @@ def audit_schema() -> StructType:
     return _AUDIT_SCHEMA
 
 
-def write_audit(df: DataFrame, audit_path: str) -> None:
-    """Append audit rows given as a DataFrame with :data:`AUDIT_COLUMNS`
-    (several dates of one attempt: one job, one file per date folder)."""
-    (df.select(*AUDIT_COLUMNS)
-       .coalesce(1)
-       .write.mode("overwrite")
-       .option("partitionOverwriteMode", "dynamic")
-       .partitionBy(RUN_DATE, ATTEMPT)
-       .parquet(audit_path))
+def write_audit(df: DataFrame, audit_path: str, attempt: str) -> None:
+    """Write the audit rows of one attempt (columns :data:`AUDIT_COLUMNS`)."""
+    df.select(*AUDIT_COLUMNS).write.mode("overwrite").parquet(f"{audit_path.rstrip('/')}/{attempt}")
 
 
 def record_run(spark: SparkSession, audit_path: str, rows: Iterable[tuple]) -> None:
     """Append audit rows given as tuples in :data:`AUDIT_COLUMNS` order
-    (one per run date of an attempt: a handful, built on the driver).
-
-    The common case - one row - is written straight into its own
-    ``run_date=D/attempt=A`` folder: no staging, no shared folder touched.
-    """
+    (one per run date of an attempt: a handful, built on the driver)."""
     rows = list(rows)
     if not rows:
         return
-    df = spark.createDataFrame(rows, _AUDIT_SCHEMA)
-    if len(rows) == 1:
-        path = attempt_path(audit_path, rows[0][0], rows[0][1])
-        df.drop(RUN_DATE, ATTEMPT).write.mode("overwrite").parquet(path)
-    else:
-        write_audit(df, audit_path)
+    attempts = {r[1] for r in rows}
+    if len(attempts) != 1:
+        raise ValueError("record_run takes the rows of one attempt")
+    write_audit(spark.createDataFrame(rows, _AUDIT_SCHEMA), audit_path, attempts.pop())
 
 
 def read_audit(spark: SparkSession, audit_path: str) -> DataFrame:
     """All audit rows; an audit table that does not exist yet is empty."""
     try:
-        df = spark.read.schema(_FILE_DDL).parquet(audit_path)
+        df = (spark.read.schema(_AUDIT_SCHEMA).option("recursiveFileLookup", True)
+              .parquet(audit_path))
         df.schema  # resolve now so a missing folder surfaces here
     except AnalysisException as exc:
         if not _missing_path(exc):
@@ -103,6 +87,12 @@ def read_audit(spark: SparkSession, audit_path: str) -> DataFrame:
     return df.select(*AUDIT_COLUMNS)
 
 
+def read_attempt_audit(spark: SparkSession, audit_path: str, attempt: str) -> DataFrame:
+    """Audit rows of one attempt; only its folder is listed."""
+    return (spark.read.schema(_AUDIT_SCHEMA).parquet(f"{audit_path.rstrip('/')}/{attempt}")
+            .select(*AUDIT_COLUMNS))
+
+
 def _latest(df: DataFrame) -> DataFrame:
     """Latest attempt per run_date: by ``finished``, then attempt id (ids sort by
     start time).  ``max_by`` aggregates map-side, so a date with many attempts

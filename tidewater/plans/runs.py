@@ -23,7 +23,13 @@ from ..sources.parquet import (
     new_attempt_id,
     write_attempt_by_date,
 )
-from .audit import AUDIT_COLUMNS, read_audit, read_published, run_status, write_audit
+from .audit import (
+    read_attempt_audit,
+    read_audit,
+    read_published,
+    run_status,
+    write_audit,
+)
 from .job import _now, build_output, run_job
 
 
@@ -108,13 +114,13 @@ def run_range(
         F.lit(finished).cast("timestamp").alias("finished"),
         error.alias("error"),
     )
-    write_audit(audit, cfg.audit_path)
+    write_audit(audit, cfg.audit_path, attempt)
     if failure is not None:
         raise failure
     if log and input_rows is not None:
         log(f"Input row count : {input_rows}")
         log(f"Output row count : {output_rows}")
-    return read_audit(spark, cfg.audit_path).filter(F.col(ATTEMPT) == attempt).select(*AUDIT_COLUMNS)
+    return read_attempt_audit(spark, cfg.audit_path, attempt)
 
 
 def _date_bounds(df: DataFrame, date_col: str, dates: list[str]):
