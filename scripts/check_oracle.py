@@ -50,7 +50,9 @@ def main(argv):
     names = argv[2:] or list(QUERIES)
     spark = (SparkSession.builder.master("local[8]")
              .config("spark.sql.shuffle.partitions", "8")
-             .config("spark.ui.enabled", "false").getOrCreate())
+             .config("spark.ui.enabled", "false")
+             .config("spark.sql.session.timeZone", os.environ.get("CHECK_TZ", "UTC"))
+             .getOrCreate())
     spark.sparkContext.setLogLevel("ERROR")
     con = duckdb.connect()
     for t in TABLES:
