@@ -44,6 +44,9 @@ def test_declared_schema_counts_bad_rows(spark, tmp_dir):
     res = run_job(spark, cfg_for(tmp_dir, src, schema="price DOUBLE, seller STRING, status STRING"),
                   log=None)
     assert (res.input_rows, res.bad_rows, res.output_rows, res.written_rows) == (3, 1, 2, 2)
+    q = spark.read.parquet(os.path.join(tmp_dir, "quarantine", "run_date=19700101",
+                                        f"attempt={res.attempt}")).collect()
+    assert [(r["seller"], r["_corrupt_record"]) for r in q] == [("x", "abc,x,ok")]
 
 
 def test_empty_run_fails_but_keeps_published(spark, tmp_dir):

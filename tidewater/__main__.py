@@ -34,7 +34,10 @@ def _parser() -> argparse.ArgumentParser:
         s.add_argument("--strict", action="store_true", help="fail on header mismatch")
         s.add_argument("--layout", choices=["attempts", "overwrite"], default="attempts")
         s.add_argument("--remote", help=f"Spark Connect URL ('env' reads {ENV_CONNECT_URL})")
-        s.add_argument("--preview", type=int, default=0, help="rows to print, like show(n)")
+        s.add_argument("--preview-input", type=int, default=0,
+                       help="input rows to print, like show(n) (the original job printed 5)")
+        s.add_argument("--preview-output", type=int, default=0,
+                       help="output rows to print (the original job printed 10)")
         if name == "backfill":
             s.add_argument("start")
             s.add_argument("end")
@@ -45,7 +48,8 @@ def _parser() -> argparse.ArgumentParser:
 def main(argv: list[str] | None = None) -> int:
     args = _parser().parse_args(argv)
     cfg = JobConfig.from_env(schema=args.schema, strict=args.strict, layout=args.layout,
-                             preview_input=args.preview, preview_output=args.preview)
+                             preview_input=args.preview_input,
+                             preview_output=args.preview_output)
     conf = s3a_conf(cfg.endpoint) if cfg.endpoint else {}
     spark = get_session(args.remote, app_name=f"publish-{cfg.run_date}", conf=conf)
     if args.cmd == "run":

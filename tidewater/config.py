@@ -42,6 +42,7 @@ DEFAULT_COLUMNS = ("price", "seller", "status")
 ENV_BASE_URI = "TIDEWATER_BASE_URI"
 DEFAULT_AUDIT_PREFIX = "audit"
 DEFAULT_LOGS_PREFIX = "logs"
+DEFAULT_QUARANTINE_PREFIX = "quarantine"
 
 _RUN_DATE_RE = re.compile(r"^\d{8}$")
 
@@ -92,6 +93,7 @@ class JobConfig:
     input_uri: str | None = None
     audit_prefix: str = DEFAULT_AUDIT_PREFIX
     logs_prefix: str = DEFAULT_LOGS_PREFIX
+    quarantine_prefix: str = DEFAULT_QUARANTINE_PREFIX
     columns: tuple[str, ...] = DEFAULT_COLUMNS
     # Declared input schema (DDL string or StructType).  None: infer per run.
     schema: object | None = None
@@ -157,6 +159,10 @@ class JobConfig:
     def audit_path(self) -> str:
         return f"{self.root}/{self.audit_prefix.strip('/')}"
 
+    @property
+    def quarantine_path(self) -> str:
+        return f"{self.root}/{self.quarantine_prefix.strip('/')}"
+
     @property
     def logs_path(self) -> str:
         return f"{self.root}/{self.logs_prefix.strip('/')}"

@@ -29,6 +29,7 @@ from ..operators.metrics import (
 from ..operators.transforms import drop_all_null, preview_text, project, schema_lines
 from ..sources.csv import CORRUPT_COLUMN, scan_csv
 from ..sources.parquet import (
+    attempt_path,
     count_attempt,
     new_attempt_id,
     write_attempt,
@@ -85,6 +86,15 @@ def build_output(raw: DataFrame, columns, name: str, carry=()):
     return out, in_obs, out_obs
 
 
+def quarantine(raw: DataFrame, cfg: JobConfig, attempt: str) -> str:
+    """Write the rows that did not parse under the declared schema, with their
+    raw text, to ``{quarantine}/run_date=D/attempt=A/``.  A second scan, run
+    only when the observed count of such rows is not zero."""
+    path = attempt_path(cfg.quarantine_path, cfg.run_date, attempt)
+    raw.filter(F.col(CORRUPT_COLUMN).isNotNull()).write.mode("overwrite").parquet(path)
+    return path
+
+
 def write_job_log(spark: SparkSession, cfg: JobConfig, run_date: str, attempt: str,
                   lines: list[str]) -> str:
     """Keep the job's log lines next to the data (one small text file per attempt)."""
@@ -152,6 +162,9 @@ def run_job(
         output_rows = out_obs.get["rows"]
         emit(format_input_count(input_rows))
         emit(format_output_count(output_rows))
+        if bad:
+            qpath = quarantine(raw, cfg, attempt)
+            emit(f"Quarantined rows : {bad} written to {qpath}")
         if cfg.layout == LAYOUT_OVERWRITE:
             verify = spark.read.parquet(path)
             written = verify.count()
