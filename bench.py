@@ -32,6 +32,14 @@ from tidewater.plans.runs import run_range  # noqa: E402
 from tidewater.queries import EVENT_COLS, LINEITEM_CSV_DDL, QUERIES, workspace  # noqa: E402
 
 
+def _sf(sf_dir: str):
+    name = os.path.basename(sf_dir).replace("sf", "")
+    try:
+        return float(name)
+    except ValueError:
+        return name
+
+
 def materialize(df) -> None:
     df.write.format("noop").mode("overwrite").save()
 
@@ -108,7 +116,7 @@ def main() -> None:
         "value": headline,
         "unit": "sec",
         "queries": results,
-        "sf": os.path.basename(sf_dir).replace("sf", ""),
+        "sf": _sf(sf_dir),
         "cpus": int(cpus),
         "multipass_over_single_pass": round(results["reference_multipass"] / headline, 2)
         if headline else None,

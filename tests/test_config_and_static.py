@@ -74,3 +74,16 @@ def test_no_unbounded_collect():
     allowed = {"mirror.py", "audit.py", "__main__.py"}
     hits = [p.name for p in LIB.rglob("*.py") if ".collect()" in p.read_text()]
     assert set(hits) <= allowed, hits
+
+
+def test_get_session_batch_profile(spark):
+    from tidewater.session import get_session
+    s = get_session(app_name="t", conf={"spark.sql.shuffle.partitions": "8"})
+    assert s.conf.get("spark.sql.adaptive.enabled") == "true"
+    assert s.conf.get("spark.sql.adaptive.skewJoin.enabled") == "true"
+
+
+def test_get_session_env_remote_needs_url():
+    from tidewater.session import get_session
+    with pytest.raises(SessionError):
+        get_session("env", env={})
