@@ -93,12 +93,12 @@ def read_attempt_audit(spark: SparkSession, audit_path: str, attempt: str) -> Da
             .select(*AUDIT_COLUMNS))
 
 
-def _latest(df: DataFrame) -> DataFrame:
-    """Latest attempt per run_date: by ``finished``, then attempt id (ids sort by
-    start time).  ``max_by`` aggregates map-side, so a date with many attempts
-    is no burden."""
+def _latest(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Latest attempt per run_date, with ``columns``: by ``finished``, then
+    attempt id (ids sort by start time).  ``max_by`` aggregates map-side, so a
+    date with many attempts is no burden; only the named columns are read."""
     order = F.struct(F.col("finished"), F.col(ATTEMPT))
-    payload = F.struct(*[F.col(c) for c in AUDIT_COLUMNS if c != RUN_DATE])
+    payload = F.struct(*[F.col(c) for c in columns if c != RUN_DATE])
     return (df.groupBy(RUN_DATE)
               .agg(F.max_by(payload, order).alias("_last"))
               .select(RUN_DATE, "_last.*"))
@@ -106,13 +106,13 @@ def _latest(df: DataFrame) -> DataFrame:
 
 def run_status(spark: SparkSession, audit_path: str) -> DataFrame:
     """Status of the latest attempt of every run date."""
-    return _latest(read_audit(spark, audit_path)).select(*AUDIT_COLUMNS)
+    return _latest(read_audit(spark, audit_path), AUDIT_COLUMNS).select(*AUDIT_COLUMNS)
 
 
 def latest_verified(spark: SparkSession, audit_path: str) -> DataFrame:
     """(run_date, attempt) of the latest VERIFIED attempt of every run date."""
     verified = read_audit(spark, audit_path).filter(F.col("status") == STATUS_VERIFIED)
-    return _latest(verified).select(RUN_DATE, ATTEMPT)
+    return _latest(verified, [ATTEMPT]).select(RUN_DATE, ATTEMPT)
 
 
 def read_published(spark: SparkSession, runs_path: str, audit_path: str,
