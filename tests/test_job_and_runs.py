@@ -38,6 +38,15 @@ def test_job_single_pass_counts(spark, tmp_dir):
     assert any(l.startswith("Verification: ") for l in lines)
 
 
+def test_max_records_per_file(spark, tmp_dir):
+    import glob
+    body = "".join(f"{i}.0,s{i},ok\n" for i in range(100))
+    src = write_files(os.path.join(tmp_dir, "raw"), {"a.csv": "price,seller,status\n" + body})
+    res = run_job(spark, cfg_for(tmp_dir, src, max_records_per_file=30), log=None)
+    assert res.written_rows == 100
+    assert len(glob.glob(os.path.join(res.path, "*.parquet"))) >= 4
+
+
 def test_declared_schema_counts_bad_rows(spark, tmp_dir):
     src = write_files(os.path.join(tmp_dir, "raw"),
                       {"a.csv": "price,seller,status\nabc,x,ok\n1.0,y,ok\n,,\n"})

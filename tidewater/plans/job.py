@@ -153,9 +153,10 @@ def run_job(
         if cfg.rebalance:
             out = out.hint("rebalance")
         if cfg.layout == LAYOUT_OVERWRITE:
-            path = write_overwrite(out, cfg.output_base, cfg.run_date)
+            path = write_overwrite(out, cfg.output_base, cfg.run_date, cfg.max_records_per_file)
         else:
-            path = write_attempt(out, cfg.output_base, cfg.run_date, attempt)
+            path = write_attempt(out, cfg.output_base, cfg.run_date, attempt,
+                                 cfg.max_records_per_file)
         in_metrics = in_obs.get
         input_rows = in_metrics["rows"]
         bad = in_metrics.get("bad")
@@ -215,7 +216,7 @@ def publish_frame(
         out, obs = observe_rows(df, f"pub-{attempt}")
         if cfg.rebalance:
             out = out.hint("rebalance")
-        path = write_attempt(out, cfg.output_base, cfg.run_date, attempt)
+        path = write_attempt(out, cfg.output_base, cfg.run_date, attempt, cfg.max_records_per_file)
         output_rows = obs.get["rows"]
         written = count_attempt(spark, cfg.output_base, cfg.run_date, attempt, out.schema)
         status = RunMetrics(None, output_rows, written).status

@@ -84,7 +84,8 @@ def run_range(
         out, in_obs, out_obs = build_output(dated, cfg.columns, attempt, carry=[RUN_DATE])
         if cfg.rebalance:
             out = out.hint("rebalance", RUN_DATE)
-        write_attempt_by_date(out, cfg.output_base, attempt)
+        write_attempt_by_date(out, cfg.output_base, attempt,
+                              max_records_per_file=cfg.max_records_per_file)
         input_rows, output_rows = in_obs.get["rows"], out_obs.get["rows"]
         data_schema = out.drop(RUN_DATE).schema
         written = count_attempt_by_date(spark, cfg.output_base, attempt, data_schema)

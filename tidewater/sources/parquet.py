@@ -35,19 +35,29 @@ def attempt_path(base: str, run_date: str, attempt: str) -> str:
     return f"{base.rstrip('/')}/{RUN_DATE}={run_date}/{ATTEMPT}={attempt}"
 
 
-def write_attempt(df: DataFrame, base: str, run_date: str, attempt: str) -> str:
+def _writer(df: DataFrame, max_records_per_file: int | None):
+    w = df.write.mode("overwrite")
+    if max_records_per_file:
+        w = w.option("maxRecordsPerFile", int(max_records_per_file))
+    return w
+
+
+def write_attempt(df: DataFrame, base: str, run_date: str, attempt: str,
+                  max_records_per_file: int | None = None) -> str:
     """Write ``df`` as one attempt of one date.
 
     The attempt directory is private to this write, so the committer's
     temporary files never meet those of a concurrent run of another date or
     attempt; a rerun of the same attempt id replaces only that directory.
+    ``max_records_per_file`` caps file size without a shuffle.
     """
     path = attempt_path(base, run_date, attempt)
-    df.write.mode("overwrite").parquet(path)
+    _writer(df, max_records_per_file).parquet(path)
     return path
 
 
-def write_attempt_by_date(df: DataFrame, base: str, attempt: str, date_col: str = RUN_DATE) -> None:
+def write_attempt_by_date(df: DataFrame, base: str, attempt: str, date_col: str = RUN_DATE,
+                          max_records_per_file: int | None = None) -> None:
     """Write one attempt covering many dates in a single job.
 
     ``df`` carries the date in ``date_col``.  Dynamic partition overwrite
@@ -59,17 +69,17 @@ def write_attempt_by_date(df: DataFrame, base: str, attempt: str, date_col: str
     out = df
     if date_col != RUN_DATE:
         out = out.withColumnRenamed(date_col, RUN_DATE)
-    (out.withColumn(ATTEMPT, F.lit(attempt))
-        .write.mode("overwrite")
+    (_writer(out.withColumn(ATTEMPT, F.lit(attempt)), max_records_per_file)
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy(RUN_DATE, ATTEMPT)
         .parquet(base))
 
 
-def write_overwrite(df: DataFrame, base: str, run_date: str) -> str:
+def write_overwrite(df: DataFrame, base: str, run_date: str,
+                    max_records_per_file: int | None = None) -> str:
     """Parity layout: replace ``{base}/{run_date}/``."""
     path = f"{base.rstrip('/')}/{run_date}/"
-    df.write.mode("overwrite").parquet(path)
+    _writer(df, max_records_per_file).parquet(path)
     return path
 
 
