@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..config import LAYOUT_OVERWRITE, JobConfig, validate_run_date
 from ..functions.columns import yyyymmdd
+from ..functions.logformat import format_input_count, format_output_count
 from ..operators.metrics import (
     STATUS_EMPTY,
     STATUS_FAILED,
@@ -62,7 +63,11 @@ def run_range(
 
     Re-running a date adds a new attempt; the latest verified one is published.
     Dates without rows are EMPTY (no error); an exception is recorded as
-    FAILED for every date of the attempt and then raised.
+    FAILED for every date of the attempt and then raised.  In sliced mode
+    ``input_rows`` and ``output_rows`` of the audit rows are the attempt's
+    totals over its dates (rows whose date falls outside ``dates`` are not
+    counted); ``written_rows`` is per date, and MISMATCH is decided on the
+    totals.
     """
     dates = _dates(dates)
     if date_col is None:
@@ -89,6 +94,8 @@ def run_range(
         input_rows, output_rows = in_obs.get["rows"], out_obs.get["rows"]
         data_schema = out.drop(RUN_DATE).schema
         written = count_attempt_by_date(spark, cfg.output_base, attempt, data_schema)
+        # ``written`` has at most one row per requested date (the attempt holds
+        # nothing else): its size is bounded by the request, so it is broadcast.
         per_date = dates_df.join(F.broadcast(written), RUN_DATE, "left").fillna(0, ["written_rows"])
         total = F.sum("written_rows").over(Window.partitionBy())
         status = (F.when(total != F.lit(output_rows), F.lit(STATUS_MISMATCH))
@@ -119,8 +126,8 @@ def run_range(
     if failure is not None:
         raise failure
     if log and input_rows is not None:
-        log(f"Input row count : {input_rows}")
-        log(f"Output row count : {output_rows}")
+        log(format_input_count(input_rows))
+        log(format_output_count(output_rows))
     return read_attempt_audit(spark, cfg.audit_path, attempt)
 
 
