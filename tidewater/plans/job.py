@@ -166,11 +166,10 @@ def run_job(
         if bad:
             qpath = quarantine(raw, cfg, attempt)
             emit(f"Quarantined rows : {bad} written to {qpath}")
+        # the schema is known: no footer job to infer it again
         if cfg.layout == LAYOUT_OVERWRITE:
-            verify = spark.read.parquet(path)
-            written = verify.count()
+            written = spark.read.schema(out.schema).parquet(path).count()
         else:
-            # the schema is known: no footer job to infer it again
             written = count_attempt(spark, cfg.output_base, cfg.run_date, attempt, out.schema)
         emit(format_verification(written, path))
         if cfg.preview_output:
