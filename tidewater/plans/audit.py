@@ -24,7 +24,9 @@ from pyspark.sql.types import (
     TimestampType,
 )
 
-from ..operators.metrics import STATUS_VERIFIED
+from pyspark.sql import Observation
+
+from ..operators.metrics import STATUS_EMPTY, STATUS_MISMATCH, STATUS_VERIFIED
 from ..operators.sizing import broadcast_if_small
 from ..sources.parquet import (
     ATTEMPT,
@@ -74,6 +76,37 @@ def record_run(spark: SparkSession, audit_path: str, rows: Iterable[tuple]) -> N
     write_audit(spark.createDataFrame(rows, _AUDIT_SCHEMA), audit_path, attempts.pop())
 
 
+def verify_and_record(spark: SparkSession, audit_path: str, runs_path: str, schema: StructType,
+                      run_date: str, attempt: str, input_rows: int | None,
+                      output_rows: int | None, started: datetime) -> tuple[int, str]:
+    """Count the attempt back and append its audit row in one Spark job.
+
+    The audit row is computed from the read-back count (footers only) and
+    written by the same job; an observed metric on that write brings the
+    count to the driver.  Returns ``(written_rows, status)``.  If the job
+    fails, no audit row exists and the attempt stays invisible.
+    """
+    written = (spark.read.schema(schema).parquet(attempt_path(runs_path, run_date, attempt))
+               .agg(F.count(F.lit(1)).alias("written_rows")))
+    n = F.col("written_rows")
+    status = F.when(F.lit(output_rows).isNotNull() & (n != F.lit(output_rows)),
+                    F.lit(STATUS_MISMATCH))
+    status = status.when(n == 0, F.lit(STATUS_EMPTY)).otherwise(F.lit(STATUS_VERIFIED))
+    row = written.select(
+        F.lit(run_date).alias(RUN_DATE), F.lit(attempt).alias(ATTEMPT), status.alias("status"),
+        F.lit(input_rows).cast("bigint").alias("input_rows"),
+        F.lit(output_rows).cast("bigint").alias("output_rows"),
+        n.cast("bigint").alias("written_rows"),
+        F.lit(started).cast("timestamp").alias("started"),
+        F.current_timestamp().alias("finished"),
+        F.lit(None).cast("string").alias("error"))
+    obs = Observation(f"verify-{attempt}")
+    row = row.observe(obs, F.max("written_rows").alias("written"), F.max("status").alias("status"))
+    write_audit(row, audit_path, attempt)
+    got = obs.get
+    return int(got["written"]), got["status"]
+
+
 def read_audit(spark: SparkSession, audit_path: str) -> DataFrame:
     """All audit rows; an audit table that does not exist yet is empty."""
     try:

@@ -35,7 +35,7 @@ from ..sources.parquet import (
     write_attempt,
     write_overwrite,
 )
-from .audit import audit_row, record_run
+from .audit import audit_row, record_run, verify_and_record
 
 
 @dataclass
@@ -139,6 +139,7 @@ def run_job(
     input_rows = output_rows = written = bad = None
     path = None
     error = None
+    recorded = False
     failure: BaseException | None = None
     try:
         raw = scan_csv(spark, cfg.input_path, schema=cfg.schema, strict=cfg.strict,
@@ -167,8 +168,14 @@ def run_job(
             qpath = quarantine(raw, cfg, attempt)
             emit(f"Quarantined rows : {bad} written to {qpath}")
         # the schema is known: no footer job to infer it again
+        recorded = False
         if cfg.layout == LAYOUT_OVERWRITE:
             written = spark.read.schema(out.schema).parquet(path).count()
+        elif record:
+            written, _ = verify_and_record(spark, cfg.audit_path, cfg.output_base, out.schema,
+                                           cfg.run_date, attempt, input_rows, output_rows,
+                                           started)
+            recorded = True
         else:
             written = count_attempt(spark, cfg.output_base, cfg.run_date, attempt, out.schema)
         emit(format_verification(written, path))
@@ -182,7 +189,7 @@ def run_job(
     emit(f"Status: {status}")
     result = RunResult(cfg.run_date, attempt, status, input_rows, output_rows, written, bad,
                        path, started, finished, error, lines)
-    if record:
+    if record and not recorded:
         record_run(spark, cfg.audit_path, [result.audit()])
     if keep_log:
         write_job_log(spark, cfg, cfg.run_date, attempt, lines)
