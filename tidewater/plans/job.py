@@ -217,6 +217,7 @@ def publish_frame(
     attempt = attempt or new_attempt_id()
     output_rows = written = None
     path = error = None
+    recorded = False
     failure: BaseException | None = None
     try:
         out, obs = observe_rows(df, f"pub-{attempt}")
@@ -224,8 +225,9 @@ def publish_frame(
             out = out.hint("rebalance")
         path = write_attempt(out, cfg.output_base, cfg.run_date, attempt, cfg.max_records_per_file)
         output_rows = obs.get["rows"]
-        written = count_attempt(spark, cfg.output_base, cfg.run_date, attempt, out.schema)
-        status = RunMetrics(None, output_rows, written).status
+        written, status = verify_and_record(spark, cfg.audit_path, cfg.output_base, out.schema,
+                                            cfg.run_date, attempt, None, output_rows, started)
+        recorded = True
     except Exception as exc:
         status, error, failure = STATUS_FAILED, f"{type(exc).__name__}: {exc}"[:4000], exc
     finished = _now()
@@ -238,7 +240,8 @@ def publish_frame(
             log(line)
     result = RunResult(cfg.run_date, attempt, status, None, output_rows, written, None, path,
                        started, finished, error, lines)
-    record_run(spark, cfg.audit_path, [result.audit()])
+    if not recorded:
+        record_run(spark, cfg.audit_path, [result.audit()])
     if raise_on_failure:
         if failure is not None:
             raise failure
