@@ -123,3 +123,21 @@ def test_mirror_published_as_attempt(spark, tmp_dir):
     assert res.status == "VERIFIED" and res.written_rows == src.count()
     pub = read_published(spark, cfg.output_base, cfg.audit_path).drop("run_date", "attempt")
     assert pub.exceptAll(src).count() == 0 and src.exceptAll(pub).count() == 0
+
+
+def test_stream_archives_processed_files(spark, tmp_dir):
+    import glob
+    raw = os.path.join(tmp_dir, "raw", "in")
+    archive = os.path.join(tmp_dir, "archive")
+    out, ckpt = os.path.join(tmp_dir, "out"), os.path.join(tmp_dir, "ckpt")
+    write_files(raw, {"a.csv": "price,seller,status\n1,a,ok\n"})
+    ingest_stream(spark, raw, out, ckpt, SCHEMA, name="arch", clean_source="archive",
+                  archive_dir=archive)
+    write_files(raw, {"b.csv": "price,seller,status\n2,b,ok\n"})
+    ingest_stream(spark, raw, out, ckpt, SCHEMA, name="arch", clean_source="archive",
+                  archive_dir=archive)
+    assert read_ingested(spark, out, "arch", SCHEMA).count() == 2
+    # files of completed batches are moved out of the source folder
+    assert glob.glob(os.path.join(archive, "**", "a.csv"), recursive=True)
+    with pytest.raises(ValueError):
+        ingest_stream(spark, raw, out, ckpt, SCHEMA, name="arch", clean_source="archive")

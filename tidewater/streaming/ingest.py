@@ -56,14 +56,34 @@ def ingest_stream(
     available_now: bool = True,
     processing_time: str | None = None,
     max_files_per_trigger: int | None = None,
+    clean_source: str | None = None,
+    archive_dir: str | None = None,
+    max_file_age: str | None = None,
     wait: bool = True,
 ) -> StreamingQuery:
     """Start the ingest.  ``available_now`` consumes what is there and stops
     (``wait`` blocks until then); otherwise it polls every ``processing_time``
-    (default ``10 seconds``, the interval of the original file mirror loop)."""
+    (default ``10 seconds``, the interval of the original file mirror loop).
+
+    The file source lists the whole source folder on every trigger.  For a
+    folder that keeps growing, ``clean_source="archive"`` (with
+    ``archive_dir``) or ``"delete"`` moves processed files out of it, and
+    ``max_file_age`` ignores old files; both are off by default, so the input
+    is never touched unless asked.
+    """
     reader = csv_reader(spark, schema=schema, strict=strict, streaming=True)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", int(max_files_per_trigger))
+    if clean_source:
+        if clean_source not in ("archive", "delete"):
+            raise ValueError("clean_source is 'archive' or 'delete'")
+        if clean_source == "archive" and not archive_dir:
+            raise ValueError("clean_source='archive' needs archive_dir")
+        reader = reader.option("cleanSource", clean_source)
+        if archive_dir:
+            reader = reader.option("sourceArchiveDir", archive_dir)
+    if max_file_age:
+        reader = reader.option("maxFileAge", max_file_age)
     cols = list(columns)
     shaped = drop_all_null(project(reader.csv(source), cols), cols)
     writer = (shaped.writeStream
