@@ -66,9 +66,11 @@ def main(argv):
     bout, _, _ = build_output(dated, EVENT_COLS, "plan-b", carry=["run_date"])
     sections.append(("Backfill: one job for all dates", "The date range reaches the scan as "
                      "`PushedFilters`; no exchange (each task writes the dates it holds).", bout))
+    rout, _, _ = build_output(dated, EVENT_COLS, "plan-r", carry=["run_date"],
+                              rebalance=["run_date"])
     sections.append(("Backfill with `rebalance=True`", "One `REBALANCE_PARTITIONS_BY_COL` "
-                     "exchange on `run_date`; AQE sizes and splits the partitions.",
-                     bout.hint("rebalance", "run_date")))
+                     "exchange on `run_date`, placed before the observed counts so that they "
+                     "are taken in the final stage; AQE sizes and splits the partitions.", rout))
 
     cfg = workspace(spark, "plans", csv)
     for d in ("20240101", "20240102"):

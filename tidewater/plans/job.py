@@ -63,18 +63,27 @@ def _now() -> datetime:
     return datetime.now()
 
 
-def build_output(raw: DataFrame, columns, name: str, carry=()):
+def build_output(raw: DataFrame, columns, name: str, carry=(), rebalance=None):
     """Projection + empty-row filter with observed counts.
 
     Returns ``(output, input_observation, output_observation)``.  ``carry``
     columns (e.g. the run date) are kept but do not count as values.  The input
     count is observed after the projection (a projection keeps every row) so
     that the scan still reads only the kept columns.
+
+    ``rebalance`` (None: off; a list of columns, possibly empty) adds an AQE
+    rebalance right after the projection, *before* the counts: the observed
+    metrics then sit in the final (writing) stage, where Spark applies each
+    task's metrics once even when tasks are retried or speculated.  Metrics in
+    a shuffle-map stage could be applied twice if that stage is re-run after
+    an executor is lost.
     """
     columns = list(columns)
     has_corrupt = CORRUPT_COLUMN in raw.columns
     cols = columns + list(carry) + ([CORRUPT_COLUMN] if has_corrupt else [])
     selected = project(raw, cols)
+    if rebalance is not None:
+        selected = selected.hint("rebalance", *rebalance)
     extra = []
     if has_corrupt:
         extra.append(F.count_if(F.col(CORRUPT_COLUMN).isNotNull()).alias("bad"))
@@ -150,9 +159,8 @@ def run_job(
         if cfg.preview_input:
             for line in preview_text(raw, cfg.preview_input):
                 emit(line)
-        out, in_obs, out_obs = build_output(raw, cfg.columns, attempt)
-        if cfg.rebalance:
-            out = out.hint("rebalance")
+        out, in_obs, out_obs = build_output(raw, cfg.columns, attempt,
+                                            rebalance=[] if cfg.rebalance else None)
         if cfg.layout == LAYOUT_OVERWRITE:
             path = write_overwrite(out, cfg.output_base, cfg.run_date, cfg.max_records_per_file)
         else:
@@ -220,9 +228,8 @@ def publish_frame(
     recorded = False
     failure: BaseException | None = None
     try:
-        out, obs = observe_rows(df, f"pub-{attempt}")
-        if cfg.rebalance:
-            out = out.hint("rebalance")
+        # rebalance before the count, so that the count sits in the final stage
+        out, obs = observe_rows(df.hint("rebalance") if cfg.rebalance else df, f"pub-{attempt}")
         path = write_attempt(out, cfg.output_base, cfg.run_date, attempt, cfg.max_records_per_file)
         output_rows = obs.get["rows"]
         written, status = verify_and_record(spark, cfg.audit_path, cfg.output_base, out.schema,

@@ -86,9 +86,8 @@ def run_range(
                        recursive=cfg.recursive)
         dated = raw.filter(_date_bounds(raw, date_col, dates))
         dated = dated.withColumn(RUN_DATE, yyyymmdd(date_col)).filter(F.col(RUN_DATE).isin(dates))
-        out, in_obs, out_obs = build_output(dated, cfg.columns, attempt, carry=[RUN_DATE])
-        if cfg.rebalance:
-            out = out.hint("rebalance", RUN_DATE)
+        out, in_obs, out_obs = build_output(dated, cfg.columns, attempt, carry=[RUN_DATE],
+                                            rebalance=[RUN_DATE] if cfg.rebalance else None)
         write_attempt_by_date(out, cfg.output_base, attempt,
                               max_records_per_file=cfg.max_records_per_file)
         input_rows, output_rows = in_obs.get["rows"], out_obs.get["rows"]
