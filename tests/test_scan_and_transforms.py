@@ -139,3 +139,14 @@ def test_strict_with_inferred_schema(spark, tmp_dir):
                               "b.csv": "seller,price,status\nb,2.5,ok\n"})
     with pytest.raises(Exception):
         scan_csv(spark, d, strict=True).collect()
+
+
+def test_csv_options_passthrough(spark, tmp_dir):
+    from tidewater.config import JobConfig
+    from tidewater.plans.job import run_job
+    d = write_files(os.path.join(tmp_dir, "raw"), {"a.csv": "price;seller;status\n1,5;a;ok\n;;\n"})
+    raw = scan_csv(spark, d, options={"sep": ";"})
+    assert raw.columns == COLS
+    res = run_job(spark, JobConfig(base_uri=tmp_dir, input_uri=d, csv_options={"sep": ";"}),
+                  log=None)
+    assert (res.input_rows, res.output_rows) == (2, 1)

@@ -9,7 +9,7 @@ from __future__ import annotations
 import os
 import re
 from collections.abc import Mapping
-from dataclasses import dataclass, replace
+from dataclasses import dataclass, field, replace
 from datetime import date, datetime
 
 # ---------------------------------------------------------------------------
@@ -101,6 +101,8 @@ class JobConfig:
     # columns by position.
     strict: bool = False
     recursive: bool = False
+    # Further CSV reader options, e.g. {"sep": ";", "encoding": "latin1"}.
+    csv_options: Mapping[str, str] = field(default_factory=dict)
     layout: str = LAYOUT_ATTEMPTS
     # Shuffle the (projected) output into files of the advisory size before
     # writing (AQE rebalance; by run date in backfills, hot dates split).

@@ -152,7 +152,7 @@ def run_job(
     failure: BaseException | None = None
     try:
         raw = scan_csv(spark, cfg.input_path, schema=cfg.schema, strict=cfg.strict,
-                       recursive=cfg.recursive)
+                       recursive=cfg.recursive, options=cfg.csv_options)
         emit("Input schema:")
         for line in schema_lines(raw):
             emit(line)

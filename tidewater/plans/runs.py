@@ -83,7 +83,7 @@ def run_range(
     dates_df = spark.createDataFrame([(d,) for d in dates], f"{RUN_DATE} STRING")
     try:
         raw = scan_csv(spark, cfg.input_path, schema=cfg.schema, strict=cfg.strict,
-                       recursive=cfg.recursive)
+                       recursive=cfg.recursive, options=cfg.csv_options)
         dated = raw.filter(_date_bounds(raw, date_col, dates))
         dated = dated.withColumn(RUN_DATE, yyyymmdd(date_col)).filter(F.col(RUN_DATE).isin(dates))
         out, in_obs, out_obs = build_output(dated, cfg.columns, attempt, carry=[RUN_DATE],

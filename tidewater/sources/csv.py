@@ -24,7 +24,7 @@ def with_corrupt_column(schema: StructType, name: str = CORRUPT_COLUMN) -> Struc
 
 
 def csv_reader(spark: SparkSession, *, schema=None, strict=False, recursive=False,
-               quarantine=True, streaming=False):
+               quarantine=True, streaming=False, options=None):
     """Configured CSV reader (batch or streaming) with the job's options.
 
     * first line of every file is the header; PERMISSIVE parsing;
@@ -33,10 +33,15 @@ def csv_reader(spark: SparkSession, *, schema=None, strict=False, recursive=Fals
       do not parse keep their raw text in ``_corrupt_record``;
     * ``strict``: each file's header must match the schema by name
       (``enforceSchema=false``) instead of being mapped by position;
-    * ``recursive``: also read files in subdirectories.
+    * ``recursive``: also read files in subdirectories;
+    * ``options``: further CSV reader options (``sep``, ``encoding``,
+      ``multiLine``, ``nullValue`` ...); they may also override ``header`` and
+      ``mode``.
     """
     reader = spark.readStream if streaming else spark.read
     reader = reader.option("header", True).option("mode", "PERMISSIVE")
+    for key, value in (options or {}).items():
+        reader = reader.option(key, value)
     if strict:
         reader = reader.option("enforceSchema", False)
     if recursive:
@@ -53,8 +58,8 @@ def csv_reader(spark: SparkSession, *, schema=None, strict=False, recursive=Fals
 
 
 def scan_csv(spark: SparkSession, path: str | list[str], schema=None, strict: bool = False,
-             recursive: bool = False, quarantine: bool = True) -> DataFrame:
+             recursive: bool = False, quarantine: bool = True, options=None) -> DataFrame:
     """Every CSV file directly in ``path`` as one DataFrame (see :func:`csv_reader`)."""
     reader = csv_reader(spark, schema=schema, strict=strict, recursive=recursive,
-                        quarantine=quarantine)
+                        quarantine=quarantine, options=options)
     return reader.csv(path)

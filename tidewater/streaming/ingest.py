@@ -59,6 +59,7 @@ def ingest_stream(
     clean_source: str | None = None,
     archive_dir: str | None = None,
     max_file_age: str | None = None,
+    options=None,
     wait: bool = True,
 ) -> StreamingQuery:
     """Start the ingest.  ``available_now`` consumes what is there and stops
@@ -71,7 +72,7 @@ def ingest_stream(
     ``max_file_age`` ignores old files; both are off by default, so the input
     is never touched unless asked.
     """
-    reader = csv_reader(spark, schema=schema, strict=strict, streaming=True)
+    reader = csv_reader(spark, schema=schema, strict=strict, streaming=True, options=options)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", int(max_files_per_trigger))
     if clean_source:
