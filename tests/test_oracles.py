@@ -1,0 +1,53 @@
+"""Every registered query against its DuckDB oracle on the smallest scale
+(columns, types and order-insensitive values)."""
+
+import math
+import os
+
+import duckdb
+import pytest
+
+from conftest import SF001
+from tidewater.queries import ORACLE_SQL, QUERIES
+
+TABLES = ("region nation customer supplier part orders lineitem events documents embeddings "
+          "pages benchmark labels conversations").split()
+SPARK_TO_DUCK = {"int": "INTEGER", "bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR",
+                 "boolean": "BOOLEAN"}
+
+
+@pytest.fixture(scope="module")
+def con():
+    c = duckdb.connect()
+    for t in TABLES:
+        path = f"{SF001}/{t}.parquet"
+        if os.path.exists(path):
+            c.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{path}')")
+    yield c
+    c.close()
+
+
+def _norm(v):
+    if isinstance(v, float):
+        return "nan" if math.isnan(v) else repr(round(v, 9))
+    return repr(v)
+
+
+def test_every_query_has_an_oracle():
+    assert set(QUERIES) == set(ORACLE_SQL)
+
+
+@pytest.mark.parametrize("name", sorted(QUERIES))
+def test_query_matches_oracle(spark, con, name):
+    df = QUERIES[name](spark, SF001)
+    got = [r.asDict() for r in df.collect()]
+    rel = con.execute(ORACLE_SQL[name])
+    cols = [d[0] for d in rel.description]
+    exp = [dict(zip(cols, r)) for r in rel.fetchall()]
+    assert sorted(df.columns) == sorted(cols)
+    assert {c: SPARK_TO_DUCK.get(t, t) for c, t in df.dtypes} == \
+        {d[0]: str(d[1]) for d in rel.description}
+    key = sorted(cols)
+    assert len(got) == len(exp)
+    assert sorted(tuple(_norm(r[c]) for c in key) for r in got) == \
+        sorted(tuple(_norm(r[c]) for c in key) for r in exp)
