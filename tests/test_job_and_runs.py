@@ -256,3 +256,17 @@ def test_backfill_failure_recorded_and_raised(spark, tmp_dir):
         run_range(spark, cfg, ["20240101", "20240102"], "day", log=None)
     st = sorted((r["run_date"], r["status"]) for r in read_audit(spark, cfg.audit_path).collect())
     assert st == [("20240101", "FAILED"), ("20240102", "FAILED")]
+
+
+def test_schema_drift_check(spark, tmp_dir):
+    from tidewater.plans.job import SchemaDriftError
+    day1 = write_files(os.path.join(tmp_dir, "d1"), {"a.csv": "price,seller,status\n1,a,ok\n"})
+    day2 = write_files(os.path.join(tmp_dir, "d2"), {"a.csv": "price,seller,status\n1.5,b,ok\n"})
+    cfg = cfg_for(tmp_dir, day1, run_date="20240101", check_drift=True)
+    run_job(spark, cfg, log=None)                      # price inferred as int
+    with pytest.raises(SchemaDriftError, match="price"):
+        run_job(spark, replace(cfg, input_uri=day2, run_date="20240102"), log=None)
+    st = {r["run_date"]: r["status"] for r in run_status(spark, cfg.audit_path).collect()}
+    assert st == {"20240101": "VERIFIED", "20240102": "FAILED"}
+    # without the check the run goes through (and the table now mixes types)
+    run_job(spark, replace(cfg, input_uri=day2, run_date="20240102", check_drift=False), log=None)

@@ -32,6 +32,8 @@ def _parser() -> argparse.ArgumentParser:
         s = sub.add_parser(name)
         s.add_argument("--schema", help="declared input schema (DDL)")
         s.add_argument("--strict", action="store_true", help="fail on header mismatch")
+        s.add_argument("--check-drift", action="store_true",
+                       help="fail if inferred types differ from the published runs")
         s.add_argument("--layout", choices=["attempts", "overwrite"], default="attempts")
         s.add_argument("--remote", help=f"Spark Connect URL ('env' reads {ENV_CONNECT_URL})")
         s.add_argument("--preview-input", type=int, default=0,
@@ -48,6 +50,7 @@ def _parser() -> argparse.ArgumentParser:
 def main(argv: list[str] | None = None) -> int:
     args = _parser().parse_args(argv)
     cfg = JobConfig.from_env(schema=args.schema, strict=args.strict, layout=args.layout,
+                             check_drift=args.check_drift,
                              preview_input=args.preview_input,
                              preview_output=args.preview_output)
     conf = s3a_conf(cfg.endpoint) if cfg.endpoint else {}

@@ -101,6 +101,9 @@ class JobConfig:
     # columns by position.
     strict: bool = False
     recursive: bool = False
+    # Fail a run whose kept columns' types differ from the latest published
+    # attempt (inferred types can drift from day to day).
+    check_drift: bool = False
     # Further CSV reader options, e.g. {"sep": ";", "encoding": "latin1"}.
     csv_options: Mapping[str, str] = field(default_factory=dict)
     layout: str = LAYOUT_ATTEMPTS

@@ -29,13 +29,15 @@ from ..operators.metrics import (
 from ..operators.transforms import drop_all_null, preview_text, project, schema_lines
 from ..sources.csv import CORRUPT_COLUMN, scan_csv
 from ..sources.parquet import (
+    ATTEMPT,
+    RUN_DATE,
     attempt_path,
     count_attempt,
     new_attempt_id,
     write_attempt,
     write_overwrite,
 )
-from .audit import audit_row, record_run, verify_and_record
+from .audit import audit_row, latest_verified, record_run, verify_and_record
 
 
 @dataclass
@@ -95,6 +97,25 @@ def build_output(raw: DataFrame, columns, name: str, carry=(), rebalance=None):
     return out, in_obs, out_obs
 
 
+class SchemaDriftError(RuntimeError):
+    """The kept columns' types differ from those of the published runs."""
+
+
+def check_schema_drift(spark: SparkSession, cfg: JobConfig, schema) -> None:
+    """Compare ``schema`` with the latest published attempt of any date (one
+    footer read); raise :class:`SchemaDriftError` on a difference."""
+    latest = (latest_verified(spark, cfg.audit_path)
+              .orderBy(F.col(ATTEMPT).desc()).limit(1).collect())
+    if not latest:
+        return
+    path = attempt_path(cfg.output_base, latest[0][RUN_DATE], latest[0][ATTEMPT])
+    before = {f.name: f.dataType.simpleString() for f in spark.read.parquet(path).schema.fields}
+    now = {f.name: f.dataType.simpleString() for f in schema.fields}
+    changed = {k: (before.get(k), v) for k, v in now.items() if before.get(k) != v}
+    if changed:
+        raise SchemaDriftError(f"column types changed since {latest[0][RUN_DATE]}: {changed}")
+
+
 def quarantine(raw: DataFrame, cfg: JobConfig, attempt: str) -> str:
     """Write the rows that did not parse under the declared schema, with their
     raw text, to ``{quarantine}/run_date=D/attempt=A/``.  A second scan, run
@@ -161,6 +182,8 @@ def run_job(
                 emit(line)
         out, in_obs, out_obs = build_output(raw, cfg.columns, attempt,
                                             rebalance=[] if cfg.rebalance else None)
+        if cfg.check_drift and cfg.layout != LAYOUT_OVERWRITE:
+            check_schema_drift(spark, cfg, out.schema)
         if cfg.layout == LAYOUT_OVERWRITE:
             path = write_overwrite(out, cfg.output_base, cfg.run_date, cfg.max_records_per_file)
         else:
