@@ -141,3 +141,14 @@ def test_stream_archives_processed_files(spark, tmp_dir):
     assert glob.glob(os.path.join(archive, "**", "a.csv"), recursive=True)
     with pytest.raises(ValueError):
         ingest_stream(spark, raw, out, ckpt, SCHEMA, name="arch", clean_source="archive")
+
+
+def test_stream_name_bound_to_checkpoint(spark, tmp_dir):
+    from tidewater.streaming.ingest import CheckpointMismatchError
+    raw = write_files(os.path.join(tmp_dir, "raw"), {"a.csv": "price,seller,status\n1,a,ok\n"})
+    out = os.path.join(tmp_dir, "out")
+    ingest_stream(spark, raw, out, os.path.join(tmp_dir, "c1"), SCHEMA, name="s")
+    with pytest.raises(CheckpointMismatchError):
+        ingest_stream(spark, raw, out, os.path.join(tmp_dir, "c2"), SCHEMA, name="s")
+    ingest_stream(spark, raw, out, os.path.join(tmp_dir, "c2"), SCHEMA, name="s2")
+    assert read_ingested(spark, out, "s", SCHEMA).count() == 1

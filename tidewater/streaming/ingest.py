@@ -16,6 +16,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -33,6 +34,31 @@ def stream_path(out_base: str, name: str) -> str:
     return f"{out_base.rstrip('/')}/{STREAM}={name}"
 
 
+class CheckpointMismatchError(ValueError):
+    """A stream name is being reused with a different checkpoint."""
+
+
+def _guard_checkpoint(spark: SparkSession, target: str, checkpoint: str) -> None:
+    """Batch ids restart at 0 with a new checkpoint, so a new checkpoint under
+    an old stream name would overwrite that stream's first batches.  The
+    checkpoint location is kept in ``{target}/_checkpoint`` (hidden from
+    readers) and must match on every start."""
+    marker = f"{target}/_checkpoint"
+    try:
+        known = [r["value"] for r in spark.read.text(marker).limit(1).collect()]
+    except AnalysisException as exc:
+        if "PATH_NOT_FOUND" not in str(exc):
+            raise
+        known = []
+    if known and known[0] != checkpoint:
+        raise CheckpointMismatchError(
+            f"stream at {target} was started with checkpoint {known[0]}, not {checkpoint}; "
+            "use a new stream name for a new checkpoint")
+    if not known:
+        spark.createDataFrame([(checkpoint,)], "value STRING").coalesce(1) \
+            .write.mode("overwrite").text(marker)
+
+
 def _batch_writer(target: str):
     def write_batch(batch: DataFrame, batch_id: int) -> None:
         (batch.withColumn(BATCH_ID, F.lit(batch_id).cast("bigint"))
@@ -87,8 +113,10 @@ def ingest_stream(
         reader = reader.option("maxFileAge", max_file_age)
     cols = list(columns)
     shaped = drop_all_null(project(reader.csv(source), cols), cols)
+    target = stream_path(out_base, name)
+    _guard_checkpoint(spark, target, checkpoint)
     writer = (shaped.writeStream
-                    .foreachBatch(_batch_writer(stream_path(out_base, name)))
+                    .foreachBatch(_batch_writer(target))
                     .option("checkpointLocation", checkpoint)
                     .queryName(f"ingest_{name}"))
     if available_now:
