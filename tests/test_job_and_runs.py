@@ -270,3 +270,30 @@ def test_schema_drift_check(spark, tmp_dir):
     assert st == {"20240101": "VERIFIED", "20240102": "FAILED"}
     # without the check the run goes through (and the table now mixes types)
     run_job(spark, replace(cfg, input_uri=day2, run_date="20240102", check_drift=False), log=None)
+
+
+def test_catalog_tables_and_published_view(spark, tmp_dir):
+    from tidewater.plans.catalog import register_catalog
+    a = write_files(os.path.join(tmp_dir, "a"), {"a.csv": "price,seller,status\n1.0,a,ok\n"})
+    b = write_files(os.path.join(tmp_dir, "b"), {"a.csv": "price,seller,status\n2.0,b,ok\n"})
+    cfg = cfg_for(tmp_dir, a, run_date="20240101", catalog_table="tw_runs")
+    run_job(spark, replace(cfg, catalog_table=None), log=None)       # before the table exists
+    schema = spark.read.parquet(cfg.output_base).drop("run_date", "attempt").schema
+    names = register_catalog(spark, cfg, schema)
+    run_job(spark, replace(cfg, input_uri=b), log=None)               # added as a partition
+    run_job(spark, replace(cfg, input_uri=b, run_date="20240102"), log=None)
+    assert spark.sql(f"SELECT count(*) AS n FROM {names['runs']}").first()["n"] == 3
+    # a backfill registers each date it wrote
+    ev = write_files(os.path.join(tmp_dir, "ev"), {
+        "a.csv": "price,seller,status,day\n3.0,c,ok,2024-01-03\n4.0,d,ok,2024-01-04\n"})
+    run_range(spark, replace(cfg, input_uri=ev), ["20240103", "20240104", "20240105"], "day",
+              log=None)
+    assert spark.sql(f"SELECT count(*) AS n FROM {names['runs']}").first()["n"] == 5
+    got = sorted(tuple(r) for r in spark.sql(
+        f"SELECT run_date, price, seller FROM {names['published']}").collect())
+    assert got == [("20240101", 2.0, "b"), ("20240102", 2.0, "b"),
+                   ("20240103", 3.0, "c"), ("20240104", 4.0, "d")]
+    for t in (names["published"],):
+        spark.sql(f"DROP VIEW IF EXISTS {t}")
+    for t in (names["runs"], names["audit"]):
+        spark.sql(f"DROP TABLE IF EXISTS {t}")

@@ -101,6 +101,9 @@ class JobConfig:
     # columns by position.
     strict: bool = False
     recursive: bool = False
+    # Catalog table over the runs (see plans/catalog.py); new attempts are
+    # added as partitions when set.
+    catalog_table: str | None = None
     # Fail a run whose kept columns' types differ from the latest published
     # attempt (inferred types can drift from day to day).
     check_drift: bool = False

@@ -224,6 +224,9 @@ def run_job(
         record_run(spark, cfg.audit_path, [result.audit()])
     if keep_log:
         write_job_log(spark, cfg, cfg.run_date, attempt, lines)
+    if cfg.catalog_table and written and cfg.layout != LAYOUT_OVERWRITE:
+        from .catalog import add_attempt
+        add_attempt(spark, cfg, cfg.run_date, attempt)
     if raise_on_failure:
         if failure is not None:
             raise failure

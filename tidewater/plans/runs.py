@@ -127,7 +127,14 @@ def run_range(
     if log and input_rows is not None:
         log(format_input_count(input_rows))
         log(format_output_count(output_rows))
-    return read_attempt_audit(spark, cfg.audit_path, attempt)
+    result = read_attempt_audit(spark, cfg.audit_path, attempt)
+    if cfg.catalog_table:
+        from .catalog import add_attempts
+        # one row per requested date: bounded by the request
+        written_dates = [r[RUN_DATE] for r in result.filter(F.col("written_rows") > 0)
+                         .select(RUN_DATE).collect()]
+        add_attempts(spark, cfg, written_dates, attempt)
+    return result
 
 
 def _date_bounds(df: DataFrame, date_col: str, dates: list[str]):
