@@ -16,7 +16,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -44,17 +43,16 @@ def _guard_checkpoint(spark: SparkSession, target: str, checkpoint: str) -> None
     checkpoint location is kept in ``{target}/_checkpoint`` (hidden from
     readers) and must match on every start."""
     marker = f"{target}/_checkpoint"
-    try:
-        known = [r["value"] for r in spark.read.text(marker).limit(1).collect()]
-    except AnalysisException as exc:
-        if "PATH_NOT_FOUND" not in str(exc):
-            raise
-        known = []
-    if known and known[0] != checkpoint:
+    # An empty sentinel makes the glob below match even on the first start, so
+    # no read of a missing path is ever attempted.
+    spark.createDataFrame([("",)], "value STRING").coalesce(1) \
+        .write.mode("overwrite").text(f"{marker}_sentinel")
+    seen = {r["value"] for r in spark.read.text(f"{marker}*").collect()} - {""}
+    if seen and seen != {checkpoint}:
         raise CheckpointMismatchError(
-            f"stream at {target} was started with checkpoint {known[0]}, not {checkpoint}; "
-            "use a new stream name for a new checkpoint")
-    if not known:
+            f"stream at {target} was started with checkpoint {sorted(seen)[0]}, not "
+            f"{checkpoint}; use a new stream name for a new checkpoint")
+    if not seen:
         spark.createDataFrame([(checkpoint,)], "value STRING").coalesce(1) \
             .write.mode("overwrite").text(marker)
 
