@@ -150,3 +150,18 @@ def test_csv_options_passthrough(spark, tmp_dir):
     res = run_job(spark, JobConfig(base_uri=tmp_dir, input_uri=d, csv_options={"sep": ";"}),
                   log=None)
     assert (res.input_rows, res.output_rows) == (2, 1)
+
+
+def test_column_helpers(spark):
+    from pyspark.sql import functions as F
+    from pyspark.sql.types import DoubleType
+    from tidewater.functions import any_differs, has_value, yyyymmdd
+    df = spark.createDataFrame(
+        [(1.0, "a", "2024-01-02 03:04:05"), (float("nan"), None, "2024-12-31 23:59:59"),
+         (None, "b", None)], "x DOUBLE, s STRING, t STRING").withColumn("t", F.to_timestamp("t"))
+    got = [tuple(r) for r in df.select(
+        has_value("x", DoubleType()).alias("hx"), has_value("s").alias("hs"),
+        yyyymmdd("t").alias("d"),
+        any_differs([F.col("s")], [F.lit("a")]).alias("diff")).collect()]
+    assert got == [(True, True, "20240102", False), (False, False, "20241231", True),
+                   (False, True, None, True)]
