@@ -18,7 +18,8 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 import duckdb  # noqa: E402
 from pyspark.sql import SparkSession  # noqa: E402
 
-from tidewater.queries import ORACLE_SQL, QUERIES  # noqa: E402
+from tidewater.oracles import ORACLE_SQL  # noqa: E402
+from tidewater.queries import QUERIES  # noqa: E402
 
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings "
           "pages benchmark labels conversations").split()

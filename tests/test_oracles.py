@@ -8,7 +8,8 @@ import duckdb
 import pytest
 
 from conftest import SF001
-from tidewater.queries import ORACLE_SQL, QUERIES
+from tidewater.oracles import ORACLE_SQL
+from tidewater.queries import QUERIES
 
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings "
           "pages benchmark labels conversations").split()
