@@ -1,0 +1 @@
+"""Structured Streaming ingest of new CSV files (B2)."""
