@@ -297,3 +297,16 @@ def test_catalog_tables_and_published_view(spark, tmp_dir):
         spark.sql(f"DROP VIEW IF EXISTS {t}")
     for t in (names["runs"], names["audit"]):
         spark.sql(f"DROP TABLE IF EXISTS {t}")
+
+
+def test_run_with_retries(spark, tmp_dir):
+    from tidewater.plans.job import run_with_retries
+    empty = write_files(os.path.join(tmp_dir, "empty"), {"a.csv": "price,seller,status\n,,\n"})
+    cfg = cfg_for(tmp_dir, empty, run_date="20240120")
+    with pytest.raises(EmptyRunError):
+        run_with_retries(spark, cfg, retries=1, delay=0, log=None)
+    st = [r["status"] for r in read_audit(spark, cfg.audit_path).collect()]
+    assert st == ["EMPTY", "EMPTY"]
+    good = write_files(os.path.join(tmp_dir, "good"), {"a.csv": "price,seller,status\n1.0,a,ok\n"})
+    res = run_with_retries(spark, replace(cfg, input_uri=good), retries=2, delay=0, log=None)
+    assert res.status == "VERIFIED"

@@ -20,7 +20,7 @@ from dataclasses import replace
 from .config import ENV_CONNECT_URL, JobConfig, date_range, s3a_conf
 from .operators.metrics import STATUS_VERIFIED
 from .plans.audit import run_status
-from .plans.job import run_job
+from .plans.job import run_with_retries
 from .plans.runs import run_range
 from .session import get_session
 
@@ -40,6 +40,9 @@ def _parser() -> argparse.ArgumentParser:
                        help="input rows to print, like show(n) (the original job printed 5)")
         s.add_argument("--preview-output", type=int, default=0,
                        help="output rows to print (the original job printed 10)")
+        if name == "run":
+            s.add_argument("--retries", type=int, default=0, help="retries of a failed run")
+            s.add_argument("--retry-delay", type=float, default=10.0, help="seconds between tries")
         if name == "backfill":
             s.add_argument("start")
             s.add_argument("end")
@@ -56,7 +59,7 @@ def main(argv: list[str] | None = None) -> int:
     conf = s3a_conf(cfg.endpoint) if cfg.endpoint else {}
     spark = get_session(args.remote, app_name=f"publish-{cfg.run_date}", conf=conf)
     if args.cmd == "run":
-        run_job(spark, cfg)
+        run_with_retries(spark, cfg, retries=args.retries, delay=args.retry_delay)
         return 0
     if args.cmd == "backfill":
         rows = run_range(spark, replace(cfg), date_range(args.start, args.end),
