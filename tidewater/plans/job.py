@@ -2,9 +2,10 @@
 publish per run date, verify.
 
 One pass over the input: the input and output counts are observed by the write
-itself (``Observation``), the verification count comes from the Parquet
-footers of the attempt just written.  With a declared schema there is no
-inference pass either.  The original job's multi-pass shape is kept in
+itself (``Observation``); the verification count comes from the Parquet
+footers of the attempt just written, and the audit row is computed from it and
+written in the same Spark job.  With a declared schema there is no inference
+pass either.  The original job's multi-pass shape is kept in
 :func:`run_job_multipass` for comparison.
 """
 
