@@ -310,3 +310,15 @@ def test_run_with_retries(spark, tmp_dir):
     good = write_files(os.path.join(tmp_dir, "good"), {"a.csv": "price,seller,status\n1.0,a,ok\n"})
     res = run_with_retries(spark, replace(cfg, input_uri=good), retries=2, delay=0, log=None)
     assert res.status == "VERIFIED"
+
+
+def test_backfill_quarantines_bad_rows(spark, tmp_dir):
+    src = write_files(os.path.join(tmp_dir, "raw"), {
+        "a.csv": "price,seller,status,day\n1.0,a,ok,2024-01-01\nabc,b,ok,2024-01-02\n"})
+    cfg = cfg_for(tmp_dir, src, schema="price DOUBLE, seller STRING, status STRING, day DATE")
+    st = {r["run_date"]: r["written_rows"] for r in
+          run_range(spark, cfg, ["20240101", "20240102"], "day", log=None).collect()}
+    assert st == {"20240101": 1, "20240102": 1}        # PERMISSIVE keeps the row, price null
+    q = spark.read.parquet(os.path.join(tmp_dir, "quarantine")).collect()
+    assert [(r["seller"], r["_corrupt_record"], r["run_date"]) for r in q] == [
+        ("b", "abc,b,ok,2024-01-02", "20240102")]

@@ -16,7 +16,7 @@ from ..operators.metrics import (
     STATUS_MISMATCH,
     STATUS_VERIFIED,
 )
-from ..sources.csv import scan_csv
+from ..sources.csv import CORRUPT_COLUMN, scan_csv
 from ..sources.parquet import (
     ATTEMPT,
     RUN_DATE,
@@ -90,7 +90,14 @@ def run_range(
                                             rebalance=[RUN_DATE] if cfg.rebalance else None)
         write_attempt_by_date(out, cfg.output_base, attempt,
                               max_records_per_file=cfg.max_records_per_file)
-        input_rows, output_rows = in_obs.get["rows"], out_obs.get["rows"]
+        in_metrics = in_obs.get
+        input_rows, output_rows = in_metrics["rows"], out_obs.get["rows"]
+        if in_metrics.get("bad"):
+            # rows that did not parse under the declared schema, with their
+            # raw text; a second scan, run only when there are any
+            (dated.filter(F.col(CORRUPT_COLUMN).isNotNull())
+                  .write.mode("overwrite")
+                  .parquet(f"{cfg.quarantine_path}/{ATTEMPT}={attempt}"))
         data_schema = out.drop(RUN_DATE).schema
         written = count_attempt_by_date(spark, cfg.output_base, attempt, data_schema)
         # ``written`` has at most one row per requested date (the attempt holds
