@@ -79,8 +79,10 @@ class JobConfig:
     """Parameters of one run of the CSV-to-Parquet job.
 
     ``root`` is the storage root; by default ``s3a://{bucket}``.  The input is
-    every CSV file in ``{root}/{input_prefix}/``; output goes below
-    ``{root}/{output_prefix}``.
+    every CSV file in ``{root}/{input_prefix}/`` (or ``input_uri``).  Output
+    goes below ``{root}/{output_prefix}``: ``run_date=D/attempt=A/`` in the
+    attempts layout, ``D/`` in the overwrite layout.  The audit table, kept
+    logs and quarantined rows live beside it under their own prefixes.
     """
 
     bucket: str = DEFAULT_BUCKET
