@@ -13,7 +13,7 @@ prices = st.one_of(st.none(), st.just(float("nan")), st.floats(-1e6, 1e6, allow_
 sellers = st.one_of(st.none(), st.integers(-5, 5))
 statuses = st.one_of(st.none(), st.sampled_from(["", " ", "ok", "F"]))
 rows = st.lists(st.tuples(prices, sellers, statuses), max_size=25)
-FAST = settings(max_examples=15, deadline=None,
+FAST = settings(max_examples=15, deadline=None, derandomize=True, database=None,
                 suppress_health_check=[HealthCheck.function_scoped_fixture])
 
 
