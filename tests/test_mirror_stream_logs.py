@@ -152,3 +152,14 @@ def test_stream_name_bound_to_checkpoint(spark, tmp_dir):
         ingest_stream(spark, raw, out, os.path.join(tmp_dir, "c2"), SCHEMA, name="s")
     ingest_stream(spark, raw, out, os.path.join(tmp_dir, "c2"), SCHEMA, name="s2")
     assert read_ingested(spark, out, "s", SCHEMA).count() == 1
+
+
+def test_log_metrics_unanchored(spark, tmp_dir):
+    logs = write_files(os.path.join(tmp_dir, "logs"), {
+        "t.log": "[2024-01-01 00:00:01] {pod.py:1} INFO - Input row count : 12\n"
+                 "[2024-01-01 00:00:02] {pod.py:1} INFO - Verification: 10 rows written to x\n"})
+    anchored = parse_job_logs(spark, logs).count()
+    got = sorted((r["metric"], r["value"]) for r in parse_job_logs(spark, logs, anchored=False)
+                 .collect())
+    assert anchored == 0
+    assert got == [("input_rows", 12), ("written_rows", 10)]
