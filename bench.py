@@ -19,18 +19,21 @@ import os
 import sys
 import time
 from dataclasses import replace
-from datetime import timedelta
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from pyspark.sql import SparkSession  # noqa: E402
-from pyspark.sql import functions as F  # noqa: E402
 
-from tidewater.config import date_range  # noqa: E402
 from tidewater.plans import inputs  # noqa: E402
 from tidewater.plans.job import run_job, run_job_multipass  # noqa: E402
 from tidewater.plans.runs import run_range  # noqa: E402
-from tidewater.queries import EVENT_COLS, LINEITEM_CSV_DDL, QUERIES, workspace  # noqa: E402
+from tidewater.queries import (  # noqa: E402
+    EVENT_COLS,
+    LINEITEM_CSV_DDL,
+    QUERIES,
+    event_dates,
+    workspace,
+)
 
 
 def _sf(sf_dir: str):
@@ -80,9 +83,7 @@ def main() -> None:
         run_job_multipass(spark, replace(cfg, layout="overwrite"), log=quiet)
 
     events = inputs.events_csv(spark, sf_dir)
-    bounds = inputs.table(spark, sf_dir, "events").agg(
-        F.to_date(F.min("ts")).alias("lo"), F.to_date(F.max("ts")).alias("hi")).first()
-    dates = date_range(bounds["lo"] - timedelta(days=1), bounds["hi"] + timedelta(days=1))
+    dates = event_dates(spark, sf_dir, pad=1)  # the same dates as daily_backfill
 
     def backfill_one_job_per_date():
         # the scheduler's way: one job per date, each scanning the whole input

@@ -159,13 +159,20 @@ def q_run_status(spark, sf_dir):
 
 # -- B1 --------------------------------------------------------------------------
 
+def event_dates(spark, sf_dir, pad: int = 0) -> list[str]:
+    """Every date from the first to the last event, widened by ``pad`` days on
+    each side (one aggregate row)."""
+    bounds = inputs.table(spark, sf_dir, "events").agg(
+        F.to_date(F.min("ts")).alias("lo"), F.to_date(F.max("ts")).alias("hi")).first()
+    return date_range(bounds["lo"] - timedelta(days=pad), bounds["hi"] + timedelta(days=pad))
+
+
 def q_daily_backfill(spark, sf_dir):
+    """Dates from the day before the first event to the day after the last:
+    the two outer dates have no rows and come back EMPTY."""
     csv = inputs.events_csv(spark, sf_dir)
     cfg = workspace(spark, "backfill", csv, columns=tuple(EVENT_COLS))
-    bounds = inputs.table(spark, sf_dir, "events").agg(
-        F.to_date(F.min("ts")).alias("lo"), F.to_date(F.max("ts")).alias("hi")).first()
-    dates = date_range(bounds["lo"] - timedelta(days=1), bounds["hi"] + timedelta(days=1))
-    status = run_range(spark, cfg, dates, date_col="ts", log=_quiet)
+    status = run_range(spark, cfg, event_dates(spark, sf_dir, pad=1), date_col="ts", log=_quiet)
     return status.select(RUN_DATE, "status", "written_rows")
 
 
@@ -241,9 +248,7 @@ def q_backfill_published(spark, sf_dir):
     """B1 + A8: the rows a reader sees after a sliced backfill of ``events``."""
     csv = inputs.events_csv(spark, sf_dir)
     cfg = workspace(spark, "backfill-rows", csv, columns=tuple(EVENT_COLS))
-    bounds = inputs.table(spark, sf_dir, "events").agg(
-        F.to_date(F.min("ts")).alias("lo"), F.to_date(F.max("ts")).alias("hi")).first()
-    run_range(spark, cfg, date_range(bounds["lo"], bounds["hi"]), date_col="ts", log=_quiet)
+    run_range(spark, cfg, event_dates(spark, sf_dir), date_col="ts", log=_quiet)
     return read_published(spark, cfg.output_base, cfg.audit_path).select(RUN_DATE, *EVENT_COLS)
 
 
