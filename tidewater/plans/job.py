@@ -66,7 +66,8 @@ def _now() -> datetime:
     return datetime.now()
 
 
-def build_output(raw: DataFrame, columns, name: str, carry=(), rebalance=None):
+def build_output(raw: DataFrame, columns, name: str, carry=(), rebalance=None,
+                 observe_values: str | None = None):
     """Projection + empty-row filter with observed counts.
 
     Returns ``(output, input_observation, output_observation)``.  ``carry``
@@ -80,6 +81,10 @@ def build_output(raw: DataFrame, columns, name: str, carry=(), rebalance=None):
     task's metrics once even when tasks are retried or speculated.  Metrics in
     a shuffle-map stage could be applied twice if that stage is re-run after
     an executor is lost.
+
+    ``observe_values`` names a column whose distinct values are also observed
+    on the output (``collect_set``) - only for columns with few values, such
+    as the run date of a backfill, whose values are bounded by the request.
     """
     columns = list(columns)
     has_corrupt = CORRUPT_COLUMN in raw.columns
@@ -94,7 +99,8 @@ def build_output(raw: DataFrame, columns, name: str, carry=(), rebalance=None):
     if has_corrupt:
         selected = selected.drop(CORRUPT_COLUMN)
     out = drop_all_null(selected, columns)
-    out, out_obs = observe_rows(out, f"out-{name}")
+    values = [F.collect_set(observe_values).alias("values")] if observe_values else []
+    out, out_obs = observe_rows(out, f"out-{name}", *values)
     return out, in_obs, out_obs
 
 

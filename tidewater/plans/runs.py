@@ -87,11 +87,14 @@ def run_range(
         dated = raw.filter(_date_bounds(raw, date_col, dates))
         dated = dated.withColumn(RUN_DATE, yyyymmdd(date_col)).filter(F.col(RUN_DATE).isin(dates))
         out, in_obs, out_obs = build_output(dated, cfg.columns, attempt, carry=[RUN_DATE],
-                                            rebalance=[RUN_DATE] if cfg.rebalance else None)
+                                            rebalance=[RUN_DATE] if cfg.rebalance else None,
+                                            observe_values=RUN_DATE)
         write_attempt_by_date(out, cfg.output_base, attempt,
                               max_records_per_file=cfg.max_records_per_file)
-        in_metrics = in_obs.get
-        input_rows, output_rows = in_metrics["rows"], out_obs.get["rows"]
+        in_metrics, out_metrics = in_obs.get, out_obs.get
+        input_rows, output_rows = in_metrics["rows"], out_metrics["rows"]
+        # dates that received rows (at most the requested ones)
+        written_dates = sorted(out_metrics["values"] or [])
         if in_metrics.get("bad"):
             # rows that did not parse under the declared schema, with their
             # raw text; a second scan, run only when there are any
@@ -99,7 +102,8 @@ def run_range(
                   .write.mode("overwrite")
                   .parquet(f"{cfg.quarantine_path}/{ATTEMPT}={attempt}"))
         data_schema = out.drop(RUN_DATE).schema
-        written = count_attempt_by_date(spark, cfg.output_base, attempt, data_schema)
+        written = count_attempt_by_date(spark, cfg.output_base, attempt, data_schema,
+                                        dates=written_dates)
         # ``written`` has at most one row per requested date (the attempt holds
         # nothing else): its size is bounded by the request, so it is broadcast.
         per_date = dates_df.join(F.broadcast(written), RUN_DATE, "left").fillna(0, ["written_rows"])

@@ -123,22 +123,31 @@ def count_attempt(spark: SparkSession, base: str, run_date: str, attempt: str,
 
 
 def count_attempt_by_date(spark: SparkSession, base: str, attempt: str,
-                          data_schema: StructType) -> DataFrame:
+                          data_schema: StructType, dates: list[str] | None = None) -> DataFrame:
     """(run_date, written_rows) of one multi-date attempt.
 
-    Only the ``run_date=*/attempt=A`` folders are listed (a glob), not the
-    other attempts.  The count per date aggregates map-side, so a date holding
-    a third of all rows is still one row per task in the shuffle.
+    With ``dates`` (the dates the write produced) exactly those folders are
+    read: Spark checks explicit paths in parallel and lists many of them with
+    a distributed job.  Without, a ``run_date=*/attempt=A`` glob finds them,
+    which lists every date folder of the table.  The count per date
+    aggregates map-side, so a date holding a third of all rows is still one
+    row per task in the shuffle.
     """
-    pattern = f"{base.rstrip('/')}/{RUN_DATE}=*/{ATTEMPT}={attempt}"
+    empty = spark.createDataFrame([], f"{RUN_DATE} STRING, written_rows BIGINT")
+    if dates is not None:
+        if not dates:
+            return empty
+        paths = [attempt_path(base, d, attempt) for d in dates]
+    else:
+        paths = [f"{base.rstrip('/')}/{RUN_DATE}=*/{ATTEMPT}={attempt}"]
     try:
         runs = (spark.read.schema(runs_schema(data_schema))
-                .option("basePath", base.rstrip("/")).parquet(pattern))
+                .option("basePath", base.rstrip("/")).parquet(*paths))
         runs.schema
     except AnalysisException as exc:
         if not _missing_path(exc):
             raise
-        return spark.createDataFrame([], f"{RUN_DATE} STRING, written_rows BIGINT")
+        return empty
     return runs.groupBy(RUN_DATE).agg(F.count(F.lit(1)).alias("written_rows"))
 
 
