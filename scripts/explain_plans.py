@@ -63,11 +63,12 @@ def main(argv):
     dates = ["20240101", "20240102", "20240103"]
     dated = (ev.filter(_date_bounds(ev, "ts", dates))
                .withColumn("run_date", yyyymmdd("ts")).filter(F.col("run_date").isin(dates)))
-    bout, _, _ = build_output(dated, EVENT_COLS, "plan-b", carry=["run_date"])
+    bout, _, _ = build_output(dated, EVENT_COLS, "plan-b", carry=["run_date"],
+                              observe_values="run_date")
     sections.append(("Backfill: one job for all dates", "The date range reaches the scan as "
                      "`PushedFilters`; no exchange (each task writes the dates it holds).", bout))
     rout, _, _ = build_output(dated, EVENT_COLS, "plan-r", carry=["run_date"],
-                              rebalance=["run_date"])
+                              rebalance=["run_date"], observe_values="run_date")
     sections.append(("Backfill with `rebalance=True`", "One `REBALANCE_PARTITIONS_BY_COL` "
                      "exchange on `run_date`, placed before the observed counts so that they "
                      "are taken in the final stage; AQE sizes and splits the partitions.", rout))
