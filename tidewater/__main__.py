@@ -35,6 +35,10 @@ def _parser() -> argparse.ArgumentParser:
         s.add_argument("--check-drift", action="store_true",
                        help="fail if inferred types differ from the published runs")
         s.add_argument("--layout", choices=["attempts", "overwrite"], default="attempts")
+        s.add_argument("--rebalance", action="store_true",
+                       help="shuffle the output into files of the advisory size")
+        s.add_argument("--max-records-per-file", type=int, default=None)
+        s.add_argument("--catalog-table", help="register new attempts in this catalog table")
         s.add_argument("--remote", help=f"Spark Connect URL ('env' reads {ENV_CONNECT_URL})")
         s.add_argument("--preview-input", type=int, default=0,
                        help="input rows to print, like show(n) (the original job printed 5)")
@@ -53,7 +57,9 @@ def _parser() -> argparse.ArgumentParser:
 def main(argv: list[str] | None = None) -> int:
     args = _parser().parse_args(argv)
     cfg = JobConfig.from_env(schema=args.schema, strict=args.strict, layout=args.layout,
-                             check_drift=args.check_drift,
+                             check_drift=args.check_drift, rebalance=args.rebalance,
+                             max_records_per_file=args.max_records_per_file,
+                             catalog_table=args.catalog_table,
                              preview_input=args.preview_input,
                              preview_output=args.preview_output)
     conf = s3a_conf(cfg.endpoint) if cfg.endpoint else {}
