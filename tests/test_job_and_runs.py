@@ -322,3 +322,20 @@ def test_backfill_quarantines_bad_rows(spark, tmp_dir):
     q = spark.read.parquet(os.path.join(tmp_dir, "quarantine")).collect()
     assert [(r["seller"], r["_corrupt_record"], r["run_date"]) for r in q] == [
         ("b", "abc,b,ok,2024-01-02", "20240102")]
+
+
+def test_readers_before_any_run(spark, tmp_dir):
+    from tidewater.plans.audit import latest_verified
+    cfg = cfg_for(tmp_dir, os.path.join(tmp_dir, "raw"))
+    assert run_status(spark, cfg.audit_path).count() == 0
+    assert latest_verified(spark, cfg.audit_path).count() == 0
+    assert read_published(spark, cfg.output_base, cfg.audit_path).count() == 0
+
+
+def test_backfill_all_dates_empty(spark, tmp_dir):
+    src = write_files(os.path.join(tmp_dir, "raw"),
+                      {"a.csv": "price,seller,status,day\n1.0,a,ok,2024-03-01\n"})
+    st = sorted((r["run_date"], r["status"], r["written_rows"]) for r in
+                run_range(spark, cfg_for(tmp_dir, src), ["20240101", "20240102"], "day",
+                          log=None).collect())
+    assert st == [("20240101", "EMPTY", 0), ("20240102", "EMPTY", 0)]
