@@ -339,3 +339,17 @@ def test_backfill_all_dates_empty(spark, tmp_dir):
                 run_range(spark, cfg_for(tmp_dir, src), ["20240101", "20240102"], "day",
                           log=None).collect())
     assert st == [("20240101", "EMPTY", 0), ("20240102", "EMPTY", 0)]
+
+
+def test_concurrent_runs_do_not_interfere(spark, tmp_dir):
+    from concurrent.futures import ThreadPoolExecutor
+    src = write_files(os.path.join(tmp_dir, "raw"), {"a.csv": "price,seller,status\n1.0,a,ok\n"})
+    cfg = cfg_for(tmp_dir, src)
+    dates = ["20240201", "20240202", "20240203"]
+    with ThreadPoolExecutor(3) as pool:
+        results = list(pool.map(lambda d: run_job(spark, cfg.with_date(d), log=None), dates))
+    assert [r.status for r in results] == ["VERIFIED"] * 3
+    st = sorted((r["run_date"], r["status"], r["written_rows"])
+                for r in run_status(spark, cfg.audit_path).collect())
+    assert st == [(d, "VERIFIED", 1) for d in dates]
+    assert read_published(spark, cfg.output_base, cfg.audit_path).count() == 3

@@ -163,3 +163,17 @@ def test_log_metrics_unanchored(spark, tmp_dir):
                  .collect())
     assert anchored == 0
     assert got == [("input_rows", 12), ("written_rows", 10)]
+
+
+def test_replayed_batch_replaces_itself(spark, tmp_dir):
+    """A batch written again after a crash (same batch id) is not duplicated."""
+    from tidewater.streaming.ingest import _batch_writer
+    target = os.path.join(tmp_dir, "stream=t")
+    batch = spark.createDataFrame([(1.0, "a", "ok"), (2.0, "b", None)], SCHEMA)
+    write = _batch_writer(target)
+    write(batch, 0)
+    write(spark.createDataFrame([(3.0, "c", "ok")], SCHEMA), 1)
+    write(batch, 0)                                   # replay of batch 0
+    got = sorted((r["batch_id"], r["price"]) for r in read_ingested(spark, tmp_dir, "t", SCHEMA)
+                 .collect())
+    assert got == [(0, 1.0), (0, 2.0), (1, 3.0)]
