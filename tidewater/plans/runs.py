@@ -63,11 +63,12 @@ def run_range(
 
     Re-running a date adds a new attempt; the latest verified one is published.
     Dates without rows are EMPTY (no error); an exception is recorded as
-    FAILED for every date of the attempt and then raised.  In sliced mode
-    ``input_rows`` and ``output_rows`` of the audit rows are the attempt's
-    totals over its dates (rows whose date falls outside ``dates`` are not
-    counted); ``written_rows`` is per date, and MISMATCH is decided on the
-    totals.
+    FAILED for every date of the attempt and then raised.  In sliced mode the
+    audit rows are per date: ``written_rows`` is the date's read-back count,
+    ``output_rows`` equals it when the attempt's produced and written totals
+    agree (null on MISMATCH), and ``input_rows`` is null - rows are not
+    counted per date before the filter (that would need a second scan).  The
+    attempt's totals are in its log lines.
     """
     dates = _dates(dates)
     if date_col is None:
@@ -108,14 +109,19 @@ def run_range(
         # nothing else): its size is bounded by the request, so it is broadcast.
         per_date = dates_df.join(F.broadcast(written), RUN_DATE, "left").fillna(0, ["written_rows"])
         total = F.sum("written_rows").over(Window.partitionBy())
-        status = (F.when(total != F.lit(output_rows), F.lit(STATUS_MISMATCH))
+        matched = total == F.lit(output_rows)
+        status = (F.when(~matched, F.lit(STATUS_MISMATCH))
                    .when(F.col("written_rows") == 0, F.lit(STATUS_EMPTY))
                    .otherwise(F.lit(STATUS_VERIFIED)))
+        # per date: what was produced equals what was written when the totals
+        # agree; unknown otherwise
+        produced = F.when(matched, F.col("written_rows"))
         error = F.lit(None).cast("string")
     except Exception as exc:
         input_rows = output_rows = None
         per_date = dates_df.withColumn("written_rows", F.lit(None).cast("bigint"))
         status = F.lit(STATUS_FAILED)
+        produced = F.lit(None)
         error = F.lit(f"{type(exc).__name__}: {exc}"[:4000])
         failure = exc
         if log:
@@ -125,8 +131,8 @@ def run_range(
         RUN_DATE,
         F.lit(attempt).alias(ATTEMPT),
         status.alias("status"),
-        F.lit(input_rows).cast("bigint").alias("input_rows"),
-        F.lit(output_rows).cast("bigint").alias("output_rows"),
+        F.lit(None).cast("bigint").alias("input_rows"),
+        produced.cast("bigint").alias("output_rows"),
         F.col("written_rows").cast("bigint").alias("written_rows"),
         F.lit(started).cast("timestamp").alias("started"),
         F.lit(finished).cast("timestamp").alias("finished"),
@@ -136,6 +142,7 @@ def run_range(
     if failure is not None:
         raise failure
     if log and input_rows is not None:
+        log(f"Dates: {len(dates)} requested, {len(written_dates)} with rows")
         log(format_input_count(input_rows))
         log(format_output_count(output_rows))
     result = read_attempt_audit(spark, cfg.audit_path, attempt)
