@@ -128,6 +128,10 @@ def test_overwrite_layout_parity(spark, tmp_dir):
     run_job(spark, cfg, log=None)
     df = read_overwrite_runs(spark, cfg.output_base)
     assert values(df, COLS + ["run_date"]) == [(1.0, "a", "ok", "20240108")]
+    # the plain read of the folder, as documented for the original layout, fails
+    from pyspark.errors import AnalysisException
+    with pytest.raises(AnalysisException, match="UNABLE_TO_INFER_SCHEMA"):
+        spark.read.parquet(cfg.output_base).schema
 
 
 def test_multipass_shape_matches_single_pass(spark, tmp_dir):
