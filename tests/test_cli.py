@@ -27,3 +27,18 @@ def test_cli_run_backfill_status(spark, tmp_dir, monkeypatch, capsys):
     assert "20240102 VERIFIED written=1" in out
     assert "20240103 EMPTY written=0" in out
     assert main(["status"]) == 1
+
+
+def test_cli_explain(spark, tmp_dir, monkeypatch, capsys):
+    write_files(os.path.join(tmp_dir, "raw"), {
+        "a.csv": "price,seller,status,day,other\n1.0,a,ok,2024-01-01,x\n"})
+    monkeypatch.setenv("TIDEWATER_BASE_URI", tmp_dir)
+    monkeypatch.setenv("RUN_DATE", "20240101")
+    assert main(["run", "--explain", "--schema",
+                 "price DOUBLE, seller STRING, status STRING, day DATE, other STRING"]) == 0
+    out = capsys.readouterr().out
+    assert "ReadSchema: struct<price:double,seller:string,status:string,_corrupt_record:string>" in out
+    assert main(["backfill", "20240101", "20240102", "--date-col", "day", "--explain"]) == 0
+    out = capsys.readouterr().out
+    assert "PushedFilters" in out and "GreaterThanOrEqual(day,2024-01-01)" in out
+    assert not os.path.exists(os.path.join(tmp_dir, "processed"))

@@ -20,7 +20,7 @@ from dataclasses import replace
 from .config import ENV_CONNECT_URL, JobConfig, date_range, s3a_conf
 from .operators.metrics import STATUS_VERIFIED
 from .plans.audit import run_status
-from .plans.job import run_with_retries
+from .plans.job import plan_job, run_with_retries
 from .plans.runs import run_range
 from .session import get_session
 
@@ -39,6 +39,9 @@ def _parser() -> argparse.ArgumentParser:
                        help="shuffle the output into files of the advisory size")
         s.add_argument("--max-records-per-file", type=int, default=None)
         s.add_argument("--catalog-table", help="register new attempts in this catalog table")
+        if name != "status":
+            s.add_argument("--explain", action="store_true",
+                           help="print the physical plan of the write and stop")
         s.add_argument("--remote", help=f"Spark Connect URL ('env' reads {ENV_CONNECT_URL})")
         s.add_argument("--preview-input", type=int, default=0,
                        help="input rows to print, like show(n) (the original job printed 5)")
@@ -64,6 +67,11 @@ def main(argv: list[str] | None = None) -> int:
                              preview_output=args.preview_output)
     conf = s3a_conf(cfg.endpoint) if cfg.endpoint else {}
     spark = get_session(args.remote, app_name=f"publish-{cfg.run_date}", conf=conf)
+    if getattr(args, "explain", False):
+        dates = date_range(args.start, args.end) if args.cmd == "backfill" else None
+        date_col = args.date_col if args.cmd == "backfill" else None
+        plan_job(spark, cfg, date_col, dates).explain("formatted")
+        return 0
     if args.cmd == "run":
         run_with_retries(spark, cfg, retries=args.retries, delay=args.retry_delay)
         return 0

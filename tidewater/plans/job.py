@@ -242,6 +242,27 @@ def run_job(
     return result
 
 
+def plan_job(spark: SparkSession, cfg: JobConfig, date_col: str | None = None,
+             dates: list[str] | None = None) -> DataFrame:
+    """The DataFrame a run (or, with ``date_col`` and ``dates``, a sliced
+    backfill) would write, for ``explain()``; nothing is executed beyond what
+    resolving the schema needs (the inference pass when no schema is declared)."""
+    raw = scan_csv(spark, cfg.input_path, schema=cfg.schema, strict=cfg.strict,
+                   recursive=cfg.recursive, options=cfg.csv_options)
+    if date_col is None:
+        out, _, _ = build_output(raw, cfg.columns, "plan",
+                                 rebalance=[] if cfg.rebalance else None)
+        return out
+    from .runs import _date_bounds
+    from ..functions.columns import yyyymmdd
+    dated = (raw.filter(_date_bounds(raw, date_col, dates))
+                .withColumn(RUN_DATE, yyyymmdd(date_col)).filter(F.col(RUN_DATE).isin(dates)))
+    out, _, _ = build_output(dated, cfg.columns, "plan", carry=[RUN_DATE],
+                             rebalance=[RUN_DATE] if cfg.rebalance else None,
+                             observe_values=RUN_DATE)
+    return out
+
+
 def run_with_retries(spark: SparkSession, cfg: JobConfig, *, retries: int = 2,
                      delay: float = 10.0, log: Callable[[str], None] | None = print,
                      **kwargs) -> RunResult:
