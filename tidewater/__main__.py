@@ -77,8 +77,9 @@ def main(argv: list[str] | None = None) -> int:
         return 0
     if args.cmd == "backfill":
         rows = run_range(spark, replace(cfg), date_range(args.start, args.end),
-                         date_col=args.date_col).collect()
+                         date_col=args.date_col).collect()  # bounded: one row per date
     else:
+        # bounded: one row per run date
         rows = run_status(spark, cfg.audit_path).orderBy("run_date").collect()
     for r in rows:
         print(f"{r['run_date']} {r['status']} written={r['written_rows']}")

@@ -165,7 +165,7 @@ def read_published(spark: SparkSession, runs_path: str, audit_path: str,
         runs = read_runs(spark, runs_path, schema)
         small, _ = broadcast_if_small(published)
         return runs.join(small, [RUN_DATE, ATTEMPT], "left_semi")
-    pairs = [(r[RUN_DATE], r[ATTEMPT]) for r in published.collect()]
+    pairs = [(r[RUN_DATE], r[ATTEMPT]) for r in published.collect()]  # bounded: one per date
     if not pairs:
         if schema is None:
             return spark.createDataFrame([], f"{RUN_DATE} STRING, {ATTEMPT} STRING")
@@ -184,7 +184,7 @@ def read_run(spark: SparkSession, runs_path: str, audit_path: str, run_date: str
     (latest verified) one.  Only that attempt's folder is listed."""
     if attempt is None:
         pairs = (latest_verified(spark, audit_path)
-                 .filter(F.col(RUN_DATE) == run_date).select(ATTEMPT).collect())
+                 .filter(F.col(RUN_DATE) == run_date).select(ATTEMPT).collect())  # bounded: 1 row
         if not pairs:
             raise LookupError(f"no verified run for {run_date}")
         attempt = pairs[0][ATTEMPT]

@@ -150,7 +150,7 @@ def run_range(
         from .catalog import add_attempts
         # one row per requested date: bounded by the request
         written_dates = [r[RUN_DATE] for r in result.filter(F.col("written_rows") > 0)
-                         .select(RUN_DATE).collect()]
+                         .select(RUN_DATE).collect()]  # bounded: one row per requested date
         add_attempts(spark, cfg, written_dates, attempt)
     return result
 

@@ -47,6 +47,7 @@ def _guard_checkpoint(spark: SparkSession, target: str, checkpoint: str) -> None
     # no read of a missing path is ever attempted.
     spark.createDataFrame([("",)], "value STRING").coalesce(1) \
         .write.mode("overwrite").text(f"{marker}_sentinel")
+    # bounded: the marker files hold one line each
     seen = {r["value"] for r in spark.read.text(f"{marker}*").collect()} - {""}
     if seen and seen != {checkpoint}:
         raise CheckpointMismatchError(
