@@ -62,7 +62,8 @@ def require_non_empty(metrics: RunMetrics, where: str = "") -> RunMetrics:
     """Raise unless the run is VERIFIED (an empty run fails, as in the original job)."""
     status = metrics.status
     if status == STATUS_EMPTY:
-        raise EmptyRunError(f"Output is empty - check input data{(' at ' + where) if where else ''}")
+        place = f" at {where}" if where else ""
+        raise EmptyRunError(f"Output is empty - check input data{place}")
     if status == STATUS_MISMATCH:
         raise RunCheckError(
             f"produced {metrics.output_rows} rows but {metrics.written_rows} were written"

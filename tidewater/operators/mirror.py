@@ -50,7 +50,8 @@ def check_keys(src: DataFrame, tgt: DataFrame, keys: Sequence[str] | str) -> Non
                .collect())
     if bad:
         row = bad[0].asDict()
-        problem = "null key" if any(row[k] is None for k in keys) else f"key repeated {row['n']} times"
+        null_key = any(row[k] is None for k in keys)
+        problem = "null key" if null_key else f"key repeated {row['n']} times"
         raise MirrorKeyError(f"{row['side']}: {problem}: {[row[k] for k in keys]}")
 
 

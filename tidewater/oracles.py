@@ -133,7 +133,8 @@ ORACLE_SQL: dict[str, str] = {
     "ingest_stream": _KEPT,
     "csv_scan_declared": f"""
         SELECT *, CAST(NULL AS VARCHAR) AS _corrupt_record FROM ({_DERIVED}) d""",
-    "overwrite_layout_run": f"SELECT '20240101' AS run_date, price, seller, status FROM ({_KEPT}) k",
+    "overwrite_layout_run": f"""
+        SELECT '20240101' AS run_date, price, seller, status FROM ({_KEPT}) k""",
     "run_audit": f"""
         SELECT '20240101' AS run_date, 'VERIFIED' AS status, input_rows,
                output_rows, output_rows AS written_rows FROM ({_NAN_COUNTS}) c

@@ -22,7 +22,8 @@ from pyspark.sql.types import StringType, StructField, StructType
 
 RUN_DATE = "run_date"
 ATTEMPT = "attempt"
-PARTITION_FIELDS = [StructField(RUN_DATE, StringType(), True), StructField(ATTEMPT, StringType(), True)]
+PARTITION_FIELDS = [StructField(RUN_DATE, StringType(), True),
+                    StructField(ATTEMPT, StringType(), True)]
 
 
 def new_attempt_id(now: datetime | None = None) -> str:
