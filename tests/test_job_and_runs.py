@@ -357,3 +357,20 @@ def test_concurrent_runs_do_not_interfere(spark, tmp_dir):
                 for r in run_status(spark, cfg.audit_path).collect())
     assert st == [(d, "VERIFIED", 1) for d in dates]
     assert read_published(spark, cfg.output_base, cfg.audit_path).count() == 3
+
+
+def test_compact_run(spark, tmp_dir):
+    import glob
+    from tidewater.plans.job import compact_run
+    files = {f"p{i}.csv": "price,seller,status\n" + "".join(f"{i}.{j},s{j},ok\n" for j in range(5))
+             for i in range(6)}
+    src = write_files(os.path.join(tmp_dir, "raw"), files)
+    cfg = cfg_for(tmp_dir, src, run_date="20240125")
+    first = run_job(spark, cfg, log=None)
+    before = values(read_published(spark, cfg.output_base, cfg.audit_path))
+    res = compact_run(spark, cfg, log=None)
+    assert res.status == "VERIFIED" and res.written_rows == first.written_rows == 30
+    assert values(read_published(spark, cfg.output_base, cfg.audit_path)) == before
+    n_old = len(glob.glob(os.path.join(first.path, "*.parquet")))
+    n_new = len(glob.glob(os.path.join(res.path, "*.parquet")))
+    assert n_new <= n_old

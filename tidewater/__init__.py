@@ -20,7 +20,14 @@ from .plans.audit import (
     run_metrics,
     run_status,
 )
-from .plans.job import RunResult, publish_frame, run_job, run_job_multipass, run_with_retries
+from .plans.job import (
+    RunResult,
+    compact_run,
+    publish_frame,
+    run_job,
+    run_job_multipass,
+    run_with_retries,
+)
 from .plans.runs import register_runs, run_range
 from .session import get_session, scratch_path, shared_root
 from .sources.csv import scan_csv
@@ -29,7 +36,7 @@ from .sources.parquet import read_attempt, read_runs, write_attempt, write_run
 from .streaming.ingest import ingest_stream, read_ingested
 
 __all__ = [
-    "BATCH_CONF", "INTERACTIVE_CONF", "JobConfig", "RunMetrics", "RunResult", "check_keys",
+    "BATCH_CONF", "INTERACTIVE_CONF", "compact_run", "JobConfig", "RunMetrics", "RunResult", "check_keys",
     "date_range", "drop_all_null", "get_session", "ingest_stream", "latest_verified",
     "mirror_apply", "mirror_diff", "parse_job_logs", "preview", "project", "read_attempt",
     "read_audit", "read_ingested", "read_published", "read_run_logs", "read_runs",

@@ -331,6 +331,21 @@ def publish_frame(
     return result
 
 
+def compact_run(spark: SparkSession, cfg: JobConfig, run_date: str | None = None,
+                log: Callable[[str], None] | None = print) -> RunResult:
+    """Rewrite the published attempt of a date as a new, rebalanced attempt
+    (files of the advisory size instead of one per input split).  It is
+    verified and audited like any run, so readers move to it; the old folder
+    stays until removed with filesystem tools."""
+    from dataclasses import replace
+
+    from .audit import read_run
+
+    run_date = run_date or cfg.run_date
+    current = read_run(spark, cfg.output_base, cfg.audit_path, run_date).drop(RUN_DATE, ATTEMPT)
+    return publish_frame(spark, current, replace(cfg, run_date=run_date, rebalance=True), log=log)
+
+
 def run_job_multipass(spark: SparkSession, cfg: JobConfig,
                       log: Callable[[str], None] | None = print) -> int:
     """The original job's shape, for comparison: inferred read, count, schema,
