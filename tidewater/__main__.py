@@ -58,6 +58,7 @@ def _parser() -> argparse.ArgumentParser:
 
 
 def main(argv: list[str] | None = None) -> int:
+    """Run the command line; the return value is the exit status."""
     args = _parser().parse_args(argv)
     cfg = JobConfig.from_env(schema=args.schema, strict=args.strict, layout=args.layout,
                              check_drift=args.check_drift, rebalance=args.rebalance,

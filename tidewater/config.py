@@ -132,6 +132,7 @@ class JobConfig:
 
     @classmethod
     def from_env(cls, env: Mapping[str, str] | None = None, **overrides) -> "JobConfig":
+        """Parameters from the environment variables above; ``overrides`` win."""
         env = os.environ if env is None else env
         values = dict(
             bucket=env.get(ENV_BUCKET, DEFAULT_BUCKET),
@@ -145,6 +146,7 @@ class JobConfig:
         return cls(**values)
 
     def with_date(self, run_date: str) -> "JobConfig":
+        """The same configuration for another run date."""
         return replace(self, run_date=validate_run_date(run_date))
 
     # -- paths ------------------------------------------------------------

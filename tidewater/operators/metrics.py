@@ -34,6 +34,8 @@ def observe_rows(df: DataFrame, name: str, *extra) -> tuple[DataFrame, Observati
 
 @dataclass
 class RunMetrics:
+    """Counts of one run; ``status`` classifies them (see :func:`classify`)."""
+
     input_rows: int | None
     output_rows: int | None
     written_rows: int

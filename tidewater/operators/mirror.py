@@ -28,7 +28,7 @@ _SRC, _TGT = "__src_present", "__tgt_present"
 
 
 class MirrorKeyError(ValueError):
-    pass
+    """A key column is null or repeated on one side of a mirror."""
 
 
 def _keys(keys: Sequence[str] | str) -> list[str]:

@@ -27,6 +27,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def lineitem_job_rows(spark: SparkSession, sf_dir: str, nan_prices: bool = False) -> DataFrame:
+    """The job's input rows derived from ``lineitem`` by the rules above."""
     li = table(spark, sf_dir, "lineitem")
     key = F.col("l_orderkey")
     price = F.when(key % 2 == 0, F.lit(None).cast("double")).otherwise(F.col("l_extendedprice"))

@@ -43,6 +43,8 @@ from .audit import audit_row, latest_verified, record_run, verify_and_record
 
 @dataclass
 class RunResult:
+    """Outcome of one attempt: status, counts, where it was written, timing, log lines."""
+
     run_date: str
     attempt: str
     status: str

@@ -17,7 +17,7 @@ from .config import BATCH_CONF, ENV_CONNECT_URL, INTERACTIVE_CONF
 
 
 class SessionError(RuntimeError):
-    pass
+    """The session cannot be opened or is not of the expected kind."""
 
 
 def get_session(

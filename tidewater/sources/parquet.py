@@ -33,6 +33,7 @@ def new_attempt_id(now: datetime | None = None) -> str:
 
 
 def attempt_path(base: str, run_date: str, attempt: str) -> str:
+    """Folder of one attempt: ``{base}/run_date=D/attempt=A``."""
     return f"{base.rstrip('/')}/{RUN_DATE}={run_date}/{ATTEMPT}={attempt}"
 
 
@@ -153,6 +154,7 @@ def count_attempt_by_date(spark: SparkSession, base: str, attempt: str,
 
 
 def runs_schema(data_schema: StructType) -> StructType:
+    """Data columns plus ``run_date`` and ``attempt`` as text."""
     fields = [f for f in data_schema.fields if f.name not in (RUN_DATE, ATTEMPT)]
     return StructType(fields + PARTITION_FIELDS)
 

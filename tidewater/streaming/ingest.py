@@ -30,6 +30,7 @@ STREAM = "stream"
 
 
 def stream_path(out_base: str, name: str) -> str:
+    """Output folder of one named stream."""
     return f"{out_base.rstrip('/')}/{STREAM}={name}"
 
 
