@@ -95,3 +95,25 @@ def test_get_session_env_remote_needs_url():
     from tidewater.session import get_session
     with pytest.raises(SessionError):
         get_session("env", env={})
+
+
+def test_functions_exist_in_connect_client():
+    """Every ``F.<name>`` the library calls also exists in the Spark Connect
+    client, and so do the DataFrame methods it relies on.  Checked on the
+    installed client's source (importing it needs grpc; no server is used)."""
+    import pyspark
+    connect = pathlib.Path(pyspark.__file__).parent / "sql" / "connect"
+    defined = set()
+    for f in (connect / "functions").glob("*.py"):
+        defined |= set(re.findall(r"^def ([a-z_]+)\(", f.read_text(), re.M))
+    used = set()
+    for p in LIB.rglob("*.py"):
+        used |= set(re.findall(r"\bF\.([a-z_]+)\(", p.read_text()))
+    assert used and not sorted(used - defined), sorted(used - defined)
+    source = (connect / "dataframe.py").read_text()
+    df_methods = set(re.findall(r"^    def ([A-Za-z_]+)\(", source, re.M))
+    df_methods |= set(re.findall(r"^    ([A-Za-z_]+) = ", source, re.M))  # aliases
+    needed = {"observe", "hint", "dropna", "withColumns", "unionByName", "join", "groupBy",
+              "select", "filter", "limit", "orderBy", "drop", "fillna",
+              "createOrReplaceTempView", "exceptAll"}
+    assert not sorted(needed - df_methods), sorted(needed - df_methods)
