@@ -374,3 +374,20 @@ def test_compact_run(spark, tmp_dir):
     n_old = len(glob.glob(os.path.join(first.path, "*.parquet")))
     n_new = len(glob.glob(os.path.join(res.path, "*.parquet")))
     assert n_new <= n_old
+
+
+def test_catalog_registered_before_any_run(spark, tmp_dir):
+    from pyspark.sql.types import StructType
+    from tidewater.plans.catalog import register_catalog
+    schema = StructType.fromDDL("price DOUBLE, seller STRING, status STRING")
+    a = write_files(os.path.join(tmp_dir, "a"), {"a.csv": "price,seller,status\n1.0,a,ok\n"})
+    cfg = cfg_for(tmp_dir, a, run_date="20240101", catalog_table="tw_early", schema=schema)
+    names = register_catalog(spark, cfg, schema)
+    assert spark.sql(f"SELECT count(*) AS n FROM {names['published']}").first()["n"] == 0
+    run_job(spark, cfg, log=None)
+    got = [tuple(r) for r in spark.sql(
+        f"SELECT run_date, price, seller, status FROM {names['published']}").collect()]
+    assert got == [("20240101", 1.0, "a", "ok")]
+    spark.sql(f"DROP VIEW IF EXISTS {names['published']}")
+    for t in (names["runs"], names["audit"]):
+        spark.sql(f"DROP TABLE IF EXISTS {t}")

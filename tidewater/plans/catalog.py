@@ -53,7 +53,11 @@ def register_catalog(spark: SparkSession, cfg: JobConfig, schema: StructType,
     spark.sql(f"""CREATE TABLE IF NOT EXISTS {runs} ({_columns(schema)},
                   {RUN_DATE} STRING, {ATTEMPT} STRING) USING parquet
                   PARTITIONED BY ({RUN_DATE}, {ATTEMPT}) LOCATION {_literal(cfg.output_base)}""")
-    spark.sql(f"ALTER TABLE {runs} RECOVER PARTITIONS")
+    try:
+        spark.sql(f"ALTER TABLE {runs} RECOVER PARTITIONS")
+    except Exception as exc:  # no run written yet: nothing to recover
+        if "does not exist" not in str(exc) and "PATH_NOT_FOUND" not in str(exc):
+            raise
     spark.sql(f"""CREATE TABLE IF NOT EXISTS {audit} ({AUDIT_DDL}) USING parquet
                   OPTIONS (recursiveFileLookup 'true') LOCATION {_literal(cfg.audit_path)}""")
     spark.sql(f"REFRESH TABLE {audit}")
