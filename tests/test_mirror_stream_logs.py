@@ -177,3 +177,13 @@ def test_replayed_batch_replaces_itself(spark, tmp_dir):
     got = sorted((r["batch_id"], r["price"]) for r in read_ingested(spark, tmp_dir, "t", SCHEMA)
                  .collect())
     assert got == [(0, 1.0), (0, 2.0), (1, 3.0)]
+
+
+def test_mirror_composite_keys(spark):
+    src = spark.createDataFrame([(1, "x", 10), (1, "y", 20), (2, "x", None)], "a INT, b STRING, v INT")
+    tgt = spark.createDataFrame([(1, "x", 10), (1, "y", 21), (3, "z", 5)], "a INT, b STRING, v INT")
+    got = {(r["a"], r["b"]): r["change"] for r in mirror_diff(src, tgt, ["a", "b"]).collect()}
+    assert got == {(1, "x"): "same", (1, "y"): "update", (2, "x"): "insert", (3, "z"): "delete"}
+    dup = spark.createDataFrame([(1, "x", 1), (1, "x", 2)], "a INT, b STRING, v INT")
+    with pytest.raises(MirrorKeyError):
+        mirror_diff(dup, tgt, ["a", "b"])
