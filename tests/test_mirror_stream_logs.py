@@ -187,3 +187,14 @@ def test_mirror_composite_keys(spark):
     dup = spark.createDataFrame([(1, "x", 1), (1, "x", 2)], "a INT, b STRING, v INT")
     with pytest.raises(MirrorKeyError):
         mirror_diff(dup, tgt, ["a", "b"])
+
+
+def test_stream_with_no_files_yet(spark, tmp_dir):
+    raw = os.path.join(tmp_dir, "raw")
+    os.makedirs(raw)
+    out, ckpt = os.path.join(tmp_dir, "out"), os.path.join(tmp_dir, "ckpt")
+    ingest_stream(spark, raw, out, ckpt, SCHEMA, name="empty")
+    assert read_ingested(spark, out, "empty", SCHEMA).count() == 0
+    write_files(raw, {"a.csv": "price,seller,status\n1,a,ok\n"})
+    ingest_stream(spark, raw, out, ckpt, SCHEMA, name="empty")
+    assert read_ingested(spark, out, "empty", SCHEMA).count() == 1
