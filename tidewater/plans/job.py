@@ -175,6 +175,8 @@ def run_job(
 
     emit(f"Job run_date={cfg.run_date} attempt={attempt}")
     emit(f"Input  : {cfg.input_path}")
+    target = cfg.output_path if cfg.layout == LAYOUT_OVERWRITE else cfg.attempt_path(attempt)
+    emit(f"Output : {target}")
     input_rows = output_rows = written = bad = None
     path = None
     error = None
