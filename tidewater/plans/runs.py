@@ -148,7 +148,7 @@ def run_range(
     result = read_attempt_audit(spark, cfg.audit_path, attempt)
     if cfg.catalog_table:
         from .catalog import add_attempts
-        # one row per requested date: bounded by the request
+        # the read-back is the authority for which folders hold rows
         written_dates = [r[RUN_DATE] for r in result.filter(F.col("written_rows") > 0)
                          .select(RUN_DATE).collect()]  # bounded: one row per requested date
         add_attempts(spark, cfg, written_dates, attempt)
