@@ -156,6 +156,9 @@ ORACLE_SQL: dict[str, str] = {
                output_rows AS written_rows FROM ({_COUNTS}) c
         UNION ALL
         SELECT '20240102', 'VERIFIED', input_rows, output_rows, output_rows FROM ({_COUNTS}) c""",
+    "quarantined_rows": """
+        SELECT CAST(l_orderkey AS INTEGER) AS order_key, l_linenumber AS line_number
+        FROM lineitem WHERE l_orderkey % 11 = 0 AND l_orderkey % 2 <> 0""",
     "mirror_changes": f"""
         SELECT change, count(*) AS rows FROM ({_MIRROR_DIFF}) m GROUP BY change""",
     "mirror_publish": f"""

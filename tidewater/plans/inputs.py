@@ -10,6 +10,8 @@ Rules (also used by the SQL oracles):
   seller = l_suppkey,       null when l_orderkey % 3 = 0
   status = l_linestatus,    null when l_orderkey % 5 = 0
   NaN variant: price is NaN when it would not be null and l_orderkey % 7 = 0
+  unparsable variant: price is the text "n/a" when it would not be null and
+  l_orderkey % 11 = 0
 """
 
 from __future__ import annotations
@@ -64,6 +66,18 @@ def lineitem_csv(spark: SparkSession, sf_dir: str, nan_prices: bool = False) ->
                    lambda p: write_csv_input(lineitem_job_rows(spark, sf_dir, nan_prices), p))
 
 
+def unparsable_price_csv(spark: SparkSession, sf_dir: str) -> str:
+    """The ``lineitem`` input with ``price`` written as the text ``n/a`` where
+    it would hold a value and l_orderkey % 11 = 0: under a declared DOUBLE
+    those rows do not parse and go to quarantine."""
+    def build(p):
+        rows = lineitem_job_rows(spark, sf_dir)
+        bad = (F.col("order_key") % 11 == 0) & F.col("price").isNotNull()
+        write_csv_input(rows.withColumn(
+            "price", F.when(bad, F.lit("n/a")).otherwise(F.col("price").cast("string"))), p)
+    return _cached(spark, ("lineitem-unparsable", sf_dir), build)
+
+
 def blank_lineitem_csv(spark: SparkSession, sf_dir: str) -> str:
     """Every ``lineitem`` row with price, seller and status all empty (the other
     columns kept).  A run over it reads the whole table and is EMPTY."""

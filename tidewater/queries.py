@@ -259,6 +259,16 @@ def q_backfill_parity(spark, sf_dir):
         RUN_DATE, "status", "input_rows", "output_rows", "written_rows")
 
 
+def q_quarantined_rows(spark, sf_dir):
+    """A1 quarantine: rows that do not parse under the declared schema are
+    kept by the run (price null) and also written with their raw text."""
+    cfg = workspace(spark, "quarantine", inputs.unparsable_price_csv(spark, sf_dir),
+                    schema=LINEITEM_CSV_DDL)
+    result = run_job(spark, cfg, log=_quiet)
+    path = f"{cfg.quarantine_path}/{RUN_DATE}={cfg.run_date}/attempt={result.attempt}"
+    return spark.read.parquet(path).select("order_key", "line_number")
+
+
 def q_mirror_changes(spark, sf_dir):
     """B3 summary: rows per kind of change."""
     src, tgt = mirror_sides(spark, sf_dir)
@@ -295,6 +305,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "run_audit": q_run_audit,
     "backfill_published": q_backfill_published,
     "backfill_parity": q_backfill_parity,
+    "quarantined_rows": q_quarantined_rows,
     "mirror_changes": q_mirror_changes,
     "mirror_publish": q_mirror_publish,
 }
