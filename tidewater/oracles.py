@@ -151,6 +151,12 @@ ORACLE_SQL: dict[str, str] = {
         FROM events
         WHERE user_id IS NOT NULL OR event_type IS NOT NULL
            OR NOT (value IS NULL OR isnan(value))""",
+    "backfill_rebalanced": """
+        SELECT strftime(ts, '%Y%m%d') AS run_date, CAST(user_id AS INTEGER) AS user_id,
+               event_type, value
+        FROM events
+        WHERE user_id IS NOT NULL OR event_type IS NOT NULL
+           OR NOT (value IS NULL OR isnan(value))""",
     "backfill_parity": f"""
         SELECT '20240101' AS run_date, 'VERIFIED' AS status, input_rows, output_rows,
                output_rows AS written_rows FROM ({_COUNTS}) c
@@ -159,6 +165,10 @@ ORACLE_SQL: dict[str, str] = {
     "quarantined_rows": """
         SELECT CAST(l_orderkey AS INTEGER) AS order_key, l_linenumber AS line_number
         FROM lineitem WHERE l_orderkey % 11 = 0 AND l_orderkey % 2 <> 0""",
+    "mirror_copy": f"""
+        SELECT c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment
+        FROM ({_MIRROR_DIFF}) m""",
+    "compacted_run": _KEPT,
     "mirror_changes": f"""
         SELECT change, count(*) AS rows FROM ({_MIRROR_DIFF}) m GROUP BY change""",
     "mirror_publish": f"""

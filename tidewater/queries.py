@@ -22,7 +22,7 @@ from .operators.mirror import change_counts, mirror_apply, mirror_diff
 from .operators.transforms import drop_all_null, preview, project, schema_report
 from .plans import inputs
 from .plans.audit import read_audit, read_published, run_status
-from .plans.job import publish_frame, run_job
+from .plans.job import compact_run, publish_frame, run_job
 from .plans.runs import register_runs, run_range
 from .session import scratch_path
 from .sources.csv import scan_csv
@@ -252,6 +252,15 @@ def q_backfill_published(spark, sf_dir):
     return read_published(spark, cfg.output_base, cfg.audit_path).select(RUN_DATE, *EVENT_COLS)
 
 
+def q_backfill_rebalanced(spark, sf_dir):
+    """B1 with ``rebalance=True``: the same published rows, written through an
+    AQE rebalance by run date."""
+    csv = inputs.events_csv(spark, sf_dir)
+    cfg = workspace(spark, "backfill-rebalanced", csv, columns=tuple(EVENT_COLS), rebalance=True)
+    run_range(spark, cfg, event_dates(spark, sf_dir), date_col="ts", log=_quiet)
+    return read_published(spark, cfg.output_base, cfg.audit_path).select(RUN_DATE, *EVENT_COLS)
+
+
 def q_backfill_parity(spark, sf_dir):
     """B1 parity mode: every date gets the whole input, one job per date."""
     cfg = workspace(spark, "parity", inputs.lineitem_csv(spark, sf_dir))
@@ -269,6 +278,19 @@ def q_quarantined_rows(spark, sf_dir):
     return spark.read.parquet(path).select("order_key", "line_number")
 
 
+def q_mirror_copy(spark, sf_dir):
+    """B3 without delete: target-only rows are kept."""
+    src, tgt = mirror_sides(spark, sf_dir)
+    return mirror_apply(src, tgt, ["c_custkey"], delete=False)
+
+
+def q_compacted_run(spark, sf_dir):
+    """A7 compaction: the published attempt rewritten as a new one."""
+    cfg, _ = _published_run(spark, sf_dir, "compact")
+    compact_run(spark, cfg, log=_quiet)
+    return read_published(spark, cfg.output_base, cfg.audit_path).select(*COLS)
+
+
 def q_mirror_changes(spark, sf_dir):
     """B3 summary: rows per kind of change."""
     src, tgt = mirror_sides(spark, sf_dir)
@@ -305,7 +327,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "run_audit": q_run_audit,
     "backfill_published": q_backfill_published,
     "backfill_parity": q_backfill_parity,
+    "backfill_rebalanced": q_backfill_rebalanced,
     "quarantined_rows": q_quarantined_rows,
     "mirror_changes": q_mirror_changes,
+    "mirror_copy": q_mirror_copy,
+    "compacted_run": q_compacted_run,
     "mirror_publish": q_mirror_publish,
 }
