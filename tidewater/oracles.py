@@ -169,6 +169,15 @@ ORACLE_SQL: dict[str, str] = {
         SELECT c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment
         FROM ({_MIRROR_DIFF}) m""",
     "compacted_run": _KEPT,
+    "runs_catalog_sql": f"""
+        SELECT '20240101' AS run_date, count(*) AS n_rows, count(price) AS n_price,
+               count(seller) AS n_seller, count(status) AS n_status
+        FROM ({_KEPT}) k
+        UNION ALL
+        SELECT '20240102', count(*), count(price), count(seller), count(status)
+        FROM ({_KEPT}) k""",
+    "published_semi_join": f"SELECT '20240102' AS run_date, price, seller, status FROM ({_KEPT}) k",
+    "strict_scan": _DERIVED,
     "mirror_changes": f"""
         SELECT change, count(*) AS rows FROM ({_MIRROR_DIFF}) m GROUP BY change""",
     "mirror_publish": f"""

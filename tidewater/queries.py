@@ -10,6 +10,7 @@ the tables (DuckDB dialect, tables registered as views).
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from dataclasses import replace
 from datetime import timedelta
@@ -22,6 +23,7 @@ from .operators.mirror import change_counts, mirror_apply, mirror_diff
 from .operators.transforms import drop_all_null, preview, project, schema_report
 from .plans import inputs
 from .plans.audit import read_audit, read_published, run_status
+from .plans.catalog import register_catalog
 from .plans.job import compact_run, publish_frame, run_job
 from .plans.runs import register_runs, run_range
 from .session import scratch_path
@@ -80,6 +82,14 @@ def q_csv_to_parquet_run(spark, sf_dir):
     return read_published(spark, cfg.output_base, cfg.audit_path).select(*COLS)
 
 
+def q_published_semi_join(spark, sf_dir):
+    """A8/B4 through the lazy reader: a left-semi join with the size-checked,
+    broadcast audit side and dynamic partition pruning."""
+    cfg = _two_dates(spark, sf_dir, "semi")
+    return (read_published(spark, cfg.output_base, cfg.audit_path, exact_paths=False)
+            .filter(F.col(RUN_DATE) == "20240102").select(RUN_DATE, *COLS))
+
+
 def q_run_metrics(spark, sf_dir):
     cfg, result = _published_run(spark, sf_dir, "metrics")
     return (read_audit(spark, cfg.audit_path)
@@ -113,6 +123,18 @@ def q_runs_union(spark, sf_dir):
                  F.count("status").alias("n_status")))
 
 
+def q_runs_catalog_sql(spark, sf_dir):
+    """B6 with catalog tables: SQL over the published view."""
+    cfg = replace(_two_dates(spark, sf_dir, "catalog"),
+                  catalog_table=f"runs_{uuid.uuid4().hex[:8]}")
+    schema = scan_csv(spark, cfg.input_path).select(*COLS).schema
+    names = register_catalog(spark, cfg, schema)
+    return spark.sql(f"""
+        SELECT run_date, count(*) AS n_rows, count(price) AS n_price,
+               count(seller) AS n_seller, count(status) AS n_status
+        FROM {names['published']} GROUP BY run_date""")
+
+
 def q_runs_sql(spark, sf_dir):
     cfg = _two_dates(spark, sf_dir, "sql")
     views = register_runs(spark, cfg, name="published_runs")
@@ -225,6 +247,12 @@ def q_job_log_metrics(spark, sf_dir):
 
 # -- further modes of the same operators -----------------------------------------
 
+def q_strict_scan(spark, sf_dir):
+    """A1 strict mode: every file's header is checked against the schema."""
+    return scan_csv(spark, inputs.lineitem_csv(spark, sf_dir), schema=LINEITEM_CSV_DDL,
+                    strict=True, quarantine=False)
+
+
 def q_csv_scan_declared(spark, sf_dir):
     """A1 with a declared schema: no inference pass, bad rows quarantined."""
     return scan_csv(spark, inputs.lineitem_csv(spark, sf_dir), schema=LINEITEM_CSV_DDL)
@@ -322,6 +350,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "ingest_stream": q_ingest_stream,
     "job_log_metrics": q_job_log_metrics,
     "runs_sql": q_runs_sql,
+    "runs_catalog_sql": q_runs_catalog_sql,
+    "published_semi_join": q_published_semi_join,
+    "strict_scan": q_strict_scan,
     "csv_scan_declared": q_csv_scan_declared,
     "overwrite_layout_run": q_overwrite_layout_run,
     "run_audit": q_run_audit,
