@@ -93,6 +93,12 @@ ORACLE_SQL: dict[str, str] = {
             (6, 'status', 'string', true),
             (7, 'return_flag', 'string', true)
         ) AS t(position, name, type, nullable)""",
+    "published_schema": """
+        SELECT * FROM (VALUES
+            (1, 'price', 'double', true),
+            (2, 'seller', 'int', true),
+            (3, 'status', 'string', true)
+        ) AS t(position, name, type, nullable)""",
     "preview_rows": f"""
         SELECT price, seller, status FROM ({_KEPT}) k
         ORDER BY price ASC NULLS FIRST, seller ASC NULLS FIRST, status ASC NULLS FIRST

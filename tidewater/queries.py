@@ -90,6 +90,13 @@ def q_published_semi_join(spark, sf_dir):
             .filter(F.col(RUN_DATE) == "20240102").select(RUN_DATE, *COLS))
 
 
+def q_published_schema(spark, sf_dir):
+    """A5 on the output: the published Parquet keeps the inferred types."""
+    cfg, _ = _published_run(spark, sf_dir, "schema")
+    return schema_report(spark, read_published(spark, cfg.output_base, cfg.audit_path)
+                         .select(*COLS))
+
+
 def q_run_metrics(spark, sf_dir):
     cfg, result = _published_run(spark, sf_dir, "metrics")
     return (read_audit(spark, cfg.audit_path)
@@ -340,6 +347,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "drop_all_null_nan": q_drop_all_null_nan,
     "run_metrics": q_run_metrics,
     "schema_report": q_schema_report,
+    "published_schema": q_published_schema,
     "preview_rows": q_preview_rows,
     "runs_union": q_runs_union,
     "latest_verified": q_latest_verified,
