@@ -114,6 +114,13 @@ ORACLE_SQL: dict[str, str] = {
         SELECT '20240101' AS run_date, a.* FROM ({_RUN_AGG} FROM ({_KEPT}) k) a
         UNION ALL
         SELECT '20240102' AS run_date, a.* FROM ({_RUN_AGG} FROM ({_KEPT}) k) a""",
+    "runs_all_attempts": f"""
+        SELECT '20240101' AS run_date,
+               (SELECT count(*) FROM ({_NAN_KEPT}) a) + (SELECT count(*) FROM ({_KEPT}) b)
+                   AS n_rows,
+               CAST(2 AS BIGINT) AS n_attempts_with_rows
+        UNION ALL
+        SELECT '20240102', (SELECT count(*) FROM ({_KEPT}) c), CAST(1 AS BIGINT)""",
     "latest_verified": f"SELECT '20240101' AS run_date, price, seller, status FROM ({_KEPT}) k",
     "run_status": f"""
         SELECT '20240101' AS run_date, 'EMPTY' AS status, input_rows,

@@ -173,6 +173,17 @@ def _attempt_history(spark, sf_dir, name):
     return base
 
 
+def q_runs_all_attempts(spark, sf_dir):
+    """A11 over an attempt history: every attempt's rows, superseded ones
+    included, counted per date, with the number of attempts that hold rows
+    (the EMPTY attempt holds none)."""
+    cfg = _attempt_history(spark, sf_dir, "all-attempts")
+    return (read_runs(spark, cfg.output_base)
+            .groupBy(RUN_DATE)
+            .agg(F.count(F.lit(1)).alias("n_rows"),
+                 F.countDistinct("attempt").alias("n_attempts_with_rows")))
+
+
 def q_latest_verified(spark, sf_dir):
     cfg = _attempt_history(spark, sf_dir, "latest")
     return (read_published(spark, cfg.output_base, cfg.audit_path)
@@ -351,6 +362,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "preview_rows": q_preview_rows,
     "runs_union": q_runs_union,
     "latest_verified": q_latest_verified,
+    "runs_all_attempts": q_runs_all_attempts,
     "daily_backfill": q_daily_backfill,
     "run_status": q_run_status,
     "mirror_diff": q_mirror_diff,
