@@ -391,3 +391,18 @@ def test_catalog_registered_before_any_run(spark, tmp_dir):
     spark.sql(f"DROP VIEW IF EXISTS {names['published']}")
     for t in (names["runs"], names["audit"]):
         spark.sql(f"DROP TABLE IF EXISTS {t}")
+
+
+def test_backfill_per_date_input_counts(spark, tmp_dir):
+    src = write_files(os.path.join(tmp_dir, "raw"), {"a.csv": (
+        "price,seller,status,day\n1.0,a,ok,2024-01-01\n,,,2024-01-01\n2.0,b,,2024-01-02\n"
+        "3.0,c,ok,2024-02-01\n")})
+    plain = {r["run_date"]: (r["input_rows"], r["output_rows"], r["written_rows"]) for r in
+             run_range(spark, cfg_for(os.path.join(tmp_dir, "p"), src),
+                       ["20240101", "20240102", "20240103"], "day", log=None).collect()}
+    assert plain == {"20240101": (None, 1, 1), "20240102": (None, 1, 1), "20240103": (None, 0, 0)}
+    cfg = replace(cfg_for(os.path.join(tmp_dir, "c"), src), per_date_input_counts=True)
+    counted = {r["run_date"]: (r["input_rows"], r["output_rows"], r["written_rows"]) for r in
+               run_range(spark, cfg, ["20240101", "20240102", "20240103"], "day",
+                         log=None).collect()}
+    assert counted == {"20240101": (2, 1, 1), "20240102": (1, 1, 1), "20240103": (0, 0, 0)}

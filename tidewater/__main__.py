@@ -54,6 +54,8 @@ def _parser() -> argparse.ArgumentParser:
             s.add_argument("start")
             s.add_argument("end")
             s.add_argument("--date-col", help="date/timestamp column that slices the input")
+            s.add_argument("--per-date-input-counts", action="store_true",
+                           help="count input rows per date in the same pass")
     return p
 
 
@@ -64,6 +66,7 @@ def main(argv: list[str] | None = None) -> int:
                              check_drift=args.check_drift, rebalance=args.rebalance,
                              max_records_per_file=args.max_records_per_file,
                              catalog_table=args.catalog_table,
+                             per_date_input_counts=getattr(args, "per_date_input_counts", False),
                              preview_input=args.preview_input,
                              preview_output=args.preview_output)
     conf = s3a_conf(cfg.endpoint) if cfg.endpoint else {}

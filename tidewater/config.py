@@ -116,6 +116,9 @@ class JobConfig:
     # writing (AQE rebalance; by run date in backfills, hot dates split).
     # Off: one file per input split, no shuffle.
     rebalance: bool = False
+    # Sliced backfills: count input rows per requested date in the same pass
+    # (one count_if per date on every row - worth it for short ranges).
+    per_date_input_counts: bool = False
     # Cap on rows per output file (no shuffle); None: no cap.
     max_records_per_file: int | None = None
     # Rows to print from the input and the output, like ``show(n)``; 0 = none.

@@ -69,7 +69,7 @@ def _now() -> datetime:
 
 
 def build_output(raw: DataFrame, columns, name: str, carry=(), rebalance=None,
-                 observe_values: str | None = None):
+                 observe_values: str | None = None, input_metrics=()):
     """Projection + empty-row filter with observed counts.
 
     Returns ``(output, input_observation, output_observation)``.  ``carry``
@@ -84,6 +84,7 @@ def build_output(raw: DataFrame, columns, name: str, carry=(), rebalance=None,
     a shuffle-map stage could be applied twice if that stage is re-run after
     an executor is lost.
 
+    ``input_metrics`` are further aggregate columns observed on the input.
     ``observe_values`` names a column whose distinct values are also observed
     on the output (``collect_set``) - only for columns with few values, such
     as the run date of a backfill, whose values are bounded by the request.
@@ -94,7 +95,7 @@ def build_output(raw: DataFrame, columns, name: str, carry=(), rebalance=None,
     selected = project(raw, cols)
     if rebalance is not None:
         selected = selected.hint("rebalance", *rebalance)
-    extra = []
+    extra = list(input_metrics)
     if has_corrupt:
         extra.append(F.count_if(F.col(CORRUPT_COLUMN).isNotNull()).alias("bad"))
     selected, in_obs = observe_rows(selected, f"in-{name}", *extra)

@@ -66,9 +66,10 @@ def run_range(
     FAILED for every date of the attempt and then raised.  In sliced mode the
     audit rows are per date: ``written_rows`` is the date's read-back count,
     ``output_rows`` equals it when the attempt's produced and written totals
-    agree (null on MISMATCH), and ``input_rows`` is null - rows are not
-    counted per date before the filter (that would need a second scan).  The
-    attempt's totals are in its log lines.
+    agree (null on MISMATCH), and ``input_rows`` is null unless
+    ``cfg.per_date_input_counts`` asks for it (one ``count_if`` per requested
+    date, observed in the same pass).  The attempt's totals are in its log
+    lines.
     """
     dates = _dates(dates)
     if date_col is None:
@@ -87,9 +88,11 @@ def run_range(
                        recursive=cfg.recursive, options=cfg.csv_options)
         dated = raw.filter(_date_bounds(raw, date_col, dates))
         dated = dated.withColumn(RUN_DATE, yyyymmdd(date_col)).filter(F.col(RUN_DATE).isin(dates))
+        per_date_in = ([F.count_if(F.col(RUN_DATE) == F.lit(d)).alias(f"in_{i}")
+                        for i, d in enumerate(dates)] if cfg.per_date_input_counts else [])
         out, in_obs, out_obs = build_output(dated, cfg.columns, attempt, carry=[RUN_DATE],
                                             rebalance=[RUN_DATE] if cfg.rebalance else None,
-                                            observe_values=RUN_DATE)
+                                            observe_values=RUN_DATE, input_metrics=per_date_in)
         write_attempt_by_date(out, cfg.output_base, attempt,
                               max_records_per_file=cfg.max_records_per_file)
         in_metrics, out_metrics = in_obs.get, out_obs.get
@@ -116,12 +119,19 @@ def run_range(
         # per date: what was produced equals what was written when the totals
         # agree; unknown otherwise
         produced = F.when(matched, F.col("written_rows"))
+        if cfg.per_date_input_counts:
+            # one literal per requested date: bounded by the request
+            pairs = [x for i, d in enumerate(dates)
+                     for x in (F.lit(d), F.lit(in_metrics[f"in_{i}"]))]
+            consumed = F.element_at(F.create_map(*pairs), F.col(RUN_DATE))
+        else:
+            consumed = F.lit(None)
         error = F.lit(None).cast("string")
     except Exception as exc:
         input_rows = output_rows = None
         per_date = dates_df.withColumn("written_rows", F.lit(None).cast("bigint"))
         status = F.lit(STATUS_FAILED)
-        produced = F.lit(None)
+        produced = consumed = F.lit(None)
         error = F.lit(f"{type(exc).__name__}: {exc}"[:4000])
         failure = exc
         if log:
@@ -131,7 +141,7 @@ def run_range(
         RUN_DATE,
         F.lit(attempt).alias(ATTEMPT),
         status.alias("status"),
-        F.lit(None).cast("bigint").alias("input_rows"),
+        consumed.cast("bigint").alias("input_rows"),
         produced.cast("bigint").alias("output_rows"),
         F.col("written_rows").cast("bigint").alias("written_rows"),
         F.lit(started).cast("timestamp").alias("started"),
