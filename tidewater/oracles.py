@@ -139,6 +139,21 @@ ORACLE_SQL: dict[str, str] = {
                CASE WHEN coalesce(c.n, 0) = 0 THEN 'EMPTY' ELSE 'VERIFIED' END AS status,
                coalesce(c.n, 0) AS written_rows
         FROM d LEFT JOIN ({_EVENTS_KEPT}) c ON c.run_date = d.run_date""",
+    "backfill_input_counts": f"""
+        WITH b AS (SELECT CAST(min(ts) AS DATE) - 1 AS lo, CAST(max(ts) AS DATE) + 1 AS hi
+                   FROM events),
+             d AS (SELECT strftime(g.day, '%Y%m%d') AS run_date
+                   FROM b, generate_series(CAST(b.lo AS TIMESTAMP), CAST(b.hi AS TIMESTAMP),
+                                           INTERVAL 1 DAY) AS g(day)),
+             i AS (SELECT strftime(ts, '%Y%m%d') AS run_date, count(*) AS n FROM events
+                   GROUP BY 1)
+        SELECT d.run_date,
+               CASE WHEN coalesce(c.n, 0) = 0 THEN 'EMPTY' ELSE 'VERIFIED' END AS status,
+               coalesce(i.n, 0) AS input_rows,
+               coalesce(c.n, 0) AS output_rows,
+               coalesce(c.n, 0) AS written_rows
+        FROM d LEFT JOIN ({_EVENTS_KEPT}) c ON c.run_date = d.run_date
+               LEFT JOIN i ON i.run_date = d.run_date""",
     "mirror_diff": _MIRROR_DIFF,
     "mirror_apply": f"""
         SELECT c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment

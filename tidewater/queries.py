@@ -307,6 +307,16 @@ def q_backfill_rebalanced(spark, sf_dir):
     return read_published(spark, cfg.output_base, cfg.audit_path).select(RUN_DATE, *EVENT_COLS)
 
 
+def q_backfill_input_counts(spark, sf_dir):
+    """B1 with ``per_date_input_counts``: exact per-date input counts observed
+    in the same pass as the write."""
+    csv = inputs.events_csv(spark, sf_dir)
+    cfg = workspace(spark, "backfill-counts", csv, columns=tuple(EVENT_COLS),
+                    per_date_input_counts=True)
+    status = run_range(spark, cfg, event_dates(spark, sf_dir, pad=1), date_col="ts", log=_quiet)
+    return status.select(RUN_DATE, "status", "input_rows", "output_rows", "written_rows")
+
+
 def q_backfill_parity(spark, sf_dir):
     """B1 parity mode: every date gets the whole input, one job per date."""
     cfg = workspace(spark, "parity", inputs.lineitem_csv(spark, sf_dir))
@@ -379,6 +389,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "backfill_published": q_backfill_published,
     "backfill_parity": q_backfill_parity,
     "backfill_rebalanced": q_backfill_rebalanced,
+    "backfill_input_counts": q_backfill_input_counts,
     "quarantined_rows": q_quarantined_rows,
     "mirror_changes": q_mirror_changes,
     "mirror_copy": q_mirror_copy,
