@@ -21,7 +21,8 @@ def test_cli_run_backfill_status(spark, tmp_dir, monkeypatch, capsys):
     assert "Input row count : 3" in out and "Output row count : 2" in out
     assert "Verification: 2 rows written to" in out
     # 20240103 has no rows -> EMPTY -> non-zero exit
-    assert main(["backfill", "20240101", "20240103", "--date-col", "day"]) == 1
+    assert main(["backfill", "20240101", "20240103", "--date-col", "day",
+                 "--per-date-input-counts"]) == 1
     out = capsys.readouterr().out
     assert "20240101 VERIFIED written=1" in out
     assert "20240102 VERIFIED written=1" in out
