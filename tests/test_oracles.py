@@ -1,5 +1,6 @@
-"""Every registered query against its DuckDB oracle on the smallest scale
-(columns, types and order-insensitive values)."""
+"""Every registered query against its DuckDB oracle (columns, types and
+order-insensitive values) on the smallest scale, or on the folder named by
+``TIDEWATER_ORACLE_SF_DIR``."""
 
 import math
 import os
@@ -8,6 +9,8 @@ import duckdb
 import pytest
 
 from conftest import SF001
+
+SF_DIR = os.environ.get("TIDEWATER_ORACLE_SF_DIR", SF001)
 from tidewater.oracles import ORACLE_SQL
 from tidewater.queries import QUERIES
 
@@ -21,7 +24,7 @@ SPARK_TO_DUCK = {"int": "INTEGER", "bigint": "BIGINT", "double": "DOUBLE", "stri
 def con():
     c = duckdb.connect()
     for t in TABLES:
-        path = f"{SF001}/{t}.parquet"
+        path = f"{SF_DIR}/{t}.parquet"
         if os.path.exists(path):
             c.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{path}')")
     yield c
@@ -40,7 +43,7 @@ def test_every_query_has_an_oracle():
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_matches_oracle(spark, con, name):
-    df = QUERIES[name](spark, SF001)
+    df = QUERIES[name](spark, SF_DIR)
     got = [r.asDict() for r in df.collect()]
     rel = con.execute(ORACLE_SQL[name])
     cols = [d[0] for d in rel.description]
