@@ -95,6 +95,7 @@ def main(argv):
             bad += 1
             print(f"{name:22s} ERROR {type(exc).__name__}: {str(exc)[:400]}")
     spark.stop()
+    print(f"{len(names) - bad}/{len(names)} queries match their oracle on {sf_dir}")
     return 1 if bad else 0
 
 
