@@ -133,8 +133,9 @@ class Words:
         place = np.arange(int(size.sum()), dtype=np.int64) - np.repeat(at, size)
         byte = self.buf[place + np.repeat(self.start, size)]
         v = _TAB[((place & 63) << 8) + byte]
-        if size.max() > 64:
-            v = mix(v + (place >> 6).astype(U64) * U64(0x9E3779B97F4A7C15))
+        far = np.flatnonzero(place >= 64) if size.max() > 64 else ()
+        if len(far):
+            v[far] = mix(v[far] + (place[far] >> 6).astype(U64) * U64(0x9E3779B97F4A7C15))
         return mix(np.add.reduceat(v, at) + size.astype(U64))
 
 

@@ -1,17 +1,18 @@
 """Near-duplicate documents by a chosen-path set similarity join (operator 10).
 
 A document is the set of its distinct ``words``-word shingles.  Several independent trees
-branch the documents by minwise tokens: on each level a tree chooses ``branch`` minwise
-functions, and a document moves on to the child named by its token under each of them, so
-two sets of similarity s part with probability (1 - s) ** branch only.  Nodes are
-settled as soon as they are small:
+branch the documents by minwise tokens: at its root a tree chooses ``branch`` minwise
+functions, and a document goes to the child named by its token under each of them, so two
+sets of similarity s part in a tree with probability (1 - s) ** branch only; a child that
+is too large branches again by the token under one further function.  Nodes are settled as
+soon as they are small:
 
 * a node of at most ``node_docs`` documents and ``node_shingles`` shingles is compared
   exhaustively on full sets (nodes with equal members are compared once);
 * a node that is still large after ``levels`` levels is a dense group: every member is
-  compared with one pivot, in blocks, and the members that do not link with the pivot are
-  compared, block by block, with all members.  Members that link with the pivot are in
-  one component already, so no pair of them is needed.  Nothing is capped.
+  compared with ``pivots`` pivots, in blocks.  Members outside the component that then
+  holds most of the node are compared, block by block, with all members of other
+  components.  Members of one component need no further pair.  Nothing is capped.
 
 Equal sets are one class and enter the trees once.  A comparison group emits at most one
 edge per member (a spanning star), components are found by label rounds on Spark.
@@ -32,6 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import U64, components, groups, mix, pick, shingle_sets, slices, staged, words_of
+from .tasks import task
 
 
 @dataclass(frozen=True)
@@ -44,12 +46,13 @@ class NearDup:
     trees: int = 5
     branch: int = 2
     levels: int = 3
+    pivots: int = 6
     node_docs: int = 96
     node_shingles: int = 1 << 20
     seed: int = 7
 
     def functions(self) -> np.ndarray:
-        """Odd multipliers of the minwise functions, by level, tree and branch."""
+        """Odd multipliers of the minwise functions, by level and path."""
         n = self.levels * self.trees * self.branch
         return np.random.default_rng(self.seed).integers(0, 2**64, size=n, dtype=U64) | U64(1)
 
@@ -66,7 +69,7 @@ def _set_key(sets: list[np.ndarray]) -> list[bytes]:
     return [row.tobytes() for row in out]
 
 
-def _signatures(p: NearDup, schema: pa.Schema):
+def _signatures(p: NearDup):
     mult = p.functions()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -92,7 +95,7 @@ def _signatures(p: NearDup, schema: pa.Schema):
 
 
 def _with_sets(p: NearDup):
-    """(body, key, places) -> one row (grp, role, key, node, shingles) per place."""
+    """(body, key, places) -> one row (grp, role, key, root, shingles) per place."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for s in slices(batches, "body"):
@@ -102,7 +105,7 @@ def _with_sets(p: NearDup):
             for key, places, x in zip(s.column("key").to_pylist(), s.column("places").to_pylist(), sets):
                 raw = x.tobytes()
                 for g in places:
-                    rows.append((g["grp"], g["role"], key, g["node"], raw))
+                    rows.append((g["grp"], g["role"], key, g["root"], raw))
                     if len(rows) >= 512:
                         yield _batch(rows)
                         rows = []
@@ -116,8 +119,8 @@ def _batch(rows) -> pa.RecordBatch:
     cols = list(zip(*rows))
     return pa.RecordBatch.from_arrays(
         [pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.binary()),
-         pa.array(cols[3], pa.int64()), pa.array(cols[4], pa.binary())],
-        names=["grp", "role", "key", "node", "shingles"])
+         pa.array(cols[3], pa.binary()), pa.array(cols[4], pa.binary())],
+        names=["grp", "role", "key", "root", "shingles"])
 
 
 def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -154,34 +157,39 @@ SMALL, STAR, PIVOT, REST, ALL = range(5)
 
 
 def _compare(p: NearDup):
-    """Rows sorted by ``grp`` -> (a, b, node): an edge, or with ``b`` null a member ``a`` of
-    a dense node that does not link with the pivot."""
+    """Rows sorted by ``grp`` -> edges (a, b).  A group emits edges that span what it has
+    found, so at most one per row, or one per row and pivot."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
         for t in groups(batches, "grp"):
-            seen, keys, roles, sets = set(), [], [], []
-            for k, r, raw in zip(t.column("key").to_pylist(), t.column("role").to_pylist(),
-                                 t.column("shingles").to_pylist()):
+            seen, rows = set(), []
+            for k, r, root, raw in zip(*(t.column(c).to_pylist() for c in ("key", "role", "root", "shingles"))):
                 if (k, r) not in seen:
                     seen.add((k, r))
-                    keys.append(k)
-                    roles.append(r)
-                    sets.append(np.frombuffer(raw, dtype=U64))
-            node = t.column("node")[0].as_py()
-            if roles[0] == SMALL:
-                out += [(keys[i], keys[j], node) for i, j in _exhaustive(sets, p.percent)]
-            elif STAR in roles:
-                hub = roles.index(PIVOT) if PIVOT in roles else None
-                for k, r, x in zip(keys, roles, sets):
-                    if r == STAR and (hub is None or k != keys[hub]):
-                        link = hub is not None and similar(x, sets[hub], p.percent)
-                        out.append((k, keys[hub] if link else None, node))
+                    rows.append((k, r, root, np.frombuffer(raw, dtype=U64)))
+            role = rows[0][1]
+            if role == SMALL:
+                out += [(rows[i][0], rows[j][0])
+                        for i, j in _exhaustive([x for *_, x in rows], p.percent)]
+            elif role in (STAR, PIVOT):
+                hubs = [x for x in rows if x[1] == PIVOT]
+                for k, r, _, x in rows:
+                    if r == STAR:
+                        out += [(k, h[0]) for h in hubs if h[0] != k and similar(x, h[3], p.percent)]
             else:
-                rest = [i for i, r in enumerate(roles) if r == REST]
-                for j in (i for i, r in enumerate(roles) if r == ALL):
-                    out += [(keys[i], keys[j], node) for i in rest
-                            if keys[i] != keys[j] and similar(sets[i], sets[j], p.percent)]
+                up = {x[2]: x[2] for x in rows}
+
+                def find(x):
+                    while up[x] != x:
+                        up[x] = x = up[up[x]]
+                    return x
+
+                for k, _, root, x in (x for x in rows if x[1] == REST):
+                    for k2, _, root2, y in (x for x in rows if x[1] == ALL):
+                        if find(root) != find(root2) and similar(x, y, p.percent):
+                            out.append((k, k2))
+                            up[find(root)] = find(root2)
             if len(out) >= 4096:
                 yield _edges(out)
                 out = []
@@ -194,13 +202,12 @@ def _compare(p: NearDup):
 def _edges(rows) -> pa.RecordBatch:
     cols = list(zip(*rows))
     return pa.RecordBatch.from_arrays(
-        [pa.array(cols[0], pa.binary()), pa.array(cols[1], pa.binary()), pa.array(cols[2], pa.int64())],
-        names=["a", "b", "node"])
+        [pa.array(cols[0], pa.binary()), pa.array(cols[1], pa.binary())], names=["a", "b"])
 
 
 def _nodes(members: DataFrame) -> DataFrame:
     return members.groupBy("node").agg(
-        F.count("*").alias("c"), F.sum("n").alias("w"), F.min("key").alias("pivot"),
+        F.count("*").alias("c"), F.sum("n").alias("w"),
         F.bit_xor(F.xxhash64("key")).alias("f1"),
         F.bit_xor(F.xxhash64("key", F.lit(1))).alias("f2")).filter("c > 1")
 
@@ -208,13 +215,13 @@ def _nodes(members: DataFrame) -> DataFrame:
 def _settle(p: NearDup, docs: DataFrame, places: DataFrame, name: str) -> DataFrame:
     """Bring the full sets of the classes to their groups and compare there."""
     per = places.groupBy("key", "doc", "th").agg(
-        F.collect_list(F.struct("grp", "role", "node")).alias("places"))
+        F.collect_list(F.struct("grp", "role", "root")).alias("places"))
     per = per.withColumnsRenamed({"doc": "d2", "th": "t2"})
     joined = docs.join(per, F.col("doc").eqNullSafe(F.col("d2")) & (F.col("th") == F.col("t2")))
     rows = joined.select("body", "key", "places").mapInArrow(
-        _with_sets(p), "grp long, role int, key binary, node long, shingles binary")
+        task(_with_sets, p), "grp long, role int, key binary, root binary, shingles binary")
     return staged(rows.repartition("grp").sortWithinPartitions("grp").mapInArrow(
-        _compare(p), "a binary, b binary, node long"), name)
+        task(_compare, p), "a binary, b binary"), name)
 
 
 def near_duplicates(docs: DataFrame, params: NearDup = NearDup(), *, id_col: str = "doc_id",
@@ -225,7 +232,7 @@ def near_duplicates(docs: DataFrame, params: NearDup = NearDup(), *, id_col: str
     body = pick(docs, doc=id_col, body=text_col).withColumn(
         "body", F.coalesce(F.col("body").cast("string"), F.lit(""))).withColumn("th", F.xxhash64("body"))
     id_type = body.schema["doc"].dataType.simpleString()
-    sig = staged(body.mapInArrow(_signatures(p, None),
+    sig = staged(body.mapInArrow(task(_signatures, p),
                                  f"doc {id_type}, th long, key binary, n long, mins array<long>"), "sig")
 
     classes = sig.filter("n > 0").groupBy("key").agg(
@@ -235,69 +242,67 @@ def near_duplicates(docs: DataFrame, params: NearDup = NearDup(), *, id_col: str
     classes = staged(classes.select("key", F.col("rep.doc").alias("doc"), F.col("rep.th").alias("th"),
                                     "n", "mins"), "classes")
 
-    per_level = p.trees * p.branch
-    chosen = F.slice("mins", 1, per_level)
-    members = classes.select("key", "n", F.posexplode(chosen).alias("pos", "token")).select(
-        F.xxhash64("pos", "token").alias("node"), F.floor(F.col("pos") / p.branch).cast("int").alias("tree"),
-        "key", "n")
-    small_sets, dense = [], None
+    paths = p.trees * p.branch
+    members = classes.select("key", "n", F.posexplode(F.slice("mins", 1, paths)).alias("path", "token")).select(
+        F.xxhash64("path", "token").alias("node"), "path", "key", "n")
+    no_root = F.lit(None).cast("binary").alias("root")
+    places, dense = None, None
     for level in range(1, p.levels + 1):
         members = staged(members, f"members{level}")
-        size = _nodes(members)
         is_small = (F.col("c") <= 2) | ((F.col("c") <= p.node_docs) & (F.col("w") <= p.node_shingles))
-        size = staged(size.withColumn("small", is_small), f"nodes{level}")
+        size = staged(_nodes(members).withColumn("small", is_small), f"nodes{level}")
         once = size.filter("small").groupBy("f1", "f2", "c").agg(F.min("node").alias("id"))
-        small_sets.append(members.join(once.select("id"), members.node == F.col("id")).select(
-            "key", F.col("node").alias("grp"), F.lit(SMALL).alias("role"), "node"))
+        small = members.join(once.select("id"), members.node == F.col("id")).select(
+            "key", F.col("node").alias("grp"), F.lit(SMALL).alias("role"), no_root)
+        places = small if places is None else places.unionByName(small)
         large = size.filter("not small")
         if level == p.levels:
-            once = large.groupBy("f1", "f2", "c").agg(F.min("node").alias("id"), F.first("w").alias("w"),
-                                                      F.first("pivot").alias("pivot"))
-            blocks = F.greatest(F.ceil(2 * F.col("c") / p.node_docs),
-                                F.ceil(2 * F.col("w") / p.node_shingles)).cast("int")
-            once = staged(once.select("id", "pivot", blocks.alias("blocks")), "dense")
-            dense = members.join(once, members.node == F.col("id")).drop("id", "tree", "n")
-            continue
-        at = level * per_level + F.col("tree") * p.branch
-        big = members.join(large.select(F.col("node").alias("id")), F.col("node") == F.col("id"))
-        tokens = classes.select(F.col("key").alias("k2"), "mins")
-        members = big.join(tokens, F.col("key") == F.col("k2")).select(
-            "node", "tree", "key", "n",
-            F.posexplode(F.slice("mins", (at + 1).cast("int"), p.branch)).alias("pos", "token")).select(
-            F.xxhash64("node", "pos", "token").alias("node"), "tree", "key", "n")
+            once = large.groupBy("f1", "f2", "c").agg(F.min("node").alias("id"), F.first("w").alias("w"))
+            blocks = F.greatest(F.ceil(2 * F.col("c") / p.node_docs), F.ceil(2 * F.col("w") / p.node_shingles))
+            dense = staged(members.join(once.select("id", blocks.cast("long").alias("blocks")),
+                                        members.node == F.col("id")).select("key", "node", "blocks"), "dense")
+        else:
+            big = members.join(large.select(F.col("node").alias("id")), F.col("node") == F.col("id"))
+            tokens = classes.select(F.col("key").alias("k2"), "mins")
+            token = F.element_at("mins", (F.lit(level * paths + 1) + F.col("path")).cast("int"))
+            members = big.join(tokens, F.col("key") == F.col("k2")).select(
+                F.xxhash64("node", token).alias("node"), "path", "key", "n")
+
+    def spread(n):
+        return F.explode(F.sequence(F.lit(0).cast("long"), n - F.lit(1).cast("long")))
 
     block = F.pmod(F.xxhash64("key", F.lit(3)), F.col("blocks"))
     star = dense.select("key", F.xxhash64("node", F.lit("star"), block).alias("grp"),
-                        F.lit(STAR).alias("role"), "node")
-    hub = dense.filter("key = pivot").select(
-        "key", "node", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - F.lit(1).cast("long"))).alias("b")).select(
-        "key", F.xxhash64("node", F.lit("star"), "b").alias("grp"), F.lit(PIVOT).alias("role"), "node")
-    places = star.unionByName(hub)
-    for s in small_sets:
-        places = places.unionByName(s)
+                        F.lit(STAR).alias("role"), no_root)
+    pivots = dense.groupBy("node", F.pmod(F.xxhash64("key", F.lit(9)), F.lit(p.pivots))).agg(
+        F.min("key").alias("key"), F.first("blocks").alias("blocks"))
+    hubs = pivots.select("key", "node", spread(F.col("blocks")).alias("b")).select(
+        "key", F.xxhash64("node", F.lit("star"), "b").alias("grp"), F.lit(PIVOT).alias("role"), no_root)
     rep = classes.select(F.col("key").alias("k2"), "doc", "th")
     whole = lambda x: x.join(rep, F.col("key") == F.col("k2")).drop("k2")
-    found = _settle(p, body, whole(places), "links")
-    edges = found.filter("b is not null").select("a", "b")
-    rest = found.filter("b is null").select(F.col("a").alias("key"), "node")
-    if not rest.isEmpty():
-        many = rest.groupBy("node").agg(F.ceil(2 * F.count("*") / p.node_docs).cast("long").alias("parts"))
-        many = many.select(F.col("node").alias("n2"), "parts")
+    edges = _settle(p, body, whole(places.unionByName(star).unionByName(hubs)), "links")
+    comp = components(edges)
+
+    # Members of a dense node that are not in its main component so far, against all members.
+    known = comp.withColumnsRenamed({"node": "k3", "root": "root3"})
+    placed = dense.join(known, F.col("key") == F.col("k3"), "left").select(
+        "key", "node", "blocks", F.coalesce("root3", "key").alias("root"))
+    shares = placed.groupBy("node", "root").agg(F.count("*").alias("share"))
+    main = shares.groupBy("node").agg(
+        F.max_by("root", F.struct("share", "root")).alias("main"),
+        (F.sum("share") - F.max("share")).alias("rest")).filter("rest > 0").select(
+        F.col("node").alias("n2"), "main", F.ceil(2 * F.col("rest") / p.node_docs).cast("long").alias("parts"))
+    open_nodes = staged(placed.join(main, F.col("node") == F.col("n2")).drop("n2"), "open")
+    if not open_nodes.isEmpty():
         part = F.pmod(F.xxhash64("key", F.lit(5)), F.col("parts"))
-        of = dense.select("node", "blocks").distinct().select(F.col("node").alias("n3"), "blocks")
         grp = lambda i, j: F.xxhash64("node", F.lit("rest"), i, j).alias("grp")
-        left = rest.join(many, F.col("node") == F.col("n2")).join(of, F.col("node") == F.col("n3")).select(
-            "key", "node", part.alias("i"),
-            F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - F.lit(1).cast("long"))).alias("j")).select(
-            "key", grp("i", "j"), F.lit(REST).alias("role"), "node")
-        right = dense.join(many, F.col("node") == F.col("n2")).select(
-            "key", "node", block.alias("j"),
-            F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - F.lit(1).cast("long"))).alias("i")).select(
-            "key", grp("i", "j"), F.lit(ALL).alias("role"), "node")
+        left = open_nodes.filter("root != main").select("key", "node", "root", part.alias("i"), spread(
+            F.col("blocks")).alias("j")).select("key", grp("i", "j"), F.lit(REST).alias("role"), "root")
+        right = open_nodes.select("key", "node", "root", block.alias("j"), spread(
+            F.col("parts")).alias("i")).select("key", grp("i", "j"), F.lit(ALL).alias("role"), "root")
         more = _settle(p, body, whole(left.unionByName(right)), "rest")
-        edges = edges.unionByName(more.select("a", "b"))
-
-    comp = components(edges)
+        if not more.isEmpty():
+            comp = components(edges.unionByName(more))
     home = named.join(comp, F.col("key") == F.col("node"), "left").select(
         "key", F.coalesce("root", "key").alias("root"), "least")
     least = home.groupBy("root").agg(F.min("least").alias("component"))

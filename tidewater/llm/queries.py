@@ -5,19 +5,47 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from .byte_bpe import bpe_decode, bpe_encode, digests
 from .near_dup import NearDup, near_duplicates
+from .sharding import LAW, shard_documents
+from .token_files import read_token_files, shared_token_folder, write_token_files
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sharded = shard_documents(table(spark, sf_dir, "documents"), 8)
+    crc = F.crc32(F.coalesce("text", F.lit("")).cast("binary"))
+    return sharded.select("doc_id", "size", crc.alias("text_crc32"), F.lit(LAW).alias("law"), "shard", "slot",
+                          F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    folder = shared_token_folder(docs)
+    manifest = write_token_files(docs, public_tokenizers.path("word_bpe_49k.json"), folder)
+    return read_token_files(manifest, folder)
+
+
+def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    encoded = bpe_encode(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
+    return digests(bpe_decode(encoded, ranks, public_tokenizers.PATTERN))
+
+
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), NearDup(words=4))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_sharding": op1_sharding,
+    "op3_token_files": op3_token_files,
+    "op8_byte_bpe": op8_byte_bpe,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
 }
