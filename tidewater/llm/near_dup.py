@@ -260,7 +260,7 @@ def near_duplicates(docs: DataFrame, params: NearDup = NearDup(), *, id_col: str
             once = large.groupBy("f1", "f2", "c").agg(F.min("node").alias("id"), F.first("w").alias("w"))
             blocks = F.greatest(F.ceil(2 * F.col("c") / p.node_docs), F.ceil(2 * F.col("w") / p.node_shingles))
             dense = staged(members.join(once.select("id", blocks.cast("long").alias("blocks")),
-                                        members.node == F.col("id")).select("key", "node", "blocks"), "dense")
+                                        members.node == F.col("id")).select("key", "node", "n", "blocks"), "dense")
         else:
             big = members.join(large.select(F.col("node").alias("id")), F.col("node") == F.col("id"))
             tokens = classes.select(F.col("key").alias("k2"), "mins")
@@ -284,21 +284,28 @@ def near_duplicates(docs: DataFrame, params: NearDup = NearDup(), *, id_col: str
     comp = components(edges)
 
     # Members of a dense node that are not in its main component so far, against all members.
+    # Nodes with one main component are taken together: the trees repeat much of them.
     known = comp.withColumnsRenamed({"node": "k3", "root": "root3"})
     placed = dense.join(known, F.col("key") == F.col("k3"), "left").select(
-        "key", "node", "blocks", F.coalesce("root3", "key").alias("root"))
+        "key", "node", "n", F.coalesce("root3", "key").alias("root"))
     shares = placed.groupBy("node", "root").agg(F.count("*").alias("share"))
     main = shares.groupBy("node").agg(
         F.max_by("root", F.struct("share", "root")).alias("main"),
         (F.sum("share") - F.max("share")).alias("rest")).filter("rest > 0").select(
-        F.col("node").alias("n2"), "main", F.ceil(2 * F.col("rest") / p.node_docs).cast("long").alias("parts"))
-    open_nodes = staged(placed.join(main, F.col("node") == F.col("n2")).drop("n2"), "open")
-    if not open_nodes.isEmpty():
+        F.col("node").alias("n2"), "main")
+    pool = staged(placed.join(main, F.col("node") == F.col("n2")).groupBy("main", "key").agg(
+        F.first("root").alias("root"), F.first("n").alias("n")), "pool")
+    if not pool.isEmpty():
+        blocks = F.greatest(F.ceil(2 * F.count("*") / p.node_docs), F.ceil(2 * F.sum("n") / p.node_shingles))
+        sizes = pool.groupBy("main").agg(
+            blocks.cast("long").alias("blocks"),
+            F.ceil(2 * F.count_if(F.col("root") != F.col("main")) / p.node_docs).cast("long").alias("parts"))
+        pool = pool.join(sizes.withColumnRenamed("main", "m2"), F.col("main") == F.col("m2"))
         part = F.pmod(F.xxhash64("key", F.lit(5)), F.col("parts"))
-        grp = lambda i, j: F.xxhash64("node", F.lit("rest"), i, j).alias("grp")
-        left = open_nodes.filter("root != main").select("key", "node", "root", part.alias("i"), spread(
+        grp = lambda i, j: F.xxhash64("main", F.lit("rest"), i, j).alias("grp")
+        left = pool.filter("root != main").select("key", "main", "root", part.alias("i"), spread(
             F.col("blocks")).alias("j")).select("key", grp("i", "j"), F.lit(REST).alias("role"), "root")
-        right = open_nodes.select("key", "node", "root", block.alias("j"), spread(
+        right = pool.select("key", "main", "root", block.alias("j"), spread(
             F.col("parts")).alias("i")).select("key", grp("i", "j"), F.lit(ALL).alias("role"), "root")
         more = _settle(p, body, whole(left.unionByName(right)), "rest")
         if not more.isEmpty():

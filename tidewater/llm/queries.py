@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from .byte_bpe import bpe_decode, bpe_encode, digests
 from .near_dup import NearDup, near_duplicates
 from .sharding import LAW, shard_documents
+from .substring_dup import remove_repeats
 from .token_files import read_token_files, shared_token_folder, write_token_files
 
 
@@ -33,6 +34,11 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_files(manifest, folder)
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return done.select(F.col("c0").alias("doc_id"), "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
     encoded = bpe_encode(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
@@ -46,6 +52,7 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op3_token_files": op3_token_files,
+    "op6_substring_dedup": op6_substring_dedup,
     "op8_byte_bpe": op8_byte_bpe,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
 }

@@ -43,7 +43,7 @@ BLOCK_IDS = 1 << 14
 #: A file is closed once it holds so many ids.
 FILE_IDS = 1 << 23
 #: Pieces remembered by a Python worker; beyond this the memory is started anew.
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 
 
 def bits_for(vocabulary: int) -> int:
