@@ -57,6 +57,17 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, key: str, name: str) -> DataFrame:
+    """Like ``staged``, in buckets of ``key``: a join on it then moves only the other side.
+    The table is external, in the shared folder, under a name of its own."""
+    spark = df.sparkSession
+    path = scratch_path(spark, "llm", name)
+    n, table = width(spark), f"tidewater_{name}_{path.rsplit('/', 1)[-1]}"
+    df.repartition(n, key).write.option("compression", "uncompressed").bucketBy(n, key).option(
+        "path", path).saveAsTable(table)
+    return spark.read.table(table)
+
+
 def width(spark: SparkSession) -> int:
     """Partitions for an explicit repartitioning: the session's shuffle width."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .byte_bpe import bpe_decode, bpe_encode, digests
+from .language_id import identify_language
 from .near_dup import NearDup, near_duplicates
 from .sharding import LAW, shard_documents
 from .substring_dup import remove_repeats
@@ -45,6 +46,10 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(bpe_decode(encoded, ranks, public_tokenizers.PATTERN))
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify_language(table(spark, sf_dir, "documents"))
+
+
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), NearDup(words=4))
 
@@ -54,5 +59,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_token_files": op3_token_files,
     "op6_substring_dedup": op6_substring_dedup,
     "op8_byte_bpe": op8_byte_bpe,
+    "op9_language_id": op9_language_id,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
 }

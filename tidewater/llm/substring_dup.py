@@ -16,7 +16,7 @@ formed: if a window holds the support, every equal window holds the same symbol.
 
 A task sends the distinct names of a block of documents in one row per hash range, so a
 passage that a third of all documents share costs one entry a block, and the answer is
-joined back by block.
+joined back by block; the blocks lie in buckets, so that join moves the answers alone.
 
 Special cases.  Null, empty or blank text: no words, empty result.  Fewer words than a
 window: nothing goes.  Repeated rows remove each other's windows, as all equal windows do.
@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import U64, Words, mix, slices, staged, text_bytes, width, windows
+from .common import U64, Words, bucketed, mix, slices, staged, text_bytes, width, windows
 from .tasks import task
 
 WINDOW = 35
@@ -314,7 +314,7 @@ def remove_repeats(docs: DataFrame, *, text_col: str = "text", window: int = WIN
     flat = docs.toDF(*names)
     schema = flat.schema
     flat = flat.withColumn("body", F.coalesce(F.col(names[at[0]]).cast("string"), F.lit("")))
-    blocks = staged(flat.mapInArrow(task(_pack), "block long, payload binary"), "blocks")
+    blocks = bucketed(flat.mapInArrow(task(_pack), "block long, payload binary"), "block", "blocks")
     symbols = blocks.mapInArrow(task(_symbol_slices, parts), SLICE_SCHEMA)
     marked = _with_marks(blocks, _counted(symbols, False, "symbols"))
     repeats = _counted(marked.mapInArrow(task(_window_slices, parts, window), SLICE_SCHEMA), True, "repeats")

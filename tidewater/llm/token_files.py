@@ -22,14 +22,17 @@ An empty table: no file.
 from __future__ import annotations
 
 import functools
+import json
 import os
 import struct
+import unicodedata
 import uuid
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -114,32 +117,60 @@ def _tokenizer(path: str):
 class PieceEncoder:
     """Ids of whole texts with the tokenizers library.
 
-    The vocabulary drops white space and splits there before it merges, so a text's ids
-    are those of its blank- and newline-separated pieces in order; each distinct piece is
-    encoded once by the library and remembered.  ``by_piece=False`` encodes whole texts,
-    for vocabularies that keep white space."""
+    ``by_piece`` is for vocabularies that drop white space, lower the case and split with a
+    pattern before they merge: a text's ids are then those of its pattern matches in order,
+    and no match crosses white space.  Texts are cut at blanks and newlines, pieces into
+    lowered matches by the vocabulary's own pattern, and each distinct match is encoded once
+    by the library and remembered.  A piece with a special token or a capital sigma goes to
+    the library whole.  Without ``by_piece`` whole texts go to the library."""
 
     def __init__(self, path: str, by_piece: bool):
         self.tokenizer, self.by_piece = _tokenizer(path), by_piece
-        self.memory: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
+        self.matches: dict[str, bytes] = {}
+        if by_piece:
+            made = json.loads(self.tokenizer.to_str())
+            self.pattern = regex.compile(made["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
+            self.odd = regex.compile("|".join(
+                [regex.escape(t["content"]) for t in made["added_tokens"]] + ["\u03a3"]))
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u4").tobytes()
-                for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+                for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, pieces: list[str]) -> None:
+        cut = []
+        for p in pieces:
+            if p.isascii():
+                cut.append([p] if "<|" in p and self.odd.search(p) else self.pattern.findall(p.lower()))
+            else:
+                cut.append([p] if self.odd.search(p) else
+                           self.pattern.findall(unicodedata.normalize("NFC", p).lower()))
+        new = list(set().union(*cut).difference(self.matches))
+        for a in range(0, len(new), 8192):
+            self.matches.update(zip(new[a:a + 8192], self._encode(new[a:a + 8192])))
+        get = self.matches.__getitem__
+        self.pieces.update(zip(pieces, [b"".join(map(get, c)) for c in cut]))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if not self.by_piece:
             return self._encode(texts)
-        if len(self.memory) > REMEMBERED:
-            self.memory.clear()
+        if len(self.pieces) > REMEMBERED:
+            self.pieces.clear()
+        if len(self.matches) > 3 * REMEMBERED:
+            self.matches.clear()
         cut = [t.replace("\n", " ").split(" ") for t in texts]
-        new = list(set().union(*cut).difference(self.memory))
-        for a in range(0, len(new), 8192):
-            self.memory.update(zip(new[a:a + 8192], self._encode(new[a:a + 8192])))
-        get = self.memory.__getitem__
+        self._learn(list(set().union(*cut).difference(self.pieces)))
+        get = self.pieces.__getitem__
         return [b"".join(map(get, c)) for c in cut]
 
 
+@functools.lru_cache(maxsize=1)
+def _encoder(path: str, by_piece: bool) -> PieceEncoder:
+    """One per Python worker, which serves many tasks."""
+    return PieceEncoder(path, by_piece)
+
+
 def _write(path: str, folder: str, end_id: int, by_piece: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
@@ -147,7 +178,7 @@ def _write(path: str, folder: str, end_id: int, by_piece: bool):
 
         part = TaskContext.get().partitionId()
         where, root = fs.FileSystem.from_uri(folder if "://" in folder else f"file://{os.path.abspath(folder)}")
-        encoder = PieceEncoder(path, by_piece)
+        encoder = _encoder(path, by_piece)
         bits = bits_for(max(encoder.tokenizer.get_vocab_size(with_added_tokens=True), end_id + 1))
         end = np.array([end_id], dtype="<u4").tobytes()
         raw, docs, counts, held, number = [], [], [], 0, 0
