@@ -1,8 +1,80 @@
-"""Corpus pipeline (placeholder until the stages are in)."""
+"""Corpus pipeline: language ID, near-dedup, substring dedup, decontamination, byte-level BPE.
 
-STAGES: list = []
+``STAGES`` lists (name, function); a function takes (spark, docs, sf_dir) and returns a
+DataFrame, which is written as Parquet and read again as the next stage's ``docs``.  All
+stages but the last return the columns of ``documents``.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidewater.llm.byte_bpe import bpe_decode, bpe_encode, digests
+from tidewater.llm.common import staged
+from tidewater.llm.decontaminate import find_contamination
+from tidewater.llm.language_id import UND, identify_language
+from tidewater.llm.near_dup import NearDup, near_duplicates
+from tidewater.llm.substring_dup import remove_repeats
+
+
+def _only(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
+    """Documents whose id is (``left_semi``) or is not (``left_anti``) among ``ids``."""
+    ids = ids.select(F.col("doc_id").alias("_id")).distinct()
+    return docs.join(ids, docs["doc_id"].eqNullSafe(F.col("_id")), how)
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with no letter, or with no language that most words have, go."""
+    lang = staged(identify_language(docs), "language")
+    return _only(docs, lang.filter((F.col("lang_pred") == UND) | (F.col("score") < 0.4)), "left_anti")
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays: five-word shingles, 80 % and more."""
+    return _only(docs, near_duplicates(docs, NearDup(words=5)).filter("not kept"), "left_anti")
+
+
+def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeated passages of 35 words and more go; a text without any stays as it is, and a
+    document of which nothing is left goes."""
+    done = remove_repeats(docs)
+    names = {c: F.col(f"c{i}") for i, c in enumerate(docs.columns)}
+    cut = F.col("n_removed") > 0
+    text = F.when(cut, F.col("kept")).otherwise(names["text"])
+    n_chars = F.when(cut, F.char_length("kept").cast(docs.schema["n_chars"].dataType)).otherwise(names["n_chars"])
+    out = names | {"text": text, "n_chars": n_chars}
+    return done.filter("n_removed = 0 or n_removed < n_words").select(*[v.alias(c) for c, v in out.items()])
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark passage go."""
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return _only(docs, staged(find_contamination(docs, benchmark), "leaks"), "left_anti")
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every text, decoded again, as digests."""
+    ranks, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    return digests(bpe_decode(bpe_encode(docs, ranks, pattern), ranks, pattern))
+
+
+STAGES = [
+    ("language_id", language),
+    ("near_dedup", near_dedup),
+    ("substring_dedup", substring_dedup),
+    ("decontamination", decontaminate),
+    ("byte_bpe", encode),
+]
+
+#: Language ID and near-dedup cannot be told in SQL; tests hold the run against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows; every other stage is written and read again."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = staged(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .byte_bpe import bpe_decode, bpe_encode, digests
+from .decontaminate import find_contamination
 from .language_id import identify_language
 from .near_dup import NearDup, near_duplicates
 from .sharding import LAW, shard_documents
@@ -35,6 +36,10 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_files(manifest, folder)
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return done.select(F.col("c0").alias("doc_id"), "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
@@ -57,6 +62,7 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op3_token_files": op3_token_files,
+    "op4_decontamination": op4_decontamination,
     "op6_substring_dedup": op6_substring_dedup,
     "op8_byte_bpe": op8_byte_bpe,
     "op9_language_id": op9_language_id,
