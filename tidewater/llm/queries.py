@@ -10,12 +10,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .byte_bpe import bpe_decode, bpe_encode, digests
+from .cap_filters import near_vectors
 from .decontaminate import find_contamination
 from .language_id import identify_language
 from .near_dup import NearDup, near_duplicates
 from .sharding import LAW, shard_documents
 from .substring_dup import remove_repeats
 from .token_files import read_token_files, shared_token_folder, write_token_files
+from .url_lists import apply_lists, split_url
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,6 +31,10 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
                           F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op2_cap_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     folder = shared_token_folder(docs)
@@ -45,6 +51,35 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select(F.col("c0").alias("doc_id"), "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def dated_entries(pages: DataFrame) -> DataFrame:
+    """A dated list over the hosts of ``pages``: by the host's md5, four of sixteen hosts are
+    blocked on a day and freed 90 days later, half of those blocked again; and every host's
+    first path segment is allowed for a while in two of sixteen cases."""
+    host, path = split_url(F.col("url"))
+    hosts = pages.select(host.alias("host"), F.regexp_extract(path, "^/([^/]+)", 1).alias("step"))
+    hosts = hosts.filter("host is not null").distinct()
+    lot = F.conv(F.substring(F.md5("host"), 1, 6), 16, 10).cast("int")
+    base = hosts.withColumn("lot", lot).withColumn("at", F.col("lot") % 200)
+    start = F.to_date(F.lit("2024-01-01"))
+
+    def entry(where, name, pattern, action, after):
+        return base.filter(where).select(
+            F.lit(name).alias("list"), pattern.alias("pattern"), F.lit(action).alias("action"),
+            F.date_add(start, F.col("at") + F.lit(after)).alias("day"))
+
+    h, deep = F.col("host"), F.concat("host", F.lit("/"), F.lower("step"))
+    return (entry("lot % 16 < 4", "block", h, "add", 0).union(entry("lot % 16 < 4", "block", h, "remove", 90))
+            .union(entry("lot % 16 < 2", "block", h, "add", 120))
+            .union(entry("lot % 16 in (0, 2) and step <> ''", "allow", deep, "add", 30))
+            .union(entry("lot % 16 in (0, 2) and step <> ''", "allow", deep, "remove", 60)))
+
+
+def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    day = F.date_add(F.to_date(F.lit("2024-01-01")), (F.col("page_id") % 366).cast("int"))
+    return apply_lists(pages.withColumn("day", day), dated_entries(pages))
+
+
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
     encoded = bpe_encode(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
@@ -61,9 +96,11 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
+    "op2_cap_filters": op2_cap_filters,
     "op3_token_files": op3_token_files,
     "op4_decontamination": op4_decontamination,
     "op6_substring_dedup": op6_substring_dedup,
+    "op7_url_filters": op7_url_filters,
     "op8_byte_bpe": op8_byte_bpe,
     "op9_language_id": op9_language_id,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
