@@ -90,6 +90,8 @@ class Code:
                 sums = part[a:a + 8192, None] + b[w]
                 row, col = np.nonzero(sums + rest[w, None] >= self.least)
                 new.append((w[row], sums[row, col], name[a:a + 8192][row] * self.words + col))
+            if not new:
+                break
             who, part, name = (np.concatenate(z) for z in zip(*new))
         order = np.lexsort((name, who))
         cuts = np.searchsorted(who[order], np.arange(len(x) + 1))

@@ -13,6 +13,7 @@ from .byte_bpe import bpe_decode, bpe_encode, digests
 from .cap_filters import near_vectors
 from .decontaminate import find_contamination
 from .language_id import identify_language
+from .lm_score import score_texts
 from .near_dup import NearDup, near_duplicates
 from .sharding import LAW, shard_documents
 from .substring_dup import remove_repeats
@@ -46,6 +47,11 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    return score_texts(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
+
+
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return done.select(F.col("c0").alias("doc_id"), "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
@@ -99,6 +105,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_cap_filters": op2_cap_filters,
     "op3_token_files": op3_token_files,
     "op4_decontamination": op4_decontamination,
+    "op5_lm_scoring": op5_lm_scoring,
     "op6_substring_dedup": op6_substring_dedup,
     "op7_url_filters": op7_url_filters,
     "op8_byte_bpe": op8_byte_bpe,
