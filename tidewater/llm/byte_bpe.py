@@ -31,9 +31,9 @@ from .tasks import task
 
 _NONE = np.int32(2**31 - 1)
 #: Matches remembered by a Python worker; beyond this the memory is started anew.
-REMEMBERED = 150_000
+REMEMBERED = 100_000
 #: Text gathered for one replay.
-REPLAY_BYTES = 6 << 20
+REPLAY_BYTES = 4 << 20
 #: A blank next to another white space, or at the end: the text must be split by pattern.
 _RAGGED = re.compile(r"  |[^\S ] | [^\S ]| \Z")
 _BETWEEN = regex.compile(r"(?<=\S) (?=\S)")

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from ..session import scratch_path
 
 #: Text bytes handled by one numpy pass; a longer document is a pass of its own.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True

@@ -39,7 +39,7 @@ from .tasks import task
 
 WINDOW = 35
 ROUNDS = 4
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 2 << 20
 
 
 # -- blocks of rows -------------------------------------------------------------------------
