@@ -25,7 +25,6 @@ from .plans.job import (
     compact_run,
     publish_frame,
     run_job,
-    run_job_multipass,
     run_with_retries,
 )
 from .plans.runs import register_runs, run_range
@@ -41,7 +40,7 @@ __all__ = [
     "mirror_apply", "mirror_diff", "parse_job_logs", "preview", "project", "read_attempt",
     "read_audit", "read_ingested", "read_published", "read_run_logs", "read_runs",
     "publish_frame", "record_run", "redact", "register_runs", "require_non_empty", "run_job",
-    "run_job_multipass", "run_range", "run_with_retries", "run_status", "s3a_conf", "scan_csv",
+    "run_range", "run_with_retries", "run_status", "s3a_conf", "scan_csv",
     "schema_report",
     "scratch_path", "shared_root", "write_attempt", "write_run", "read_run", "run_metrics",
 ]

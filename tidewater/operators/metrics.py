@@ -61,11 +61,11 @@ def classify(output_rows: int | None, written_rows: int) -> str:
 
 
 def require_non_empty(metrics: RunMetrics, where: str = "") -> RunMetrics:
-    """Raise unless the run is VERIFIED (an empty run fails, as in the original job)."""
+    """Raise unless the run is VERIFIED (an empty run fails)."""
     status = metrics.status
     if status == STATUS_EMPTY:
         place = f" at {where}" if where else ""
-        raise EmptyRunError(f"Output is empty - check input data{place}")
+        raise EmptyRunError(f"the run wrote no rows{place}")
     if status == STATUS_MISMATCH:
         raise RunCheckError(
             f"produced {metrics.output_rows} rows but {metrics.written_rows} were written"

@@ -27,7 +27,6 @@ from pyspark.sql.types import (
 from pyspark.sql import Observation
 
 from ..operators.metrics import STATUS_EMPTY, STATUS_MISMATCH, STATUS_VERIFIED
-from ..operators.sizing import broadcast_if_small
 from ..sources.parquet import (
     ATTEMPT,
     RUN_DATE,
@@ -156,15 +155,14 @@ def read_published(spark: SparkSession, runs_path: str, audit_path: str,
     so their number is bounded by the dates, not by the data - are fetched
     first and only those folders are listed and read; superseded and failed
     attempts are never even listed.  Otherwise a lazy left-semi join on
-    (run_date, attempt) with the size-checked, broadcast audit side, which
+    (run_date, attempt), where the measured size of the audit side decides the kind of join; it
     lets dynamic partition pruning skip the other attempt folders (but the
     whole table is listed once).
     """
     published = latest_verified(spark, audit_path)
     if not exact_paths:
         runs = read_runs(spark, runs_path, schema)
-        small, _ = broadcast_if_small(published)
-        return runs.join(small, [RUN_DATE, ATTEMPT], "left_semi")
+        return runs.join(published, [RUN_DATE, ATTEMPT], "left_semi")
     pairs = [(r[RUN_DATE], r[ATTEMPT]) for r in published.collect()]  # bounded: one per date
     if not pairs:
         if schema is None:

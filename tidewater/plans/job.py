@@ -5,8 +5,7 @@ One pass over the input: the input and output counts are observed by the write
 itself (``Observation``); the verification count comes from the Parquet
 footers of the attempt just written, and the audit row is computed from it and
 written in the same Spark job.  With a declared schema there is no inference
-pass either.  The original job's multi-pass shape is kept in
-:func:`run_job_multipass` for comparison.
+pass either.
 """
 
 from __future__ import annotations
@@ -22,7 +21,6 @@ from ..config import LAYOUT_OVERWRITE, JobConfig
 from ..functions.logformat import format_input_count, format_output_count, format_verification
 from ..operators.metrics import (
     STATUS_FAILED,
-    EmptyRunError,
     RunMetrics,
     observe_rows,
     require_non_empty,
@@ -175,9 +173,9 @@ def run_job(
             log(line)
 
     emit(f"Job run_date={cfg.run_date} attempt={attempt}")
-    emit(f"Input  : {cfg.input_path}")
+    emit(f"Source folder: {cfg.input_path}")
     target = cfg.output_path if cfg.layout == LAYOUT_OVERWRITE else cfg.attempt_path(attempt)
-    emit(f"Output : {target}")
+    emit(f"Target folder: {target}")
     input_rows = output_rows = written = bad = None
     path = None
     error = None
@@ -186,7 +184,7 @@ def run_job(
     try:
         raw = scan_csv(spark, cfg.input_path, schema=cfg.schema, strict=cfg.strict,
                        recursive=cfg.recursive, options=cfg.csv_options)
-        emit("Input schema:")
+        emit("Columns and types of the source:")
         for line in schema_lines(raw):
             emit(line)
         if cfg.preview_input:
@@ -227,7 +225,7 @@ def run_job(
                 emit(line)
         status = RunMetrics(input_rows, output_rows, written, bad).status
     except Exception as exc:  # recorded, then re-raised below
-        status, error, failure = STATUS_FAILED, f"{type(exc).__name__}: {exc}"[:4000], exc
+        status, error, failure = STATUS_FAILED, f"{type(exc).__name__}: {exc}", exc
     finished = _now()
     emit(f"Status: {status}")
     result = RunResult(cfg.run_date, attempt, status, input_rows, output_rows, written, bad,
@@ -316,7 +314,7 @@ def publish_frame(
                                             cfg.run_date, attempt, None, output_rows, started)
         recorded = True
     except Exception as exc:
-        status, error, failure = STATUS_FAILED, f"{type(exc).__name__}: {exc}"[:4000], exc
+        status, error, failure = STATUS_FAILED, f"{type(exc).__name__}: {exc}", exc
     finished = _now()
     lines = [format_output_count(output_rows)] if output_rows is not None else []
     if written is not None:
@@ -349,26 +347,3 @@ def compact_run(spark: SparkSession, cfg: JobConfig, run_date: str | None = None
     run_date = run_date or cfg.run_date
     current = read_run(spark, cfg.output_base, cfg.audit_path, run_date).drop(RUN_DATE, ATTEMPT)
     return publish_frame(spark, current, replace(cfg, run_date=run_date, rebalance=True), log=log)
-
-
-def run_job_multipass(spark: SparkSession, cfg: JobConfig,
-                      log: Callable[[str], None] | None = print) -> int:
-    """The original job's shape, for comparison: inferred read, count, schema,
-    5-row preview, select, dropna, count, 10-row preview, overwrite write,
-    read back, count, fail if empty.  Every action scans the CSV again."""
-    emit = log or (lambda _line: None)
-    df = (spark.read.option("header", "true").option("inferSchema", "true")
-          .csv(cfg.input_path))
-    emit(format_input_count(df.count()))
-    for line in schema_lines(df):
-        emit(line)
-    df.take(5)
-    final_df = df.select(*cfg.columns).dropna(how="all", subset=list(cfg.columns))
-    emit(format_output_count(final_df.count()))
-    final_df.take(10)
-    final_df.write.mode("overwrite").parquet(cfg.output_path)
-    written = spark.read.parquet(cfg.output_path).count()
-    emit(format_verification(written, cfg.output_path))
-    if written <= 0:
-        raise EmptyRunError(f"Output is empty - check input data at {cfg.input_path}")
-    return written

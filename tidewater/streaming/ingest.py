@@ -84,7 +84,6 @@ def ingest_stream(
     max_files_per_trigger: int | None = None,
     clean_source: str | None = None,
     archive_dir: str | None = None,
-    max_file_age: str | None = None,
     options=None,
     wait: bool = True,
 ) -> StreamingQuery:
@@ -94,9 +93,8 @@ def ingest_stream(
 
     The file source lists the whole source folder on every trigger.  For a
     folder that keeps growing, ``clean_source="archive"`` (with
-    ``archive_dir``) or ``"delete"`` moves processed files out of it, and
-    ``max_file_age`` ignores old files; both are off by default, so the input
-    is never touched unless asked.
+    ``archive_dir``) or ``"delete"`` moves processed files out of it; it is off
+    by default, so the input is never touched unless asked.
     """
     reader = csv_reader(spark, schema=schema, strict=strict, streaming=True, options=options)
     if max_files_per_trigger:
@@ -109,8 +107,6 @@ def ingest_stream(
         reader = reader.option("cleanSource", clean_source)
         if archive_dir:
             reader = reader.option("sourceArchiveDir", archive_dir)
-    if max_file_age:
-        reader = reader.option("maxFileAge", max_file_age)
     cols = list(columns)
     shaped = drop_all_null(project(reader.csv(source), cols), cols)
     target = stream_path(out_base, name)
