@@ -25,45 +25,64 @@ CHANGE = "change"
 INSERT, UPDATE, DELETE, SAME = "insert", "update", "delete", "same"
 
 _SRC, _TGT = "__src_present", "__tgt_present"
+_SIDE, _ROWS = "__side", "__rows"
 
 
 class MirrorKeyError(ValueError):
     """A key column is null or repeated on one side of a mirror."""
 
 
-def _keys(keys: Sequence[str] | str) -> list[str]:
+def _keys(df: DataFrame, keys: Sequence[str] | str) -> list[str]:
+    """Key names as ``df`` spells them, found the way the session resolves names."""
     keys = [keys] if isinstance(keys, str) else list(keys)
     if not keys:
         raise ValueError("at least one key column is required")
-    return keys
+    if df.sparkSession.conf.get("spark.sql.caseSensitive") == "true":
+        return keys
+    spelled = {c.lower(): c for c in df.columns}
+    return [spelled.get(k.lower(), k) for k in keys]
+
+
+def _same_shape(src: DataFrame, tgt: DataFrame) -> None:
+    """Both sides need the same column names and types: a silent cast would call
+    ``01`` and ``1`` equal, or fail while the join runs."""
+    missing = set(src.columns) ^ set(tgt.columns)
+    if missing:
+        raise ValueError(f"source and target columns differ: {sorted(missing)}")
+    s, t = dict(src.dtypes), dict(tgt.dtypes)
+    other = {c: (s[c], t[c]) for c in s if s[c] != t[c]}
+    if other:
+        raise ValueError(f"source and target types differ: {other}")
 
 
 def check_keys(src: DataFrame, tgt: DataFrame, keys: Sequence[str] | str) -> None:
     """Raise :class:`MirrorKeyError` if a key is null or repeated on either side."""
-    keys = _keys(keys)
-    both = (src.select(*keys, F.lit("source").alias("side"))
-               .unionByName(tgt.select(*keys, F.lit("target").alias("side"))))
-    bad = (both.groupBy("side", *keys)
-               .agg(F.count(F.lit(1)).alias("n"))
-               .filter((F.col("n") > 1) | any_key_null(keys))
+    keys = _keys(src, keys)
+    both = (src.select(*keys, F.lit("source").alias(_SIDE))
+               .unionByName(tgt.select(*keys, F.lit("target").alias(_SIDE))))
+    bad = (both.groupBy(_SIDE, *keys)
+               .agg(F.count(F.lit(1)).alias(_ROWS))
+               .filter((F.col(_ROWS) > 1) | any_key_null(keys))
                .limit(1)
                .collect())
     if bad:
         row = bad[0].asDict()
         null_key = any(row[k] is None for k in keys)
-        problem = "null key" if null_key else f"key repeated {row['n']} times"
-        raise MirrorKeyError(f"{row['side']}: {problem}: {[row[k] for k in keys]}")
+        problem = "null key" if null_key else f"key repeated {row[_ROWS]} times"
+        raise MirrorKeyError(f"{row[_SIDE]}: {problem}: {[row[k] for k in keys]}")
 
 
 def mirror_diff(src: DataFrame, tgt: DataFrame, keys: Sequence[str] | str, *,
-                check: bool = True, changes_only: bool = False) -> DataFrame:
+                check: bool = True, changes_only: bool = False,
+                change_col: str = CHANGE) -> DataFrame:
     """One row per key of either side: the key, the row's values (source
-    values, or target values for a delete) and ``change``."""
-    keys = _keys(keys)
+    values, or target values for a delete) and ``change_col``.  A table that has
+    a column of that name needs another ``change_col``."""
+    keys = _keys(src, keys)
     values = [c for c in src.columns if c not in keys]
-    missing = set(src.columns) ^ set(tgt.columns)
-    if missing:
-        raise ValueError(f"source and target columns differ: {sorted(missing)}")
+    _same_shape(src, tgt)
+    if change_col.lower() in {c.lower() for c in src.columns}:
+        raise ValueError(f"the tables have a column {change_col!r}; give another change_col")
     if check:
         check_keys(src, tgt, keys)
     s = src.select(*keys, *[F.col(c).alias(f"s__{c}") for c in values], F.lit(True).alias(_SRC))
@@ -79,10 +98,10 @@ def mirror_diff(src: DataFrame, tgt: DataFrame, keys: Sequence[str] | str, *,
         *keys,
         *[F.when(F.col(_SRC).isNull(), tc).otherwise(sc).alias(c)
           for c, sc, tc in zip(values, s_cols, t_cols)],
-        change.alias(CHANGE),
+        change.alias(change_col),
     )
     if changes_only:
-        out = out.filter(F.col(CHANGE) != SAME)
+        out = out.filter(F.col(change_col) != SAME)
     return out
 
 
@@ -96,13 +115,12 @@ def mirror_apply(src: DataFrame, tgt: DataFrame, keys: Sequence[str] | str, *,
 
     No full join is needed for either mode.  With ``delete`` the result *is*
     the source (once its keys are checked).  Without, it is the source plus
-    the target rows whose key the source lacks: a left-anti join that
-    shuffles only the source's key columns.
+    the target rows whose key the source lacks: a left-anti join, which
+    shuffles the source's key columns and, unless those are small enough to
+    broadcast, the target's rows.
     """
-    keys = _keys(keys)
-    missing = set(src.columns) ^ set(tgt.columns)
-    if missing:
-        raise ValueError(f"source and target columns differ: {sorted(missing)}")
+    keys = _keys(src, keys)
+    _same_shape(src, tgt)
     if check:
         check_keys(src, tgt, keys)
     out = src.select(*src.columns)
@@ -112,6 +130,6 @@ def mirror_apply(src: DataFrame, tgt: DataFrame, keys: Sequence[str] | str, *,
     return out.unionByName(target_only.select(*src.columns))
 
 
-def change_counts(diff: DataFrame) -> DataFrame:
+def change_counts(diff: DataFrame, change_col: str = CHANGE) -> DataFrame:
     """(change, rows) summary of a diff."""
-    return diff.groupBy(CHANGE).agg(F.count(F.lit(1)).alias("rows"))
+    return diff.groupBy(change_col).agg(F.count(F.lit(1)).alias("rows"))

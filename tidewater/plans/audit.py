@@ -125,6 +125,16 @@ def read_attempt_audit(spark: SparkSession, audit_path: str, attempt: str) -> Da
             .select(*AUDIT_COLUMNS))
 
 
+def attempt_is_audited(spark: SparkSession, audit_path: str, attempt: str) -> bool:
+    """Whether the audit holds rows of ``attempt``; only its folder is listed."""
+    try:
+        return not read_attempt_audit(spark, audit_path, attempt).isEmpty()
+    except AnalysisException as exc:
+        if not _missing_path(exc):
+            raise
+        return False
+
+
 def _latest(df: DataFrame, columns: list[str]) -> DataFrame:
     """Latest attempt per run_date, with ``columns``: by ``finished``, then
     attempt id (ids sort by start time).  ``max_by`` aggregates map-side, so a
@@ -191,7 +201,7 @@ def read_run(spark: SparkSession, runs_path: str, audit_path: str, run_date: str
 
 def run_metrics(spark: SparkSession, audit_path: str, attempt: str) -> DataFrame:
     """A4: (run_date, input_rows, output_rows, written_rows, status) of one attempt."""
-    return (read_audit(spark, audit_path).filter(F.col(ATTEMPT) == attempt)
+    return (read_attempt_audit(spark, audit_path, attempt)
             .select(RUN_DATE, "input_rows", "output_rows", "written_rows", "status"))
 
 

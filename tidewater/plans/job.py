@@ -36,7 +36,7 @@ from ..sources.parquet import (
     write_attempt,
     write_overwrite,
 )
-from .audit import audit_row, latest_verified, record_run, verify_and_record
+from .audit import attempt_is_audited, audit_row, latest_verified, record_run, verify_and_record
 
 
 @dataclass
@@ -67,7 +67,7 @@ def _now() -> datetime:
 
 
 def build_output(raw: DataFrame, columns, name: str, carry=(), rebalance=None,
-                 observe_values: str | None = None, input_metrics=()):
+                 observe_values: str | None = None, input_metrics=(), keep=None):
     """Projection + empty-row filter with observed counts.
 
     Returns ``(output, input_observation, output_observation)``.  ``carry``
@@ -83,6 +83,7 @@ def build_output(raw: DataFrame, columns, name: str, carry=(), rebalance=None,
     an executor is lost.
 
     ``input_metrics`` are further aggregate columns observed on the input.
+    ``keep`` is a condition for rows to go on behind the input counts.
     ``observe_values`` names a column whose distinct values are also observed
     on the output (``collect_set``) - only for columns with few values, such
     as the run date of a backfill, whose values are bounded by the request.
@@ -99,6 +100,8 @@ def build_output(raw: DataFrame, columns, name: str, carry=(), rebalance=None,
     selected, in_obs = observe_rows(selected, f"in-{name}", *extra)
     if has_corrupt:
         selected = selected.drop(CORRUPT_COLUMN)
+    if keep is not None:
+        selected = selected.filter(keep)
     out = drop_all_null(selected, columns)
     values = [F.collect_set(observe_values).alias("values")] if observe_values else []
     out, out_obs = observe_rows(out, f"out-{name}", *values)
@@ -125,14 +128,36 @@ def check_schema_drift(spark: SparkSession, cfg: JobConfig, schema) -> None:
 
 
 def quarantine(raw: DataFrame, cfg: JobConfig, attempt: str) -> str:
-    """Write the rows that did not parse under the declared schema, with their
-    raw text, to ``{quarantine}/run_date=D/attempt=A/``.  A second scan, run
+    """Write the bad rows, with their raw text, to ``{quarantine}/run_date=D/attempt=A/``.
+    A row is bad when one of the kept columns did not parse under the declared schema:
+    the scan is pruned to those columns exactly as the counted one.  A second scan, run
     only when the observed count of such rows is not zero."""
     path = attempt_path(cfg.quarantine_path, cfg.run_date, attempt)
-    raw.filter(F.col(CORRUPT_COLUMN).isNotNull()).write.mode("overwrite").parquet(path)
+    bad = project(raw, [*cfg.columns, CORRUPT_COLUMN]).filter(F.col(CORRUPT_COLUMN).isNotNull())
+    fields = [f for f in raw.schema.fields if f.name != CORRUPT_COLUMN]
+    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
+    whole = F.from_csv(CORRUPT_COLUMN, ddl, dict(cfg.csv_options or {}))  # columns not kept, from the text
+    (bad.withColumn("_whole", whole)
+        .select(*[F.col(f.name) if f.name in cfg.columns else F.col("_whole")[f.name].alias(f.name) for f in fields],
+                CORRUPT_COLUMN)
+        .write.mode("overwrite").parquet(path))
     return path
 
 
+def require_new_attempt(spark: SparkSession, cfg: JobConfig, attempt: str | None) -> None:
+    """Raise ValueError for a given attempt id that the audit already holds: writing it
+    again would replace rows that readers may see."""
+    if attempt is not None and attempt_is_audited(spark, cfg.audit_path, attempt):
+        raise ValueError(f"attempt {attempt!r} is in the audit already; use a new id")
+
+
+def require_catalog(spark: SparkSession, cfg: JobConfig) -> None:
+    """Raise ValueError before anything is written when ``cfg.catalog_table`` is missing."""
+    for name in (cfg.catalog_table, f"{cfg.catalog_table}_audit"):
+        if not spark.catalog.tableExists(name):
+            raise ValueError(f"no catalog table {name!r}; create it with register_catalog")
+
+
 def write_job_log(spark: SparkSession, cfg: JobConfig, run_date: str, attempt: str,
                   lines: list[str]) -> str:
     """Keep the job's log lines next to the data (one small text file per attempt)."""
@@ -164,6 +189,8 @@ def run_job(
     unless ``raise_on_failure`` is False.
     """
     started = _now()
+    if cfg.layout != LAYOUT_OVERWRITE:
+        require_new_attempt(spark, cfg, attempt)
     attempt = attempt or new_attempt_id()
     lines: list[str] = []
 
@@ -182,6 +209,8 @@ def run_job(
     recorded = False
     failure: BaseException | None = None
     try:
+        if cfg.catalog_table and cfg.layout != LAYOUT_OVERWRITE:
+            require_catalog(spark, cfg)
         raw = scan_csv(spark, cfg.input_path, schema=cfg.schema, strict=cfg.strict,
                        recursive=cfg.recursive, options=cfg.csv_options)
         emit("Columns and types of the source:")
@@ -220,13 +249,16 @@ def run_job(
         else:
             written = count_attempt(spark, cfg.output_base, cfg.run_date, attempt, out.schema)
         emit(format_verification(written, path))
-        if cfg.preview_output:
-            for line in preview_text(spark.read.parquet(path), cfg.preview_output):
-                emit(line)
         status = RunMetrics(input_rows, output_rows, written, bad).status
     except Exception as exc:  # recorded, then re-raised below
         status, error, failure = STATUS_FAILED, f"{type(exc).__name__}: {exc}", exc
     finished = _now()
+    if cfg.preview_output and failure is None:
+        try:  # the run is decided: a preview that fails is only logged
+            for line in preview_text(spark.read.parquet(path), cfg.preview_output):
+                emit(line)
+        except Exception as exc:
+            emit(f"No preview of the output: {type(exc).__name__}: {exc}")
     emit(f"Status: {status}")
     result = RunResult(cfg.run_date, attempt, status, input_rows, output_rows, written, bad,
                        path, started, finished, error, lines)
@@ -236,7 +268,11 @@ def run_job(
         write_job_log(spark, cfg, cfg.run_date, attempt, lines)
     if cfg.catalog_table and written and cfg.layout != LAYOUT_OVERWRITE:
         from .catalog import add_attempt
-        add_attempt(spark, cfg, cfg.run_date, attempt)
+        try:  # readers go by the audit; register_catalog adds what a failure here left out
+            add_attempt(spark, cfg, cfg.run_date, attempt)
+        except Exception as exc:
+            if log is not None:
+                log(f"Catalog not updated: {type(exc).__name__}: {exc}")
     if raise_on_failure:
         if failure is not None:
             raise failure
@@ -256,13 +292,10 @@ def plan_job(spark: SparkSession, cfg: JobConfig, date_col: str | None = None,
         out, _, _ = build_output(raw, cfg.columns, "plan",
                                  rebalance=[] if cfg.rebalance else None)
         return out
-    from .runs import _date_bounds
-    from ..functions.columns import yyyymmdd
-    dated = (raw.filter(_date_bounds(raw, date_col, dates))
-                .withColumn(RUN_DATE, yyyymmdd(date_col)).filter(F.col(RUN_DATE).isin(dates)))
-    out, _, _ = build_output(dated, cfg.columns, "plan", carry=[RUN_DATE],
+    from .runs import dated_rows
+    out, _, _ = build_output(dated_rows(raw, date_col, dates), cfg.columns, "plan", carry=[RUN_DATE],
                              rebalance=[RUN_DATE] if cfg.rebalance else None,
-                             observe_values=RUN_DATE)
+                             observe_values=RUN_DATE, keep=F.col(RUN_DATE).isNotNull())
     return out
 
 
@@ -300,6 +333,7 @@ def publish_frame(
     count, write, read-back count, audit row - the same guarantees as
     :func:`run_job` (e.g. for the result of a mirror)."""
     started = _now()
+    require_new_attempt(spark, cfg, attempt)
     attempt = attempt or new_attempt_id()
     output_rows = written = None
     path = error = None

@@ -6,6 +6,7 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from ..config import LAYOUT_OVERWRITE, JobConfig, validate_run_date
 from ..functions.columns import yyyymmdd
@@ -31,7 +32,7 @@ from .audit import (
     run_status,
     write_audit,
 )
-from .job import _now, build_output, run_job
+from .job import _now, build_output, require_catalog, require_new_attempt, run_job
 
 
 def _dates(dates: Sequence[str]) -> list[str]:
@@ -54,7 +55,9 @@ def run_range(
 
     * ``date_col`` given (sliced mode): one job for all dates.  Each input row
       goes to the date of its ``date_col``; rows outside ``dates`` are not
-      written.  One write creates every ``run_date=D/attempt=A`` folder, one
+      read further.  Rows whose ``date_col`` is null or did not parse belong to
+      no date: they count as input, are logged as undated and written to the
+      quarantine.  One write creates every ``run_date=D/attempt=A`` folder, one
       aggregated read-back counts them, and the counts are joined to the list
       of dates so that a date without rows is EMPTY.  Other dates are not
       touched; the result equals running the dates one at a time.
@@ -80,36 +83,48 @@ def run_range(
         raise ValueError("sliced runs use the attempts layout")
 
     started = _now()
+    require_new_attempt(spark, cfg, attempt)
     attempt = attempt or new_attempt_id()
+    undated = 0
     failure: BaseException | None = None
     dates_df = spark.createDataFrame([(d,) for d in dates], f"{RUN_DATE} STRING")
     try:
         raw = scan_csv(spark, cfg.input_path, schema=cfg.schema, strict=cfg.strict,
                        recursive=cfg.recursive, options=cfg.csv_options)
-        dated = raw.filter(_date_bounds(raw, date_col, dates))
-        dated = dated.withColumn(RUN_DATE, yyyymmdd(date_col)).filter(F.col(RUN_DATE).isin(dates))
+        if cfg.catalog_table:
+            require_catalog(spark, cfg)
+        dated = dated_rows(raw, date_col, dates)
+        no_date = F.count_if(F.col(RUN_DATE).isNull()).alias("undated")
         per_date_in = ([F.count_if(F.col(RUN_DATE) == F.lit(d)).alias(f"in_{i}")
                         for i, d in enumerate(dates)] if cfg.per_date_input_counts else [])
         out, in_obs, out_obs = build_output(dated, cfg.columns, attempt, carry=[RUN_DATE],
                                             rebalance=[RUN_DATE] if cfg.rebalance else None,
-                                            observe_values=RUN_DATE, input_metrics=per_date_in)
+                                            observe_values=RUN_DATE, input_metrics=[no_date, *per_date_in],
+                                            keep=F.col(RUN_DATE).isNotNull())
         write_attempt_by_date(out, cfg.output_base, attempt,
                               max_records_per_file=cfg.max_records_per_file)
         in_metrics, out_metrics = in_obs.get, out_obs.get
         input_rows, output_rows = in_metrics["rows"], out_metrics["rows"]
         # dates that received rows (at most the requested ones)
         written_dates = sorted(out_metrics["values"] or [])
-        if in_metrics.get("bad"):
-            # rows that did not parse under the declared schema, with their
-            # raw text; a second scan, run only when there are any
-            (dated.filter(F.col(CORRUPT_COLUMN).isNotNull())
+        undated = in_metrics["undated"]
+        if in_metrics.get("bad") or undated:
+            # rows of which a kept column or the date did not parse (with their raw
+            # text), or without a date; a second scan, run only when there are any
+            faulty = F.col(RUN_DATE).isNull()
+            cols = [*dict.fromkeys([*cfg.columns, date_col]), RUN_DATE]
+            if CORRUPT_COLUMN in dated.columns:
+                cols.append(CORRUPT_COLUMN)
+                faulty = faulty | F.col(CORRUPT_COLUMN).isNotNull()
+            (dated.select(*cols).filter(faulty)
                   .write.mode("overwrite")
                   .parquet(f"{cfg.quarantine_path}/{ATTEMPT}={attempt}"))
         data_schema = out.drop(RUN_DATE).schema
         written = count_attempt_by_date(spark, cfg.output_base, attempt, data_schema,
                                         dates=written_dates)
-        # ``written`` has at most one row per requested date (the attempt holds
-        # nothing else); the planner sees its size.
+        # counted here, where a failure is audited
+        # bounded: at most one row per requested date (the attempt holds nothing else)
+        written = spark.createDataFrame([tuple(r) for r in written.collect()], written.schema)
         total = written.agg(F.coalesce(F.sum("written_rows"), F.lit(0)).alias("_total"))  # one row
         per_date = dates_df.join(written, RUN_DATE, "left").fillna(0, ["written_rows"]).crossJoin(total)
         matched = F.col("_total") == F.lit(output_rows)
@@ -154,6 +169,8 @@ def run_range(
     if log and input_rows is not None:
         log(f"Dates: {len(dates)} requested, {len(written_dates)} with rows")
         log(format_input_count(input_rows))
+        if undated:
+            log(f"Undated rows : {undated} in {cfg.quarantine_path}/{ATTEMPT}={attempt}")
         log(format_output_count(output_rows))
     result = read_attempt_audit(spark, cfg.audit_path, attempt)
     if cfg.catalog_table:
@@ -161,10 +178,25 @@ def run_range(
         # the read-back is the authority for which folders hold rows
         written_dates = [r[RUN_DATE] for r in result.filter(F.col("written_rows") > 0)
                          .select(RUN_DATE).collect()]  # bounded: one row per requested date
-        add_attempts(spark, cfg, written_dates, attempt)
+        try:  # readers go by the audit; register_catalog adds what a failure here left out
+            add_attempts(spark, cfg, written_dates, attempt)
+        except Exception as exc:
+            if log:
+                log(f"Catalog not updated: {type(exc).__name__}: {exc}")
     return result
 
 
+def dated_rows(raw: DataFrame, date_col: str, dates: list[str]) -> DataFrame:
+    """Rows of the requested dates with their ``run_date``, and rows without a usable date
+    with a null one.  The range on the raw column reaches the scan."""
+    near = raw.filter(_date_bounds(raw, date_col, dates) | F.col(date_col).isNull())
+    at = F.col(date_col)
+    if isinstance(raw.schema[date_col].dataType, StringType):
+        at = at.try_cast("timestamp")  # text that is no date has none
+    dated = near.withColumn(RUN_DATE, yyyymmdd(at))
+    return dated.filter(F.col(RUN_DATE).isin(dates) | F.col(RUN_DATE).isNull())
+
+
 def _date_bounds(df: DataFrame, date_col: str, dates: list[str]):
     """Range predicate on the raw date column (pushable to the scan) around
     the requested dates; the exact per-date filter follows it."""

@@ -16,14 +16,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import LongType, StructField, StructType
 
 from ..config import DEFAULT_COLUMNS
 from ..operators.transforms import drop_all_null, project
-from ..sources.csv import csv_reader
+from ..sources.csv import CORRUPT_COLUMN, csv_reader
 
 BATCH_ID = "batch_id"
 STREAM = "stream"
@@ -59,13 +59,31 @@ def _guard_checkpoint(spark: SparkSession, target: str, checkpoint: str) -> None
             .write.mode("overwrite").text(marker)
 
 
-def _batch_writer(target: str):
+def stream_quarantine_path(out_base: str, name: str) -> str:
+    """Folder of the rows of one named stream that did not parse (hidden from readers)."""
+    return f"{out_base.rstrip('/')}/_quarantine/{STREAM}={name}"
+
+
+def _batch_writer(target: str, bad_rows: str | None = None, cols: Sequence[str] | None = None):
+    """Writer of a batch's rows and, with ``bad_rows``, of those that did not parse."""
+    def write_rows(rows: DataFrame, batch_id: int) -> None:
+        (rows.withColumn(BATCH_ID, F.lit(batch_id).cast("bigint"))
+             .write.mode("overwrite")
+             .option("partitionOverwriteMode", "dynamic")
+             .partitionBy(BATCH_ID)
+             .parquet(target))
+
     def write_batch(batch: DataFrame, batch_id: int) -> None:
-        (batch.withColumn(BATCH_ID, F.lit(batch_id).cast("bigint"))
-              .write.mode("overwrite")
-              .option("partitionOverwriteMode", "dynamic")
-              .partitionBy(BATCH_ID)
-              .parquet(target))
+        if bad_rows is None:
+            write_rows(batch, batch_id)
+            return
+        seen = Observation(f"ingest-{batch_id}")
+        counted = batch.observe(seen, F.count_if(F.col(CORRUPT_COLUMN).isNotNull()).alias("bad"))
+        write_rows(drop_all_null(counted.drop(CORRUPT_COLUMN), cols), batch_id)
+        if seen.get["bad"]:  # a second read of the batch's files, only when there are any
+            (batch.filter(F.col(CORRUPT_COLUMN).isNotNull())
+                  .write.mode("overwrite").parquet(f"{bad_rows}/{BATCH_ID}={batch_id}"))
+
     return write_batch
 
 
@@ -95,6 +113,9 @@ def ingest_stream(
     folder that keeps growing, ``clean_source="archive"`` (with
     ``archive_dir``) or ``"delete"`` moves processed files out of it; it is off
     by default, so the input is never touched unless asked.
+
+    Rows of which a kept column did not parse are also written, with their raw
+    text, below :func:`stream_quarantine_path`, by batch id like the output.
     """
     reader = csv_reader(spark, schema=schema, strict=strict, streaming=True, options=options)
     if max_files_per_trigger:
@@ -108,13 +129,13 @@ def ingest_stream(
         if archive_dir:
             reader = reader.option("sourceArchiveDir", archive_dir)
     cols = list(columns)
-    shaped = drop_all_null(project(reader.csv(source), cols), cols)
+    rows = project(reader.csv(source), [*cols, CORRUPT_COLUMN])
     target = stream_path(out_base, name)
     _guard_checkpoint(spark, target, checkpoint)
-    writer = (shaped.writeStream
-                    .foreachBatch(_batch_writer(target))
-                    .option("checkpointLocation", checkpoint)
-                    .queryName(f"ingest_{name}"))
+    writer = (rows.writeStream
+                  .foreachBatch(_batch_writer(target, stream_quarantine_path(out_base, name), cols))
+                  .option("checkpointLocation", checkpoint)
+                  .queryName(f"ingest_{name}"))
     if available_now:
         writer = writer.trigger(availableNow=True)
     else:
