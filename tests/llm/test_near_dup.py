@@ -80,3 +80,22 @@ def test_five_words(spark):
 @pytest.mark.parametrize("rows", [[], [(1, None)], [(None, None)]])
 def test_empty(spark, rows):
     assert got(spark, rows) == brute(rows, 5)
+
+
+def test_alike_equals_pairwise_comparison():
+    import numpy as np
+
+    from tidewater.llm.near_dup import SHARED, _alike, similar
+
+    rng = np.random.default_rng(3)
+    base = np.unique(rng.integers(0, 2**63, 2 * SHARED).astype(np.uint64))
+
+    def near(n):
+        for _ in range(n):
+            own = rng.integers(0, 2**63, rng.integers(0, 900)).astype(np.uint64)
+            yield np.unique(np.r_[base[rng.random(len(base)) < rng.uniform(0.8, 1)], own])
+
+    a, b = [*near(12), base, base[:3]], [*near(9), base, base[-1:]]
+    linked = _alike(a, b, 80)
+    assert linked.any() and not linked.all()
+    assert linked.tolist() == [[similar(x, y, 80) for y in b] for x in a]

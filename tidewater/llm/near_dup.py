@@ -11,8 +11,9 @@ soon as they are small:
   exhaustively on full sets (nodes with equal members are compared once);
 * a node that is still large after ``levels`` levels is a dense group: every member is
   compared with ``pivots`` pivots, in blocks.  Members outside the component that then
-  holds most of the node are compared, block by block, with all members of other
-  components.  Members of one component need no further pair.  Nothing is capped.
+  holds most of the node are compared with all members of other components, in large
+  blocks whose shared shingles are counted by matrix products.  Members of one component
+  need no further pair.  Nothing is capped.
 
 Equal sets are one class and enter the trees once.  A comparison group emits at most one
 edge per member (a spanning star), components are found by label rounds on Spark.
@@ -49,6 +50,7 @@ class NearDup:
     pivots: int = 6
     node_docs: int = 96
     node_shingles: int = 1 << 20
+    block_docs: int = 1024
     seed: int = 7
 
     def functions(self) -> np.ndarray:
@@ -152,6 +154,35 @@ def _exhaustive(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
     return edges
 
 
+#: Shingles whose counts one matrix product adds up.
+SHARED = 4096
+
+
+def _alike(a: list[np.ndarray], b: list[np.ndarray], percent: int) -> np.ndarray:
+    """Which of the sets ``a`` (rows) and ``b`` (columns) are similar.  Shingles of both
+    sides are columns of 0/1 matrices, whose products count what two sets share."""
+    one, other = np.concatenate(a), np.concatenate(b)
+    shared = np.intersect1d(one, other)
+    size = [np.array([len(x) for x in side]) for side in (a, b)]
+    both = np.zeros((len(a), len(b)), dtype=np.int64)
+    at = []
+    for flat, n in zip((one, other), size):
+        row = np.repeat(np.arange(len(n)), n)
+        held = np.isin(flat, shared)
+        row, col = row[held], np.searchsorted(shared, flat[held])
+        order = np.argsort(col, kind="stable")
+        at.append((row[order], col[order]))
+    for k in range(0, len(shared), SHARED):
+        parts = []
+        for (row, col), n in zip(at, size):
+            i, j = np.searchsorted(col, (k, k + SHARED))
+            m = np.zeros((len(n), min(SHARED, len(shared) - k)), dtype=np.float32)
+            m[row[i:j], col[i:j] - k] = 1
+            parts.append(m)
+        both += (parts[0] @ parts[1].T).astype(np.int64)
+    return 100 * both >= percent * (size[0][:, None] + size[1][None, :] - both)
+
+
 #: Roles of a row in a comparison group.
 SMALL, STAR, PIVOT, REST, ALL = range(5)
 
@@ -185,11 +216,14 @@ def _compare(p: NearDup):
                         up[x] = x = up[up[x]]
                     return x
 
-                for k, _, root, x in (x for x in rows if x[1] == REST):
-                    for k2, _, root2, y in (x for x in rows if x[1] == ALL):
-                        if find(root) != find(root2) and similar(x, y, p.percent):
-                            out.append((k, k2))
-                            up[find(root)] = find(root2)
+                left, right = ([x for x in rows if x[1] == r] for r in (REST, ALL))
+                if left and right:
+                    linked = _alike([x[3] for x in left], [x[3] for x in right], p.percent)
+                    for i, j in zip(*(x.tolist() for x in np.nonzero(linked))):
+                        one, other = find(left[i][2]), find(right[j][2])
+                        if one != other:
+                            out.append((left[i][0], right[j][0]))
+                            up[one] = other
             if len(out) >= 4096:
                 yield _edges(out)
                 out = []
@@ -296,10 +330,13 @@ def near_duplicates(docs: DataFrame, params: NearDup = NearDup(), *, id_col: str
     pool = staged(placed.join(main, F.col("node") == F.col("n2")).groupBy("main", "key").agg(
         F.first("root").alias("root"), F.first("n").alias("n")), "pool")
     if not pool.isEmpty():
-        blocks = F.greatest(F.ceil(2 * F.count("*") / p.node_docs), F.ceil(2 * F.sum("n") / p.node_shingles))
+        def parts_of(n, w):
+            return F.greatest(F.ceil(2 * n / p.block_docs), F.ceil(2 * w / p.node_shingles)).cast("long")
+
+        far = F.col("root") != F.col("main")
         sizes = pool.groupBy("main").agg(
-            blocks.cast("long").alias("blocks"),
-            F.ceil(2 * F.count_if(F.col("root") != F.col("main")) / p.node_docs).cast("long").alias("parts"))
+            parts_of(F.count("*"), F.sum("n")).alias("blocks"),
+            parts_of(F.count_if(far), F.sum(F.when(far, F.col("n")))).alias("parts"))
         pool = pool.join(sizes.withColumnRenamed("main", "m2"), F.col("main") == F.col("m2"))
         part = F.pmod(F.xxhash64("key", F.lit(5)), F.col("parts"))
         grp = lambda i, j: F.xxhash64("main", F.lit("rest"), i, j).alias("grp")
