@@ -11,6 +11,8 @@ Captures are reduced to distinct (host, path prefixes, day) before the join, so
 a third of all captures joins once for each path and day; the join itself is an equi-join
 whose hot keys the skew join splits.
 
+A prefix may name any number of path segments: captures keep as many as the longest pattern.
+
 Special cases.  Null or relative URLs and null days match nothing and are kept.  Host and
 scheme ignore case; user, port, a final dot, query and fragment are ignored.  Repeated adds
 or removes change nothing; on one day an add outranks a remove.  Null entry fields: the
@@ -24,9 +26,6 @@ from pyspark.sql import functions as F
 
 from .common import pick
 
-#: Path segments that a pattern may name.
-DEPTH = 3
-
 
 def split_url(url) -> tuple:
     """Host (lower case) and path of a URL column; null if it has no host."""
@@ -52,10 +51,13 @@ def apply_lists(captures: DataFrame, entries: DataFrame, *, id_col: str = "page_
                 day_col: str = "day") -> DataFrame:
     """``page_id, host, day, n_active`` (active entries that cover the capture), ``rule`` (the
     deciding ``list:pattern``, null if none) and ``blocked``, one row per capture."""
+    spans = intervals(pick(entries, list="list", pattern="pattern", action="action", day="day"))
+    # bounded: one row; no capture needs a longer prefix than the longest pattern has
+    depth = spans.agg(F.max(F.size(F.split("pattern", "/")) - 1)).collect()[0][0] or 0
     host, path = split_url(F.col("url"))
     rows = pick(captures, id=id_col, url=url_col, day=day_col).select("id", "day", host.alias("host"), path.alias("path"))
     parts = F.filter(F.split(F.lower("path"), "/"), lambda x: x != "")
-    rows = rows.withColumn("prefix", F.concat_ws("/", F.slice(parts, 1, DEPTH)))
+    rows = rows.withColumn("prefix", F.concat_ws("/", F.slice(parts, 1, depth)))
     distinct = rows.filter("host is not null and day is not null").select("host", "prefix", "day").distinct()
     labels, steps = F.split("host", r"\."), F.filter(F.split("prefix", "/"), lambda x: x != "")
     hosts = F.transform(F.sequence(F.lit(1), F.size(labels)),
@@ -64,7 +66,6 @@ def apply_lists(captures: DataFrame, entries: DataFrame, *, id_col: str = "page_
         i > 0, F.concat(F.lit("/"), F.array_join(F.slice(steps, 1, i), "/"))).otherwise(""))
     keyed = distinct.select("host", "prefix", "day", F.explode(F.flatten(F.transform(
         hosts, lambda h: F.transform(paths, lambda p: F.concat(h, p))))).alias("key"))
-    spans = intervals(pick(entries, list="list", pattern="pattern", action="action", day="day"))
     active = keyed.join(spans, (F.col("key") == F.col("pattern")) & (F.col("day") >= F.col("valid_from")) &
                         (F.col("valid_to").isNull() | (F.col("day") < F.col("valid_to"))))
     order = F.struct(F.length("pattern"), F.when(F.col("list") == "allow", 1).otherwise(0), F.col("pattern"))
