@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pytest
 
-from tidewater.llm.cap_filters import Caps, near_vectors
+from tidewater.llm.cap_filters import Caps, Code, near_vectors
 
 
 def brute(rows):
@@ -70,3 +70,20 @@ def test_against_brute_force(spark, rows):
     rows = [(i, None if v is None else [None if z is None else float(np.float32(z)) for z in v], l) for i, v, l in rows]
     got = near_vectors(df, Caps(block=32)).collect()
     assert sorted([tuple(x) for x in got], key=repr) == brute(rows)
+
+
+@pytest.mark.parametrize("vectors", [500, 100_000, 5_000_000])
+def test_every_vector_is_listed_and_near_ones_meet(vectors):
+    p, r = Caps(), np.random.default_rng(11)
+    x = r.normal(size=(1000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    u = r.normal(size=x.shape)
+    u -= (u * x).sum(axis=1, keepdims=True) * x
+    y = .9801 * x + np.sqrt(1 - .9801 ** 2) * u / np.linalg.norm(u, axis=1, keepdims=True)
+    missed = np.ones(len(x), dtype=bool)
+    for k in range(p.codes):
+        code = Code(p, 64, vectors, k)
+        a, b = code.decode(x), code.decode(y)
+        assert min(map(len, a + b)) >= p.fewest and all((np.diff(z) > 0).all() for z in a)
+        missed &= [not np.isin(i, j).any() for i, j in zip(a, b)]
+    assert not missed.any()
