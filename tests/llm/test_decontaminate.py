@@ -67,3 +67,15 @@ def test_against_brute_force(spark, rows, items):
     bench = spark.createDataFrame(items, "item_id long, text string")
     got = find_contamination(docs, bench).collect()
     assert sorted([tuple(x) for x in got], key=repr) == brute(rows, items)
+
+
+def test_documents_shorter_than_an_item(spark):
+    """An item with words cut off at either end is found while 80 % of its shingles are there."""
+    item = [f"w{i}" for i in range(44)]  # 40 shingles
+    rows = [(i, " ".join(w)) for i, w in enumerate(
+        [item[1:], item[:-1], item[4:-4], item[:-8], item[:-9], item[:10], ["x", *item[:-3], "y"], [], item[:4]])]
+    docs = spark.createDataFrame([*rows, (None, rows[1][1])], "doc_id long, text string")
+    bench = spark.createDataFrame([(7, " ".join(item)), (8, "a b c d")], "item_id long, text string")
+    got = sorted((tuple(x) for x in find_contamination(docs, bench).collect()), key=repr)
+    want = [(i, 7, n / 40, 0) for i, n in ((0, 39), (1, 39), (2, 32), (3, 32), (None, 39))]
+    assert got == sorted([*want, (6, 7, 37 / 42, 0)], key=repr)

@@ -18,8 +18,9 @@ together ``ITEM_BYTES`` bytes at a time; a larger benchmark takes several passes
 documents, each with a part chosen by hash.  Documents are never moved.
 
 Special cases.  Null, empty or blank texts and items match nothing.  An item with fewer
-words than a shingle is one shingle.  A document shorter than an item holds no window of
-it.  Items of equal text are reported each; repeated rows give repeated reports.
+words than a shingle is one shingle.  A document shorter than an item is
+one window, its whole text, if it has shingles enough for ``percent`` %.  Items of equal text
+are reported each; repeated rows give repeated reports.
 """
 
 from __future__ import annotations
@@ -138,10 +139,25 @@ def _windows_of(x: Index, hits, names, doc, first, k, percent):
     lo = np.maximum(hits - n + 1, first[doc[hits]])
     hi = np.minimum(hits, first[doc[hits] + 1] - x.length)
     lo, hi = lo[lo <= hi], hi[lo <= hi]
+    out = _short(x, hits, names, doc, first, k, percent)
     if not len(lo):
-        return []
+        return out
     delta = np.bincount(lo, minlength=len(names) + 1) - np.bincount(hi + 1, minlength=len(names) + 1)
-    starts, out = np.flatnonzero(np.cumsum(delta) > 0), []
+    return out + _checked(x, np.flatnonzero(np.cumsum(delta) > 0), n, names, doc, percent)
+
+
+def _short(x: Index, hits, names, doc, first, k, percent):
+    """Documents shorter than the items, with enough shingles still: the whole text is the window."""
+    size = np.diff(first)
+    d = np.unique(doc[hits])
+    d = d[(size[d] >= k) & (size[d] < x.length) & (100 * (size[d] - k + 1) >= percent * (x.length - k + 1))]
+    return [r for m in np.unique(size[d]).tolist()
+            for r in _checked(x, first[d[size[d] == m]], m - k + 1, names, doc, percent)]
+
+
+def _checked(x: Index, starts, n, names, doc, percent):
+    """Those of the windows of ``n`` shingles that are alike."""
+    out = []
     for a in range(0, len(starts), 4096):
         at = starts[a:a + 4096]
         prints = simhash(names, at, n)
