@@ -2,7 +2,8 @@
 
 ``STAGES`` lists (name, function); a function takes (spark, docs, sf_dir) and returns a
 DataFrame, which is written as Parquet and read again as the next stage's ``docs``.  All
-stages but the last return the columns of ``documents``.
+stages but the last return the columns of ``documents`` and the number of each row.  They
+decide on rows by that number, since ids may repeat or be null.
 """
 
 from __future__ import annotations
@@ -14,26 +15,42 @@ from pyspark.sql import functions as F
 from tidewater.llm.byte_bpe import bpe_decode, bpe_encode, digests
 from tidewater.llm.common import staged
 from tidewater.llm.decontaminate import find_contamination
-from tidewater.llm.language_id import UND, identify_language
+from tidewater.llm.language_id import UND, languages_beside
 from tidewater.llm.near_dup import NearDup, near_duplicates
 from tidewater.llm.substring_dup import remove_repeats
 
 
-def _only(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
-    """Documents whose id is (``left_semi``) or is not (``left_anti``) among ``ids``."""
-    ids = ids.select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(ids, docs["doc_id"].eqNullSafe(F.col("_id")), how)
+#: Number of a row, unlike in all rows: ids may repeat or be null.  ``language`` writes it first.
+ROW = "row_number_"
+
+
+def _numbered(docs: DataFrame) -> DataFrame:
+    """``docs`` with their row numbers; written before use, so that they stay."""
+    if ROW in docs.columns:
+        return docs
+    return staged(docs.withColumn(ROW, F.monotonically_increasing_id()), "numbered")
+
+
+def _without(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """Rows whose number is not among ``rows``."""
+    return docs.join(rows.select(F.col(ROW).alias("_row")).distinct(), F.col(ROW) == F.col("_row"), "left_anti")
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with no letter, or with no language that most words have, go."""
-    lang = staged(identify_language(docs), "language")
-    return _only(docs, lang.filter((F.col("lang_pred") == UND) | (F.col("score") < 0.4)), "left_anti")
+    """Rows with no letter, or with no language that most words have, go; the others get numbers."""
+    names = [F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns) if c != ROW]
+    good = languages_beside(docs).filter((F.col("lang_pred") != UND) & (F.col("score") >= 0.4))
+    return good.select(*names, F.monotonically_increasing_id().alias(ROW))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays: five-word shingles, 80 % and more."""
-    return _only(docs, near_duplicates(docs, NearDup(words=5)).filter("not kept"), "left_anti")
+    """One row of each group of near copies stays, that of the smallest id (null last), of equal
+    ids the smallest text hash and number: five-word shingles, 80 % and more."""
+    docs = _numbered(docs)
+    key = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"),
+                   F.xxhash64("text").alias("text_hash"), F.col(ROW).alias(ROW))
+    found = near_duplicates(docs.select(key.alias("row_key"), "text"), NearDup(words=5), id_col="row_key")
+    return _without(docs, found.filter("not kept").select(f"doc_id.{ROW}"))
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,7 +68,9 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark passage go."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    return _only(docs, staged(find_contamination(docs, benchmark), "leaks"), "left_anti")
+    docs = _numbered(docs)
+    leaks = staged(find_contamination(docs, benchmark, id_col=ROW), "leaks")
+    return _without(docs, leaks.select(F.col("doc_id").alias(ROW)))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

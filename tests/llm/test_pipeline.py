@@ -1,0 +1,147 @@
+"""Every stage of the pipeline and the whole run against plain Python, on rows with null,
+repeated and shared ids, repeated rows and empty texts."""
+
+import base64
+import hashlib
+import os
+import random
+import sys
+from collections import Counter
+
+import numpy as np
+import public_tokenizers
+import pytest
+import tiktoken
+
+sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))))
+
+import corpus_pipeline  # noqa: E402
+
+SCHEMA = "doc_id long, text string, lang string, n_chars int"
+R = random.Random(4)
+WORDS = ["".join(R.choice("abcdefghijklmnop") for _ in range(R.randint(3, 8))) for _ in range(600)]
+SPAN = " ".join(R.choice(WORDS) for _ in range(40))
+ITEM = " ".join(R.choice(WORDS) for _ in range(30))
+
+
+def text(n):
+    return " ".join(R.choice(WORDS) for _ in range(n))
+
+
+def fixture():
+    a, b, c, d = (text(80) for _ in range(4))
+    rows = [(i, text(60)) for i in range(20)]
+    rows += [(20, a), (20, a), (20, a), (None, b), (None, b), (None, text(50)), (None, text(50))]  # repeated rows, null ids
+    rows += [(21, c), (21, text(70)), (22, c), (None, c + " more")]    # an id of two texts; a near copy of a null id
+    rows += [(30, f"{text(20)} {SPAN} {text(20)}"), (None, f"{text(20)} {SPAN} {text(20)}"), (31, SPAN)]
+    rows += [(None, f"{text(20)} {ITEM} {text(20)}"), (21, f"{text(10)} {ITEM}"), (40, " ".join(ITEM.split()[2:]))]
+    rows += [(None, None), (None, ""), (50, " \n"), (51, "12 34 !"), (None, "12 34"), (20, "77")]
+    R.shuffle(rows)
+    return [(i, t, "en", None if t is None else len(t)) for i, t in rows]
+
+
+def shingles(t, k=5):
+    w = t.lower().split()
+    return {tuple(w[i:i + k]) for i in range(max(1, len(w) - k + 1))} if w else set()
+
+
+def language(rows):
+    return [r for r in rows if r[1] and any(x.isalpha() for x in r[1])]
+
+
+def near_dedup(rows):
+    sets, left = [shingles(r[1]) for r in rows], []
+    order = sorted(range(len(rows)), key=lambda i: (rows[i][0] is None, rows[i][0] or 0))
+    home = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+                home = [home[j] if h == home[i] else h for h in home]
+    for i in order:
+        if sets[i] and home[i] in {home[j] for j in left}:
+            continue
+        left.append(i)
+    return [rows[i] for i in left]
+
+
+def substring_dedup(rows):
+    words = [r[1].split() for r in rows]
+    count = Counter(tuple(w[i:i + 35]) for w in words for i in range(len(w) - 34))
+    out = []
+    for r, w in zip(rows, words):
+        gone = {k for i in range(len(w) - 34) if count[tuple(w[i:i + 35])] > 1 for k in range(i, i + 35)}
+        kept = " ".join(x for k, x in enumerate(w) if k not in gone)
+        if not gone:
+            out.append(r)
+        elif kept:
+            out.append((r[0], kept, r[2], len(kept)))
+    return out
+
+
+def decontaminate(rows):
+    def bag(w):
+        return Counter(tuple(w[i:i + 5]) for i in range(len(w) - 4))
+
+    want, out = ITEM.split(), []
+    for r in rows:
+        w = r[1].split()
+        views = [bag(w[i:i + len(want)]) for i in range(max(1, len(w) - len(want) + 1))]
+        if not any(100 * sum((v & bag(want)).values()) >= 80 * sum((v | bag(want)).values()) for v in views):
+            out.append(r)
+    return out
+
+
+def encode(rows):
+    path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
+    enc = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    out = []
+    for i, t, *_ in rows:
+        ids = enc.encode_ordinary(t)
+        out.append((i, len(ids), hashlib.sha256(np.array(ids, dtype="<u4").tobytes()).hexdigest(),
+                    hashlib.sha256(t.encode()).hexdigest()))
+    return out
+
+
+PLAIN = [language, near_dedup, substring_dedup, decontaminate, encode]
+
+
+def as_text(rows):
+    return sorted(map(repr, rows))
+
+
+@pytest.fixture
+def sf_dir(spark, tmp_dir):
+    def write(rows):
+        folder = os.path.join(tmp_dir, f"sf{len(rows)}")
+        spark.createDataFrame(rows, SCHEMA).write.parquet(f"{folder}/documents.parquet")
+        spark.createDataFrame([(1, ITEM)], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+        return folder
+
+    return write
+
+
+def test_stages_and_run(spark, sf_dir):
+    rows = fixture()
+    folder = sf_dir(rows)
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    for (name, stage), plain in zip(corpus_pipeline.STAGES, PLAIN):
+        rows = plain(rows)
+        docs = corpus_pipeline.staged(stage(spark, docs, folder), f"test-{name}")
+        columns = [c for c in docs.columns if c != corpus_pipeline.ROW]
+        assert as_text(map(tuple, docs.select(*columns).collect())) == as_text(rows), name
+    assert as_text(map(tuple, corpus_pipeline.run(spark, folder).collect())) == as_text(rows)
+    ids = Counter(r[0] for r in rows)
+    assert ids[20] == 1 and ids[None] >= 4 and ids[40] == 0
+
+
+@pytest.mark.parametrize("k", [1, 3])
+def test_a_stage_by_itself(spark, sf_dir, k):
+    rows = language(fixture())
+    folder = sf_dir(rows)
+    got = corpus_pipeline.STAGES[k][1](spark, spark.read.parquet(f"{folder}/documents.parquet"), folder)
+    assert as_text(tuple(r)[:4] for r in got.collect()) == as_text(PLAIN[k](rows))
+
+
+def test_empty_table(spark, sf_dir):
+    assert corpus_pipeline.run(spark, sf_dir([])).count() == 0

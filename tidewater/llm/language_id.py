@@ -28,6 +28,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import U64, Words, crc32_of, pick, slices, text_bytes, words_of
 from .tasks import task
@@ -247,7 +248,8 @@ def fit(texts: list[str], langs: list[str], p: Training = Training()) -> Model |
     return m
 
 
-def _predict(m: Model | None):
+def _predict(m: Model | None, names: tuple = ("doc_id", "held_out")):
+    """The columns ``names`` of each row, ``lang_pred`` and ``score``."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for s in slices(batches, "body"):
             col = s.column("body")
@@ -266,8 +268,8 @@ def _predict(m: Model | None):
                         lang[i] = m.labels[best[i]]
                         score[i] = min(1.0, float(mean[i, best[i]]))
             yield pa.RecordBatch.from_arrays(
-                [s.column("doc"), s.column("held"), pa.array(lang, pa.string()), pa.array(score)],
-                names=["doc_id", "held_out", "lang_pred", "score"])
+                [*(s.column(c) for c in names), pa.array(lang, pa.string()), pa.array(score)],
+                names=[*names, "lang_pred", "score"])
 
     return run
 
@@ -288,14 +290,33 @@ def training_sample(docs: DataFrame, p: Training = Training(), *, id_col="doc_id
     return rows.filter(lot < limit).select("body", F.col("lang").cast("string").alias("lang")).collect()
 
 
+def _trained(docs: DataFrame, p: Training, **columns: str) -> Model | None:
+    sample = training_sample(docs, p, **columns)
+    return fit([r["body"] for r in sample], [r["lang"] for r in sample], p)
+
+
 def identify_language(docs: DataFrame, p: Training = Training(), *, id_col: str = "doc_id",
                       text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """``doc_id, held_out, lang_pred, score`` for every row."""
-    sample = training_sample(docs, p, id_col=id_col, text_col=text_col, lang_col=lang_col)
-    model = fit([r["body"] for r in sample], [r["lang"] for r in sample], p)
+    model = _trained(docs, p, id_col=id_col, text_col=text_col, lang_col=lang_col)
     rows = pick(docs, doc=id_col, body=text_col)
     held = F.coalesce(F.pmod(crc32_of(F.col("doc")), F.lit(3)) == 1, F.lit(True))
-    rows = rows.select("doc", F.col("body").cast("string").alias("body"), held.alias("held"))
-    kind = rows.schema["doc"].dataType.simpleString()
+    rows = rows.select(F.col("doc").alias("doc_id"), F.col("body").cast("string").alias("body"), held.alias("held_out"))
+    kind = rows.schema["doc_id"].dataType.simpleString()
     return rows.mapInArrow(task(_predict, model),
                            f"doc_id {kind}, held_out boolean, lang_pred string, score double")
+
+
+def languages_beside(docs: DataFrame, p: Training = Training(), *, id_col: str = "doc_id",
+                     text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """All rows of ``docs`` with all their columns, under the names ``c0, c1, ...`` in order,
+    and ``lang_pred, score``."""
+    model = _trained(docs, p, id_col=id_col, text_col=text_col, lang_col=lang_col)
+    at = [i for i, c in enumerate(docs.columns) if c == text_col] or \
+        [i for i, c in enumerate(docs.columns) if c.lower() == text_col.lower()]
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    flat = docs.toDF(*names)
+    out = T.StructType([*flat.schema.fields, T.StructField("lang_pred", T.StringType()),
+                        T.StructField("score", T.DoubleType())])
+    return flat.withColumn("body", F.col(names[at[0]]).cast("string")).mapInArrow(
+        task(_predict, model, tuple(names)), out)
