@@ -6,9 +6,6 @@ import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-SF001 = "/root/testdata/sf0.001"
-SF01 = "/root/testdata/sf0.01"
-
 
 @pytest.fixture(scope="session")
 def spark():
@@ -44,13 +41,3 @@ def tmp_dir(spark):
     path = scratch_path(spark, "tests")
     os.makedirs(path, exist_ok=True)
     return path
-
-
-def write_files(folder, files):
-    """Write {relative name: text} below folder; return folder."""
-    for name, text in files.items():
-        path = os.path.join(folder, name)
-        os.makedirs(os.path.dirname(path), exist_ok=True)
-        with open(path, "w") as fh:
-            fh.write(text)
-    return folder

@@ -2,7 +2,7 @@
 
 import os
 
-from conftest import write_files
+from support import write_files
 from tidewater.__main__ import main
 
 

@@ -6,7 +6,7 @@ from dataclasses import replace
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import SF001, write_files
+from support import SF001, write_files
 from tidewater.config import JobConfig, date_range
 from tidewater.operators.metrics import EmptyRunError
 from tidewater.plans import inputs

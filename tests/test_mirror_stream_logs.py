@@ -5,7 +5,7 @@ import time
 
 import pytest
 
-from conftest import SF001, write_files
+from support import SF001, write_files
 from tidewater.config import JobConfig
 from tidewater.operators.mirror import MirrorKeyError, change_counts, mirror_apply, mirror_diff
 from tidewater.plans import inputs

@@ -8,7 +8,7 @@ import os
 import duckdb
 import pytest
 
-from conftest import SF001
+from support import SF001
 
 SF_DIR = os.environ.get("TIDEWATER_ORACLE_SF_DIR", SF001)
 from tidewater.oracles import ORACLE_SQL

@@ -6,7 +6,7 @@ import os
 import pytest
 from pyspark.errors import AnalysisException
 
-from conftest import write_files
+from support import write_files
 from tidewater.operators.transforms import (
     drop_all_null, preview, project, schema_lines, schema_report,
 )
