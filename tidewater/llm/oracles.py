@@ -129,10 +129,67 @@ SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, coalesce(r.least, d.doc
 FROM doc d LEFT JOIN n USING (doc_id) LEFT JOIN reach r ON r.a = d.doc_id
 """
 
+_FIELD = "coalesce(strlen({0}::VARCHAR)::VARCHAR || ':' || {0}::VARCHAR, '-')"
+_LEAF = "sha256(" + " || ".join(_FIELD.format(c) for c in ("doc_id", "source", "lang", "{n}", "text")) + ")"
+
+# crc32 of an id's digits: a byte is taken in by xor, then eight steps (-1) shift it through.
+_OP11 = f"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, lang, {_LEAF.format(n="n_chars")} AS leaf,
+         CASE WHEN xor(list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(
+                range(1, strlen(doc_id::VARCHAR) + 1),
+                lambda i: [ascii(substr(doc_id::VARCHAR, i, 1))::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
+              lambda c, x: CASE WHEN x >= 0 THEN xor(c, x) ELSE xor(c >> 1, 3988292384 * (c & 1)) END),
+            4294967295) % 7 = 0 THEN {_LEAF.format(n="(n_chars + 1)")}
+         ELSE {_LEAF.format(n="n_chars")} END AS claim
+  FROM documents),
+leaf AS (
+  SELECT *, row_number() OVER w - 1 AS i, count(*) OVER (PARTITION BY lang) AS n FROM d
+  WINDOW w AS (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf)),
+tree AS (
+  SELECT lang, 0 AS lvl, i, n, leaf AS h FROM leaf
+  UNION ALL
+  SELECT lang, lvl + 1, i // 2, (n + 1) // 2, sha256(string_agg(h, '' ORDER BY i))
+  FROM tree WHERE n > 1 GROUP BY lang, lvl, i // 2, n),
+sub AS (
+  SELECT lang, h, row_number() OVER (ORDER BY lang IS NOT NULL, encode(lang)) - 1 AS i, count(*) OVER () AS n
+  FROM tree WHERE n = 1),
+top AS (
+  SELECT 0 AS lvl, i, n, h FROM sub
+  UNION ALL
+  SELECT lvl + 1, i // 2, (n + 1) // 2, sha256(string_agg(h, '' ORDER BY i))
+  FROM top WHERE n > 1 GROUP BY lvl, i // 2, n),
+low AS (
+  SELECT l.lang, l.i, t.lvl, l.i >> t.lvl AS place, s.h AS beside FROM leaf l
+  JOIN (SELECT DISTINCT lang, lvl FROM tree WHERE n > 1) t ON l.lang IS NOT DISTINCT FROM t.lang
+  LEFT JOIN tree s ON s.lang IS NOT DISTINCT FROM l.lang AND s.lvl = t.lvl AND s.i = xor(l.i >> t.lvl, 1)),
+steps AS (
+  SELECT lang, i, list(CASE WHEN beside IS NULL THEN '=' WHEN place % 2 = 1 THEN '<' ELSE '>' END
+                       || coalesce(beside, '') ORDER BY lvl) AS s FROM low GROUP BY lang, i),
+over_ AS (
+  SELECT u.lang, list(CASE WHEN s.h IS NULL THEN '=' WHEN (u.i >> t.lvl) % 2 = 1 THEN '<' ELSE '>' END
+                      || coalesce(s.h, '') ORDER BY t.lvl) AS s
+  FROM sub u JOIN (SELECT DISTINCT lvl FROM top WHERE n > 1) t ON true
+  LEFT JOIN top s ON s.lvl = t.lvl AND s.i = xor(u.i >> t.lvl, 1) GROUP BY u.lang),
+proof AS (
+  SELECT l.doc_id, l.leaf, l.claim, u.h AS subroot, (SELECT h FROM top WHERE n = 1) AS root,
+         list_concat(coalesce(a.s, []), coalesce(b.s, [])) AS s
+  FROM leaf l JOIN sub u ON u.lang IS NOT DISTINCT FROM l.lang
+  LEFT JOIN steps a ON a.lang IS NOT DISTINCT FROM l.lang AND a.i = l.i
+  LEFT JOIN over_ b ON b.lang IS NOT DISTINCT FROM l.lang),
+folded AS (
+  SELECT *, list_reduce(list_prepend(claim, s), lambda h, x: CASE x[1] WHEN '<' THEN sha256(x[2:] || h)
+            WHEN '>' THEN sha256(h || x[2:]) ELSE sha256(h) END) AS folded_root FROM proof)
+SELECT doc_id, leaf, subroot, root, sha256(array_to_string(list_transform(s, lambda x: x[2:]), '')) AS proof_sha256,
+       folded_root, folded_root = root AS verified
+FROM folded
+"""
+
 ORACLE_SQL: dict[str, str] = {
     "op2_cap_filters": _OP2,
     "op4_decontamination": _OP4,
     "op6_substring_dedup": _OP6,
     "op7_url_filters": _OP7,
     "op10_minhash_near_dedup": _OP10,
+    "op11_merkle_manifest": _OP11,
 }

@@ -11,9 +11,11 @@ from pyspark.sql import functions as F
 
 from .byte_bpe import bpe_decode, bpe_encode, digests
 from .cap_filters import near_vectors
+from .common import crc32_of
 from .decontaminate import find_contamination
 from .language_id import identify_language
 from .lm_score import score_texts
+from .merkle import build_manifest, check_claims, leaf_digest
 from .near_dup import NearDup, near_duplicates
 from .sharding import LAW, shard_documents
 from .substring_dup import remove_repeats
@@ -100,6 +102,24 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), NearDup(words=4))
 
 
+def tampered_leaf(columns: dict) -> F.Column:
+    """Leaf of a row with 1 added to ``n_chars`` where 7 divides the crc32 of its id, else its
+    own; a null id is left alone, a null ``n_chars`` stays null."""
+    more = columns["n_chars"].cast("decimal(38,0)") + F.lit(1)
+    hit = crc32_of(columns["doc_id"]) % 7 == 0
+    return F.when(hit, leaf_digest(*(columns | {"n_chars": more}).values())).otherwise(leaf_digest(*columns.values()))
+
+
+def merkle_rows(docs: DataFrame, **kw) -> DataFrame:
+    checked = check_claims(build_manifest(docs, claim=tampered_leaf, **kw))
+    return checked.select(F.col("entry").alias("doc_id"), "leaf", "subroot", "root", "proof_sha256", "folded_root",
+                          (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle_rows(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op2_cap_filters": op2_cap_filters,
@@ -111,4 +131,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_byte_bpe": op8_byte_bpe,
     "op9_language_id": op9_language_id,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
+    "op11_merkle_manifest": op11_merkle_manifest,
 }
