@@ -21,6 +21,7 @@ from .sharding import LAW, shard_documents
 from .substring_dup import remove_repeats
 from .token_files import read_token_files, shared_token_folder, write_token_files
 from .url_lists import apply_lists, split_url
+from .whitening import fit_whitening, usable, whiten
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -120,6 +121,23 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle_rows(table(spark, sf_dir, "documents"))
 
 
+def whitened_rows(embeddings: DataFrame) -> DataFrame:
+    rows = usable(embeddings)
+    model = fit_whitening(rows)
+    if model is None or not len(model.values):
+        return rows.sparkSession.createDataFrame([], "vec_id long, component int, n long, deviation long, "
+                                                 "whitened double, explained double, identity_error double")
+    parts = F.array(*[F.lit(v) for v in model.explained])
+    each = whiten(rows, model).select("vec_id", "deviation", F.posexplode("whitened").alias("at", "whitened"))
+    return each.select("vec_id", (F.col("at") + 1).alias("component"), F.lit(model.grid.n).cast("long").alias("n"),
+                       "deviation", "whitened", F.get(parts, F.col("at")).alias("explained"),
+                       F.lit(model.identity_error).alias("identity_error"))
+
+
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitened_rows(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op2_cap_filters": op2_cap_filters,
@@ -132,4 +150,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_language_id": op9_language_id,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
     "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_embedding_whitening": op12_embedding_whitening,
 }
