@@ -17,6 +17,7 @@ from .language_id import identify_language
 from .lm_score import score_texts
 from .merkle import build_manifest, check_claims, leaf_digest
 from .near_dup import NearDup, near_duplicates
+from .packing import cut_documents, pack_pieces
 from .sharding import LAW, shard_documents
 from .substring_dup import remove_repeats
 from .token_files import read_token_files, shared_token_folder, write_token_files
@@ -138,6 +139,11 @@ def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitened_rows(table(spark, sf_dir, "embeddings"))
 
 
+def op13_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = cut_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return pack_pieces(pieces, with_ids=False)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op2_cap_filters": op2_cap_filters,
@@ -151,4 +157,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
     "op11_merkle_manifest": op11_merkle_manifest,
     "op12_embedding_whitening": op12_embedding_whitening,
+    "op13_best_fit_packing": op13_best_fit_packing,
 }
