@@ -33,7 +33,7 @@ _NONE = np.int32(2**31 - 1)
 #: Matches remembered by a Python worker; beyond this the memory is started anew.
 REMEMBERED = 100_000
 #: Text gathered for one replay.
-REPLAY_BYTES = 4 << 20
+REPLAY_BYTES = 2 << 20
 #: A blank next to another white space, or at the end: the text must be split by pattern.
 _RAGGED = re.compile(r"  |[^\S ] | [^\S ]| \Z")
 _BETWEEN = regex.compile(r"(?<=\S) (?=\S)")
@@ -179,9 +179,15 @@ class Encoder:
             memory[piece] = b"".join([ids[distinct[m]] for m in matches])
 
 
+@functools.lru_cache(maxsize=1)
+def _encoder(path: str, pattern: str) -> Encoder:
+    """One per Python worker, which serves many tasks."""
+    return Encoder(load_ranks(path, pattern))
+
+
 def _encode(path: str, pattern: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(load_ranks(path, pattern))
+        encoder = _encoder(path, pattern)
         for s in slices(batches, "body", REPLAY_BYTES):
             ids = encoder.encode(s.column("body").to_pylist())
             for a in range(0, len(ids), 2048):
@@ -192,14 +198,24 @@ def _encode(path: str, pattern: str):
     return run
 
 
+def _bytes_of(ids: list[bytes], ranks: Ranks) -> pa.Array:
+    get = ranks.bytes_of.__getitem__
+    return pa.array([b"".join(map(get, np.frombuffer(x, dtype="<u4").tolist())) if x else b"" for x in ids], pa.binary())
+
+
 def _decode(path: str, pattern: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        get = load_ranks(path, pattern).bytes_of.__getitem__
         for batch in batches:
-            out = [b"".join(map(get, np.frombuffer(x, dtype="<u4").tolist())) if x else b""
-                   for x in batch.column("ids").to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(out, pa.binary())], names=[*batch.schema.names, "decoded"])
+            out = _bytes_of(batch.column("ids").to_pylist(), load_ranks(path, pattern))
+            yield pa.RecordBatch.from_arrays([*batch.columns, out], names=[*batch.schema.names, "decoded"])
+
+    return run
+
+
+def _round_trip(path: str, pattern: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for encoded in _encode(path, pattern)(batches):
+            yield from _decode(path, pattern)(iter([encoded]))
 
     return run
 
@@ -220,6 +236,16 @@ def bpe_decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
         task(_decode, path, pattern), f"doc_id {kind}, ids binary, decoded binary")
 
 
+def bpe_round_trip(docs: DataFrame, path: str, pattern: str, *, id_col: str = "doc_id",
+                   text_col: str = "text") -> DataFrame:
+    """``doc_id, ids, decoded``: encoding and decoding in one pass, so a task has one Python
+    worker with one copy of the ranks and the ids do not travel in between."""
+    body = pick(docs, doc=id_col, body=text_col)
+    body = body.withColumn("body", F.coalesce(F.col("body").cast("string"), F.lit("")))
+    kind = body.schema["doc"].dataType.simpleString()
+    return body.mapInArrow(task(_round_trip, path, pattern), f"doc_id {kind}, ids binary, decoded binary")
+
+
 def digests(decoded: DataFrame) -> DataFrame:
     return decoded.select(
         "doc_id", F.floor(F.octet_length("ids") / 4).cast("long").alias("n_tokens"),

@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .byte_bpe import bpe_decode, bpe_encode, digests
+from .byte_bpe import bpe_round_trip, digests
 from .cap_filters import near_vectors
 from .common import crc32_of
 from .decontaminate import find_contamination
@@ -92,8 +92,7 @@ def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    encoded = bpe_encode(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
-    return digests(bpe_decode(encoded, ranks, public_tokenizers.PATTERN))
+    return digests(bpe_round_trip(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN))
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
