@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.llm.byte_bpe import bpe_decode, bpe_encode, digests
+from tidewater.llm.byte_bpe import bpe_round_trip, digests
 from tidewater.llm.common import staged
 from tidewater.llm.decontaminate import find_contamination
 from tidewater.llm.language_id import UND, languages_beside
@@ -76,7 +76,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every text, decoded again, as digests."""
     ranks, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
-    return digests(bpe_decode(bpe_encode(docs, ranks, pattern), ranks, pattern))
+    return digests(bpe_round_trip(docs, ranks, pattern))
 
 
 STAGES = [
