@@ -32,6 +32,8 @@ def _parser() -> argparse.ArgumentParser:
         s = sub.add_parser(name)
         s.add_argument("--schema", help="declared input schema (DDL)")
         s.add_argument("--strict", action="store_true", help="fail on header mismatch")
+        s.add_argument("--by-header", action="store_true",
+                       help="map columns by each file's own header, not by position")
         s.add_argument("--check-drift", action="store_true",
                        help="fail if inferred types differ from the published runs")
         s.add_argument("--layout", choices=["attempts", "overwrite"], default="attempts")
@@ -63,6 +65,7 @@ def main(argv: list[str] | None = None) -> int:
     """Run the command line; the return value is the exit status."""
     args = _parser().parse_args(argv)
     cfg = JobConfig.from_env(schema=args.schema, strict=args.strict, layout=args.layout,
+                             by_header=args.by_header,
                              check_drift=args.check_drift, rebalance=args.rebalance,
                              max_records_per_file=args.max_records_per_file,
                              catalog_table=args.catalog_table,

@@ -103,6 +103,9 @@ class JobConfig:
     # columns by position.
     strict: bool = False
     recursive: bool = False
+    # Map each file's columns by its own header; files may order them differently,
+    # lack some (null) or have more.  One more pass over the lines of the input.
+    by_header: bool = False
     # Catalog table over the runs (see plans/catalog.py); new attempts are
     # added as partitions when set.
     catalog_table: str | None = None

@@ -75,6 +75,28 @@ _EVENTS_KEPT = """
        OR NOT (value IS NULL OR isnan(value))
     GROUP BY 1"""
 
+_HEADERS = f"""
+    SELECT order_key, line_number, CASE WHEN order_key % 3 <> 1 THEN quantity END AS quantity, price, seller,
+           CASE WHEN order_key % 3 <> 2 THEN status END AS status,
+           CASE WHEN order_key % 3 <> 1 THEN return_flag END AS return_flag,
+           CASE WHEN order_key % 3 = 1 THEN 'x,y' END AS note
+    FROM ({_DERIVED}) d"""
+_FOLLOWED = f"""
+    SELECT CASE WHEN order_key % 4 = 1 THEN price + 1 ELSE price END AS price, seller, status, order_key
+    FROM ({_DERIVED}) d
+    WHERE order_key % 4 <> 2 AND (price IS NOT NULL OR seller IS NOT NULL OR status IS NOT NULL)"""
+_WHOLE = f"""
+    SELECT CAST(floor(price) AS DOUBLE) AS price, seller, status FROM ({_KEPT}) k"""
+_DRIFT = f"""
+    SELECT '20240101' AS run_date, * FROM ({_WHOLE}) a
+    UNION ALL SELECT '20240102', * FROM ({_KEPT}) b
+    UNION ALL SELECT '20240103', price, seller, NULL FROM ({_DERIVED}) c
+    WHERE price IS NOT NULL OR seller IS NOT NULL"""
+_UNPARSABLE_TEXT = f"""
+    SELECT CASE WHEN price IS NULL THEN NULL WHEN order_key % 11 = 0 THEN 'n/a'
+                ELSE CAST(price AS VARCHAR) END AS price, seller, status
+    FROM ({_DERIVED}) d WHERE price IS NOT NULL OR seller IS NOT NULL OR status IS NOT NULL"""
+
 ORACLE_SQL: dict[str, str] = {
     "csv_scan_infer": _DERIVED,
     "project_three": f"SELECT price, seller, status FROM ({_DERIVED}) d",
@@ -216,4 +238,35 @@ ORACLE_SQL: dict[str, str] = {
         FROM ({_COUNTS}) c
         UNION ALL SELECT '20240101', 'output_rows', output_rows FROM ({_COUNTS}) c
         UNION ALL SELECT '20240101', 'written_rows', output_rows FROM ({_COUNTS}) c""",
+    "scan_by_header": _HEADERS,
+    "scan_by_header_declared": f"SELECT price, seller, status, line_number FROM ({_HEADERS}) h",
+    "run_by_header": f"""
+        SELECT price, seller, status FROM ({_HEADERS}) h
+        WHERE price IS NOT NULL OR seller IS NOT NULL OR status IS NOT NULL""",
+    "file_sync": f"SELECT price, seller, status FROM ({_FOLLOWED}) f",
+    "file_sync_compacted": f"""
+        SELECT count(*) AS n_rows, count(price) AS n_price,
+               CAST(sum(CAST(price AS DECIMAL(18,2))) AS DOUBLE) AS sum_price,
+               count(*) FILTER (WHERE order_key % 4 IN (1, 3)) AS rows_written,
+               (SELECT count(*) FROM ({_DERIVED}) d WHERE order_key % 4 IN (1, 2)
+                AND (price IS NOT NULL OR seller IS NOT NULL OR status IS NOT NULL)) AS rows_retracted
+        FROM ({_FOLLOWED}) f""",
+    "runs_changing_types": _DRIFT,
+    "attempts_changing_types": f"""
+        SELECT run_date, count(*) AS n_rows, count(DISTINCT attempt) AS n_attempts,
+               CAST(sum(CAST(price AS DECIMAL(18,2))) AS DOUBLE) AS sum_price, count(status) AS n_status
+        FROM (SELECT *, 1 AS attempt FROM ({_DRIFT}) d
+              UNION ALL SELECT '20240102', *, 2 FROM ({_WHOLE}) w) a
+        GROUP BY run_date""",
+    "overwritten_changing_types": _DRIFT,
+    "runs_conflicting_types": f"""
+        SELECT '20240101' AS run_date, CAST(price AS VARCHAR) AS price, seller, status FROM ({_KEPT}) k
+        UNION ALL SELECT '20240102', * FROM ({_UNPARSABLE_TEXT}) u""",
+    "schema_history": """
+        SELECT * FROM (VALUES
+            ('price', 'integer', 1::BIGINT, '20240101', '20240101'),
+            ('price', 'double', 2::BIGINT, '20240102', '20240103'),
+            ('seller', 'integer', 3::BIGINT, '20240101', '20240103'),
+            ('status', 'string', 2::BIGINT, '20240101', '20240102')
+        ) AS t("column", type, n_attempts, first_date, last_date)""",
 }

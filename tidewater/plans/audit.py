@@ -10,7 +10,7 @@ one small write.  Readers list the folders recursively; the table is small
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Sequence
 from datetime import datetime
 
 from pyspark.errors import AnalysisException
@@ -30,27 +30,29 @@ from ..operators.metrics import STATUS_EMPTY, STATUS_MISMATCH, STATUS_VERIFIED
 from ..sources.parquet import (
     ATTEMPT,
     RUN_DATE,
+    _dated_by_path,
     _missing_path,
     attempt_path,
     read_attempt,
     read_runs,
     runs_schema,
 )
+from ..sources.schemas import ERROR, schema_from_text, schema_text, unify, union_scans
 
 AUDIT_COLUMNS = [
     "run_date", "attempt", "status", "input_rows", "output_rows", "written_rows",
-    "started", "finished", "error",
+    "started", "finished", "error", "schema",
 ]
 AUDIT_DDL = (
     "run_date STRING, attempt STRING, status STRING, input_rows BIGINT, output_rows BIGINT, "
-    "written_rows BIGINT, started TIMESTAMP, finished TIMESTAMP, error STRING"
+    "written_rows BIGINT, started TIMESTAMP, finished TIMESTAMP, error STRING, schema STRING"
 )
 _AUDIT_SCHEMA = StructType([
     StructField("run_date", StringType()), StructField("attempt", StringType()),
     StructField("status", StringType()), StructField("input_rows", LongType()),
     StructField("output_rows", LongType()), StructField("written_rows", LongType()),
     StructField("started", TimestampType()), StructField("finished", TimestampType()),
-    StructField("error", StringType()),
+    StructField("error", StringType()), StructField("schema", StringType()),
 ])
 
 
@@ -98,7 +100,8 @@ def verify_and_record(spark: SparkSession, audit_path: str, runs_path: str, sche
         n.cast("bigint").alias("written_rows"),
         F.lit(started).cast("timestamp").alias("started"),
         F.current_timestamp().alias("finished"),
-        F.lit(None).cast("string").alias("error"))
+        F.lit(None).cast("string").alias("error"),
+        F.lit(schema_text(schema)).alias("schema"))
     obs = Observation(f"verify-{attempt}")
     row = row.observe(obs, F.max("written_rows").alias("written"), F.max("status").alias("status"))
     write_audit(row, audit_path, attempt)
@@ -151,39 +154,96 @@ def run_status(spark: SparkSession, audit_path: str) -> DataFrame:
     return _latest(read_audit(spark, audit_path), AUDIT_COLUMNS).select(*AUDIT_COLUMNS)
 
 
-def latest_verified(spark: SparkSession, audit_path: str) -> DataFrame:
-    """(run_date, attempt) of the latest VERIFIED attempt of every run date."""
+def latest_verified(spark: SparkSession, audit_path: str, *, schemas: bool = False) -> DataFrame:
+    """(run_date, attempt) of the latest VERIFIED attempt of every run date, with ``schemas``
+    also the text of its schema (null for attempts recorded without one)."""
     verified = read_audit(spark, audit_path).filter(F.col("status") == STATUS_VERIFIED)
-    return _latest(verified, [ATTEMPT]).select(RUN_DATE, ATTEMPT)
+    columns = [ATTEMPT, "schema"] if schemas else [ATTEMPT]
+    return _latest(verified, columns).select(RUN_DATE, *columns)
+
+
+def read_attempts(spark: SparkSession, runs_path: str, attempts: Sequence[tuple[str, str, str | None]],
+                  schema: StructType | None = None, on_conflict: str = ERROR) -> DataFrame:
+    """Rows of the given (run_date, attempt, schema text), as one DataFrame.
+
+    Attempts are grouped by schema; each group is one scan of its folders with its own schema,
+    cast to ``schema`` or, without one, to the widest types of all (see
+    :func:`tidewater.sources.schemas.unify`; columns by name, missing ones null).  An attempt
+    recorded without a schema is read with ``schema``; without that, its footer tells."""
+    groups: dict[str, list[tuple[str, str]]] = {}
+    for run_date, attempt, text in sorted(attempts, key=lambda a: a[:2]):
+        if text is None:
+            own = schema or spark.read.parquet(attempt_path(runs_path, run_date, attempt)).schema
+            text = schema_text(own)
+        groups.setdefault(text, []).append((run_date, attempt))
+    if not groups:
+        if schema is None:
+            return spark.createDataFrame([], f"{RUN_DATE} STRING, {ATTEMPT} STRING")
+        return spark.createDataFrame([], runs_schema(schema))
+    types = [(schema_from_text(text), [d for d, _ in pairs]) for text, pairs in groups.items()]
+    scans = [(spark.read.schema(runs_schema(own)).option("basePath", runs_path.rstrip("/"))
+              .parquet(*[attempt_path(runs_path, d, a) for d, a in pairs]))
+             for (own, _), pairs in zip(types, groups.values())]
+    target = schema or unify(types, on_conflict, scans)
+    target = StructType([f for f in target.fields if f.name not in (RUN_DATE, ATTEMPT)])
+    return union_scans(scans, target, [RUN_DATE, ATTEMPT])
 
 
 def read_published(spark: SparkSession, runs_path: str, audit_path: str,
-                   schema: StructType | None = None, *, exact_paths: bool = True) -> DataFrame:
+                   schema: StructType | None = None, *, exact_paths: bool = True,
+                   on_conflict: str = ERROR) -> DataFrame:
     """Rows of the latest verified attempt of every date: what readers see.
 
-    ``exact_paths`` (default): the (run_date, attempt) pairs - one per date,
+    ``exact_paths`` (default): the (run_date, attempt, schema) rows - one per date,
     so their number is bounded by the dates, not by the data - are fetched
-    first and only those folders are listed and read; superseded and failed
-    attempts are never even listed.  Otherwise a lazy left-semi join on
-    (run_date, attempt), where the measured size of the audit side decides the kind of join; it
-    lets dynamic partition pruning skip the other attempt folders (but the
-    whole table is listed once).
+    first and only those folders are listed and read, with one scan per distinct
+    schema (:func:`read_attempts`); superseded and failed attempts are never even
+    listed.  Otherwise a lazy left-semi join on (run_date, attempt), where the
+    measured size of the audit side decides the kind of join; it lets dynamic
+    partition pruning skip the other attempt folders (but the whole table is
+    listed once).  One lazy scan has one schema: where the recorded ones differ,
+    the folders are read exactly.
     """
-    published = latest_verified(spark, audit_path)
-    if not exact_paths:
+    published = latest_verified(spark, audit_path, schemas=True)
+    if not exact_paths and published.select("schema").distinct().limit(2).count() < 2:
         runs = read_runs(spark, runs_path, schema)
-        return runs.join(published, [RUN_DATE, ATTEMPT], "left_semi")
-    pairs = [(r[RUN_DATE], r[ATTEMPT]) for r in published.collect()]  # bounded: one per date
-    if not pairs:
-        if schema is None:
-            return spark.createDataFrame([], f"{RUN_DATE} STRING, {ATTEMPT} STRING")
-        return spark.createDataFrame([], runs_schema(schema))
-    paths = [attempt_path(runs_path, d, a) for d, a in sorted(pairs)]
-    if schema is None:
-        schema = spark.read.parquet(paths[-1]).schema
-    return (spark.read.schema(runs_schema(schema))
-            .option("basePath", runs_path.rstrip("/"))
-            .parquet(*paths))
+        return runs.join(published.drop("schema"), [RUN_DATE, ATTEMPT], "left_semi")
+    rows = [tuple(r) for r in published.collect()]  # bounded: one per date
+    return read_attempts(spark, runs_path, rows, schema, on_conflict)
+
+
+def read_all_attempts(spark: SparkSession, runs_path: str, audit_path: str,
+                      schema: StructType | None = None, *, on_conflict: str = ERROR) -> DataFrame:
+    """A11: rows of every recorded attempt that wrote any, superseded ones included."""
+    held = read_audit(spark, audit_path).filter(F.col("written_rows") > 0).select(RUN_DATE, ATTEMPT, "schema")
+    rows = [tuple(r) for r in held.collect()]  # bounded: one per attempt and date
+    return read_attempts(spark, runs_path, rows, schema, on_conflict)
+
+
+def read_overwritten(spark: SparkSession, base: str, audit_path: str,
+                     on_conflict: str = ERROR) -> DataFrame:
+    """A11 in the parity layout: every ``{base}/D/`` folder with the schema that its last
+    successful write recorded, one scan per distinct schema."""
+    wrote = read_audit(spark, audit_path).filter(F.col("written_rows").isNotNull() & F.col("schema").isNotNull())
+    groups: dict[str, list[str]] = {}
+    for run_date, text in _latest(wrote, ["schema"]).collect():  # bounded: one per date
+        groups.setdefault(text, []).append(run_date)
+    types = [(schema_from_text(text), dates) for text, dates in sorted(groups.items(), key=lambda g: min(g[1]))]
+    scans = [_dated_by_path(spark.read.schema(own).parquet(*[f"{base.rstrip('/')}/{d}/" for d in sorted(dates)]))
+             for own, dates in types]
+    if not scans:
+        return spark.createDataFrame([], f"{RUN_DATE} STRING")
+    return union_scans(scans, unify(types, on_conflict, scans), [RUN_DATE])
+
+
+def schema_history(spark: SparkSession, audit_path: str) -> DataFrame:
+    """Types of each column over the verified attempts: ``column, type, n_attempts, first_date,
+    last_date``.  A nested type is its JSON text."""
+    shape = "fields array<struct<name string, type string>>"
+    held = read_audit(spark, audit_path).filter((F.col("status") == STATUS_VERIFIED) & F.col("schema").isNotNull())
+    each = held.select(RUN_DATE, F.explode(F.from_json("schema", shape)["fields"]).alias("f"))
+    return each.groupBy(F.lower("f.name").alias("column"), F.col("f.type").alias("type")).agg(
+        F.count(F.lit(1)).alias("n_attempts"), F.min(RUN_DATE).alias("first_date"), F.max(RUN_DATE).alias("last_date"))
 
 
 def read_run(spark: SparkSession, runs_path: str, audit_path: str, run_date: str,
@@ -207,6 +267,6 @@ def run_metrics(spark: SparkSession, audit_path: str, attempt: str) -> DataFrame
 
 def audit_row(run_date: str, attempt: str, status: str, input_rows: int | None,
               output_rows: int | None, written_rows: int | None, started: datetime,
-              finished: datetime, error: str | None = None) -> tuple:
+              finished: datetime, error: str | None = None, schema: str | None = None) -> tuple:
     return (run_date, attempt, status, input_rows, output_rows, written_rows, started,
-            finished, error)
+            finished, error, schema)

@@ -78,6 +78,27 @@ def unparsable_price_csv(spark: SparkSession, sf_dir: str) -> str:
     return _cached(spark, ("lineitem-unparsable", sf_dir), build)
 
 
+def whole_price_csv(spark: SparkSession, sf_dir: str) -> str:
+    """The ``lineitem`` input with ``price`` rounded down: inferred as whole numbers."""
+    def build(p):
+        rows = lineitem_job_rows(spark, sf_dir)
+        write_csv_input(rows.withColumn("price", F.floor("price")), p)
+    return _cached(spark, ("lineitem-whole", sf_dir), build)
+
+
+def mixed_header_csv(spark: SparkSession, sf_dir: str) -> str:
+    """The ``lineitem`` input in three folders by order_key % 3: as it is; ``seller, price,
+    status`` first and a column more; and without ``status``."""
+    def build(p):
+        rows = lineitem_job_rows(spark, sf_dir)
+        part = F.col("order_key") % 3
+        write_csv_input(rows.filter(part == 0), f"{p}/a")
+        write_csv_input(rows.filter(part == 1).select("seller", "price", "status", "order_key", "line_number",
+                                                      F.lit("x,y").alias("note")), f"{p}/b")
+        write_csv_input(rows.filter(part == 2).drop("status"), f"{p}/c")
+    return _cached(spark, ("lineitem-headers", sf_dir), build)
+
+
 def blank_lineitem_csv(spark: SparkSession, sf_dir: str) -> str:
     """Every ``lineitem`` row with price, seller and status all empty (the other
     columns kept).  A run over it reads the whole table and is EMPTY."""

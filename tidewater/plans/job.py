@@ -36,6 +36,7 @@ from ..sources.parquet import (
     write_attempt,
     write_overwrite,
 )
+from ..sources.schemas import schema_text
 from .audit import attempt_is_audited, audit_row, latest_verified, record_run, verify_and_record
 
 
@@ -55,11 +56,12 @@ class RunResult:
     finished: datetime
     error: str | None = None
     log_lines: list[str] = field(default_factory=list)
+    schema: str | None = None
 
     def audit(self) -> tuple:
         return audit_row(self.run_date, self.attempt, self.status, self.input_rows,
                          self.output_rows, self.written_rows, self.started, self.finished,
-                         self.error)
+                         self.error, self.schema)
 
 
 def _now() -> datetime:
@@ -204,7 +206,7 @@ def run_job(
     target = cfg.output_path if cfg.layout == LAYOUT_OVERWRITE else cfg.attempt_path(attempt)
     emit(f"Target folder: {target}")
     input_rows = output_rows = written = bad = None
-    path = None
+    path = kept = None
     error = None
     recorded = False
     failure: BaseException | None = None
@@ -212,7 +214,7 @@ def run_job(
         if cfg.catalog_table and cfg.layout != LAYOUT_OVERWRITE:
             require_catalog(spark, cfg)
         raw = scan_csv(spark, cfg.input_path, schema=cfg.schema, strict=cfg.strict,
-                       recursive=cfg.recursive, options=cfg.csv_options)
+                       recursive=cfg.recursive, options=cfg.csv_options, by_header=cfg.by_header)
         emit("Columns and types of the source:")
         for line in schema_lines(raw):
             emit(line)
@@ -221,6 +223,7 @@ def run_job(
                 emit(line)
         out, in_obs, out_obs = build_output(raw, cfg.columns, attempt,
                                             rebalance=[] if cfg.rebalance else None)
+        kept = schema_text(out.schema)
         if cfg.check_drift and cfg.layout != LAYOUT_OVERWRITE:
             check_schema_drift(spark, cfg, out.schema)
         if cfg.layout == LAYOUT_OVERWRITE:
@@ -261,7 +264,7 @@ def run_job(
             emit(f"No preview of the output: {type(exc).__name__}: {exc}")
     emit(f"Status: {status}")
     result = RunResult(cfg.run_date, attempt, status, input_rows, output_rows, written, bad,
-                       path, started, finished, error, lines)
+                       path, started, finished, error, lines, kept)
     if record and not recorded:
         record_run(spark, cfg.audit_path, [result.audit()])
     if keep_log:
@@ -287,7 +290,7 @@ def plan_job(spark: SparkSession, cfg: JobConfig, date_col: str | None = None,
     backfill) would write, for ``explain()``; nothing is executed beyond what
     resolving the schema needs (the inference pass when no schema is declared)."""
     raw = scan_csv(spark, cfg.input_path, schema=cfg.schema, strict=cfg.strict,
-                   recursive=cfg.recursive, options=cfg.csv_options)
+                   recursive=cfg.recursive, options=cfg.csv_options, by_header=cfg.by_header)
     if date_col is None:
         out, _, _ = build_output(raw, cfg.columns, "plan",
                                  rebalance=[] if cfg.rebalance else None)

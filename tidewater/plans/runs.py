@@ -25,6 +25,7 @@ from ..sources.parquet import (
     new_attempt_id,
     write_attempt_by_date,
 )
+from ..sources.schemas import schema_text
 from .audit import (
     read_attempt_audit,
     read_audit,
@@ -86,11 +87,12 @@ def run_range(
     require_new_attempt(spark, cfg, attempt)
     attempt = attempt or new_attempt_id()
     undated = 0
+    kept = None
     failure: BaseException | None = None
     dates_df = spark.createDataFrame([(d,) for d in dates], f"{RUN_DATE} STRING")
     try:
         raw = scan_csv(spark, cfg.input_path, schema=cfg.schema, strict=cfg.strict,
-                       recursive=cfg.recursive, options=cfg.csv_options)
+                       recursive=cfg.recursive, options=cfg.csv_options, by_header=cfg.by_header)
         if cfg.catalog_table:
             require_catalog(spark, cfg)
         dated = dated_rows(raw, date_col, dates)
@@ -101,6 +103,7 @@ def run_range(
                                             rebalance=[RUN_DATE] if cfg.rebalance else None,
                                             observe_values=RUN_DATE, input_metrics=[no_date, *per_date_in],
                                             keep=F.col(RUN_DATE).isNotNull())
+        kept = schema_text(out.drop(RUN_DATE).schema)
         write_attempt_by_date(out, cfg.output_base, attempt,
                               max_records_per_file=cfg.max_records_per_file)
         in_metrics, out_metrics = in_obs.get, out_obs.get
@@ -162,6 +165,7 @@ def run_range(
         F.lit(started).cast("timestamp").alias("started"),
         F.lit(finished).cast("timestamp").alias("finished"),
         error.alias("error"),
+        F.lit(kept).cast("string").alias("schema"),
     )
     write_audit(audit, cfg.audit_path, attempt)
     if failure is not None:

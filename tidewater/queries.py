@@ -22,12 +22,21 @@ from .config import JobConfig, date_range
 from .operators.mirror import change_counts, mirror_apply, mirror_diff
 from .operators.transforms import drop_all_null, preview, project, schema_report
 from .plans import inputs
-from .plans.audit import read_audit, read_published, run_status
+from .plans.audit import (
+    read_all_attempts,
+    read_audit,
+    read_overwritten,
+    read_published,
+    run_status,
+    schema_history,
+)
 from .plans.catalog import register_catalog
+from .plans.filesync import compact_synced, read_synced, sync_files
 from .plans.job import compact_run, publish_frame, run_job
 from .plans.runs import register_runs, run_range
 from .session import scratch_path
 from .sources.csv import scan_csv
+from .sources.headers import scan_by_header
 from .sources.logs import read_run_logs
 from .sources.parquet import RUN_DATE, read_attempt, read_overwrite_runs, read_runs
 from .streaming.ingest import ingest_stream, read_ingested
@@ -361,6 +370,108 @@ def q_mirror_publish(spark, sf_dir):
     return read_published(spark, cfg.output_base, cfg.audit_path).drop(RUN_DATE, "attempt")
 
 
+# -- A1 by header ------------------------------------------------------------------------
+
+def q_scan_by_header(spark, sf_dir):
+    """A1 over files of three headers, types inferred: all columns by name."""
+    return scan_by_header(spark, inputs.mixed_header_csv(spark, sf_dir), recursive=True)
+
+
+def q_scan_by_header_declared(spark, sf_dir):
+    """A1 over files of three headers with declared types: the named columns alone."""
+    ddl = "price DOUBLE, seller INT, status STRING, line_number INT"
+    return scan_by_header(spark, inputs.mixed_header_csv(spark, sf_dir), ddl, recursive=True, quarantine=False)
+
+
+def q_run_by_header(spark, sf_dir):
+    """A1-A9: the job over files of three headers."""
+    cfg = workspace(spark, "by-header", inputs.mixed_header_csv(spark, sf_dir), recursive=True, by_header=True)
+    run_job(spark, cfg, log=_quiet)
+    return read_published(spark, cfg.output_base, cfg.audit_path).select(*COLS)
+
+
+# -- B2 / B3 over changed and removed files ----------------------------------------------
+
+def _followed_folder(spark, sf_dir, name):
+    """``lineitem`` by order_key % 4 in folders 0, 1, 2 and a sync; then folder 1 with prices
+    higher by 1, folder 2 without rows, folder 3 new, and a second sync."""
+    rows = inputs.lineitem_job_rows(spark, sf_dir)
+    part = F.col("order_key") % 4
+    work = scratch_path(spark, name)
+    for i in (0, 1, 2):
+        inputs.write_csv_input(rows.filter(part == i), f"{work}/raw/{i}")
+    sync_files(spark, f"{work}/raw", f"{work}/table", LINEITEM_CSV_DDL, recursive=True, glob="*.csv")
+    inputs.write_csv_input(rows.filter(part == 1).withColumn("price", F.col("price") + 1), f"{work}/raw/1")
+    inputs.write_csv_input(rows.limit(0), f"{work}/raw/2")
+    inputs.write_csv_input(rows.filter(part == 3), f"{work}/raw/3")
+    result = sync_files(spark, f"{work}/raw", f"{work}/table", LINEITEM_CSV_DDL, recursive=True, glob="*.csv")
+    return f"{work}/table", result
+
+
+def q_file_sync(spark, sf_dir):
+    """B2/B3: the table after files changed, vanished and came."""
+    base, _ = _followed_folder(spark, sf_dir, "filesync")
+    return read_synced(spark, base).select(*COLS)
+
+
+def q_file_sync_compacted(spark, sf_dir):
+    """B2/B3: the same after a compaction, with what the last sync wrote and retracted."""
+    base, result = _followed_folder(spark, sf_dir, "filesync-compacted")
+    compact_synced(spark, base)
+    return read_synced(spark, base).agg(
+        F.count(F.lit(1)).alias("n_rows"), F.count("price").alias("n_price"),
+        F.sum(F.col("price").cast("decimal(18,2)")).cast("double").alias("sum_price"),
+        F.lit(result.rows_written).cast("bigint").alias("rows_written"),
+        F.lit(result.rows_retracted).cast("bigint").alias("rows_retracted"))
+
+
+# -- A8 / A11 over changing schemas ---------------------------------------------------
+
+def _drifting_runs(spark, sf_dir, name, **kw):
+    """20240101: whole prices; 20240102: broken prices; 20240103: no ``status`` column."""
+    base = workspace(spark, name, inputs.lineitem_csv(spark, sf_dir), **kw)
+    run_job(spark, replace(base, input_uri=inputs.whole_price_csv(spark, sf_dir)).with_date("20240101"), log=_quiet)
+    run_job(spark, base.with_date("20240102"), log=_quiet)
+    run_job(spark, replace(base, columns=("price", "seller")).with_date("20240103"), log=_quiet)
+    return base
+
+
+def q_runs_changing_types(spark, sf_dir):
+    """A8: the published rows of dates whose types and columns differ."""
+    cfg = _drifting_runs(spark, sf_dir, "drift")
+    return read_published(spark, cfg.output_base, cfg.audit_path).select(RUN_DATE, *COLS)
+
+
+def q_attempts_changing_types(spark, sf_dir):
+    """A11: all attempts, those of 20240102 superseded by a run over whole prices."""
+    cfg = _drifting_runs(spark, sf_dir, "drift-all")
+    run_job(spark, replace(cfg, input_uri=inputs.whole_price_csv(spark, sf_dir)).with_date("20240102"), log=_quiet)
+    return (read_all_attempts(spark, cfg.output_base, cfg.audit_path).groupBy(RUN_DATE)
+            .agg(F.count(F.lit(1)).alias("n_rows"), F.countDistinct("attempt").alias("n_attempts"),
+                 F.sum(F.col("price").cast("decimal(18,2)")).cast("double").alias("sum_price"),
+                 F.count("status").alias("n_status")))
+
+
+def q_overwritten_changing_types(spark, sf_dir):
+    """A11 in the parity layout over the same three dates."""
+    cfg = _drifting_runs(spark, sf_dir, "drift-overwrite", layout="overwrite")
+    return read_overwritten(spark, cfg.output_base, cfg.audit_path).select(RUN_DATE, *COLS)
+
+
+def q_runs_conflicting_types(spark, sf_dir):
+    """A8 where prices are numbers on one date and text on another: read as text on demand."""
+    cfg = workspace(spark, "conflict", inputs.lineitem_csv(spark, sf_dir))
+    run_job(spark, cfg.with_date("20240101"), log=_quiet)
+    run_job(spark, replace(cfg, input_uri=inputs.unparsable_price_csv(spark, sf_dir)).with_date("20240102"), log=_quiet)
+    return read_published(spark, cfg.output_base, cfg.audit_path, on_conflict="string").select(RUN_DATE, *COLS)
+
+
+def q_schema_history(spark, sf_dir):
+    """A5 over time: the types of each column, with the dates that have them."""
+    cfg = _drifting_runs(spark, sf_dir, "drift-history")
+    return schema_history(spark, cfg.audit_path)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "csv_scan_infer": q_csv_scan_infer,
     "project_three": q_project_three,
@@ -395,4 +506,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "mirror_copy": q_mirror_copy,
     "compacted_run": q_compacted_run,
     "mirror_publish": q_mirror_publish,
+    "scan_by_header": q_scan_by_header,
+    "scan_by_header_declared": q_scan_by_header_declared,
+    "run_by_header": q_run_by_header,
+    "file_sync": q_file_sync,
+    "file_sync_compacted": q_file_sync_compacted,
+    "runs_changing_types": q_runs_changing_types,
+    "attempts_changing_types": q_attempts_changing_types,
+    "overwritten_changing_types": q_overwritten_changing_types,
+    "runs_conflicting_types": q_runs_conflicting_types,
+    "schema_history": q_schema_history,
 }

@@ -58,8 +58,16 @@ def csv_reader(spark: SparkSession, *, schema=None, strict=False, recursive=Fals
 
 
 def scan_csv(spark: SparkSession, path: str | list[str], schema=None, strict: bool = False,
-             recursive: bool = False, quarantine: bool = True, options=None) -> DataFrame:
-    """Every CSV file directly in ``path`` as one DataFrame (see :func:`csv_reader`)."""
+             recursive: bool = False, quarantine: bool = True, options=None,
+             by_header: bool = False) -> DataFrame:
+    """Every CSV file directly in ``path`` as one DataFrame (see :func:`csv_reader`).
+
+    ``by_header`` maps each file's columns by its own header instead of by position
+    (:func:`tidewater.sources.headers.scan_by_header`)."""
+    if by_header:
+        from .headers import scan_by_header
+        return scan_by_header(spark, path, schema, recursive=recursive, quarantine=quarantine, options=options,
+                              missing="error" if strict else "null")
     reader = csv_reader(spark, schema=schema, strict=strict, recursive=recursive,
                         quarantine=quarantine, options=options)
     return reader.csv(path)

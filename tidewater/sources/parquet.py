@@ -172,8 +172,13 @@ def read_runs(spark: SparkSession, base: str, schema: StructType | None = None)
 
 
 def read_overwrite_runs(spark: SparkSession, base: str) -> DataFrame:
-    """Parity layout: every ``{base}/D/`` folder; the date comes from the path."""
+    """Parity layout: every ``{base}/D/`` folder; the date comes from the path.  All folders
+    have one schema here; :func:`tidewater.plans.audit.read_overwritten` takes different ones."""
     df = spark.read.option("recursiveFileLookup", True).parquet(base)
+    return _dated_by_path(df)
+
+
+def _dated_by_path(df: DataFrame) -> DataFrame:
     return df.withColumn(
         RUN_DATE, F.regexp_extract(F.col("_metadata.file_path"), r"/(\d{8})/[^/]*$", 1)
     )
