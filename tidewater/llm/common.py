@@ -207,6 +207,14 @@ def groups(batches: Iterable[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
+def byte_letters() -> dict[str, int]:
+    """Characters that byte-level vocabulary files write for bytes: those that print stand for
+    themselves, the others for the characters from 256 on."""
+    shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+    hidden = [b for b in range(256) if b not in set(shown)]
+    return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
+
+
 def crc32_of(column) -> F.Column:
     """Unsigned crc32 of the value as text (null: null)."""
     return F.crc32(column.cast("string").cast("binary"))

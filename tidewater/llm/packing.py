@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import pick, slices, staged
+from .common import byte_letters, pick, slices, staged
 from .tasks import task
 
 CAPACITY = 2048
@@ -145,10 +145,7 @@ def _byte_ranks(made: dict) -> dict[bytes, int] | None:
                for t in made["added_tokens"])
     if made.get("normalizer") or not plain or model.get("type") != "BPE" or odd or not bare:
         return None
-    # Bytes that print stand for themselves, the others for the characters from 256 on.
-    shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
-    letter = {chr(b): b for b in shown} | {
-        chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in set(shown))}
+    letter = byte_letters()
     vocab, special = model["vocab"], {t["content"] for t in made["added_tokens"]}
     joined = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
     ids = [vocab[a + b] for a, b in joined]

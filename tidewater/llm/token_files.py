@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from .common import pick, slices, width
+from .common import byte_letters, pick, slices, width
 from .tasks import task
 
 MAGIC = b"TWID"
@@ -89,7 +89,7 @@ class TokenFile:
         magic, version, self.bits, self.block, self.n, n_docs, n_blocks = HEAD.unpack_from(raw)
         if magic != MAGIC or version != 1:
             raise ValueError("not a token file of version 1")
-        self.raw = raw
+        self.raw, self._held = raw, (-1, None)
         self.offsets = np.frombuffer(raw, "<u8", n_blocks + 1, HEAD.size).astype(np.int64)
         at = int(self.offsets[-1])
         doc = np.frombuffer(raw, "<i8", n_docs, at)
@@ -97,14 +97,20 @@ class TokenFile:
         self.docs = [None if z else d for d, z in zip(doc.tolist(), null.tolist())]
         self.counts = np.frombuffer(raw, "<i8", n_docs, at + 9 * n_docs)
 
+    def _block(self, k: int) -> np.ndarray:
+        """Block ``k``; the last one is kept, since documents are read in order."""
+        if self._held[0] != k:
+            self._held = (k, unpack(self.raw[self.offsets[k]:self.offsets[k + 1]], self.bits,
+                                    min(self.block, self.n - k * self.block)))
+        return self._held[1]
+
     def ids(self, a: int, b: int) -> np.ndarray:
         if b <= a:
             return np.zeros(0, dtype=np.uint32)
         first = a // self.block
-        parts = [unpack(self.raw[self.offsets[k]:self.offsets[k + 1]], self.bits,
-                        min(self.block, self.n - k * self.block))
-                 for k in range(first, (b - 1) // self.block + 1)]
-        return np.concatenate(parts)[a - first * self.block:b - first * self.block]
+        parts = [self._block(k) for k in range(first, (b - 1) // self.block + 1)]
+        joined = parts[0] if len(parts) == 1 else np.concatenate(parts)
+        return joined[a - first * self.block:b - first * self.block]
 
 
 @functools.lru_cache(maxsize=2)
@@ -114,51 +120,118 @@ def _tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
+#: Stands for the end of a word in ``word_ranks``; pieces that hold it go to the library.
+WORD_END = "\x01"
+
+
+def word_ranks(made: dict) -> tuple[str, dict[bytes, int]] | None:
+    """Pattern, and ids by bytes, of a vocabulary file whose ids of a text are those of its
+    lowered pattern matches in order: it composes, drops white space, lowers, splits by one
+    pattern, ends words by a suffix, and its merges stand in the order of their results' ids.
+    None for any other file."""
+    model = made["model"]
+    odd = [k for k in ("dropout", "unk_token", "continuing_subword_prefix", "byte_fallback", "ignore_merges")
+           if model.get(k)]
+    suffix = model.get("end_of_word_suffix")
+    try:
+        split, level = made["pre_tokenizer"]["pretokenizers"]
+        compose, space, lower = made["normalizer"]["normalizers"]
+        plain = ((split["type"], split["behavior"], split["invert"]) == ("Split", "Removed", True)
+                 and (level["type"], level["add_prefix_space"], level["use_regex"]) == ("ByteLevel", False, False)
+                 and (compose["type"], lower["type"]) == ("NFC", "Lowercase")
+                 and (space["pattern"], space["content"]) == ({"Regex": r"\s+"}, " "))
+        pattern = split["pattern"]["Regex"]
+    except (KeyError, TypeError, ValueError):
+        return None
+    bare = all(t["special"] and not (t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"])
+               for t in made["added_tokens"])
+    if not plain or not bare or odd or not suffix or model.get("type") != "BPE":
+        return None
+    letter, vocab = byte_letters(), model["vocab"]
+    joined = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+    ids = [vocab[a + b] for a, b in joined]
+    single = {*letter, *(c + suffix for c in letter)}
+    if ids != sorted(set(ids)) or set(vocab) != single | {a + b for a, b in joined}:
+        return None
+    if max(vocab[c + suffix] for c in letter) > min(ids, default=len(vocab)):
+        return None
+
+    def raw(token: str) -> bytes:
+        ended = token.endswith(suffix)
+        return bytes(letter[c] for c in (token[:-len(suffix)] if ended else token)) + (WORD_END.encode() if ended else b"")
+
+    return pattern, {raw(t): i for t, i in vocab.items()}
+
+
 class PieceEncoder:
-    """Ids of whole texts with the tokenizers library.
+    """Ids of whole texts as the tokenizers library gives them.
 
-    ``by_piece`` is for vocabularies that drop white space, lower the case and split with a
-    pattern before they merge: a text's ids are then those of its pattern matches in order,
-    and no match crosses white space.  Texts are cut at blanks and newlines, pieces into
-    lowered matches by the vocabulary's own pattern, and each distinct match is encoded once
-    by the library and remembered.  A piece with a special token or a capital sigma goes to
-    the library whole.  Without ``by_piece`` whole texts go to the library."""
+    With ``by_piece``, and a vocabulary that ``word_ranks`` accepts, a text's ids are those of its
+    pattern matches in order, and no match crosses white space.  Texts are cut at blanks and
+    newlines; the pieces that are not remembered are lowered and split together, one to a
+    line, and tiktoken merges the bytes of every match, with the word's end as one more
+    byte whose merges come first.  A piece with a special token, a capital sigma or a character that the
+    library puts in another class (its tables are of another Unicode version) goes to the library
+    whole.  For any other vocabulary, or without ``by_piece``, whole texts go to the library."""
 
     def __init__(self, path: str, by_piece: bool):
-        self.tokenizer, self.by_piece = _tokenizer(path), by_piece
+        self.tokenizer = _tokenizer(path)
+        with open(path, encoding="utf-8") as fh:
+            made = json.load(fh)
+        found = word_ranks(made) if by_piece else None
+        self.by_piece = found is not None
         self.pieces: dict[str, bytes] = {}
-        self.matches: dict[str, bytes] = {}
-        if by_piece:
-            made = json.loads(self.tokenizer.to_str())
-            self.pattern = regex.compile(made["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
+        if found:
+            import tiktoken
+            pattern, ranks = found
+            self.merge = tiktoken.Encoding("words", pat_str=f"[^{WORD_END}]+{WORD_END}", mergeable_ranks=ranks,
+                                           special_tokens={}).encode_to_numpy
+            self.line = ranks[f"\n{WORD_END}".encode()]
+            self.pattern = regex.compile(f"{pattern}|\n")
             self.odd = regex.compile("|".join(
-                [regex.escape(t["content"]) for t in made["added_tokens"]] + ["\u03a3"]))
+                [regex.escape(t["content"]) for t in made["added_tokens"]] + ["\u03a3", WORD_END]))
+            self.letter = {b: c for c, b in byte_letters().items()}
+            self.alike = set(map(chr, range(128)))
+            self.unlike: set[str] = set()
+
+    def _matches(self, text: str) -> list[str]:
+        return self.pattern.findall(unicodedata.normalize("NFC", text).lower())
+
+    def _read_alike(self, chars: set[str]) -> bool:
+        """Whether the library splits around all ``chars`` as the pattern does here; each
+        character is tried once, beside a letter, a number and a sign."""
+        for c in chars.difference(self.alike, self.unlike):
+            text = f"a{c}a 1{c}1 !{c}! {c}"
+            own = ["".join(map(self.letter.__getitem__, m.encode())) for m in self._matches(text)]
+            t = self.tokenizer
+            theirs = [m for m, _ in t.pre_tokenizer.pre_tokenize_str(t.normalizer.normalize_str(text))]
+            (self.alike if own == theirs else self.unlike).add(c)
+        return self.unlike.isdisjoint(chars)
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u4").tobytes()
                 for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, pieces: list[str]) -> None:
-        cut = []
-        for p in pieces:
-            if p.isascii():
-                cut.append([p] if "<|" in p and self.odd.search(p) else self.pattern.findall(p.lower()))
-            else:
-                cut.append([p] if self.odd.search(p) else
-                           self.pattern.findall(unicodedata.normalize("NFC", p).lower()))
-        new = list(set().union(*cut).difference(self.matches))
-        for a in range(0, len(new), 8192):
-            self.matches.update(zip(new[a:a + 8192], self._encode(new[a:a + 8192])))
-        get = self.matches.__getitem__
-        self.pieces.update(zip(pieces, [b"".join(map(get, c)) for c in cut]))
+        lines = "\n".join(pieces)
+        if not self._read_alike(set(lines)) or self.odd.search(lines):
+            whole = [p for p in pieces if self.odd.search(p) or not self.unlike.isdisjoint(p)]
+            self.pieces.update(zip(whole, self._encode(whole)))
+            pieces = list(set(pieces).difference(whole))
+            lines = "\n".join(pieces)
+        if not pieces:
+            return
+        ids = self.merge(WORD_END.join(self._matches(lines)) + WORD_END) if lines else np.zeros(0, np.uint32)
+        ends = np.append(np.flatnonzero(ids == self.line), len(ids))
+        starts = np.append(0, ends[:-1] + 1)
+        raw = ids.astype("<u4", copy=False).tobytes()
+        self.pieces.update(zip(pieces, [raw[a:b] for a, b in zip((4 * starts).tolist(), (4 * ends).tolist())]))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if not self.by_piece:
             return self._encode(texts)
         if len(self.pieces) > REMEMBERED:
             self.pieces.clear()
-        if len(self.matches) > 3 * REMEMBERED:
-            self.matches.clear()
         cut = [t.replace("\n", " ").split(" ") for t in texts]
         self._learn(list(set().union(*cut).difference(self.pieces)))
         get = self.pieces.__getitem__
