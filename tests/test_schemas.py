@@ -201,10 +201,10 @@ def test_all_attempts_and_overwritten(spark, tmp_dir):
 
 def test_attempts_recorded_without_schema(spark, tmp_dir):
     cfg = days(tmp_dir, spark, {"20240101": "price,seller,status\n1,a,ok\n", "20240102": "price,seller,status\n1.5,b,ok\n"})
-    rows = [tuple(r)[:-1] for r in read_audit(spark, cfg.audit_path).collect()]
+    rows = [r.asDict() | {"schema": None} for r in read_audit(spark, cfg.audit_path).collect()]
     old = os.path.join(tmp_dir, "old-audit")
     for r in rows:
-        record_run(spark, old, [(*r, None)])
+        record_run(spark, old, [tuple(r.values())])
     assert sorted(r.price for r in read_published(spark, cfg.output_base, old).collect()) == [1.0, 1.5]
 
 

@@ -37,6 +37,8 @@ def _parser() -> argparse.ArgumentParser:
         s.add_argument("--check-drift", action="store_true",
                        help="fail if inferred types differ from the published runs")
         s.add_argument("--layout", choices=["attempts", "overwrite"], default="attempts")
+        s.add_argument("--time-limit", type=float, default=None,
+                       help="seconds an attempt may take before it is TIMED_OUT")
         s.add_argument("--rebalance", action="store_true",
                        help="shuffle the output into files of the advisory size")
         s.add_argument("--max-records-per-file", type=int, default=None)
@@ -65,7 +67,8 @@ def main(argv: list[str] | None = None) -> int:
     """Run the command line; the return value is the exit status."""
     args = _parser().parse_args(argv)
     cfg = JobConfig.from_env(schema=args.schema, strict=args.strict, layout=args.layout,
-                             by_header=args.by_header,
+                             by_header=args.by_header, time_limit=args.time_limit,
+                             own_session=not args.remote,
                              check_drift=args.check_drift, rebalance=args.rebalance,
                              max_records_per_file=args.max_records_per_file,
                              catalog_table=args.catalog_table,
@@ -87,7 +90,7 @@ def main(argv: list[str] | None = None) -> int:
                          date_col=args.date_col).collect()  # bounded: one row per date
     else:
         # bounded: one row per run date
-        rows = run_status(spark, cfg.audit_path).orderBy("run_date").collect()
+        rows = run_status(spark, cfg.audit_path, cfg.leases_path).orderBy("run_date").collect()
     for r in rows:
         print(f"{r['run_date']} {r['status']} written={r['written_rows']}")
     return 0 if all(r["status"] == STATUS_VERIFIED for r in rows) else 1

@@ -122,6 +122,13 @@ class JobConfig:
     # Sliced backfills: count input rows per requested date in the same pass
     # (one count_if per date on every row - worth it for short ranges).
     per_date_input_counts: bool = False
+    # Seconds an attempt may take (see plans/leases.py); None: no limit, no lease.
+    time_limit: float | None = None
+    # Renew the lease every so many seconds while the driver lives: then only a
+    # killed driver times out, not a slow run.
+    renew_lease_every: float | None = None
+    # The session runs nothing else: at the end of the lease all of it may be interrupted.
+    own_session: bool = False
     # Cap on rows per output file (no shuffle); None: no cap.
     max_records_per_file: int | None = None
     # Rows to print from the input and the output, like ``show(n)``; 0 = none.
@@ -179,6 +186,10 @@ class JobConfig:
     def audit_path(self) -> str:
         return f"{self.root}/{self.audit_prefix.strip('/')}"
 
+    @property
+    def leases_path(self) -> str:
+        return f"{self.audit_path}-leases"
+
     @property
     def quarantine_path(self) -> str:
         return f"{self.root}/{self.quarantine_prefix.strip('/')}"

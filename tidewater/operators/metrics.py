@@ -11,7 +11,9 @@ STATUS_VERIFIED = "VERIFIED"
 STATUS_EMPTY = "EMPTY"
 STATUS_MISMATCH = "MISMATCH"
 STATUS_FAILED = "FAILED"
-STATUSES = (STATUS_VERIFIED, STATUS_EMPTY, STATUS_MISMATCH, STATUS_FAILED)
+STATUS_RUNNING = "RUNNING"
+STATUS_TIMED_OUT = "TIMED_OUT"
+STATUSES = (STATUS_VERIFIED, STATUS_EMPTY, STATUS_MISMATCH, STATUS_FAILED, STATUS_RUNNING, STATUS_TIMED_OUT)
 
 
 class EmptyRunError(RuntimeError):
@@ -22,6 +24,10 @@ class RunCheckError(RuntimeError):
     """The run wrote a different number of rows than it produced."""
 
 
+class RunTimeoutError(RuntimeError):
+    """The run outlived its lease; what it wrote is not published."""
+
+
 def observe_rows(df: DataFrame, name: str, *extra) -> tuple[DataFrame, Observation]:
     """Attach a row counter to ``df``.
 

@@ -243,6 +243,29 @@ ORACLE_SQL: dict[str, str] = {
     "run_by_header": f"""
         SELECT price, seller, status FROM ({_HEADERS}) h
         WHERE price IS NOT NULL OR seller IS NOT NULL OR status IS NOT NULL""",
+    "mirror_diff_digest": _MIRROR_DIFF,
+    "mirror_few_changes": """
+        SELECT o_orderkey, o_custkey,
+               CASE WHEN o_orderkey % 5 = 1 THEN o_totalprice + 1 ELSE o_totalprice END AS o_totalprice, o_orderstatus,
+               CASE WHEN o_orderkey % 5 = 0 THEN 'delete' ELSE 'update' END AS change
+        FROM orders, (SELECT max(o_orderkey) AS hi FROM orders) m
+        WHERE o_orderkey BETWEEN hi // 2 AND hi // 2 + hi // 100 AND o_orderkey % 5 IN (0, 1)""",
+    "ingest_batches": f"""
+        SELECT 'VERIFIED' AS status, CAST(count(*) AS BIGINT) AS input_rows,
+               CAST(count(*) FILTER (WHERE n) AS BIGINT) AS output_rows,
+               CAST(count(*) FILTER (WHERE n) AS BIGINT) AS written_rows,
+               CAST(count(*) FILTER (WHERE bad) AS BIGINT) AS bad_rows
+        FROM (SELECT price IS NOT NULL AND order_key % 11 = 0 AS bad,
+                     (price IS NOT NULL AND order_key % 11 <> 0) OR seller IS NOT NULL OR status IS NOT NULL AS n
+              FROM ({_DERIVED}) d) c""",
+    "ingest_verified": _KEPT,
+    "views_stay_current": f"""
+        SELECT '20240101' AS run_date, count(*) AS n_rows, 1::BIGINT AS n_attempts,
+               CAST(sum(CAST(price AS DECIMAL(18,2))) AS DOUBLE) AS sum_price, 2::BIGINT AS n_recorded,
+               count(*) AS written_rows FROM ({_KEPT}) k
+        UNION ALL
+        SELECT '20240102', count(*), 1, CAST(sum(CAST(price AS DECIMAL(18,2))) AS DOUBLE), 1, count(*)
+        FROM ({_WHOLE}) w""",
     "file_sync": f"SELECT price, seller, status FROM ({_FOLLOWED}) f",
     "file_sync_compacted": f"""
         SELECT count(*) AS n_rows, count(price) AS n_price,

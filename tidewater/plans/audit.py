@@ -26,7 +26,13 @@ from pyspark.sql.types import (
 
 from pyspark.sql import Observation
 
-from ..operators.metrics import STATUS_EMPTY, STATUS_MISMATCH, STATUS_VERIFIED
+from ..operators.metrics import (
+    STATUS_EMPTY,
+    STATUS_MISMATCH,
+    STATUS_RUNNING,
+    STATUS_TIMED_OUT,
+    STATUS_VERIFIED,
+)
 from ..sources.parquet import (
     ATTEMPT,
     RUN_DATE,
@@ -37,15 +43,17 @@ from ..sources.parquet import (
     read_runs,
     runs_schema,
 )
+from .leases import read_leases
 from ..sources.schemas import ERROR, schema_from_text, schema_text, unify, union_scans
 
 AUDIT_COLUMNS = [
     "run_date", "attempt", "status", "input_rows", "output_rows", "written_rows",
-    "started", "finished", "error", "schema",
+    "started", "finished", "error", "schema", "replaces", "as_of",
 ]
 AUDIT_DDL = (
     "run_date STRING, attempt STRING, status STRING, input_rows BIGINT, output_rows BIGINT, "
-    "written_rows BIGINT, started TIMESTAMP, finished TIMESTAMP, error STRING, schema STRING"
+    "written_rows BIGINT, started TIMESTAMP, finished TIMESTAMP, error STRING, schema STRING, "
+    "replaces STRING, as_of TIMESTAMP"
 )
 _AUDIT_SCHEMA = StructType([
     StructField("run_date", StringType()), StructField("attempt", StringType()),
@@ -53,6 +61,7 @@ _AUDIT_SCHEMA = StructType([
     StructField("output_rows", LongType()), StructField("written_rows", LongType()),
     StructField("started", TimestampType()), StructField("finished", TimestampType()),
     StructField("error", StringType()), StructField("schema", StringType()),
+    StructField("replaces", StringType()), StructField("as_of", TimestampType()),
 ])
 
 
@@ -61,8 +70,11 @@ def audit_schema() -> StructType:
 
 
 def write_audit(df: DataFrame, audit_path: str, attempt: str) -> None:
-    """Write the audit rows of one attempt (columns :data:`AUDIT_COLUMNS`)."""
-    df.select(*AUDIT_COLUMNS).write.mode("overwrite").parquet(f"{audit_path.rstrip('/')}/{attempt}")
+    """Write the audit rows of one attempt (columns :data:`AUDIT_COLUMNS`; those it lacks null)."""
+    have = set(df.columns)
+    cols = [F.col(f.name) if f.name in have else F.lit(None).cast(f.dataType).alias(f.name)
+            for f in _AUDIT_SCHEMA.fields]
+    df.select(*cols).write.mode("overwrite").parquet(f"{audit_path.rstrip('/')}/{attempt}")
 
 
 def record_run(spark: SparkSession, audit_path: str, rows: Iterable[tuple]) -> None:
@@ -79,19 +91,27 @@ def record_run(spark: SparkSession, audit_path: str, rows: Iterable[tuple]) -> N
 
 def verify_and_record(spark: SparkSession, audit_path: str, runs_path: str, schema: StructType,
                       run_date: str, attempt: str, input_rows: int | None,
-                      output_rows: int | None, started: datetime) -> tuple[int, str]:
+                      output_rows: int | None, started: datetime, *,
+                      replaces: tuple[str, int] | None = None,
+                      expires: int | None = None) -> tuple[int, str]:
     """Count the attempt back and append its audit row in one Spark job.
 
     The audit row is computed from the read-back count (footers only) and
     written by the same job; an observed metric on that write brings the
     count to the driver.  Returns ``(written_rows, status)``.  If the job
     fails, no audit row exists and the attempt stays invisible.
+
+    ``replaces``: the attempt this one rewrites and the time (microseconds) that one
+    stands for; see :func:`latest_verified`.  ``expires``: end of the attempt's lease
+    in microseconds; the row is TIMED_OUT, and so never published, after it.
     """
     written = (spark.read.schema(schema).parquet(attempt_path(runs_path, run_date, attempt))
                .agg(F.count(F.lit(1)).alias("written_rows")))
     n = F.col("written_rows")
-    status = F.when(F.lit(output_rows).isNotNull() & (n != F.lit(output_rows)),
-                    F.lit(STATUS_MISMATCH))
+    late = F.lit(False) if expires is None else F.unix_micros(F.current_timestamp()) > F.lit(expires)
+    status = F.when(late, F.lit(STATUS_TIMED_OUT))
+    status = status.when(F.lit(output_rows).isNotNull() & (n != F.lit(output_rows)),
+                         F.lit(STATUS_MISMATCH))
     status = status.when(n == 0, F.lit(STATUS_EMPTY)).otherwise(F.lit(STATUS_VERIFIED))
     row = written.select(
         F.lit(run_date).alias(RUN_DATE), F.lit(attempt).alias(ATTEMPT), status.alias("status"),
@@ -101,7 +121,9 @@ def verify_and_record(spark: SparkSession, audit_path: str, runs_path: str, sche
         F.lit(started).cast("timestamp").alias("started"),
         F.current_timestamp().alias("finished"),
         F.lit(None).cast("string").alias("error"),
-        F.lit(schema_text(schema)).alias("schema"))
+        F.lit(schema_text(schema)).alias("schema"),
+        F.lit(replaces and replaces[0]).cast("string").alias("replaces"),
+        F.timestamp_micros(F.lit(replaces and replaces[1]).cast("bigint")).alias("as_of"))
     obs = Observation(f"verify-{attempt}")
     row = row.observe(obs, F.max("written_rows").alias("written"), F.max("status").alias("status"))
     write_audit(row, audit_path, attempt)
@@ -140,28 +162,64 @@ def attempt_is_audited(spark: SparkSession, audit_path: str, attempt: str) -> bo
 
 def _latest(df: DataFrame, columns: list[str]) -> DataFrame:
     """Latest attempt per run_date, with ``columns``: by ``finished``, then
-    attempt id (ids sort by start time).  ``max_by`` aggregates map-side, so a
+    attempt id (ids sort by start time).  An attempt that ``replaces`` another stands
+    where that one stood, just above it.  ``max_by`` aggregates map-side, so a
     date with many attempts is no burden; only the named columns are read."""
-    order = F.struct(F.col("finished"), F.col(ATTEMPT))
+    order = F.struct(F.coalesce("as_of", "finished"), F.coalesce("replaces", ATTEMPT), F.col("finished"), F.col(ATTEMPT))
     payload = F.struct(*[F.col(c) for c in columns if c != RUN_DATE])
     return (df.groupBy(RUN_DATE)
               .agg(F.max_by(payload, order).alias("_last"))
               .select(RUN_DATE, "_last.*"))
 
 
-def run_status(spark: SparkSession, audit_path: str) -> DataFrame:
-    """Status of the latest attempt of every run date."""
-    return _latest(read_audit(spark, audit_path), AUDIT_COLUMNS).select(*AUDIT_COLUMNS)
+def run_status(spark: SparkSession, audit_path: str, leases_path: str | None = None) -> DataFrame:
+    """Status of the latest attempt of every run date.  With ``leases_path`` also attempts
+    that started and have no audit row: RUNNING while their lease lasts, then TIMED_OUT."""
+    rows = read_audit(spark, audit_path)
+    if leases_path is not None:
+        rows = rows.unionByName(open_attempts(spark, audit_path, leases_path))
+    return _latest(rows, AUDIT_COLUMNS).select(*AUDIT_COLUMNS)
+
+
+def open_attempts(spark: SparkSession, audit_path: str, leases_path: str) -> DataFrame:
+    """Audit-like rows of the attempts that hold a lease and have no audit row.  A running one
+    stands for the present time, an expired one for the end of its lease."""
+    held = read_leases(spark, leases_path).join(
+        read_audit(spark, audit_path).select(RUN_DATE, ATTEMPT), [RUN_DATE, ATTEMPT], "left_anti")
+    now = F.current_timestamp()
+    over = F.col("expires") < now
+    have = {
+        RUN_DATE: F.col(RUN_DATE), ATTEMPT: F.col(ATTEMPT), "started": F.col("started"),
+        "status": F.when(over, F.lit(STATUS_TIMED_OUT)).otherwise(F.lit(STATUS_RUNNING)),
+        "finished": F.when(over, F.col("expires")), "as_of": F.when(over, F.col("expires")).otherwise(now),
+    }
+    return held.select(*[have.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in _AUDIT_SCHEMA.fields])
 
 
 def latest_verified(spark: SparkSession, audit_path: str, *, schemas: bool = False) -> DataFrame:
     """(run_date, attempt) of the latest VERIFIED attempt of every run date, with ``schemas``
-    also the text of its schema (null for attempts recorded without one)."""
+    also the text of its schema (null for attempts recorded without one).
+
+    A compaction counts only while the attempt it rewrote is the latest: a run that lands
+    between its read and its audit row stays published."""
     verified = read_audit(spark, audit_path).filter(F.col("status") == STATUS_VERIFIED)
     columns = [ATTEMPT, "schema"] if schemas else [ATTEMPT]
     return _latest(verified, columns).select(RUN_DATE, *columns)
 
 
+def published_attempt(spark: SparkSession, audit_path: str, run_date: str) -> tuple[str, str, int]:
+    """Published attempt of a date, the attempt whose rows it holds (itself, or what it
+    replaces, from compaction to compaction) and the time in microseconds that one stands for."""
+    verified = read_audit(spark, audit_path).filter(
+        (F.col("status") == STATUS_VERIFIED) & (F.col(RUN_DATE) == run_date))
+    verified = verified.withColumns({"origin": F.coalesce("replaces", ATTEMPT),
+                                     "stands": F.unix_micros(F.coalesce("as_of", "finished"))})
+    row = _latest(verified, [ATTEMPT, "origin", "stands"]).first()
+    if row is None:
+        raise LookupError(f"no verified run for {run_date}")
+    return row[ATTEMPT], row["origin"], row["stands"]
+
+
 def read_attempts(spark: SparkSession, runs_path: str, attempts: Sequence[tuple[str, str, str | None]],
                   schema: StructType | None = None, on_conflict: str = ERROR) -> DataFrame:
     """Rows of the given (run_date, attempt, schema text), as one DataFrame.
@@ -269,4 +327,4 @@ def audit_row(run_date: str, attempt: str, status: str, input_rows: int | None,
               output_rows: int | None, written_rows: int | None, started: datetime,
               finished: datetime, error: str | None = None, schema: str | None = None) -> tuple:
     return (run_date, attempt, status, input_rows, output_rows, written_rows, started,
-            finished, error, schema)
+            finished, error, schema, None, None)

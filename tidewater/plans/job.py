@@ -11,6 +11,7 @@ pass either.
 from __future__ import annotations
 
 from collections.abc import Callable
+from contextlib import ExitStack
 from dataclasses import dataclass, field
 from datetime import datetime
 
@@ -21,7 +22,9 @@ from ..config import LAYOUT_OVERWRITE, JobConfig
 from ..functions.logformat import format_input_count, format_output_count, format_verification
 from ..operators.metrics import (
     STATUS_FAILED,
+    STATUS_TIMED_OUT,
     RunMetrics,
+    RunTimeoutError,
     observe_rows,
     require_non_empty,
 )
@@ -38,6 +41,7 @@ from ..sources.parquet import (
 )
 from ..sources.schemas import schema_text
 from .audit import attempt_is_audited, audit_row, latest_verified, record_run, verify_and_record
+from .leases import Lease
 
 
 @dataclass
@@ -160,6 +164,22 @@ def require_catalog(spark: SparkSession, cfg: JobConfig) -> None:
             raise ValueError(f"no catalog table {name!r}; create it with register_catalog")
 
 
+def _refresh(spark: SparkSession, cfg: JobConfig, dates: list[str], log) -> None:
+    """Move the session's views to what was published; they can be refreshed again, so a
+    failure does not undo a publication."""
+    from .catalog import refresh_views
+    try:
+        refresh_views(spark, cfg, dates)
+    except Exception as exc:
+        if log is not None:
+            log(f"Views not refreshed: {type(exc).__name__}: {exc}")
+
+
+def _lease(spark: SparkSession, cfg: JobConfig, attempt: str, dates: list[str]) -> Lease:
+    return Lease(spark, cfg.leases_path, attempt, dates, cfg.time_limit, cfg.renew_lease_every,
+                 cfg.own_session)
+
+
 def write_job_log(spark: SparkSession, cfg: JobConfig, run_date: str, attempt: str,
                   lines: list[str]) -> str:
     """Keep the job's log lines next to the data (one small text file per attempt)."""
@@ -209,8 +229,14 @@ def run_job(
     path = kept = None
     error = None
     recorded = False
+    recorded_status = None
     failure: BaseException | None = None
+    guard = ExitStack()
+    lease = None
     try:
+        if cfg.time_limit and record:
+            lease = _lease(spark, cfg, attempt, [cfg.run_date])
+            guard.enter_context(lease)
         if cfg.catalog_table and cfg.layout != LAYOUT_OVERWRITE:
             require_catalog(spark, cfg)
         raw = scan_csv(spark, cfg.input_path, schema=cfg.schema, strict=cfg.strict,
@@ -245,16 +271,23 @@ def run_job(
         if cfg.layout == LAYOUT_OVERWRITE:
             written = spark.read.schema(out.schema).parquet(path).count()
         elif record:
-            written, _ = verify_and_record(spark, cfg.audit_path, cfg.output_base, out.schema,
-                                           cfg.run_date, attempt, input_rows, output_rows,
-                                           started)
+            written, recorded_status = verify_and_record(spark, cfg.audit_path, cfg.output_base, out.schema,
+                                                cfg.run_date, attempt, input_rows, output_rows,
+                                                started, expires=lease and lease.expires)
             recorded = True
         else:
             written = count_attempt(spark, cfg.output_base, cfg.run_date, attempt, out.schema)
         emit(format_verification(written, path))
         status = RunMetrics(input_rows, output_rows, written, bad).status
+        if recorded and recorded_status == STATUS_TIMED_OUT:
+            raise RunTimeoutError(f"the run took longer than {cfg.time_limit:g} s")
     except Exception as exc:  # recorded, then re-raised below
-        status, error, failure = STATUS_FAILED, f"{type(exc).__name__}: {exc}", exc
+        late = lease is not None and lease.expired()
+        if late and not isinstance(exc, RunTimeoutError):
+            exc = RunTimeoutError(f"the run took longer than {cfg.time_limit:g} s ({type(exc).__name__}: {exc})")
+        status, error, failure = STATUS_TIMED_OUT if late else STATUS_FAILED, f"{type(exc).__name__}: {exc}", exc
+    finally:
+        guard.close()
     finished = _now()
     if cfg.preview_output and failure is None:
         try:  # the run is decided: a preview that fails is only logged
@@ -269,6 +302,8 @@ def run_job(
         record_run(spark, cfg.audit_path, [result.audit()])
     if keep_log:
         write_job_log(spark, cfg, cfg.run_date, attempt, lines)
+    if record and cfg.layout != LAYOUT_OVERWRITE:
+        _refresh(spark, cfg, [cfg.run_date], log)
     if cfg.catalog_table and written and cfg.layout != LAYOUT_OVERWRITE:
         from .catalog import add_attempt
         try:  # readers go by the audit; register_catalog adds what a failure here left out
@@ -331,10 +366,12 @@ def publish_frame(
     attempt: str | None = None,
     log: Callable[[str], None] | None = print,
     raise_on_failure: bool = True,
+    replaces: tuple[str, int] | None = None,
 ) -> RunResult:
     """Publish any DataFrame as a new attempt of ``cfg.run_date``: observed
     count, write, read-back count, audit row - the same guarantees as
-    :func:`run_job` (e.g. for the result of a mirror)."""
+    :func:`run_job` (e.g. for the result of a mirror).  ``replaces`` makes it stand for
+    another attempt (see :func:`compact_run`)."""
     started = _now()
     require_new_attempt(spark, cfg, attempt)
     attempt = attempt or new_attempt_id()
@@ -348,7 +385,8 @@ def publish_frame(
         path = write_attempt(out, cfg.output_base, cfg.run_date, attempt, cfg.max_records_per_file)
         output_rows = obs.get["rows"]
         written, status = verify_and_record(spark, cfg.audit_path, cfg.output_base, out.schema,
-                                            cfg.run_date, attempt, None, output_rows, started)
+                                            cfg.run_date, attempt, None, output_rows, started,
+                                            replaces=replaces)
         recorded = True
     except Exception as exc:
         status, error, failure = STATUS_FAILED, f"{type(exc).__name__}: {exc}", exc
@@ -364,6 +402,7 @@ def publish_frame(
                        started, finished, error, lines)
     if not recorded:
         record_run(spark, cfg.audit_path, [result.audit()])
+    _refresh(spark, cfg, [cfg.run_date], log)
     if raise_on_failure:
         if failure is not None:
             raise failure
@@ -375,12 +414,15 @@ def compact_run(spark: SparkSession, cfg: JobConfig, run_date: str | None = None
                 log: Callable[[str], None] | None = print) -> RunResult:
     """Rewrite the published attempt of a date as a new, rebalanced attempt
     (files of the advisory size instead of one per input split).  It is
-    verified and audited like any run, so readers move to it; the old folder
-    stays until removed with filesystem tools."""
+    verified and audited like any run, as a replacement of the attempt it read:
+    readers move to it only while that one is the latest, so a run that lands in
+    between stays published.  The old folder stays until removed with filesystem tools."""
     from dataclasses import replace
 
-    from .audit import read_run
+    from .audit import published_attempt, read_run
 
     run_date = run_date or cfg.run_date
-    current = read_run(spark, cfg.output_base, cfg.audit_path, run_date).drop(RUN_DATE, ATTEMPT)
-    return publish_frame(spark, current, replace(cfg, run_date=run_date, rebalance=True), log=log)
+    held, origin, stands = published_attempt(spark, cfg.audit_path, run_date)
+    current = read_run(spark, cfg.output_base, cfg.audit_path, run_date, held).drop(RUN_DATE, ATTEMPT)
+    return publish_frame(spark, current, replace(cfg, run_date=run_date, rebalance=True), log=log,
+                         replaces=(origin, stands))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from contextlib import ExitStack
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,7 +16,9 @@ from ..operators.metrics import (
     STATUS_EMPTY,
     STATUS_FAILED,
     STATUS_MISMATCH,
+    STATUS_TIMED_OUT,
     STATUS_VERIFIED,
+    RunTimeoutError,
 )
 from ..sources.csv import CORRUPT_COLUMN, scan_csv
 from ..sources.parquet import (
@@ -28,12 +31,10 @@ from ..sources.parquet import (
 from ..sources.schemas import schema_text
 from .audit import (
     read_attempt_audit,
-    read_audit,
-    read_published,
     run_status,
     write_audit,
 )
-from .job import _now, build_output, require_catalog, require_new_attempt, run_job
+from .job import _lease, _now, _refresh, build_output, require_catalog, require_new_attempt, run_job
 
 
 def _dates(dates: Sequence[str]) -> list[str]:
@@ -90,7 +91,10 @@ def run_range(
     kept = None
     failure: BaseException | None = None
     dates_df = spark.createDataFrame([(d,) for d in dates], f"{RUN_DATE} STRING")
+    guard, lease = ExitStack(), None
     try:
+        if cfg.time_limit:
+            lease = guard.enter_context(_lease(spark, cfg, attempt, dates))
         raw = scan_csv(spark, cfg.input_path, schema=cfg.schema, strict=cfg.strict,
                        recursive=cfg.recursive, options=cfg.csv_options, by_header=cfg.by_header)
         if cfg.catalog_table:
@@ -145,16 +149,26 @@ def run_range(
         else:
             consumed = F.lit(None)
         error = F.lit(None).cast("string")
+        if lease is not None and lease.expired():
+            raise RunTimeoutError(f"the run took longer than {cfg.time_limit:g} s")
     except Exception as exc:
+        late = lease is not None and lease.expired()
+        if late and not isinstance(exc, RunTimeoutError):
+            exc = RunTimeoutError(f"the run took longer than {cfg.time_limit:g} s ({type(exc).__name__}: {exc})")
         input_rows = output_rows = None
         per_date = dates_df.withColumn("written_rows", F.lit(None).cast("bigint"))
-        status = F.lit(STATUS_FAILED)
+        status = F.lit(STATUS_TIMED_OUT if late else STATUS_FAILED)
         produced = consumed = F.lit(None)
         error = F.lit(f"{type(exc).__name__}: {exc}")
         failure = exc
         if log:
-            log(f"Status: {STATUS_FAILED} {exc}")
+            log(f"Status: {STATUS_TIMED_OUT if late else STATUS_FAILED} {exc}")
+    finally:
+        guard.close()
     finished = _now()
+    if lease is not None:  # once more when the row is written
+        status = F.when(F.unix_micros(F.current_timestamp()) > F.lit(lease.expires),
+                        F.lit(STATUS_TIMED_OUT)).otherwise(status)
     audit = per_date.select(
         RUN_DATE,
         F.lit(attempt).alias(ATTEMPT),
@@ -177,6 +191,7 @@ def run_range(
             log(f"Undated rows : {undated} in {cfg.quarantine_path}/{ATTEMPT}={attempt}")
         log(format_output_count(output_rows))
     result = read_attempt_audit(spark, cfg.audit_path, attempt)
+    _refresh(spark, cfg, dates, log)
     if cfg.catalog_table:
         from .catalog import add_attempts
         # the read-back is the authority for which folders hold rows
@@ -218,8 +233,8 @@ def _date_bounds(df: DataFrame, date_col: str, dates: list[str]):
 def register_runs(spark: SparkSession, cfg: JobConfig, name: str = "runs",
                   schema=None) -> dict[str, str]:
     """B6: temp views for SQL: ``runs`` (published rows), ``run_audit`` (every
-    attempt) and ``run_status`` (latest attempt per date)."""
-    read_published(spark, cfg.output_base, cfg.audit_path, schema).createOrReplaceTempView(name)
-    read_audit(spark, cfg.audit_path).createOrReplaceTempView(f"{name}_audit")
-    run_status(spark, cfg.audit_path).createOrReplaceTempView(f"{name}_status")
-    return {"runs": name, "audit": f"{name}_audit", "status": f"{name}_status"}
+    attempt) and ``run_status`` (latest attempt per date).  They see what this session
+    publishes afterwards (see :func:`tidewater.plans.catalog.register_views`)."""
+    from .catalog import register_views
+
+    return register_views(spark, cfg, name, schema)

@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .config import JobConfig, date_range
+from .operators.digests import mirror_diff_by_digest
 from .operators.mirror import change_counts, mirror_apply, mirror_diff
 from .operators.transforms import drop_all_null, preview, project, schema_report
 from .plans import inputs
@@ -39,7 +40,7 @@ from .sources.csv import scan_csv
 from .sources.headers import scan_by_header
 from .sources.logs import read_run_logs
 from .sources.parquet import RUN_DATE, read_attempt, read_overwrite_runs, read_runs
-from .streaming.ingest import ingest_stream, read_ingested
+from .streaming.ingest import batch_status, ingest_stream, read_ingested, read_verified
 
 COLS = ["price", "seller", "status"]
 LINEITEM_CSV_DDL = (
@@ -265,6 +266,28 @@ def q_ingest_stream(spark, sf_dir):
                          "price DOUBLE, seller INT, status STRING").select(*COLS)
 
 
+def q_ingest_batches(spark, sf_dir):
+    """B2/B4: the batch ledger, summed over the batches (their number depends on the files)."""
+    csv = inputs.unparsable_price_csv(spark, sf_dir)
+    work = scratch_path(spark, "ingest-ledger")
+    ingest_stream(spark, csv, f"{work}/out", f"{work}/checkpoint", LINEITEM_CSV_DDL, columns=COLS, name="ledger",
+                  max_files_per_trigger=1)
+    return batch_status(spark, f"{work}/out", "ledger").groupBy("status").agg(
+        F.sum("input_rows").alias("input_rows"), F.sum("output_rows").alias("output_rows"),
+        F.sum("written_rows").alias("written_rows"), F.sum("bad_rows").alias("bad_rows"))
+
+
+def q_ingest_verified(spark, sf_dir):
+    """B2: rows of verified batches; the second folder holds no value and its batches are EMPTY."""
+    work = scratch_path(spark, "ingest-verified")
+    rows = inputs.lineitem_job_rows(spark, sf_dir)
+    inputs.write_csv_input(rows, f"{work}/raw/a")
+    inputs.write_csv_input(rows.withColumns({c: F.lit(None).cast("string") for c in COLS}), f"{work}/raw/b")
+    ingest_stream(spark, f"{work}/raw/*", f"{work}/out", f"{work}/checkpoint", LINEITEM_CSV_DDL, columns=COLS,
+                  name="verified", max_files_per_trigger=1)
+    return read_verified(spark, f"{work}/out", "verified", "price DOUBLE, seller INT, status STRING").select(*COLS)
+
+
 # -- B5 --------------------------------------------------------------------------
 
 def q_job_log_metrics(spark, sf_dir):
@@ -349,6 +372,23 @@ def q_mirror_copy(spark, sf_dir):
     return mirror_apply(src, tgt, ["c_custkey"], delete=False)
 
 
+def q_views_stay_current(spark, sf_dir):
+    """B6: views registered before the second date is published and the first one compacted."""
+    cfg = workspace(spark, "live-views", inputs.lineitem_csv(spark, sf_dir))
+    run_job(spark, cfg.with_date("20240101"), log=_quiet)
+    views = register_runs(spark, cfg, name=f"live_{uuid.uuid4().hex[:8]}")
+    run_job(spark, replace(cfg, input_uri=inputs.whole_price_csv(spark, sf_dir)).with_date("20240102"), log=_quiet)
+    compact_run(spark, cfg, "20240101", log=_quiet)
+    return spark.sql(f"""
+        SELECT r.run_date, count(*) AS n_rows, count(DISTINCT r.attempt) AS n_attempts,
+               CAST(sum(CAST(r.price AS DECIMAL(18,2))) AS DOUBLE) AS sum_price,
+               max(a.n) AS n_recorded, max(s.written_rows) AS written_rows
+        FROM {views['runs']} r
+        JOIN (SELECT run_date, count(*) AS n FROM {views['audit']} GROUP BY run_date) a ON a.run_date = r.run_date
+        JOIN {views['status']} s ON s.run_date = r.run_date
+        GROUP BY r.run_date""")
+
+
 def q_compacted_run(spark, sf_dir):
     """A7 compaction: the published attempt rewritten as a new one."""
     cfg, _ = _published_run(spark, sf_dir, "compact")
@@ -390,6 +430,27 @@ def q_run_by_header(spark, sf_dir):
     return read_published(spark, cfg.output_base, cfg.audit_path).select(*COLS)
 
 
+# -- B3 by digests --------------------------------------------------------------------------
+
+def q_mirror_diff_digest(spark, sf_dir):
+    """B3: the diff through digests of hashed buckets; equals ``mirror_diff``."""
+    src, tgt = mirror_sides(spark, sf_dir)
+    return mirror_diff_by_digest(src, tgt, ["c_custkey"])
+
+
+def q_mirror_few_changes(spark, sf_dir):
+    """B3: changes in a narrow range of order keys (one row in a hundred, at most), found
+    through digests of key ranges; the changed rows alone."""
+    tgt = inputs.table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderstatus")
+    hi = tgt.agg(F.max("o_orderkey")).first()[0]
+    key = F.col("o_orderkey")
+    near = key.between(hi // 2, hi // 2 + hi // 100)
+    src = (tgt.filter(~(near & (key % 5 == 0)))
+              .withColumn("o_totalprice", F.when(near & (key % 5 == 1), F.col("o_totalprice") + 1)
+                          .otherwise(F.col("o_totalprice"))))
+    return mirror_diff_by_digest(src, tgt, "o_orderkey", by="range", changes_only=True)
+
+
 # -- B2 / B3 over changed and removed files ----------------------------------------------
 
 def _followed_folder(spark, sf_dir, name):
@@ -509,6 +570,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "scan_by_header": q_scan_by_header,
     "scan_by_header_declared": q_scan_by_header_declared,
     "run_by_header": q_run_by_header,
+    "mirror_diff_digest": q_mirror_diff_digest,
+    "mirror_few_changes": q_mirror_few_changes,
+    "ingest_batches": q_ingest_batches,
+    "ingest_verified": q_ingest_verified,
+    "views_stay_current": q_views_stay_current,
     "file_sync": q_file_sync,
     "file_sync_compacted": q_file_sync_compacted,
     "runs_changing_types": q_runs_changing_types,
