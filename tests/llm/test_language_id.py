@@ -1,0 +1,78 @@
+"""Language ID: forward-backward against plain sums, held-out accuracy, awkward rows."""
+
+import itertools
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from tidewater.llm.language_id import Model, Training, identify_language, marginals, training_sample
+from tidewater.llm.queries import QUERIES
+
+SF_DIR = "/root/testdata/sf0.01"
+
+
+@pytest.mark.parametrize("lengths", [[1], [2, 5], [0, 3, 0, 7], [8, 1, 6]])
+def test_marginals_are_sums_over_all_label_sequences(lengths):
+    r = np.random.default_rng(len(lengths))
+    k, n = 3, sum(lengths)
+    m = Model(["a", "b", "c"], np.zeros((1, k)), np.zeros(0, np.uint64), np.zeros(0, int), np.zeros((k, k)),
+              r.standard_normal((k, k)))
+    e, first = r.standard_normal((n, k)) * 2, np.concatenate([[0], np.cumsum(lengths)])
+    start = np.log(np.exp(m.trans - m.trans.max()).mean(axis=0))  # the word before the first is any
+    want = np.zeros((n, k))
+    for a, b in zip(first[:-1], first[1:]):
+        for path in itertools.product(range(k), repeat=int(b - a)):
+            w = np.exp((start[path[0]] if path else 0) + sum(e[a + i, y] for i, y in enumerate(path)) +
+                       sum(m.trans[x, y] for x, y in zip(path, path[1:])))
+            for i, y in enumerate(path):
+                want[a + i, y] += w
+    want /= want.sum(axis=1, keepdims=True)
+    for piece in (1, 2, 3, 64):
+        assert np.allclose(marginals(m, e, first, piece), want, atol=1e-9)
+
+
+def test_held_out_accuracy(spark):
+    truth = {r["doc_id"]: r["lang"] for r in spark.read.parquet(f"{SF_DIR}/documents.parquet").collect()}
+    rows = QUERIES["op9_language_id"](spark, SF_DIR).collect()
+    assert len(rows) == len(truth) and all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1) for r in rows)
+    held = [r for r in rows if r["held_out"] and r["lang_pred"] != "und" and truth[r["doc_id"]]]
+    assert len(held) > 250 and np.mean([r["lang_pred"] == truth[r["doc_id"]] for r in held]) >= 0.99
+
+
+def ids(n, held):
+    return [i for i in range(10 * n) if (zlib.crc32(str(i).encode()) % 3 == 1) == held][:n]
+
+
+def texts(word, n):
+    return " ".join(f"{word}{'aeiou'[i % 5]}{word[::-1]}" for i in range(n))
+
+
+def test_language_whose_texts_are_all_long(spark):
+    """27 KB each: they are cut, not left out."""
+    rows = [(i, texts("the", 30), "en") for i in ids(20, False)]
+    rows += [(1000 + i, texts("dou", 4000), "fr") for i in ids(60, False) if zlib.crc32(str(1000 + i).encode()) % 3 != 1]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    sample = training_sample(docs)
+    assert {r["lang"] for r in sample} == {"en", "fr"} and max(len(r["body"].encode()) for r in sample) <= Training().max_bytes
+    got = identify_language(docs).collect()
+    assert all(r["lang_pred"] == ("fr" if r["doc_id"] >= 1000 else "en") for r in got)
+
+
+def test_copies_are_learned_once(spark):
+    rows = [(1, "the same row", "en")] * 3000 + [(i, texts("dou", 20 + i), "en") for i in ids(30, False)]
+    sample = training_sample(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert len(sample) == len({(r["body"]) for r in sample}) and 30 <= len(sample) <= 31 + 1
+
+
+def test_one_language_nulls_and_ties(spark):
+    rows = [(i, texts("the", 9), "en") for i in ids(9, False)] + [(None, "the end", "en"), (5000, None, "en"), (5001, "12", "en"),
+                                                                  (5002, "zzz", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").select(
+        "*", F.lit(1).alias("Text"), F.lit("x").alias("body"), F.lit(2).alias("h"))
+    got = {r["doc_id"]: r for r in identify_language(docs).collect()}
+    assert got[5000]["lang_pred"] == got[5001]["lang_pred"] == "und" and got[5002]["lang_pred"] == "en"
+    assert got[None]["held_out"] and got[5002]["score"] == 1.0
+    none = docs.withColumn("lang", F.lit(None).cast("string"))
+    assert {r["lang_pred"] for r in identify_language(none).collect()} == {"und"}

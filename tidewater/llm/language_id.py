@@ -9,13 +9,13 @@ forward-backward over the whole text.  The text's language has the largest mean
 probability, which is the score.
 
 The model is trained in numpy on a bounded sample of labelled rows: about
-``rows_per_language`` rows a language, chosen by a hash of the id, of texts up to
-``max_bytes`` bytes.  Spans of texts in different languages are glued into training
+``rows_per_language`` pieces of text a language, chosen by a hash of id and piece; texts of
+more than ``max_bytes`` bytes are cut into shorter pieces.  Spans of texts in different languages are glued into training
 sequences, since transitions can only be learned where the language changes.
 
 Special cases.  Null text or no letter: ``und``, score 0.  No labelled training row: every
 text is ``und``.  A null id counts as held out.  Ties take the first language by name.
-Repeated rows get equal predictions (and one may train on either).
+Repeated rows get equal predictions and are learned from once.
 """
 
 from __future__ import annotations
@@ -276,18 +276,29 @@ def _predict(m: Model | None, names: tuple = ("doc_id", "held_out")):
 
 def training_sample(docs: DataFrame, p: Training = Training(), *, id_col="doc_id", text_col="text",
                     lang_col="lang") -> list:
-    """About ``rows_per_language`` labelled rows a language, of ids that are not held out."""
+    """About ``rows_per_language`` labelled pieces a language, of ids that are not held out.
+
+    A text of up to ``max_bytes`` bytes is one piece, a longer one is cut into pieces that
+    are shorter, so every language is learned however long its texts are.  Equal pieces of one
+    id count once, both for the share that is taken and in what is taken."""
     rows = pick(docs, doc=id_col, body=text_col, lang=lang_col)
     rows = rows.filter((F.pmod(crc32_of(F.col("doc")), F.lit(3)) != 1) & F.col("lang").isNotNull() &
-                       (F.octet_length("body") <= p.max_bytes))
-    counts = rows.groupBy("lang").count().collect()  # bounded: one row per language
-    lot = F.pmod(F.xxhash64("doc", F.lit(p.seed)), F.lit(1 << 30))
+                       F.col("body").isNotNull())
+    wide = max(1, p.max_bytes // 4)  # characters: four bytes each at most
+    cut = F.when(F.octet_length("body") <= p.max_bytes, F.array(F.col("body"))).otherwise(F.transform(
+        F.sequence(F.lit(0), F.floor((F.char_length("body") - 1) / wide).cast("int")),
+        lambda i: F.substring("body", i * wide + 1, F.lit(wide))))
+    pieces = rows.select("doc", F.col("lang").cast("string").alias("lang"), F.explode(cut).alias("body"))
+    pieces = pieces.withColumn("h", F.xxhash64("doc", "body"))
+    # bounded: one row per language
+    counts = pieces.groupBy("lang").agg(F.approx_count_distinct("h").alias("count")).collect()
+    lot = F.pmod(F.xxhash64("h", F.lit(p.seed)), F.lit(1 << 30))
     limit = F.lit(0)
     for r in counts:
         limit = F.when(F.col("lang") == r["lang"], F.lit(
             -(-(1 << 30) * p.rows_per_language // max(r["count"], p.rows_per_language)))).otherwise(limit)
-    # bounded: about rows_per_language rows of max_bytes bytes for each language
-    return rows.filter(lot < limit).select("body", F.col("lang").cast("string").alias("lang")).collect()
+    # bounded: about rows_per_language different pieces of max_bytes bytes for each language
+    return pieces.filter(lot < limit).dropDuplicates(["lang", "h"]).select("body", "lang").collect()
 
 
 def _trained(docs: DataFrame, p: Training, **columns: str) -> Model | None:

@@ -61,9 +61,9 @@ _OP7 = """
 WITH page AS (
   SELECT page_id, DATE '2024-01-01' + (page_id % 366)::INT AS day,
          nullif(lower(regexp_replace(regexp_extract(url,
-           '^\\s*[A-Za-z][A-Za-z0-9+.\\-]*://(?:[^/?#@]*@)?([^/?#:]+)(?::\\d*)?([^?#\\s]*)', 1), '\\.$', '')), '') AS host,
+           '^\\s*[A-Za-z][A-Za-z0-9+.\\-]*://(?:[^/?#@]*@)?(\\[[^\\]/?#]*\\]|[^/?#:]+)(?::\\d*)?([^?#\\s]*)', 1), '\\.$', '')), '') AS host,
          regexp_extract(url,
-           '^\\s*[A-Za-z][A-Za-z0-9+.\\-]*://(?:[^/?#@]*@)?([^/?#:]+)(?::\\d*)?([^?#\\s]*)', 2) AS path
+           '^\\s*[A-Za-z][A-Za-z0-9+.\\-]*://(?:[^/?#@]*@)?(\\[[^\\]/?#]*\\]|[^/?#:]+)(?::\\d*)?([^?#\\s]*)', 2) AS path
   FROM pages),
 base AS (
   SELECT *, ('0x' || substr(md5(host), 1, 6))::INT AS lot FROM (
@@ -71,12 +71,12 @@ base AS (
 span AS (
   SELECT DISTINCT 'block' AS list, host AS pattern, lot % 200 AS a, lot % 200 + 90 AS b FROM base WHERE lot % 16 < 4
   UNION SELECT 'block', host, lot % 200 + 120, 1000000 FROM base WHERE lot % 16 < 2
-  UNION SELECT 'allow', host || '/' || lower(step), lot % 200 + 30, lot % 200 + 60 FROM base
+  UNION SELECT 'allow', host || '/' || step, lot % 200 + 30, lot % 200 + 60 FROM base
   WHERE lot % 16 IN (0, 2) AND step <> ''),
 hit AS (
   SELECT p.page_id, s.list, s.pattern FROM page p JOIN span s
     ON (s.list = 'block' AND ('.' || p.host) LIKE ('%.' || s.pattern)
-        OR s.list = 'allow' AND ('.' || p.host || lower(p.path) || '/') LIKE ('%.' || s.pattern || '/%')
+        OR s.list = 'allow' AND ('.' || p.host || p.path || '/') LIKE ('%.' || s.pattern || '/%')
            AND contains(s.pattern, '/'))
     AND date_diff('day', DATE '2024-01-01', p.day) >= s.a AND date_diff('day', DATE '2024-01-01', p.day) < s.b),
 best AS (

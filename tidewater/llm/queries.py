@@ -77,7 +77,7 @@ def dated_entries(pages: DataFrame) -> DataFrame:
             F.lit(name).alias("list"), pattern.alias("pattern"), F.lit(action).alias("action"),
             F.date_add(start, F.col("at") + F.lit(after)).alias("day"))
 
-    h, deep = F.col("host"), F.concat("host", F.lit("/"), F.lower("step"))
+    h, deep = F.col("host"), F.concat("host", F.lit("/"), "step")
     return (entry("lot % 16 < 4", "block", h, "add", 0).union(entry("lot % 16 < 4", "block", h, "remove", 90))
             .union(entry("lot % 16 < 2", "block", h, "add", 120))
             .union(entry("lot % 16 in (0, 2) and step <> ''", "allow", deep, "add", 30))
