@@ -17,7 +17,7 @@ def test_cli_run_backfill_status(spark, tmp_dir, monkeypatch, capsys):
     table = [l.replace(" ", "") for l in out.splitlines() if l.startswith("|")]
     assert "|price|seller|status|day|" in table          # input preview header
     assert "|price|seller|status|" in table              # output preview header
-    assert "|1.0|a|ok|" in table and "|2.0|b|null|" in table
+    assert "|1.0|a|ok|" in table and "|2.0|b|NULL|" in table  # as show prints it
     assert "Input row count : 3" in out and "Output row count : 2" in out
     assert "Verification: 2 rows written to" in out
     # 20240103 has no rows -> EMPTY -> non-zero exit

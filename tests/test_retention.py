@@ -1,0 +1,118 @@
+"""Retention: histories of attempts against a plain model; folders of real runs."""
+
+import datetime
+import os
+import random
+from dataclasses import replace
+
+import pytest
+from pyspark.sql import functions as F
+
+from support import write_files
+from tidewater.config import JobConfig
+from tidewater.operators.transforms import preview_text, schema_lines
+from tidewater.plans.audit import AUDIT_DDL, latest_verified, read_published
+from tidewater.plans.job import compact_run, run_job
+from tidewater.plans.leases import LEASE_DDL, Lease
+from tidewater.plans.retention import retention_plan, unreachable
+
+T0 = datetime.datetime(2024, 1, 1)
+FOLDERS = "run_date string, attempt string, modified timestamp"
+
+
+def at(seconds):
+    return None if seconds is None else T0 + datetime.timedelta(seconds=seconds)
+
+
+def history(r, date):
+    """Random attempts: (attempt, status, finished, replaces, as_of), leases and folders."""
+    audit, leases, folders = [], [], []
+    for i in range(r.randrange(0, 9)):
+        a, end = f"{date}-{i:02d}", r.randrange(1, 100)
+        kind = r.choice(["VERIFIED"] * 4 + ["EMPTY", "FAILED", "TIMED_OUT", "open", "dead"])
+        if r.random() < 0.9:
+            folders.append((date, a, end))
+        if kind in ("open", "dead"):
+            if r.random() < 0.7:
+                leases.append((date, a, end, 200 if kind == "open" else end + r.randrange(5)))
+            continue
+        origin = r.choice([x for x in audit if x[2] == "VERIFIED"] or [None]) if r.random() < 0.3 else None
+        if kind == "VERIFIED" and origin:
+            audit.append((date, a, kind, end, origin[4] or origin[1], origin[5] if origin[4] else origin[3]))
+        else:
+            audit.append((date, a, kind, end, None, None))
+    return audit, leases, folders
+
+
+def model(audit, leases, folders, before, keep):
+    verified = sorted((x for x in audit if x[2] == "VERIFIED"),
+                      key=lambda x: (x[5] if x[5] is not None else x[3], x[4] or x[1], x[3], x[1]), reverse=True)
+    names = {(d, a) for d, a, _ in folders}
+    out = set()
+    for i, x in enumerate(verified):
+        if i >= keep and max(verified[i - keep][3], x[3]) < before and x[:2] in names:
+            out.add((*x[:2], "SUPERSEDED"))
+    out |= {(*x[:2], x[2]) for x in audit if x[2] != "VERIFIED" and x[3] < before and x[:2] in names}
+    known, ends = {x[:2] for x in audit}, {x[:2]: x[3] for x in leases}
+    out |= {(d, a, "ORPHAN") for d, a, m in folders if (d, a) not in known and max(m, ends.get((d, a), m)) < before}
+    return out, {x[:2] for x in verified[:keep]}
+
+
+@pytest.mark.parametrize("keep", [1, 2])
+def test_histories(spark, keep):
+    """400 histories, each a date of its own, in one plan."""
+    r = random.Random(keep)
+    hs = [history(r, f"d{i:03d}") for i in range(400)]
+    audit = spark.createDataFrame([(d, a, s, None, None, None, None, at(f), None, None, rep, at(o))
+                                   for h in hs for d, a, s, f, rep, o in h[0]], AUDIT_DDL)
+    leases = spark.createDataFrame([(d, a, at(s), at(e)) for h in hs for d, a, s, e in h[1]], LEASE_DDL)
+    folders = spark.createDataFrame([(d, a, at(m)) for h in hs for d, a, m in h[2]], FOLDERS)
+    for before in (30, 70, 150):
+        got = {tuple(x)[:3] for x in unreachable(audit, leases, folders, F.lit(at(before)), keep).collect()}
+        want, kept = set(), set()
+        for h in hs:
+            one, top = model(*h, before, keep)
+            want |= one
+            kept |= top
+        running = {x[:2] for h in hs for x in h[1] if x[3] >= before}
+        assert got == want and not {x[:2] for x in got} & (kept | running)
+
+
+def test_folders_of_runs(spark, tmp_dir):
+    def raw(name, *lines):
+        return write_files(os.path.join(tmp_dir, name), {"a.csv": "price,seller,status\n" + "".join(f"{x}\n" for x in lines)})
+    cfg = JobConfig(base_uri=tmp_dir, input_uri=raw("raw", "1.5,a,ok"), run_date="20240101")
+    first = run_job(spark, cfg, log=None)
+    second = run_job(spark, cfg, log=None)
+    empty = run_job(spark, replace(cfg, input_uri=raw("none")), log=None, raise_on_failure=False)
+    other = run_job(spark, cfg.with_date("20240102"), log=None)
+    compacted = compact_run(spark, cfg, "20240102", log=None)
+    dead = cfg.attempt_path("20240101T0-dead")
+    spark.range(1).write.parquet(dead)
+    Lease(spark, cfg.leases_path, "20240101T0-live", ["20240101"], 600.0)
+    spark.range(1).write.parquet(cfg.attempt_path("20240101T0-live"))
+    assert retention_plan(spark, cfg).collect() == []  # within the horizon nothing goes
+    plan = {r["attempt"]: r for r in retention_plan(spark, cfg, horizon=0).collect()}
+    assert {a: r["reason"] for a, r in plan.items()} == {
+        first.attempt: "SUPERSEDED", other.attempt: "SUPERSEDED", "20240101T0-dead": "ORPHAN"} | (
+            {empty.attempt: "EMPTY"} if empty.attempt in plan else {})
+    kept = {r["attempt"] for r in latest_verified(spark, cfg.audit_path).collect()}
+    assert kept == {second.attempt, compacted.attempt} and not kept & set(plan)
+    assert all(os.path.isdir(r["path"]) and r["bytes"] > 0 for r in plan.values())
+    assert {r["attempt"] for r in retention_plan(spark, cfg, horizon=0, keep=2).collect()} <= {"20240101T0-dead", empty.attempt}
+    assert read_published(spark, cfg.output_base, cfg.audit_path).count() == 2
+    for bad in ({"keep": 0}, {"horizon": -1}):
+        with pytest.raises(ValueError):
+            retention_plan(spark, cfg, **bad)
+
+
+def test_text_is_what_show_prints(spark, capsys):
+    df = spark.createDataFrame([(1, None, 1.0, "a\nb", "é中"), (22, "x", float("nan"), "", "long " * 9)],
+                               "`a b` int, s string, d double, t string, u string")
+    df.show(5, truncate=False)
+    df.printSchema()
+    printed = capsys.readouterr().out
+    assert "\n".join(preview_text(df, 5)) + "\n\n" + "\n".join(schema_lines(df)) == printed.rstrip("\n")
+    df.show(1, truncate=False)
+    assert "\n".join(preview_text(df, 1)) == capsys.readouterr().out.rstrip("\n")
+    assert capsys.readouterr().out == ""

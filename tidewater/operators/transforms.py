@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import contextlib
+import io
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 
@@ -36,12 +38,17 @@ def schema_report(spark: SparkSession, df: DataFrame) -> DataFrame:
     return spark.createDataFrame(rows, SCHEMA_REPORT_DDL)
 
 
+def _printed(call: Callable[[], None]) -> list[str]:
+    """What ``call`` prints, as lines."""
+    out = io.StringIO()
+    with contextlib.redirect_stdout(out):
+        call()
+    return out.getvalue().rstrip("\n").split("\n")
+
+
 def schema_lines(df: DataFrame) -> list[str]:
-    """``printSchema``-like text without an action."""
-    return ["root"] + [
-        f" |-- {f.name}: {f.dataType.simpleString()} (nullable = {str(f.nullable).lower()})"
-        for f in df.schema.fields
-    ]
+    """The text that ``printSchema`` prints; no action."""
+    return _printed(df.printSchema)
 
 
 def preview(df: DataFrame, n: int, order_by: Sequence[str | Column] | None = None) -> DataFrame:
@@ -54,13 +61,5 @@ def preview(df: DataFrame, n: int, order_by: Sequence[str | Column] | None = Non
 
 
 def preview_text(df: DataFrame, n: int) -> list[str]:
-    """``show(n, truncate=False)`` output as lines (a bounded ``take``)."""
-    rows = df.take(n)
-    names = df.columns
-    cells = [[("null" if v is None else str(v)) for v in r] for r in rows]
-    widths = [max([len(h)] + [len(c[i]) for c in cells]) for i, h in enumerate(names)]
-    sep = "+" + "+".join("-" * w for w in widths) + "+"
-    out = [sep, "|" + "|".join(h.rjust(w) for h, w in zip(names, widths)) + "|", sep]
-    out += ["|" + "|".join(c.rjust(w) for c, w in zip(row, widths)) + "|" for row in cells]
-    out.append(sep)
-    return out
+    """The text that ``show(n, truncate=False)`` prints (a bounded ``take``)."""
+    return _printed(lambda: df.show(n, truncate=False))

@@ -266,6 +266,9 @@ ORACLE_SQL: dict[str, str] = {
         UNION ALL
         SELECT '20240102', count(*), 1, CAST(sum(CAST(price AS DECIMAL(18,2))) AS DOUBLE), 1, count(*)
         FROM ({_WHOLE}) w""",
+    "retention_plan": f"""
+        SELECT '20240101' AS run_date, 'SUPERSEDED' AS reason, count(*) AS written_rows FROM ({_NAN_KEPT}) n
+        UNION ALL SELECT '20240102', 'SUPERSEDED', count(*) FROM ({_KEPT}) k""",
     "file_sync": f"SELECT price, seller, status FROM ({_FOLLOWED}) f",
     "file_sync_compacted": f"""
         SELECT count(*) AS n_rows, count(price) AS n_price,

@@ -34,6 +34,7 @@ from .plans.audit import (
 from .plans.catalog import register_catalog
 from .plans.filesync import compact_synced, read_synced, sync_files
 from .plans.job import compact_run, publish_frame, run_job
+from .plans.retention import retention_plan
 from .plans.runs import register_runs, run_range
 from .session import scratch_path
 from .sources.csv import scan_csv
@@ -207,6 +208,16 @@ def q_run_status(spark, sf_dir):
         RUN_DATE, "status", "input_rows", "output_rows", "written_rows")
 
 
+def q_retention_plan(spark, sf_dir):
+    """A7/B4: folders that may go once the attempt history is over and one date compacted."""
+    cfg = _attempt_history(spark, sf_dir, "retention")
+    compact_run(spark, cfg, "20240102", log=_quiet)
+    plan = retention_plan(spark, cfg, horizon=0.0)
+    held = read_audit(spark, cfg.audit_path).select(RUN_DATE, "attempt", "written_rows")
+    return plan.filter(F.col("reason") == "SUPERSEDED").join(held, [RUN_DATE, "attempt"]).select(
+        RUN_DATE, "reason", "written_rows")
+
+
 # -- B1 --------------------------------------------------------------------------
 
 def event_dates(spark, sf_dir, pad: int = 0) -> list[str]:
@@ -575,6 +586,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "ingest_batches": q_ingest_batches,
     "ingest_verified": q_ingest_verified,
     "views_stay_current": q_views_stay_current,
+    "retention_plan": q_retention_plan,
     "file_sync": q_file_sync,
     "file_sync_compacted": q_file_sync_compacted,
     "runs_changing_types": q_runs_changing_types,
