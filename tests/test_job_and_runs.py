@@ -398,3 +398,34 @@ def test_backfill_per_date_input_counts(spark, tmp_dir):
                run_range(spark, cfg, ["20240101", "20240102", "20240103"], "day",
                          log=None).collect()}
     assert counted == {"20240101": (2, 1, 1), "20240102": (1, 1, 1), "20240103": (0, 0, 0)}
+
+
+def test_whole_input_backfill_is_one_job(spark, tmp_dir):
+    """Every date gets the whole input, as when the dates run one by one."""
+    src = write_files(os.path.join(tmp_dir, "raw"), {
+        "a.csv": "price,seller,status\n1.0,a,ok\n,,\nx,b,\n", "b.csv": "price,seller,status\n2.0,c,ok\n"})
+    dates = ["20240101", "20240102", "20240103"]
+    cfg = cfg_for(os.path.join(tmp_dir, "one"), src, schema="price DOUBLE, seller STRING, status STRING")
+    lines = []
+    st = run_range(spark, cfg, dates, log=lines.append).collect()
+    assert len({r["attempt"] for r in st}) == 1 and "Input row count : 4" in lines
+    each = replace(cfg, base_uri=os.path.join(tmp_dir, "each"))
+    for d in dates:
+        run_job(spark, each.with_date(d), log=None)
+    cols = ["run_date", "status", "input_rows", "output_rows", "written_rows"]
+    assert values(run_status(spark, cfg.audit_path), cols) == values(run_status(spark, each.audit_path), cols)
+    rows = [values(read_published(spark, c.output_base, c.audit_path), ["run_date", *COLS]) for c in (cfg, each)]
+    assert rows[0] == rows[1] and len(rows[0]) == 9
+    bad = spark.read.parquet(os.path.join(cfg.quarantine_path, f"attempt={st[0]['attempt']}")).collect()
+    assert sorted((r["run_date"], r["_corrupt_record"]) for r in bad) == [(d, "x,b,") for d in dates]
+
+
+def test_whole_input_backfill_empty_and_failed(spark, tmp_dir):
+    none = write_files(os.path.join(tmp_dir, "none"), {"a.csv": "price,seller,status\n,,\n"})
+    cfg = cfg_for(tmp_dir, none)
+    assert [r["status"] for r in run_range(spark, cfg, ["20240101", "20240102"], log=None).collect()] == ["EMPTY"] * 2
+    gone = replace(cfg, input_uri=os.path.join(tmp_dir, "nowhere"))
+    st = run_range(spark, gone, ["20240103"], log=None).collect()
+    assert [(r["run_date"], r["status"]) for r in st] == [("20240103", "FAILED")] and "PATH_NOT_FOUND" in st[0]["error"]
+    over = replace(cfg_for(os.path.join(tmp_dir, "over"), none), layout="overwrite")
+    assert len(run_range(spark, over, ["20240101", "20240102"], log=None).collect()) == 2

@@ -64,11 +64,13 @@ def run_range(
       of dates so that a date without rows is EMPTY.  Other dates are not
       touched; the result equals running the dates one at a time.
     * ``date_col`` None (parity mode): the original job has no date in its
-      input, so each date gets the whole input, one job per date.
+      input, so each date gets the whole input: one job reads it once and writes every
+      row to every date's folder.  In the overwrite layout, one job per date.
 
     Re-running a date adds a new attempt; the latest verified one is published.
     Dates without rows are EMPTY (no error); an exception is recorded as
-    FAILED for every date of the attempt and then raised.  In sliced mode the
+    FAILED for every date of the attempt and then raised (in parity mode it only shows
+    in the status, as when the dates run one by one).  In sliced mode the
     audit rows are per date: ``written_rows`` is the date's read-back count,
     ``output_rows`` equals it when the attempt's produced and written totals
     agree (null on MISMATCH), and ``input_rows`` is null unless
@@ -77,12 +79,14 @@ def run_range(
     lines.
     """
     dates = _dates(dates)
-    if date_col is None:
+    whole = date_col is None
+    if cfg.layout == LAYOUT_OVERWRITE:
+        if not whole:
+            raise ValueError("sliced runs use the attempts layout")
         for d in dates:
             run_job(spark, cfg.with_date(d), log=log, raise_on_failure=False)
         return run_status(spark, cfg.audit_path).filter(F.col(RUN_DATE).isin(dates))
-    if cfg.layout == LAYOUT_OVERWRITE:
-        raise ValueError("sliced runs use the attempts layout")
+    copies = len(dates) if whole else 1  # times that a row of the input goes through the job
 
     started = _now()
     require_new_attempt(spark, cfg, attempt)
@@ -99,10 +103,11 @@ def run_range(
                        recursive=cfg.recursive, options=cfg.csv_options, by_header=cfg.by_header)
         if cfg.catalog_table:
             require_catalog(spark, cfg)
-        dated = dated_rows(raw, date_col, dates)
+        dated = (raw.withColumn(RUN_DATE, F.explode(F.array(*[F.lit(d) for d in dates]))) if whole
+                 else dated_rows(raw, date_col, dates))
         no_date = F.count_if(F.col(RUN_DATE).isNull()).alias("undated")
         per_date_in = ([F.count_if(F.col(RUN_DATE) == F.lit(d)).alias(f"in_{i}")
-                        for i, d in enumerate(dates)] if cfg.per_date_input_counts else [])
+                        for i, d in enumerate(dates)] if cfg.per_date_input_counts and not whole else [])
         out, in_obs, out_obs = build_output(dated, cfg.columns, attempt, carry=[RUN_DATE],
                                             rebalance=[RUN_DATE] if cfg.rebalance else None,
                                             observe_values=RUN_DATE, input_metrics=[no_date, *per_date_in],
@@ -119,7 +124,7 @@ def run_range(
             # rows of which a kept column or the date did not parse (with their raw
             # text), or without a date; a second scan, run only when there are any
             faulty = F.col(RUN_DATE).isNull()
-            cols = [*dict.fromkeys([*cfg.columns, date_col]), RUN_DATE]
+            cols = [*dict.fromkeys([*cfg.columns, *([] if whole else [date_col])]), RUN_DATE]
             if CORRUPT_COLUMN in dated.columns:
                 cols.append(CORRUPT_COLUMN)
                 faulty = faulty | F.col(CORRUPT_COLUMN).isNotNull()
@@ -141,7 +146,9 @@ def run_range(
         # per date: what was produced equals what was written when the totals
         # agree; unknown otherwise
         produced = F.when(matched, F.col("written_rows"))
-        if cfg.per_date_input_counts:
+        if whole:
+            consumed = F.lit(input_rows // copies)
+        elif cfg.per_date_input_counts:
             # one literal per requested date: bounded by the request
             pairs = [x for i, d in enumerate(dates)
                      for x in (F.lit(d), F.lit(in_metrics[f"in_{i}"]))]
@@ -182,11 +189,11 @@ def run_range(
         F.lit(kept).cast("string").alias("schema"),
     )
     write_audit(audit, cfg.audit_path, attempt)
-    if failure is not None:
+    if failure is not None and not whole:
         raise failure
     if log and input_rows is not None:
         log(f"Dates: {len(dates)} requested, {len(written_dates)} with rows")
-        log(format_input_count(input_rows))
+        log(format_input_count(input_rows // copies))
         if undated:
             log(f"Undated rows : {undated} in {cfg.quarantine_path}/{ATTEMPT}={attempt}")
         log(format_output_count(output_rows))
