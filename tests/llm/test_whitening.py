@@ -107,3 +107,19 @@ def test_nothing_to_whiten(spark, rows):
 def test_more_dimensions_than_variance(spark):
     rows = [(i, [float(i), float(-i), 2.0 * i, 1.0]) for i in range(20)]
     same(whitened_rows(frame(spark, rows)), plain(rows))
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_clusters_within_rounding(seed):
+    """Eigenvalues that rounding cannot part: any orthonormal vectors of their space."""
+    r = np.random.default_rng(seed)
+    d = int(r.choice([2, 5, 16, 33, 64]))
+    q = np.linalg.qr(r.standard_normal((d, d)))[0]
+    e = 1 + 1e-13 * r.standard_normal(d) if seed % 2 else np.where(r.random(d) < .5, 1.0, 1 + 10.0 ** r.uniform(-15, -6, d))
+    m = (q * e) @ q.T
+    m = (m + m.T) / 2
+    values, vectors = leading_eigenpairs(m, 16)
+    assert len(values) == min(16, d) and (np.diff(values) <= 0).all()
+    assert np.allclose(values, np.linalg.eigvalsh(m)[::-1][:16], atol=1e-11, rtol=0)
+    assert np.allclose(vectors.T @ vectors, np.eye(len(values)), atol=1e-11)
+    assert np.abs(m @ vectors - vectors * values).max() < 1e-11
