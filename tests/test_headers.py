@@ -1,6 +1,7 @@
 """A1 by header: files whose headers differ."""
 
 import os
+from contextlib import contextmanager
 
 import pytest
 from pyspark.sql import functions as F
@@ -132,3 +133,28 @@ def test_scans_read_the_wanted_columns_only(spark, two):
     df = scan_by_header(spark, two, DDL, quarantine=False).select("price").filter(F.col("price") > 2)
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "seller" not in plan and plan.count("GreaterThan(price,2.0)") == 2
+
+
+def test_header_pass_hashes_by_file(spark, tmp_dir, capsys):
+    """No task sorts its lines to find the first of each file, and more files than are hashed come out right."""
+    from tidewater.sources.headers import header_lines
+    for i in range(150):
+        with open(f"{tmp_dir}/{i:03d} +%.csv", "w") as fh:
+            fh.write("\n \n# x\n" + ("a,b\n" if i % 3 else "b,a\n") + "1,2\n0,0\n" * (i % 4))
+    with spark_conf(spark, "spark.sql.files.openCostInBytes", "0"):
+        found = header_lines(spark, tmp_dir, options={"comment": "#"})
+        found.explain()
+        plan = capsys.readouterr().out
+        assert "SortAggregate" not in plan and "Sort [" not in plan and "ObjectHashAggregate(keys=[file" in plan
+        got = {r["header"]: [f.rsplit("/", 1)[1] for f in r["files"]] for r in found.collect()}
+    assert got == {h: [f"{i:03d} +%.csv" for i in range(150) if bool(i % 3) == (h == "a,b")] for h in ("a,b", "b,a")}
+
+
+@contextmanager
+def spark_conf(spark, key, value):
+    old = spark.conf.get(key)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, old)

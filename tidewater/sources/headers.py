@@ -28,10 +28,9 @@ class HeaderError(ValueError):
     """Headers that cannot be read together by name."""
 
 
-def file_path() -> Column:
+def file_path(encoded: str = "_metadata.file_path") -> Column:
     """Path of a row's file as Hadoop writes it; ``_metadata.file_path`` has it percent-encoded."""
-    raw = F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))
-    return F.url_decode(raw)
+    return F.url_decode(F.replace(F.col(encoded), F.lit("+"), F.lit("%2B")))
 
 
 def literal_path(path: str) -> str:
@@ -55,18 +54,24 @@ def header_lines(spark: SparkSession, path: str | Sequence[str], *, recursive: b
 
     A file's header is its first line that is neither blank nor a comment, as in the CSV
     reader; files without one are left out.  Every task keeps one line per file it reads, so
-    the shuffle carries headers only."""
+    neither its memory nor the shuffle grows with the lines.
+
+    A minimum of texts alone would be a sort aggregate, for which every task sorts all its lines by
+    file; beside ``collect_set`` (of few values: a file's blocks) it is hashed by file.  Hashing is
+    given up beyond 128 files a task; a task has 32 at most under Spark's own limits for reads."""
     reader = spark.read
     for key, value in _text_options(options, recursive).items():
         reader = reader.option(key, value)
     lines = reader.text(path if isinstance(path, str) else list(path))
-    named = lines.select(file_path().alias("file"), F.col("_metadata.file_block_start").alias("block"),
+    named = lines.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
                          F.monotonically_increasing_id().alias("at"), "value")
     some = named.filter(F.col("value").rlike(r"[^\x00-\x20\uFEFF]"))
     comment = {k.lower(): v for k, v in (options or {}).items()}.get("comment")
     if comment:
         some = some.filter(~F.startswith("value", F.lit(comment)))
-    first = some.groupBy("file").agg(F.min_by("value", F.struct("block", "at")).alias("header"))
+    first = some.groupBy("file").agg(F.min_by("value", F.struct("block", "at")).alias("header"),
+                                     F.collect_set("block").alias("blocks"))
+    first = first.filter(F.size("blocks") > 0).select(file_path("file").alias("file"), "header")
     clean = F.regexp_replace("header", r"^\uFEFF|\r$", "")
     return first.groupBy(clean.alias("header")).agg(F.sort_array(F.collect_list("file")).alias("files"))
 
