@@ -147,3 +147,56 @@ def test_words_are_encoded_each_by_itself():
     cut = [*first.tolist(), len(ids)]
     assert [ids[a:b].tolist() for a, b in zip(cut, cut[1:])] == [enc.encode_ordinary(" " + w) for w in got_words]
     assert lm_score.word_ids(enc, [])[0].tolist() == []
+
+
+def test_the_model_learns_from_every_training_document(spark):
+    """Counts, neighbours and steps cover all pieces, whatever the size; sums over shards made by
+    Spark are those made in memory."""
+    p = Training(classes=8, dim=4, window=8, context=4, steps=1, batch=8, max_bytes=64, shard=2000, rounds=2, least=1)
+    assert Training().share == 1
+    docs = [(i, f"{i} the cat{i % 7} sat on a mat " * (1 + i % 40), i % 5 == 1) for i in range(400)]
+    rows = spark.createDataFrame(docs, "doc long, body string, held boolean").repartition(3)
+    enc, end = lm_score.subwords(RANKS, public_tokenizers.PATTERN)
+    pairs, n = Counter(), 0
+    for _, body, held_out in docs:
+        if not held_out:
+            ids = [end, *[i for w in body.split() for i in enc.encode_ordinary(" " + w)], end]
+            n += len(ids)
+            pairs.update(ids)
+    got = []
+    real = lm_score.train
+
+    def train(pieces, n_ids, count, *a):
+        seen, row, place = lm_score._places(count)
+        cells = Counter()
+        for block, at, value in pieces.neighbours(row, place):
+            for c, v in zip(at.tolist(), value[:, 0].tolist()):
+                cells[block * lm_score.BLOCK * 2 * lm_score.OFTEN + c] += v
+        kept = pieces.found.collect()
+        held_ = lm_score.Held([(r["lot"] * lm_score.LOTS // pieces.limit, r["key"], bytes(r["ids"])) for r in kept], pieces.kind)
+        same = Counter()
+        for block, at, value in held_.neighbours(row, place):
+            for c, v in zip(at.tolist(), value[:, 0].tolist()):
+                same[block * lm_score.BLOCK * 2 * lm_score.OFTEN + c] += v
+        assert cells == same and cells
+        got.append((n_ids, Counter(i for r in kept for i in np.frombuffer(r["ids"], pieces.kind).tolist())))
+        return [real(x, n_ids, count, *a) for x in (pieces, held_)]
+
+    lm_score.train = train
+    try:
+        spark_side, memory = lm_score.model_of(rows, RANKS, public_tokenizers.PATTERN, p)
+    finally:
+        lm_score.train = real
+    assert got == [(n, pairs)] and n > 2 * p.shard
+    assert (spark_side.class_of == memory.class_of).all()
+    for k, v in memory.weights.items():
+        assert np.allclose(spark_side.weights[k], v, rtol=1e-4, atol=1e-5), k
+
+
+def test_every_id_of_a_piece_is_a_target():
+    p = Training(window=8, batch=4)
+    r = np.random.default_rng(0)
+    for n in (0, 1, 2, 8, 9, 10, 50, 1000):
+        for nth in (0, 1):
+            seen = {int(i) for x in lm_score._windows(np.arange(n), p, nth, r) for i in x[:, 1:].ravel()}
+            assert seen == set(range(1, n)) or nth and seen <= set(range(1, n))

@@ -7,8 +7,10 @@ Two scores, both log10 probabilities of a whole text as its lower-cased words an
   counts that range over the corpus; the counts come back as partial sums a document.
 * ``score``: a causal self-attention model reads subword ids and gives p(class | context) of
   the next subword; a softmax over classes of subwords, each of which has its own p(id | class),
-  is a probability of ids at a hundredth of the work.  It is trained in numpy on a fixed share of the training documents' pieces
-  (long documents are cut in pieces, not left out), with steps in proportion.  The word among
+  is a probability of ids at a hundredth of the work.  It learns from every training document (long
+  ones are cut in pieces, not left out): neighbour counts for the classes are summed over all pieces, and
+  the weights are trained in Spark tasks, each on a shard of the pieces, and averaged over the shards after
+  each of a few rounds; every subword is the target of one step at least.  The word among
   those of its class sequence s comes from the whole training corpus,
   p(word | s) = (c(word) + prior * q(word | s)) / (c(s) + prior), where q is the product of
   the subwords' p(id | class), smoothed counts of the whole training corpus.  Class sequences are counted
@@ -27,8 +29,7 @@ from __future__ import annotations
 import base64
 import functools
 import hashlib
-from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -44,18 +45,25 @@ BATCH_BYTES = 3 << 20
 WINDOWS = 128
 LOTS = 1 << 30
 REMEMBERED = 250_000
+OFTEN = 800          # ids that are counted as neighbours
+BLOCK = 1024         # ids of a block of sums
+CELLS = 4_000_000    # neighbour counts that a task holds, about
+#: Block of ids (-1: the weights that all ids share), places in it, and a row of values a place.
+Sums = tuple[int, np.ndarray, np.ndarray]
 
 
 @dataclass(frozen=True)
 class Training:
-    share: float = 1 / 16         # of the training pieces, at every size, and
-    least: int = 8 << 20          # at least about so many bytes of them
+    share: float = 1.0            # of the training pieces: all; of a smaller one
+    least: int = 8 << 20          # at least about so many bytes
     max_bytes: int = 16384        # bytes of a piece
     classes: int = 64
     dim: int = 16
     window: int = 48
     context: int = 24
-    steps: int = 400              # at least; more as the sample grows
+    steps: int = 400              # at least; more as the pieces grow
+    shard: int = 1 << 21          # ids that one task trains on in a round, about
+    rounds: int = 4               # at most
     batch: int = 64
     rate: float = 0.02
     seed: int = 3
@@ -96,19 +104,29 @@ def word_ids(enc, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 # -- attention ----------------------------------------------------------------------------------
 
+def _dot(x: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """``x @ m`` for all places of all windows as one product."""
+    return (x.reshape(-1, x.shape[-1]) @ m).reshape(*x.shape[:-1], -1)
+
+
+def _total(x: np.ndarray) -> np.ndarray:
+    """Sums over the last axis, kept, which a product makes faster than ``sum`` over few items."""
+    return _dot(x, np.ones((x.shape[-1], 1), dtype=x.dtype))
+
+
 def _logits(w: dict, x: np.ndarray) -> tuple:
     """Logits of the class after each place of the windows of ids ``x[n, t]``."""
     t, d = x.shape[1], w["e"].shape[1]
     h = w["e"][x] + w["p"][:t]
-    q, k, v = h @ w["q"], h @ w["k"], h @ w["v"]
+    q, k, v = _dot(h, w["q"]), _dot(h, w["k"]), _dot(h, w["v"])
     s = q @ k.transpose(0, 2, 1) / np.float32(np.sqrt(d))
     s += np.triu(np.full((t, t), -1e9, dtype=np.float32), 1)
     s -= s.max(axis=2, keepdims=True)
-    a = np.exp(s)
-    a /= a.sum(axis=2, keepdims=True)
+    a = np.exp(s, out=s)
+    a /= _total(a)
     m = a @ v
-    z = h + m @ w["o"]
-    return z @ w["u"] + w["b"], (h, q, k, v, a, m, z)
+    z = h + _dot(m, w["o"])
+    return _dot(z, w["u"]) + w["b"], (h, q, k, v, a, m, z)
 
 
 def _logits_from(w: dict, x: np.ndarray, a: int) -> np.ndarray:
@@ -117,13 +135,14 @@ def _logits_from(w: dict, x: np.ndarray, a: int) -> np.ndarray:
     t, d = x.shape[1], w["e"].shape[1]
     h = w["e"][x] + w["p"][:t]
     own = h[:, a:]
-    s = (own @ (w["q"] / np.float32(np.sqrt(d)))) @ (h @ w["k"]).transpose(0, 2, 1)
+    s = _dot(own, w["q"] @ w["k"].T / np.float32(np.sqrt(d))) @ h.transpose(0, 2, 1)
     s += np.triu(np.full((t - a, t), -1e9, dtype=np.float32), 1 + a)
     s -= s.max(axis=2, keepdims=True)
     np.exp(s, out=s)
-    s /= s.sum(axis=2, keepdims=True)
-    z = own + (s @ (h @ w["v"])) @ w["o"]
-    out = z @ w["u"]
+    m = s @ h
+    m /= _total(s)
+    z = own + _dot(m, w["v"] @ w["o"])
+    out = _dot(z, w["u"])
     out += w["b"]
     return out
 
@@ -132,57 +151,88 @@ def _gradients(w: dict, x: np.ndarray, y: np.ndarray) -> tuple[float, dict]:
     n, t = x.shape
     d = w["e"].shape[1]
     out, (h, q, k, v, a, m, z) = _logits(w, x)
-    out = out - out.max(axis=2, keepdims=True)
-    p = np.exp(out)
-    p /= p.sum(axis=2, keepdims=True)
+    out -= out.max(axis=2, keepdims=True)
+    p = np.exp(out, out=out)
+    p /= _total(p)
     at = (np.arange(n)[:, None], np.arange(t), y)
     loss = -np.log(p[at] + 1e-30).mean()
     p[at] -= 1
     p /= n * t
     flat = lambda z: z.reshape(-1, z.shape[-1])
     g = {"u": flat(z).T @ flat(p), "b": flat(p).sum(axis=0)}
-    dz = p @ w["u"].T
+    dz = _dot(p, w["u"].T)
     g["o"] = flat(m).T @ flat(dz)
-    dm = dz @ w["o"].T
+    dm = _dot(dz, w["o"].T)
     dv = a.transpose(0, 2, 1) @ dm
     da = dm @ v.transpose(0, 2, 1)
-    ds = a * (da - (da * a).sum(axis=2, keepdims=True)) / np.float32(np.sqrt(d))
-    dq, dk = ds @ k, ds.transpose(0, 2, 1) @ q
-    dh = dz + dq @ w["q"].T + dk @ w["k"].T + dv @ w["v"].T
+    da -= _total(dm * m)  # the sum of a * da over the keys
+    da *= a
+    da /= np.float32(np.sqrt(d))
+    dq, dk = da @ k, da.transpose(0, 2, 1) @ q
+    dh = dz + _dot(dq, w["q"].T) + _dot(dk, w["k"].T) + _dot(dv, w["v"].T)
     g["q"], g["k"], g["v"] = (flat(h).T @ flat(z) for z in (dq, dk, dv))
     g["p"] = np.zeros_like(w["p"])
     g["p"][:t] = dh.sum(axis=0)
-    rows, at = np.unique(x, return_inverse=True)  # of the embeddings only the ids that occur
-    g["e"] = rows, np.zeros((len(rows), d), dtype=w["e"].dtype)
-    np.add.at(g["e"][1], at.ravel(), flat(dh))
+    order = np.argsort(x, axis=None, kind="stable")  # of the embeddings only the ids that occur
+    ids = x.ravel()[order]
+    first = np.flatnonzero(np.append(True, ids[1:] != ids[:-1]))
+    g["e"] = ids[first], np.add.reduceat(flat(dh)[order], first)
     return loss, g
 
 
-def _neighbours(pieces, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Ids seen 3 times and more, and how often each of the most frequent ids stands to their
-    left and right in the pieces."""
-    often = np.argsort(-count, kind="stable")[:800]
-    place = np.full(len(count), -1)
-    place[often] = np.arange(len(often))
-    seen = np.flatnonzero(count >= 3)
-    row = np.full(len(count), -1)
-    row[seen] = np.arange(len(seen))
-    x = np.zeros((len(seen), 2 * len(often)), dtype=np.float32)
-    for ids in _chunks(pieces):
-        left, right = ids[:-1], ids[1:]
-        ok = (row[left] >= 0) & (place[right] >= 0)
-        np.add.at(x, (row[left[ok]], place[right[ok]]), 1)
-        ok = (row[right] >= 0) & (place[left] >= 0)
-        np.add.at(x, (row[right[ok]], len(often) + place[left[ok]]), 1)
-    return seen, x
-
-
-def _cluster(pieces, count: np.ndarray, classes: int, r) -> np.ndarray:
-    """Class of each id: k-means over the ids' reduced neighbour counts, both sides."""
+def _places(count: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ids seen 3 times and more; by id its row among those and its place among the most frequent
+    ids, -1 without one."""
+    often, seen = np.argsort(-count, kind="stable")[:OFTEN], np.flatnonzero(count >= 3)
+    row, place = np.full(len(count), -1), np.full(len(count), -1)
+    row[seen], place[often] = np.arange(len(seen)), np.arange(len(often))
+    return seen, row, place
+
+
+def _neighbours(pieces, row: np.ndarray, place: np.ndarray) -> Iterator[Sums]:
+    """How often each of the most frequent ids stands to the left and right of ids in the pieces:
+    sums for cells of ``2 * OFTEN`` a row."""
+    held, size = [], 0
+    for ids, inner in _chunks(pieces, 1 << 20):
+        pair, n = np.unique((ids[:-1] * len(row) + ids[1:])[inner], return_counts=True)
+        left, right = np.divmod(pair, len(row))
+        a, b = (row[left] >= 0) & (place[right] >= 0), (row[right] >= 0) & (place[left] >= 0)
+        code = np.concatenate([row[left[a]] * 2 * OFTEN + place[right[a]],
+                               row[right[b]] * 2 * OFTEN + OFTEN + place[left[b]]])
+        held.append((code, np.concatenate([n[a], n[b]])))
+        size += len(code)
+        if size > CELLS:
+            held = [_merged(held)]
+            size = len(held[0][0])
+            if size > CELLS // 2:
+                yield from _blocks(*held[0], BLOCK * 2 * OFTEN)
+                held, size = [], 0
+    if held:
+        yield from _blocks(*_merged(held), BLOCK * 2 * OFTEN)
+
+
+def _merged(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Cells in ascending order with the sums of their counts."""
+    code, n = (np.concatenate(x) for x in zip(*held))
+    order = np.argsort(code)
+    code = code[order]
+    first = np.flatnonzero(np.append(True, code[1:] != code[:-1]))[:len(code)]
+    return code[first], np.add.reduceat(n[order], first) if len(code) else n
+
+
+def _blocks(at: np.ndarray, value: np.ndarray, cells: int) -> Iterator[Sums]:
+    """Rows of ``value`` at ascending places ``at``, cut in blocks of ``cells`` places."""
+    cut = np.searchsorted(at, np.arange(0, int(at[-1]) + 1 + cells, cells)) if len(at) else ()
+    for block, (a, b) in enumerate(zip(cut, cut[1:])):
+        if b > a:
+            yield block, at[a:b] - block * cells, value[a:b].astype(np.float64).reshape(b - a, -1)
+
+
+def _cluster(seen: np.ndarray, x: np.ndarray, count: np.ndarray, classes: int, r) -> np.ndarray:
+    """Class of each id: k-means over the reduced neighbour counts ``x`` of the ids ``seen``, both sides."""
     class_of = np.full(len(count), max(0, classes - 2), dtype=np.uint8)  # rare ids: the last but one
     class_of[-1] = classes - 1                                          # the end: the last class
     own_classes = max(1, classes - 2)
-    seen, x = _neighbours(pieces, count)
     x, seen = x[seen < len(count) - 1], seen[seen < len(count) - 1]
     if len(seen) <= classes:
         class_of[seen] = np.arange(len(seen)) % own_classes
@@ -207,36 +257,53 @@ def _cluster(pieces, count: np.ndarray, classes: int, r) -> np.ndarray:
 
 
 class Reader:
-    """Counts all subwords of training texts and cuts out pieces of them as ids."""
+    """Counts all subwords of training texts and cuts pieces of them out as ids."""
 
     def __init__(self, ranks: str, pattern: str, p: Training):
         self.p, (self.enc, self.end) = p, subwords(ranks, pattern)
-        self.words: Counter = Counter()
+        self.kind = _kind(self.end)
+        self.ids: dict[bytes, bytes] = {}
         self.count = np.zeros(self.end + 1, dtype=np.int64)
+        self.uncounted: list[bytes] = []
+        self.size = 0
 
-    def read(self, raw: bytes, lot: int = 0, limit: int = LOTS) -> Iterator[tuple[int, bytes]]:
-        """(key, ids) of the pieces whose lot, dealt from the text's, is under ``limit``."""
+    def read(self, raw: bytes, lot: int = 0, limit: int = LOTS) -> Iterator[tuple[int, int, bytes]]:
+        """(lot, key, ids) of the pieces whose lot, dealt from the text's, is under ``limit``."""
         words = _words(raw)
-        self.words.update(words)
-        self.count[self.end] += 1
-        if len(self.words) > REMEMBERED:
-            self.settle()
+        if len(self.ids) > REMEMBERED:
+            self.ids.clear()
+        self._learn(set(words).difference(self.ids))
+        edge = np.array([self.end], dtype=self.kind).tobytes()
         pieces = _pieces(words, self.p.max_bytes)
         for i, piece in enumerate(pieces):
-            if (lot + i * 0x9E3779B1) % LOTS < limit:
-                edge = np.array([self.end], dtype=np.int32)
-                raw = np.concatenate([edge[:i == 0], word_ids(self.enc, piece)[0],
-                                      edge[:i == len(pieces) - 1]]).astype(np.int32).tobytes()
-                yield int.from_bytes(hashlib.blake2b(raw, digest_size=8).digest(), "little", signed=True), raw
+            raw = (edge if i == 0 else b"") + b"".join([self.ids[x] for x in piece]) + (
+                edge if i == len(pieces) - 1 else b"")
+            self.uncounted.append(raw[len(edge):] if i == 0 else raw)  # of the ends one a text counts
+            self.size += len(raw)
+            own = (lot + i * 0x9E3779B1) % LOTS
+            if own < limit:
+                yield own, int.from_bytes(hashlib.blake2b(raw, digest_size=8).digest(), "little", signed=True), raw
+        if self.size > BATCH_BYTES:
+            self.settle()
 
     def settle(self) -> np.ndarray:
         """How often each id was read so far."""
-        ids, first = word_ids(self.enc, list(self.words))
-        times = np.repeat(np.fromiter(self.words.values(), np.int64, len(self.words)), np.diff(np.append(first, len(ids))))
-        self.count += np.bincount(ids, times, len(self.count)).astype(np.int64)
-        self.words.clear()
+        ids = np.frombuffer(b"".join(self.uncounted), dtype=self.kind)
+        self.count += np.bincount(ids, minlength=len(self.count))
+        self.uncounted, self.size = [], 0
         return self.count
 
+    def _learn(self, words: set[bytes]) -> None:
+        new = list(words)
+        ids, first = word_ids(self.enc, new)
+        raw, cut = ids.astype(self.kind).tobytes(), (self.kind.itemsize * np.append(first, len(ids))).tolist()
+        self.ids.update(zip(new, [raw[a:b] for a, b in zip(cut, cut[1:])]))
+
+
+def _kind(end: int) -> np.dtype:
+    """Type of ids in pieces."""
+    return np.dtype("<u2" if end < 1 << 16 else "<i4")
+
 
 def _pieces(words: list[bytes], most: int) -> list[list[bytes]]:
     """Words in runs of about ``most`` bytes."""
@@ -247,32 +314,149 @@ def _pieces(words: list[bytes], most: int) -> list[list[bytes]]:
     return [words[a:b] for a, b in zip([0, *cut], [*cut, len(words)])]
 
 
-def _chunks(pieces, most: int = 200_000) -> Iterator[np.ndarray]:
-    """Pieces joined to arrays of about ``most`` ids."""
+def _chunks(pieces, most: int = 200_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Arrays of ids of pieces joined to about ``most`` ids, and which of their neighbouring ids
+    stand in one piece."""
+    def joined():
+        ids, inner = np.concatenate(held).astype(np.int64), np.ones(n - 1, dtype=bool)
+        inner[np.cumsum([len(x) for x in held])[:-1] - 1] = False
+        return ids, inner
+
     held, n = [], 0
-    for raw in pieces():
-        held.append(np.frombuffer(raw, dtype=np.int32))
-        n += len(held[-1])
+    for ids in pieces:
+        if len(ids):
+            held.append(ids)
+            n += len(ids)
         if n >= most:
-            yield np.concatenate(held)
+            yield joined()
             held, n = [], 0
     if held:
-        yield np.concatenate(held)
+        yield joined()
+
+
+# -- training -------------------------------------------------------------------------------------
+
+@dataclass
+class State:
+    """Weights with the optimiser's sums, and steps done."""
+    w: dict
+    m1: dict
+    m2: dict
+    i: int
+
+    def dense(self) -> list[np.ndarray]:
+        return [x[k] for k in sorted(self.m1) for x in (self.w, self.m1, self.m2)]
+
+    def copy(self) -> State:
+        return State(*({k: v.copy() for k, v in x.items()} for x in (self.w, self.m1, self.m2)), self.i)
+
+
+@dataclass(frozen=True)
+class Turn:
+    """One round of the training."""
+    nth: int
+    rounds: int
+    shards: int
+    passes: int
+    ids: float    # of a shard, about
+
+
+def _windows(ids: np.ndarray, p: Training, nth: int, r) -> Iterator[np.ndarray]:
+    """Batches of windows of ids, each with the next id: every id but the first is a target."""
+    t = min(p.window, len(ids) - 1)
+    if t < 1:
+        return
+    start = np.arange(0, len(ids) - 1, t) + (r.integers(t) if nth else 0)
+    start = np.append(0, np.minimum(start, len(ids) - 1 - t)) if nth else np.minimum(start, len(ids) - 1 - t)
+    r.shuffle(start)
+    for a in range(0, len(start), p.batch):
+        yield ids[start[a:a + p.batch, None] + np.arange(t + 1)]
+
+
+def _descend(pieces, start: State, class_of: np.ndarray, p: Training, turn: Turn, shard: int) -> Iterator[Sums]:
+    """Steps over all of a shard's pieces, from ``start``: what the shard adds to the averages.
+    An embedding is averaged by how many steps moved it, the other weights by all steps."""
+    s, read, times = start.copy(), 0, np.zeros(len(class_of))
+    w, m1, m2, f = s.w, s.m1, s.m2, np.float32
+    r = np.random.default_rng((p.seed, turn.nth, shard))
+    for ids, _ in _chunks(pieces):
+        for nth in range(turn.passes):
+            done = (turn.nth + min(1.0, (read + len(ids) * nth / turn.passes) / turn.ids)) / turn.rounds
+            for x in _windows(ids, p, nth, r):
+                s.i += 1
+                _, g = _gradients(w, x[:, :-1], class_of[x[:, 1:]])
+                rate = p.rate * min(1.0, s.i / 20) * max(0.01, 1 - done)
+                rows, step = g["e"]
+                times[rows] += 1
+                m2["e"][rows] += step ** 2
+                w["e"][rows] -= (rate * step / (np.sqrt(m2["e"][rows]) + 1e-8)).astype(f)
+                for k in m1:
+                    m1[k] = .9 * m1[k] + f(.1) * g[k]
+                    m2[k] = .99 * m2[k] + f(.01) * g[k] ** 2
+                    w[k] = (w[k] - rate * (m1[k] / (1 - .9 ** s.i)) / (np.sqrt(m2[k] / (1 - .99 ** s.i)) + 1e-8)).astype(f)
+        read += len(ids)
+    if s.i > start.i:
+        steps = float(s.i - start.i)
+        dense = steps * np.concatenate([[steps, 1.0], *(x.ravel() for x in s.dense())])
+        yield -1, np.arange(len(dense)), dense[:, None]
+        rows = np.flatnonzero(times)
+        yield from _blocks(rows, times[rows, None] * np.hstack([w["e"][rows], m2["e"][rows], np.ones((len(rows), 1))]), BLOCK)
+
+
+def _averaged(start: State, sums: Iterable[Sums]) -> State:
+    """``start`` with the averages over the shards."""
+    s, d = start.copy(), start.w["e"].shape[1]
+    dense, e = 0.0, np.zeros((len(s.w["e"]), 2 * d + 1))
+    for block, at, value in sums:
+        if block < 0:
+            dense = dense + value[:, 0]
+        else:
+            e[block * BLOCK + at] += value
+    if np.ndim(dense):
+        steps, *values = np.split(dense / dense[1], np.cumsum([2, *(x.size for x in s.dense())])[:-1])
+        s.i += round(steps[0])
+        for x, v in zip(s.dense(), values):
+            x[...] = v.reshape(x.shape)
+    rows = np.flatnonzero(e[:, -1])
+    e = e[rows] / e[rows, -1:]
+    s.w["e"][rows], s.m2["e"][rows] = e[:, :d], e[:, d:2 * d]
+    return s
+
+
+class Held:
+    """Pieces in memory."""
+
+    def __init__(self, found: list[tuple[int, int, bytes]], kind: np.dtype):
+        self.found, self.kind = sorted(found, key=lambda x: x[1:]), kind
+
+    def neighbours(self, row: np.ndarray, place: np.ndarray) -> Iterator[Sums]:
+        return _neighbours((np.frombuffer(raw, self.kind) for _, _, raw in self.found), row, place)
+
+    def descend(self, start: State, class_of: np.ndarray, p: Training, turn: Turn) -> Iterator[Sums]:
+        for shard in range(turn.shards):
+            own = turn.nth * turn.shards + shard
+            yield from _descend((np.frombuffer(raw, self.kind) for lot, _, raw in self.found
+                                 if lot * turn.rounds * turn.shards // LOTS == own), start, class_of, p, turn, shard)
 
 
 def fit(texts: list[str], ranks: str, pattern: str, p: Training = Training()) -> Model:
     """The model of a few texts, all of their pieces being read."""
     reader = Reader(ranks, pattern, p)
-    found = sorted(x for t in texts for x in reader.read(t.encode()))
-    return train(lambda: (raw for _, raw in found), sum(len(raw) // 4 for _, raw in found), reader.settle(),
-                 ranks, pattern, p)
+    found = [x for i, t in enumerate(texts) for x in reader.read(t.encode(), i * 0x9E3779B1 % LOTS)]
+    n = sum(len(raw) for _, _, raw in found) // reader.kind.itemsize
+    return train(Held(found, reader.kind), n, reader.settle(), ranks, pattern, p)
 
 
 def train(pieces, n_ids: int, count: np.ndarray, ranks: str, pattern: str, p: Training) -> Model:
-    """The model from ``pieces()``, which streams the sampled pieces of together ``n_ids`` ids,
-    and from how often each id stands in all training documents."""
+    """The model of ``pieces`` (:class:`Held` or :class:`Staged`) of together ``n_ids`` ids, and of how
+    often each id stands in all training documents."""
     r = np.random.default_rng(p.seed)
-    class_of = _cluster(pieces, count, p.classes, r)
+    seen, row, place = _places(count)
+    x = np.zeros((len(seen), 2 * OFTEN), dtype=np.float32)
+    for block, at, n in pieces.neighbours(row, place):
+        x[block * BLOCK + at // (2 * OFTEN), at % (2 * OFTEN)] += n[:, 0].astype(np.float32)
+    class_of = _cluster(seen, x, count, p.classes, r)
+    del x
     total = np.bincount(class_of, count + 0.01, p.classes)
     inside = np.log10((count + 0.01) / total[class_of])
     c, d, f = p.classes, p.dim, np.float32
@@ -280,26 +464,15 @@ def train(pieces, n_ids: int, count: np.ndarray, ranks: str, pattern: str, p: Tr
          "k": r.normal(size=(d, d)) * .25, "v": r.normal(size=(d, d)) * .25, "o": r.normal(size=(d, d)) * .25,
          "u": r.normal(size=(d, c)) * .1, "b": np.log(np.bincount(class_of, count, c) + .5)}
     w = {k: v.astype(f) for k, v in w.items()}
-    m1 = {k: np.zeros_like(v) for k, v in w.items()}
-    m2 = {k: np.zeros_like(v) for k, v in w.items()}
-    dense = [k for k in w if k != "e"]
-    steps = max(p.steps, -(-n_ids // (p.window * p.batch)))
-    read = i = 0
-    for ids in _chunks(pieces):
-        flat, read = ids, read + len(ids)
-        while len(flat) > p.window + 1 and i < steps * read // n_ids:
-            i += 1
-            at = r.integers(len(flat) - p.window, size=p.batch)[:, None] + np.arange(p.window + 1)
-            x = flat[at]
-            _, g = _gradients(w, x[:, :-1], class_of[x[:, 1:]])
-            rate = p.rate * min(1.0, i / 20) * (1 - i / (steps + 1))
-            rows, step = g["e"]
-            m2["e"][rows] += step ** 2
-            w["e"][rows] -= (rate * step / (np.sqrt(m2["e"][rows]) + 1e-8)).astype(f)
-            for k in dense:
-                m1[k] = .9 * m1[k] + .1 * g[k]
-                m2[k] = .99 * m2[k] + .01 * g[k] ** 2
-                w[k] = (w[k] - rate * (m1[k] / (1 - .9 ** i)) / (np.sqrt(m2[k] / (1 - .99 ** i)) + 1e-8)).astype(f)
+    state = State(w, {k: np.zeros_like(v) for k, v in w.items() if k != "e"}, {k: np.zeros_like(v) for k, v in w.items()}, 0)
+    rounds = min(p.rounds, max(1, n_ids // p.shard))
+    shards = max(1, -(-n_ids // (rounds * p.shard)))
+    ids = max(1.0, n_ids / (rounds * shards))
+    passes = -(-p.steps // (rounds * -(-int(ids) // (p.window * p.batch))))
+    for nth in range(rounds):
+        turn = Turn(nth, rounds, shards, passes, ids)
+        state = _averaged(state, pieces.descend(state, class_of, p, turn))
+    w = state.w
     w["b"][np.bincount(class_of, minlength=c) == 0] = -1e4  # no id is in such a class
     return Model(ranks, pattern, p.window, p.context, class_of, inside, w, p.prior)
 
@@ -385,7 +558,7 @@ class Scorer:
                 out -= top
                 said = np.take_along_axis(out, said_class[at[:, behind:] + 1][:, :, None], 2)[:, :, 0]
                 np.exp(out, out=out)
-                said = said - np.log(out.sum(axis=2))
+                said = said - np.log(_total(out)[:, :, 0])
                 part = np.where(place[behind:] < stop[own, None], said, 0).sum(axis=1, dtype=np.float64) / np.log(10)
                 total += np.bincount(doc[own], part, minlength=len(total))
         return total, self.s[places], self.q[places]
@@ -394,44 +567,129 @@ class Scorer:
 # -- training documents ---------------------------------------------------------------------------
 
 def _read(ranks: str, pattern: str, p: Training, limit: int):
-    """(body, lot) of training documents -> their sampled pieces (key, ids), and once a task
+    """(body, lot) of training documents -> their pieces (lot, key, ids), and once a task
     how often each id stands in all its documents (id, times)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Reader(ranks, pattern, p)
         for s in slices(batches, "body", BATCH_BYTES):
-            for body, lot in zip(s.column("body"), s.column("lot").to_pylist()):
-                for key, ids in reader.read(body.as_py().encode(), lot, limit):
-                    yield _piece([key], [ids], [None], [None])
+            found = [x for body, lot in zip(s.column("body"), s.column("lot").to_pylist())
+                     for x in reader.read(body.as_py().encode(), lot, limit)]
+            if found:
+                none = [None] * len(found)
+                yield _piece(*zip(*found), none, none)
         count = reader.settle()
         ids = np.flatnonzero(count)
-        yield _piece([None], [None], [ids.tolist()], [count[ids].tolist()])
+        yield _piece([None], [None], [None], [ids.tolist()], [count[ids].tolist()])
 
     return run
 
 
 def _piece(*x) -> pa.RecordBatch:
-    kinds = pa.int64(), pa.binary(), pa.list_(pa.int32()), pa.list_(pa.int64())
-    return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(x, kinds)], names=["key", "ids", "id", "times"])
+    kinds = pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int32()), pa.list_(pa.int64())
+    return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(x, kinds)], names=["lot", "key", "ids", "id", "times"])
+
+
+SUMS = "block int, at binary, value binary"
+
+
+def _sums(found: Iterable[Sums]) -> Iterator[pa.RecordBatch]:
+    for block, at, value in found:
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([block], pa.int32()), pa.array([at.astype(np.int64).tobytes()], pa.binary()),
+             pa.array([np.ascontiguousarray(value).tobytes()], pa.binary())], names=["block", "at", "value"])
+
+
+def _arrays(at: bytes, value: bytes) -> tuple[np.ndarray, np.ndarray]:
+    at = np.frombuffer(at, np.int64)
+    return at, np.frombuffer(value).reshape(len(at), -1)
+
+
+def _add(cells: int):
+    """Rows sorted by block -> a row per block with the sums by place, of blocks of ``cells`` places."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = total = None
+
+        def told():
+            at = np.flatnonzero(total.any(axis=1)) if last >= 0 else np.arange(len(total))
+            return _sums([(last, at, total[at])])
+
+        for batch in batches:
+            for block, at, value in zip(*(batch.column(c) for c in ("block", "at", "value"))):
+                at, value = _arrays(at.as_py(), value.as_py())
+                if block.as_py() != last:
+                    if last is not None:
+                        yield from told()
+                    last = block.as_py()
+                    total = np.zeros((cells if last >= 0 else len(at), value.shape[1]))
+                total[at] += value
+        if last is not None:
+            yield from told()
+
+    return run
+
+
+def _count_neighbours(kind: np.dtype, row: np.ndarray, place: np.ndarray):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pieces = (np.frombuffer(x.as_buffer(), kind) for batch in batches for x in batch.column("ids"))
+        yield from _sums(_neighbours(pieces, row, place))
+
+    return run
+
+
+def _train_shards(kind: np.dtype, *args):
+    """Rows sorted by shard -> what the shards add to the averages."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in groups(batches, "shard"):
+            pieces = (np.frombuffer(x.as_buffer(), kind) for x in t.column("ids"))
+            yield from _sums(_descend(pieces, *args, t.column("shard")[0].as_py()))
+
+    return run
+
+
+class Staged:
+    """Pieces (``lot, key, ids``) in a table; sums over them are made by Spark's tasks."""
+
+    def __init__(self, found: DataFrame, kind: np.dtype, limit: int):
+        self.found, self.kind, self.limit = found, kind, limit
+
+    def _summed(self, sums: DataFrame, cells: int) -> Iterator[Sums]:
+        """The sums of all tasks; they grow with the vocabulary, not with the corpus."""
+        added = sums.repartition(width(sums.sparkSession), "block").sortWithinPartitions("block").mapInArrow(
+            task(_add, cells), SUMS)
+        for r in staged(added, "sums").toLocalIterator():
+            yield r["block"], *_arrays(r["at"], r["value"])
+
+    def neighbours(self, row: np.ndarray, place: np.ndarray) -> Iterator[Sums]:
+        sums = self.found.select("ids").mapInArrow(task(_count_neighbours, self.kind, row, place), SUMS)
+        return self._summed(sums, BLOCK * 2 * OFTEN)
+
+    def descend(self, start: State, class_of: np.ndarray, p: Training, turn: Turn) -> Iterator[Sums]:
+        dealt = F.floor(F.col("lot") * (turn.rounds * turn.shards) / self.limit).cast("int")
+        own = self.found.select((dealt - turn.nth * turn.shards).alias("shard"), "key", "ids").filter(
+            F.col("shard").between(0, turn.shards - 1))
+        sums = own.repartition(3 * turn.shards, "shard").sortWithinPartitions("shard", "key").mapInArrow(
+            task(_train_shards, self.kind, start, class_of, p, turn), SUMS)
+        return self._summed(sums, BLOCK)
 
 
 def model_of(rows: DataFrame, ranks: str, pattern: str, p: Training) -> Model:
-    """The model of the training documents (``doc, body, held``).  Id counts come from all of
-    them; a share of their pieces, the same at every size, is streamed through the driver."""
+    """The model of the training documents (``doc, body, held``): of all their pieces, unless
+    ``p.share`` is less than 1."""
     learn = rows.filter(~F.col("held"))
     size = learn.agg(F.coalesce(F.sum(F.octet_length("body")), F.lit(0))).collect()[0][0]  # bounded: one row
     limit = int(np.ceil(LOTS * min(1.0, max(p.share, p.least / max(1, size)))))
     lot = F.pmod(F.xxhash64("doc", F.lit(p.seed)), F.lit(LOTS))
     found = staged(learn.select("body", lot.alias("lot")).mapInArrow(
-        task(_read, ranks, pattern, p, limit), "key long, ids binary, id array<int>, times array<long>"), "pieces")
+        task(_read, ranks, pattern, p, limit), "lot long, key long, ids binary, id array<int>, times array<long>"), "pieces")
     times = found.filter("key is null").select(F.explode(F.arrays_zip("id", "times")).alias("x")).groupBy(
         F.col("x.id").alias("id")).agg(F.sum("x.times").alias("times")).collect()  # bounded: one row per subword
-    count = np.zeros(subwords(ranks, pattern)[1] + 1, dtype=np.int64)
+    end = subwords(ranks, pattern)[1]
+    count = np.zeros(end + 1, dtype=np.int64)
     for r in times:
         count[r["id"]] = r["times"]
-    chosen = found.filter("key is not null").select("key", "ids")
-    n = chosen.agg(F.coalesce(F.sum(F.octet_length("ids")), F.lit(0))).collect()[0][0] // 4  # bounded: one row
-    chosen = chosen.orderBy("key")
-    return train(lambda: (bytes(r["ids"]) for r in chosen.toLocalIterator()), n, count, ranks, pattern, p)
+    chosen, kind = found.filter("key is not null").select("lot", "key", "ids"), _kind(end)
+    n = chosen.agg(F.coalesce(F.sum(F.octet_length("ids")), F.lit(0))).collect()[0][0] // kind.itemsize  # bounded: one row
+    return train(Staged(chosen, kind, limit), n, count, ranks, pattern, p)
 
 
 # -- corpus counts --------------------------------------------------------------------------------
