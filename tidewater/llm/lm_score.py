@@ -10,7 +10,7 @@ Two scores, both log10 probabilities of a whole text as its lower-cased words an
   is a probability of ids at a hundredth of the work.  It learns from every training document (long
   ones are cut in pieces, not left out): neighbour counts for the classes are summed over all pieces, and
   the weights are trained in Spark tasks, each on a shard of the pieces, and averaged over the shards after
-  each of a few rounds; every subword is the target of one step at least.  The word among
+  each of a few rounds; every subword but the first of a run of about 200,000 is a target.  The word among
   those of its class sequence s comes from the whole training corpus,
   p(word | s) = (c(word) + prior * q(word | s)) / (c(s) + prior), where q is the product of
   the subwords' p(id | class), smoothed counts of the whole training corpus.  Class sequences are counted
