@@ -200,3 +200,76 @@ def test_every_id_of_a_piece_is_a_target():
         for nth in (0, 1):
             seen = {int(i) for x in lm_score._windows(np.arange(n), p, nth, r) for i in x[:, 1:].ravel()}
             assert seen == set(range(1, n)) or nth and seen <= set(range(1, n))
+
+
+def test_lexicon_finds_the_ids_of_every_word(spark):
+    """Words of all sizes, met in one call or in several, or after all were forgotten."""
+    enc, end = lm_score.subwords(RANKS, public_tokenizers.PATTERN)
+    r = np.random.default_rng(5)
+    some = ["a", "B", "\x00", "é", "猫", "don't", "x" * 7, "y" * 8, "z" * 9, "q" * 63, "w" * 64, "v" * 65, "u" * 200]
+    texts = ["", " \t ", *(" ".join("".join(r.choice(some, size=r.integers(1, 5))) for _ in range(r.integers(1, 40)))
+                           for _ in range(300)), "tail\n"]
+    raw = [t.encode() for t in texts]
+    off = np.cumsum([0, *map(len, raw)])
+    lexicon, got = lm_score.Lexicon(enc, end), []
+    for a, b in ((0, 100), (100, 303), (0, 303)):
+        w, places, ids, after = lexicon.read(np.frombuffer(b"".join(raw[a:b]), np.uint8), off[a:b + 1] - off[a])
+        want = [i for t in texts[a:b] for i in [end, *(i for x in words(t) for i in enc.encode_ordinary(" " + x)), end]]
+        assert ids.tolist() == want and after[-1] == len(want)
+        assert np.diff(w.first).tolist() == [len(words(t)) for t in texts[a:b]]
+        got.append([lexicon.name[p] for p in places])
+    assert got[0] + got[1] == got[2]
+    assert len(lexicon.name) == 1 + len({x for t in texts for x in words(t)}) == len(set(lexicon.name.tolist()))
+    lexicon.forget()
+    assert lexicon.read(np.frombuffer(raw[5], np.uint8), np.array([0, len(raw[5])]))[2].tolist() == [
+        end, *(i for x in words(texts[5]) for i in enc.encode_ordinary(" " + x)), end]
+
+
+def test_training_pieces_are_cut_at_their_bytes():
+    """Pieces against a plain cut; ids are counted with one end a text."""
+    p = Training(max_bytes=64)
+    texts = ["", "one two", "x" * 200 + " y", *(" ".join(f"w{i * j % 97}" for j in range(i)) for i in range(60))]
+    raw = [t.encode() for t in texts]
+    reader = lm_score.Reader(RANKS, public_tokenizers.PATTERN, p)
+    got = list(reader.read(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]), list(range(len(raw)))))
+    enc, end = lm_score.subwords(RANKS, public_tokenizers.PATTERN)
+    want, count = [], Counter()
+    for lot, t in enumerate(texts):
+        at, runs = 0, {}
+        for x in words(t):
+            runs.setdefault(at // 64, []).append(x)
+            at += len(x.encode()) + 1
+        runs = list(runs.values()) or [[]]
+        for i, run in enumerate(runs):
+            ids = [i for x in run for i in enc.encode_ordinary(" " + x)]
+            count.update(ids)
+            want.append(((lot + i * 0x9E3779B1) % lm_score.LOTS, [end] * (i == 0) + ids + [end] * (i == len(runs) - 1)))
+        count[end] += 1
+    assert [(lot, np.frombuffer(ids, reader.kind).tolist()) for lot, _, ids in got] == want
+    assert {i: n for i, n in enumerate(reader.count.tolist()) if n} == dict(count)
+
+
+def test_scores_far_from_0_are_lowered_first():
+    """Exponentials are taken as they are, but rows that would leave the range of floats by their maxima."""
+    for x in ([[1., 2, -1e9], [3, -4, 5]], [[900, 1, 2], [1, 2, 3]], [[-900, -901, -1e9], [1, 2, 3]], [[-1e4, 60, 2]]):
+        x = np.array(x, dtype=np.float32)
+        y = x.copy()
+        top = lm_score._exp(y, 0)
+        want = np.exp(x.astype(float) - x.max(axis=1, keepdims=True).astype(float))
+        assert np.allclose(y / y.sum(axis=1, keepdims=True), want / want.sum(axis=1, keepdims=True), rtol=1e-5)
+        assert np.allclose(np.log(y.sum(axis=1, keepdims=True)) + top,
+                           np.log(want.sum(axis=1, keepdims=True)) + x.max(axis=1, keepdims=True), rtol=1e-5)
+    r = np.random.default_rng(1)
+    p = Training(classes=6, dim=4, window=8)
+    for scale in (1., 40.):  # the larger ones leave the range
+        w = {"e": r.normal(size=(50, 4)), "p": r.normal(size=(p.window, 4)), "u": r.normal(size=(4, 6)), "b": r.normal(size=6),
+             **{k: r.normal(size=(4, 4)) for k in "qkvo"}}
+        w = {k: (v * (scale if k in "qku" else 1)).astype(np.float32) for k, v in w.items()}
+        x = r.integers(50, size=(3, 8))
+        h = w["e"][x].astype(float) + w["p"]
+        s = (h @ w["q"]) @ (h @ w["k"]).transpose(0, 2, 1) / 2 + np.triu(np.full((8, 8), -np.inf), 1)
+        s = np.exp(s - s.max(axis=2, keepdims=True))
+        want = (h + s / s.sum(axis=2, keepdims=True) @ (h @ w["v"]) @ w["o"]) @ w["u"] + w["b"]
+        assert np.allclose(_logits(w, x)[0], want, rtol=1e-3, atol=1e-3 * np.abs(want).max())
+        for a in (0, 4):
+            assert np.allclose(lm_score._logits_from(w, x, a, lm_score.Room()), want[:, a:], rtol=1e-3, atol=1e-3 * np.abs(want).max())

@@ -27,8 +27,11 @@ Repeated rows: scored each.  Very long texts are more windows.
 from __future__ import annotations
 
 import base64
+import copy
 import functools
 import hashlib
+import itertools
+import math
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -37,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, Words, crc32_of, groups, pick, slices, staged, text_bytes, width
+from .common import U64, Words, crc32_of, groups, mix, pick, slices, staged, text_bytes, width
 from .tasks import task
 
 END_WORD = U64(0x0DDB1A5E5BAD5EED)
@@ -102,81 +105,229 @@ def word_ids(enc, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.delete(ids, cut), np.append(0, cut - np.arange(len(cut)))
 
 
-# -- attention ----------------------------------------------------------------------------------
+_FIRST_BYTES = np.array([(1 << 8 * i) - 1 for i in range(9)], dtype=U64)
+_OF_SIZE = mix(np.arange(65, dtype=U64) * U64(0xD1342543DE82EF95))
+
+
+def _names(w: Words) -> np.ndarray:
+    """64-bit names of words, from 8 bytes at a time; of longer words than 64 bytes, their hashes."""
+    size = w.end - w.start
+    name = _OF_SIZE.take(np.minimum(size, 64))
+    eights = np.lib.stride_tricks.sliding_window_view(np.append(w.buf, np.zeros(8, dtype=np.uint8)), 8)
+    here, start, left = np.arange(len(size)), w.start, size
+    for _ in range(8):
+        name[here] = mix(name[here] ^ (eights[start].view("<u8")[:, 0] & _FIRST_BYTES.take(np.minimum(left, 8))))
+        more = np.flatnonzero(left > 8)
+        if not len(more):
+            return name
+        here, start, left = here[more], start[more] + 8, left[more] - 8
+    far = copy.copy(w)
+    far.start, far.end = w.start[here], w.end[here]
+    name[here] = far.hashes()
+    return name
+
+
+class Lexicon:
+    """Ids of the words that were met, found by the words' names.  Place 0 is the end."""
+
+    def __init__(self, enc, end: int):
+        self.enc, self.end = enc, end
+        self.forget()
+
+    def forget(self) -> None:
+        self.name, self.ids = np.array([END_WORD], dtype=U64), np.array([self.end], dtype=np.int32)
+        self.first, self.n = np.zeros(1, dtype=np.int64), np.ones(1, dtype=np.int64)  # by place: of its ids
+        self.sorted, self.place = self.name, np.zeros(1, dtype=np.int64)              # by name
+
+    def read(self, buf: np.ndarray, off: np.ndarray) -> tuple[Words, np.ndarray, np.ndarray, np.ndarray]:
+        """Of texts: their lower-cased words, all words' places, all ids, each text's between two
+        ends, and where the ids of each word or end end."""
+        w = Words(buf, off, lower=True)
+        name = _names(w)
+        order = np.argsort(name)
+        own = name[order]
+        new = np.append(True, own[1:] != own[:-1])[:len(own)]
+        one, own = order[new], own[new]
+        at = np.searchsorted(self.sorted, own)
+        at[at == len(self.sorted)] = 0
+        place = self.place[at]
+        unmet = np.flatnonzero(self.sorted[at] != own)
+        if len(unmet):
+            place[unmet] = np.arange(len(self.n), len(self.n) + len(unmet))
+            self._learn(w, one[unmet], own[unmet], place[unmet])
+        places = np.empty(len(name), dtype=np.int64)
+        places[order] = place[np.cumsum(new) - 1]
+        words = np.diff(w.first)
+        stop = np.cumsum(words + 2)
+        ended = np.zeros(len(places) + 2 * len(words), dtype=np.int64)
+        inner = np.ones(len(ended), dtype=bool)
+        inner[stop - 1] = inner[stop - words - 2] = False
+        ended[inner] = places
+        n = self.n.take(ended)
+        after = np.cumsum(n)
+        return w, places, self.ids.take(np.repeat(self.first.take(ended) - after + n, n) + np.arange(after[-1])), after
+
+    def _learn(self, w: Words, at: np.ndarray, name: np.ndarray, place: np.ndarray) -> None:
+        raw = w.buf.tobytes()
+        ids, first = word_ids(self.enc, [raw[a:b] for a, b in zip(w.start[at].tolist(), w.end[at].tolist())])
+        self.first = np.append(self.first, first + len(self.ids))
+        self.n = np.append(self.n, np.diff(np.append(first, len(ids))))
+        self.ids = np.append(self.ids, ids.astype(np.int32))
+        self.name, both = np.append(self.name, name), np.append(self.sorted, name)
+        order = np.argsort(both, kind="stable")
+        self.sorted, self.place = both[order], np.append(self.place, place)[order]
 
-def _dot(x: np.ndarray, m: np.ndarray) -> np.ndarray:
-    """``x @ m`` for all places of all windows as one product."""
-    return (x.reshape(-1, x.shape[-1]) @ m).reshape(*x.shape[:-1], -1)
 
+# -- attention ----------------------------------------------------------------------------------
 
-def _total(x: np.ndarray) -> np.ndarray:
-    """Sums over the last axis, kept, which a product makes faster than ``sum`` over few items."""
-    return _dot(x, np.ones((x.shape[-1], 1), dtype=x.dtype))
+class Room:
+    """Arrays that batch after batch is computed in: fresh ones cost more than what is done in them."""
+
+    def __init__(self) -> None:
+        self.held: dict[str, np.ndarray] = {}
+
+    def __call__(self, name: str, like: np.ndarray, *shape: int) -> np.ndarray:
+        n, x = math.prod(shape), self.held.get(name)
+        if x is None or x.size < n or x.dtype != like.dtype:
+            x = self.held[name] = np.empty(n, dtype=like.dtype)
+        return x[:n].reshape(shape)
+
+    def dot(self, name: str, x: np.ndarray, m: np.ndarray) -> np.ndarray:
+        """``x @ m`` for all places of all windows as one product."""
+        out = self(name, x, *x.shape[:-1], m.shape[1])
+        np.matmul(x.reshape(-1, x.shape[-1]), m, out=out.reshape(-1, m.shape[1]))
+        return out
+
+    def total(self, name: str, x: np.ndarray) -> np.ndarray:
+        """Sums over the last axis, kept, which a product makes faster than ``sum`` over few items."""
+        return self.dot(name, x, np.ones((x.shape[-1], 1), dtype=x.dtype))
+
+    def placed(self, w: dict, x: np.ndarray) -> np.ndarray:
+        """Embeddings of the ids ``x[n, t]`` at their places."""
+        h = w["e"].take(x, axis=0, out=self("h", w["e"], *x.shape, w["e"].shape[1]), mode="clip")
+        h += w["p"][:x.shape[1]]
+        return h
+
+
+def _across(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """``x.T @ y`` in blocks of rows, which the product takes faster than many rows at once."""
+    n = len(x) // 128
+    out = x[128 * n:].T @ y[128 * n:]
+    if n:
+        blocks = (z[:128 * n].reshape(n, 128, -1) for z in (x, y))
+        out += np.matmul(next(blocks).transpose(0, 2, 1), next(blocks)).sum(axis=0)
+    return out
 
 
-def _logits(w: dict, x: np.ndarray) -> tuple:
-    """Logits of the class after each place of the windows of ids ``x[n, t]``."""
-    t, d = x.shape[1], w["e"].shape[1]
-    h = w["e"][x] + w["p"][:t]
-    q, k, v = _dot(h, w["q"]), _dot(h, w["k"]), _dot(h, w["v"])
-    s = q @ k.transpose(0, 2, 1) / np.float32(np.sqrt(d))
-    s += np.triu(np.full((t, t), -1e9, dtype=np.float32), 1)
-    s -= s.max(axis=2, keepdims=True)
-    a = np.exp(s, out=s)
-    a /= _total(a)
-    m = a @ v
-    z = h + _dot(m, w["o"])
-    return _dot(z, w["u"]) + w["b"], (h, q, k, v, a, m, z)
+def _exp(x: np.ndarray, sure: int):
+    """Makes ``x`` its ``exp`` up to a factor a row; returns the logs of the factors.  Rows are lowered by
+    their maxima, which take longer than ``exp``, only if values are so far from 0 that ``exp`` or
+    its sums might leave the range of floats; item ``sure`` of a row is one that is not masked."""
+    top = 0.0
+    if not (x.size and x.max() < 50 and x[..., sure].min() > -50):
+        top = x.max(axis=-1, keepdims=True)
+        x -= top
+    np.exp(x, out=x)
+    return top
+
+
+@functools.lru_cache(maxsize=64)
+def _mask(a: int, t: int) -> np.ndarray:
+    """Added to scores of the places from ``a`` on: no place sees one behind it."""
+    return np.triu(np.full((t - a, t), -1e9, dtype=np.float32), 1 + a)
+
+
+def _logits(w: dict, x: np.ndarray, room: Room | None = None) -> tuple:
+    """Logits of the class after each place of the windows of ids ``x[n, t]``.  The attention is kept as
+    its exponentials ``a`` and the inverse ``r`` of their sums; ``qkv`` has queries of scaled scores."""
+    room = room or Room()
+    (n, t), d = x.shape, w["e"].shape[1]
+    h = room.placed(w, x)
+    m_qkv = np.hstack([w["q"] / np.float32(np.sqrt(d)), w["k"], w["v"]])
+    qkv = room.dot("qkv", h, m_qkv)
+    a = np.matmul(qkv[..., :d], qkv[..., d:2 * d].transpose(0, 2, 1), out=room("a", h, n, t, t))
+    a += _mask(0, t)
+    _exp(a, 0)
+    r = room.total("r", a)
+    np.divide(1, r, out=r)
+    m = np.matmul(a, qkv[..., 2 * d:], out=room("m", h, n, t, d))
+    m *= r
+    z = room.dot("z", m, w["o"])
+    z += h
+    out = room.dot("out", z, w["u"])
+    out += w["b"]
+    return out, (h, m_qkv, qkv, a, r, m, z)
 
 
-def _logits_from(w: dict, x: np.ndarray, a: int) -> np.ndarray:
+def _logits_from(w: dict, x: np.ndarray, a: int, room: Room) -> np.ndarray:
     """Class logits after the places from ``a`` on, all places being seen: ``_logits`` without
     the work for places that only serve as context."""
-    t, d = x.shape[1], w["e"].shape[1]
-    h = w["e"][x] + w["p"][:t]
+    (n, t), d = x.shape, w["e"].shape[1]
+    h = room.placed(w, x)
     own = h[:, a:]
-    s = _dot(own, w["q"] @ w["k"].T / np.float32(np.sqrt(d))) @ h.transpose(0, 2, 1)
-    s += np.triu(np.full((t - a, t), -1e9, dtype=np.float32), 1 + a)
-    s -= s.max(axis=2, keepdims=True)
-    np.exp(s, out=s)
-    m = s @ h
-    m /= _total(s)
-    z = own + _dot(m, w["v"] @ w["o"])
-    out = _dot(z, w["u"])
+    keys = room("keys", h, n, d, t)
+    keys[...] = h.transpose(0, 2, 1)
+    s = np.matmul(room.dot("q", own, w["q"] @ w["k"].T / np.float32(np.sqrt(d))), keys, out=room("s", h, n, t - a, t))
+    s += _mask(a, t)
+    _exp(s, 0)
+    m = np.matmul(s, h, out=room("m", h, n, t - a, d))
+    m /= room.total("r", s)
+    z = room.dot("z", m, w["v"] @ w["o"])
+    z += own
+    out = room.dot("out", z, w["u"])
     out += w["b"]
     return out
 
 
-def _gradients(w: dict, x: np.ndarray, y: np.ndarray) -> tuple[float, dict]:
+def _gradients(w: dict, x: np.ndarray, y: np.ndarray, room: Room | None = None) -> tuple[float, dict]:
+    room = room or Room()
     n, t = x.shape
-    d = w["e"].shape[1]
-    out, (h, q, k, v, a, m, z) = _logits(w, x)
-    out -= out.max(axis=2, keepdims=True)
-    p = np.exp(out, out=out)
-    p /= _total(p)
-    at = (np.arange(n)[:, None], np.arange(t), y)
-    loss = -np.log(p[at] + 1e-30).mean()
-    p[at] -= 1
-    p /= n * t
+    c, d = len(w["b"]), w["e"].shape[1]
+    p, (h, m_qkv, qkv, a, r, m, z) = _logits(w, x, room)
     flat = lambda z: z.reshape(-1, z.shape[-1])
-    g = {"u": flat(z).T @ flat(p), "b": flat(p).sum(axis=0)}
-    dz = _dot(p, w["u"].T)
-    g["o"] = flat(m).T @ flat(dz)
-    dm = _dot(dz, w["o"].T)
-    dv = a.transpose(0, 2, 1) @ dm
-    da = dm @ v.transpose(0, 2, 1)
-    da -= _total(dm * m)  # the sum of a * da over the keys
+    at = np.arange(0, n * t * c, c) + y.ravel()
+    said = p.reshape(-1).take(at)
+    top = _exp(p, int(w["b"].argmax()))
+    total = room.total("total", p)
+    loss = (np.log(total) + top).mean() - said.mean()
+    p.reshape(-1)[at] -= total.ravel()
+    total *= n * t
+    np.divide(1, total, out=total)  # the gradient by logits is this times p
+    g = {"b": (total.reshape(1, -1) @ flat(p))[0]}
+    dz = room.dot("dz", p, w["u"].T)
+    dz *= total
+    z *= total
+    g["u"] = _across(flat(z), flat(p))
+    g["o"] = _across(flat(m), flat(dz))
+    dm = room.dot("dm", dz, w["o"].T)
+    m *= dm
+    own = room.total("own", m)  # the sum of a * da over the keys
+    own *= r
+    dm *= r
+    d_qkv = room("d_qkv", h, n, t, 3 * d)
+    np.matmul(a.transpose(0, 2, 1), dm, out=d_qkv[..., 2 * d:])
+    da = np.matmul(dm, qkv[..., 2 * d:].transpose(0, 2, 1), out=room("da", h, n, t, t))
+    da -= own
     da *= a
-    da /= np.float32(np.sqrt(d))
-    dq, dk = da @ k, da.transpose(0, 2, 1) @ q
-    dh = dz + _dot(dq, w["q"].T) + _dot(dk, w["k"].T) + _dot(dv, w["v"].T)
-    g["q"], g["k"], g["v"] = (flat(h).T @ flat(z) for z in (dq, dk, dv))
+    np.matmul(da, qkv[..., d:2 * d], out=d_qkv[..., :d])
+    np.matmul(da.transpose(0, 2, 1), qkv[..., :d], out=d_qkv[..., d:2 * d])
+    dh = room.dot("dh", d_qkv, m_qkv.T)
+    dh += dz
+    g["q"], g["k"], g["v"] = np.hsplit(_across(flat(h), flat(d_qkv)), 3)
+    g["q"] = g["q"] / np.float32(np.sqrt(d))
     g["p"] = np.zeros_like(w["p"])
     g["p"][:t] = dh.sum(axis=0)
-    order = np.argsort(x, axis=None, kind="stable")  # of the embeddings only the ids that occur
-    ids = x.ravel()[order]
+    ids = x.astype(np.min_scalar_type(len(w["e"]) - 1)).ravel()
+    order = np.argsort(ids, kind="stable")  # of the embeddings only the ids that occur
+    ids = ids[order]
     first = np.flatnonzero(np.append(True, ids[1:] != ids[:-1]))
-    g["e"] = ids[first], np.add.reduceat(flat(dh)[order], first)
+    e = flat(dh).take(order[first], axis=0)
+    times = np.diff(np.append(first, len(ids)))
+    again = times > 1  # sums only of ids that occur more than once
+    if again.any():
+        begin = np.cumsum(times[again]) - times[again]
+        e[again] = np.add.reduceat(flat(dh).take(order[np.repeat(again, times)], axis=0), begin)
+    g["e"] = ids[first], e
     return loss, g
 
 
@@ -260,44 +411,26 @@ class Reader:
     """Counts all subwords of training texts and cuts pieces of them out as ids."""
 
     def __init__(self, ranks: str, pattern: str, p: Training):
-        self.p, (self.enc, self.end) = p, subwords(ranks, pattern)
-        self.kind = _kind(self.end)
-        self.ids: dict[bytes, bytes] = {}
-        self.count = np.zeros(self.end + 1, dtype=np.int64)
-        self.uncounted: list[bytes] = []
-        self.size = 0
-
-    def read(self, raw: bytes, lot: int = 0, limit: int = LOTS) -> Iterator[tuple[int, int, bytes]]:
+        enc, self.end = subwords(ranks, pattern)
+        self.p, self.kind, self.lexicon = p, _kind(self.end), Lexicon(enc, self.end)
+        self.count = np.zeros(self.end + 1, dtype=np.int64)  # how often each id was read so far
+
+    def read(self, buf: np.ndarray, off: np.ndarray, lots: list[int], limit: int = LOTS) -> Iterator[tuple[int, int, bytes]]:
         """(lot, key, ids) of the pieces whose lot, dealt from the text's, is under ``limit``."""
-        words = _words(raw)
-        if len(self.ids) > REMEMBERED:
-            self.ids.clear()
-        self._learn(set(words).difference(self.ids))
-        edge = np.array([self.end], dtype=self.kind).tobytes()
-        pieces = _pieces(words, self.p.max_bytes)
-        for i, piece in enumerate(pieces):
-            raw = (edge if i == 0 else b"") + b"".join([self.ids[x] for x in piece]) + (
-                edge if i == len(pieces) - 1 else b"")
-            self.uncounted.append(raw[len(edge):] if i == 0 else raw)  # of the ends one a text counts
-            self.size += len(raw)
-            own = (lot + i * 0x9E3779B1) % LOTS
-            if own < limit:
-                yield own, int.from_bytes(hashlib.blake2b(raw, digest_size=8).digest(), "little", signed=True), raw
-        if self.size > BATCH_BYTES:
-            self.settle()
-
-    def settle(self) -> np.ndarray:
-        """How often each id was read so far."""
-        ids = np.frombuffer(b"".join(self.uncounted), dtype=self.kind)
+        if len(self.lexicon.n) > REMEMBERED:
+            self.lexicon.forget()
+        w, _, ids, after = self.lexicon.read(buf, off)
         self.count += np.bincount(ids, minlength=len(self.count))
-        self.uncounted, self.size = [], 0
-        return self.count
-
-    def _learn(self, words: set[bytes]) -> None:
-        new = list(words)
-        ids, first = word_ids(self.enc, new)
-        raw, cut = ids.astype(self.kind).tobytes(), (self.kind.itemsize * np.append(first, len(ids))).tolist()
-        self.ids.update(zip(new, [raw[a:b] for a, b in zip(cut, cut[1:])]))
+        self.count[self.end] -= len(lots)  # of the ends one a text counts
+        ids = ids.astype(self.kind)
+        for text, (lot, a, b, size) in enumerate(zip(lots, w.first.tolist(), w.first[1:].tolist(), np.diff(off).tolist())):
+            runs = _pieces(w.end[a:b] - w.start[a:b] + 1, self.p.max_bytes) if size > self.p.max_bytes else [(0, b - a)]
+            begin = a + 2 * text  # of words and ends
+            for i, (a, b) in enumerate(runs):
+                raw = ids[after[begin + a] - (i == 0):after[begin + b + (i == len(runs) - 1)]].tobytes()
+                own = (lot + i * 0x9E3779B1) % LOTS
+                if own < limit:
+                    yield own, int.from_bytes(hashlib.blake2b(raw, digest_size=8).digest(), "little", signed=True), raw
 
 
 def _kind(end: int) -> np.dtype:
@@ -305,13 +438,10 @@ def _kind(end: int) -> np.dtype:
     return np.dtype("<u2" if end < 1 << 16 else "<i4")
 
 
-def _pieces(words: list[bytes], most: int) -> list[list[bytes]]:
-    """Words in runs of about ``most`` bytes."""
-    if not words:
-        return [[]]
-    size = np.fromiter(map(len, words), np.int64, len(words)) + 1
+def _pieces(size: np.ndarray, most: int) -> list[tuple[int, int]]:
+    """Words of these sizes in runs of about ``most`` bytes."""
     cut = (np.flatnonzero(np.diff((np.cumsum(size) - size) // most)) + 1).tolist()
-    return [words[a:b] for a, b in zip([0, *cut], [*cut, len(words)])]
+    return list(itertools.pairwise([0, *cut, len(size)]))
 
 
 def _chunks(pieces, most: int = 200_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -377,30 +507,42 @@ def _descend(pieces, start: State, class_of: np.ndarray, p: Training, turn: Turn
     """Steps over all of a shard's pieces, from ``start``: what the shard adds to the averages.
     An embedding is averaged by how many steps moved it, the other weights by all steps."""
     s, read, times = start.copy(), 0, np.zeros(len(class_of))
-    w, m1, m2, f = s.w, s.m1, s.m2, np.float32
+    names, f = list(s.m1), np.float32
+    w, m1, m2 = (_joined(x, names) for x in (s.w, s.m1, s.m2))
+    e, e2, room = s.w["e"], s.m2["e"], Room()
     r = np.random.default_rng((p.seed, turn.nth, shard))
     for ids, _ in _chunks(pieces):
         for nth in range(turn.passes):
             done = (turn.nth + min(1.0, (read + len(ids) * nth / turn.passes) / turn.ids)) / turn.rounds
             for x in _windows(ids, p, nth, r):
                 s.i += 1
-                _, g = _gradients(w, x[:, :-1], class_of[x[:, 1:]])
+                _, g = _gradients(s.w, x[:, :-1], class_of[x[:, 1:]], room)
                 rate = p.rate * min(1.0, s.i / 20) * max(0.01, 1 - done)
                 rows, step = g["e"]
                 times[rows] += 1
-                m2["e"][rows] += step ** 2
-                w["e"][rows] -= (rate * step / (np.sqrt(m2["e"][rows]) + 1e-8)).astype(f)
-                for k in m1:
-                    m1[k] = .9 * m1[k] + f(.1) * g[k]
-                    m2[k] = .99 * m2[k] + f(.01) * g[k] ** 2
-                    w[k] = (w[k] - rate * (m1[k] / (1 - .9 ** s.i)) / (np.sqrt(m2[k] / (1 - .99 ** s.i)) + 1e-8)).astype(f)
+                e2[rows] = squares = e2[rows] + step ** 2
+                e[rows] -= (rate * step / (np.sqrt(squares) + 1e-8)).astype(f)
+                step = np.concatenate([g[k].ravel() for k in names])
+                m1 *= f(.9)
+                m1 += f(.1) * step
+                m2 *= f(.99)
+                m2 += f(.01) * step ** 2
+                w -= (rate * (m1 / (1 - .9 ** s.i)) / (np.sqrt(m2 / (1 - .99 ** s.i)) + 1e-8)).astype(f)
         read += len(ids)
     if s.i > start.i:
         steps = float(s.i - start.i)
         dense = steps * np.concatenate([[steps, 1.0], *(x.ravel() for x in s.dense())])
         yield -1, np.arange(len(dense)), dense[:, None]
         rows = np.flatnonzero(times)
-        yield from _blocks(rows, times[rows, None] * np.hstack([w["e"][rows], m2["e"][rows], np.ones((len(rows), 1))]), BLOCK)
+        yield from _blocks(rows, times[rows, None] * np.hstack([e[rows], e2[rows], np.ones((len(rows), 1))]), BLOCK)
+
+
+def _joined(x: dict, names: list[str]) -> np.ndarray:
+    """The arrays of ``x`` under ``names`` as one, of which they become parts."""
+    joined = np.concatenate([x[k].ravel() for k in names])
+    for k, part in zip(names, np.split(joined, np.cumsum([x[k].size for k in names])[:-1])):
+        x[k] = part.reshape(x[k].shape)
+    return joined
 
 
 def _averaged(start: State, sums: Iterable[Sums]) -> State:
@@ -442,9 +584,9 @@ class Held:
 def fit(texts: list[str], ranks: str, pattern: str, p: Training = Training()) -> Model:
     """The model of a few texts, all of their pieces being read."""
     reader = Reader(ranks, pattern, p)
-    found = [x for i, t in enumerate(texts) for x in reader.read(t.encode(), i * 0x9E3779B1 % LOTS)]
+    found = list(reader.read(*text_bytes(pa.array(texts, pa.string())), [i * 0x9E3779B1 % LOTS for i in range(len(texts))]))
     n = sum(len(raw) for _, _, raw in found) // reader.kind.itemsize
-    return train(Held(found, reader.kind), n, reader.settle(), ranks, pattern, p)
+    return train(Held(found, reader.kind), n, reader.count, ranks, pattern, p)
 
 
 def train(pieces, n_ids: int, count: np.ndarray, ranks: str, pattern: str, p: Training) -> Model:
@@ -477,14 +619,6 @@ def train(pieces, n_ids: int, count: np.ndarray, ranks: str, pattern: str, p: Tr
     return Model(ranks, pattern, p.window, p.context, class_of, inside, w, p.prior)
 
 
-_LOWER_BYTES = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
-
-
-def _words(raw: bytes) -> list[bytes]:
-    """Lower-cased words: bytes.split parts at 0x20 and 0x09-0x0D exactly."""
-    return raw.translate(_LOWER_BYTES).split()
-
-
 @functools.lru_cache(maxsize=200_000)
 def _sequence(classes: bytes) -> int:
     """64-bit name of a class sequence."""
@@ -492,53 +626,47 @@ def _sequence(classes: bytes) -> int:
 
 
 class Scorer:
+    """Scores texts, and remembers by place of a word its class sequence's name and log10 q(word | sequence)."""
+
     def __init__(self, m: Model):
         self.m, (self.enc, self.end) = m, subwords(m.ranks, m.pattern)
         self.end_q = float(m.inside[self.end])
         self.end_s = _sequence(bytes([m.class_of[self.end]]))
-        self._forget()
-
-    def _forget(self) -> None:
-        """Empty the memory: place of a word, and by place its ids, its classes' name and log10 q."""
-        self.memory: dict[bytes, int] = {}
-        self.ids: list[bytes] = []
-        self.s, self.q = np.zeros(1024, dtype=U64), np.zeros(1024, dtype=np.float32)
-
-    def _learn(self, words: set[bytes]) -> None:
-        n = len(self.memory)
-        if n + len(words) > len(self.s):
-            more = n + 2 * len(words)
-            self.s, self.q = np.resize(self.s, more), np.resize(self.q, more)
-        new = list(words)
-        ids, first = word_ids(self.enc, new)
-        raw, cut = self.m.class_of[ids].tobytes(), [*first.tolist(), len(ids)]
-        classes = [raw[a:b] for a, b in zip(cut, cut[1:])]
-        self.memory.update(zip(new, range(n, n + len(new))))
-        raw = ids.astype("<i4").tobytes()
-        self.ids += [raw[4 * a:4 * b] for a, b in zip(cut, cut[1:])]
-        if new:
-            self.q[n:n + len(new)] = np.add.reduceat(self.m.inside[ids], first)
-            self.s[n:n + len(new)] = np.fromiter(map(_sequence, classes), U64, len(new))
+        self.lexicon, self.room = Lexicon(self.enc, self.end), Room()
+        self.forget()
+
+    def forget(self) -> None:
+        self.lexicon.forget()
+        self.s, self.q = np.array([self.end_s], dtype=U64), np.array([self.end_q], dtype=np.float32)
+
+    def _learn(self) -> None:
+        """Of the words that the lexicon met since."""
+        first = self.lexicon.first[len(self.s):]
+        if len(first):
+            ids = self.lexicon.ids[first[0]:]
+            raw, cut = self.m.class_of[ids].tobytes(), [*(first - first[0]).tolist(), len(ids)]
+            names = map(_sequence, [raw[a:b] for a, b in itertools.pairwise(cut)])
+            self.s = np.append(self.s, np.fromiter(names, U64, len(first)))
+            self.q = np.append(self.q, np.add.reduceat(self.m.inside[ids], first - first[0]).astype(np.float32))
 
     def score(self, texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """log10 probability of each text's classes, and for all words in order the name of
         the class sequence and log10 q(word | sequence)."""
-        m = self.m
-        if len(self.memory) > REMEMBERED:
-            self._forget()
-        self._learn(set().union(*texts).difference(self.memory))
-        end = np.array([self.end], dtype="<i4").tobytes()
-        total = np.zeros(len(texts))
-        seqs, places = [], []
-        for words in texts:
-            got = [self.memory[x] for x in words]
-            places += got
-            seqs.append(end + b"".join([self.ids[x] for x in got]) + end)
-        places = np.array(places, dtype=np.int64)
-        size = np.array([len(s) // 4 for s in seqs])
-        flat = np.frombuffer(b"".join(seqs) + bytes(4 * (m.window + 1)), dtype="<i4")
-        said_class = m.class_of[flat].astype(np.int64)
+        raw = [b" ".join(words) for words in texts]
+        total, _, places = self.classes(np.frombuffer(b"".join(raw), dtype=np.uint8), np.cumsum([0, *map(len, raw)]))
+        return total, self.s[places], self.q[places]
+
+    def classes(self, buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """log10 probability of each text's classes, how many words it has, and all words' places."""
+        m, c = self.m, len(self.m.weights["b"])
+        w, places, flat, after = self.lexicon.read(buf, off)
+        self._learn()
+        words = np.diff(w.first)
+        size = np.diff(after[np.cumsum(words + 2) - 1], prepend=0)
+        flat = np.append(flat, np.zeros(m.window + 1, dtype=flat.dtype))  # room for a whole window
+        said_class = m.class_of.take(flat).astype(np.int64)
         begin = np.cumsum(size) - size
+        total = np.zeros(len(size))
         # Windows: the first scores all its places, later ones those behind the context.
         new = m.window - m.context
         extra = np.maximum(0, -(-(size - 1 - m.window) // new))
@@ -548,20 +676,23 @@ class Scorer:
         skip = np.where(nth > 0, m.context, 0)
         stop = np.minimum(m.window, begin[doc] + size[doc] - 1 - start)
         place = np.arange(m.window)
+        sure, room = int(m.weights["b"].argmax()), self.room
         for behind in sorted({0, m.context}):
             mine = np.flatnonzero(skip == behind)
             for a in range(0, len(mine), WINDOWS):
                 own = mine[a:a + WINDOWS]
                 at = start[own, None] + place
-                out = _logits_from(m.weights, flat[at], behind)
-                top = out.max(axis=2, keepdims=True)
-                out -= top
-                said = np.take_along_axis(out, said_class[at[:, behind:] + 1][:, :, None], 2)[:, :, 0]
-                np.exp(out, out=out)
-                said = said - np.log(_total(out)[:, :, 0])
-                part = np.where(place[behind:] < stop[own, None], said, 0).sum(axis=1, dtype=np.float64) / np.log(10)
+                out = _logits_from(m.weights, flat.take(at), behind, room)
+                shape = out.shape[:2]
+                said = said_class.take(at[:, behind:] + 1)
+                said += np.arange(0, out.size, c).reshape(shape)
+                said = out.reshape(-1).take(said)
+                top = _exp(out, sure)
+                said -= (np.log(room.total("total", out)) + top).reshape(shape)
+                said *= place[behind:] < stop[own, None]
+                part = said.sum(axis=1, dtype=np.float64) / np.log(10)
                 total += np.bincount(doc[own], part, minlength=len(total))
-        return total, self.s[places], self.q[places]
+        return total, words, places
 
 
 # -- training documents ---------------------------------------------------------------------------
@@ -572,14 +703,15 @@ def _read(ranks: str, pattern: str, p: Training, limit: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Reader(ranks, pattern, p)
         for s in slices(batches, "body", BATCH_BYTES):
-            found = [x for body, lot in zip(s.column("body"), s.column("lot").to_pylist())
-                     for x in reader.read(body.as_py().encode(), lot, limit)]
+            buf, off = text_bytes(s.column("body"))
+            lots = s.column("lot").to_pylist()
+            found = [x for a, b in _portions(off) for x in reader.read(
+                buf[off[a]:off[b]], off[a:b + 1] - off[a], lots[a:b], limit)]
             if found:
                 none = [None] * len(found)
                 yield _piece(*zip(*found), none, none)
-        count = reader.settle()
-        ids = np.flatnonzero(count)
-        yield _piece([None], [None], [None], [ids.tolist()], [count[ids].tolist()])
+        ids = np.flatnonzero(reader.count)
+        yield _piece([None], [None], [None], [ids.tolist()], [reader.count[ids].tolist()])
 
     return run
 
@@ -709,28 +841,28 @@ def _send(m: Model, parts: int):
             for a in range(0, big.num_rows, 60000):
                 s = big.slice(a, 60000)
                 buf, off = text_bytes(s.column("body"))
-                w = Words(buf, off, lower=True)
-                size = np.diff(w.first)
-                raw = buf.tobytes()
-                got = [scorer.score([_words(raw[i:j]) for i, j in zip(off[b:e], off[b + 1:e + 1])])
-                       for b, e in _portions(off)]
-                scores, seq, q = (np.concatenate(x) for x in zip(*got))
+                if len(scorer.s) > REMEMBERED:
+                    scorer.forget()
+                got = [scorer.classes(buf[off[b]:off[e]], off[b:e + 1] - off[b]) for b, e in _portions(off)]
+                scores, size, places = (np.concatenate(x) for x in zip(*got))
                 k = s.num_rows
-                h = np.concatenate([w.hashes(), np.full(k, END_WORD), seq, np.full(k, scorer.end_s, dtype=U64)])
-                q = np.concatenate([q, np.full(k, scorer.end_q), np.full(len(seq) + k, np.nan)]).astype(np.float32)
-                doc = np.tile(np.concatenate([np.repeat(np.arange(k), size), np.arange(k)]).astype(np.uint16), 2)
-                if (doc[1:] < doc[:-1]).any():
-                    by_doc = np.argsort(doc, kind="stable")
-                    h, q, doc = h[by_doc], q[by_doc], doc[by_doc]
-                order = np.argsort(h, kind="stable")
-                h, q, doc = h[order], q[order], doc[order]
-                new = np.concatenate(([True], h[1:] != h[:-1]))
-                pair = np.flatnonzero(new | np.concatenate(([True], doc[1:] != doc[:-1])))
-                times = np.diff(np.append(pair, len(h))).astype(np.uint32)
-                names, q, doc = h[new], q[new], doc[pair]
-                at = np.flatnonzero(new[pair])
-                edge = np.append(at, len(pair))
-                n = np.diff(edge).astype(np.uint32)
+                # Words and ends by document, in order of their names: the distinct ones are few.
+                places = np.concatenate([places, np.zeros(k, dtype=np.int64)])
+                doc = np.concatenate([np.repeat(np.arange(k), size), np.arange(k)])
+                used = np.flatnonzero(np.bincount(places, minlength=len(scorer.s)))
+                names, first, back = np.unique(np.concatenate([scorer.lexicon.name[used], scorer.s[used]]), return_index=True,
+                                               return_inverse=True)
+                q = np.concatenate([scorer.q[used], np.full(len(used), np.nan, dtype=np.float32)])[first]
+                rank = np.zeros((2, len(scorer.s)), dtype=np.int64)
+                rank[:, used] = back.reshape(2, -1) << 16
+                code = np.concatenate([rank[0].take(places) + doc, rank[1].take(places) + doc])
+                code.sort()
+                pair = np.flatnonzero(np.concatenate(([True], code[1:] != code[:-1])))
+                times = np.diff(np.append(pair, len(code))).astype(np.uint32)
+                code = code[pair]
+                doc = (code & 0xFFFF).astype(np.uint16)
+                n = np.bincount(code >> 16, minlength=len(names)).astype(np.uint32)
+                edge = np.append(0, np.cumsum(n, dtype=np.int64))
                 cut = np.searchsorted(((names >> U64(32)) * U64(parts) >> U64(32)).astype(np.int64), np.arange(parts + 1))
                 full = np.flatnonzero(np.diff(cut))
                 train = np.packbits(~s.column("held").to_numpy(zero_copy_only=False)).tobytes()
