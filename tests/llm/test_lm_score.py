@@ -217,9 +217,10 @@ def test_lexicon_finds_the_ids_of_every_word(spark):
         want = [i for t in texts[a:b] for i in [end, *(i for x in words(t) for i in enc.encode_ordinary(" " + x)), end]]
         assert ids.tolist() == want and after[-1] == len(want)
         assert np.diff(w.first).tolist() == [len(words(t)) for t in texts[a:b]]
-        got.append([lexicon.name[p] for p in places])
+        got.append([lexicon.name.all[p] for p in places])
     assert got[0] + got[1] == got[2]
-    assert len(lexicon.name) == 1 + len({x for t in texts for x in words(t)}) == len(set(lexicon.name.tolist()))
+    names = lexicon.name.all[:lexicon.name.n].tolist()
+    assert len(names) == 1 + len({x for t in texts for x in words(t)}) == len(set(names))
     lexicon.forget()
     assert lexicon.read(np.frombuffer(raw[5], np.uint8), np.array([0, len(raw[5])]))[2].tolist() == [
         end, *(i for x in words(texts[5]) for i in enc.encode_ordinary(" " + x)), end]
@@ -273,3 +274,15 @@ def test_scores_far_from_0_are_lowered_first():
         assert np.allclose(_logits(w, x)[0], want, rtol=1e-3, atol=1e-3 * np.abs(want).max())
         for a in (0, 4):
             assert np.allclose(lm_score._logits_from(w, x, a, lm_score.Room()), want[:, a:], rtol=1e-3, atol=1e-3 * np.abs(want).max())
+
+
+def test_scores_outlive_a_forgotten_lexicon():
+    m = fit(["the cat sat on the mat again and again"] * 50, RANKS, public_tokenizers.PATTERN, SMALL)
+    texts = [[b"the", b"cat"], [], [b"mat", b"unseen", b"the"]]
+    s = Scorer(m)
+    want = s.score(texts)
+    for _ in range(2):
+        s.lexicon.forget()
+        s.lexicon.read(np.frombuffer(b"other words", np.uint8), np.array([0, 11]))
+        for a, b in zip(s.score(texts), want):
+            assert np.allclose(a, b) and a.shape == b.shape

@@ -27,7 +27,6 @@ Repeated rows: scored each.  Very long texts are more windows.
 from __future__ import annotations
 
 import base64
-import copy
 import functools
 import hashlib
 import itertools
@@ -47,7 +46,7 @@ END_WORD = U64(0x0DDB1A5E5BAD5EED)
 BATCH_BYTES = 3 << 20
 WINDOWS = 128
 LOTS = 1 << 30
-REMEMBERED = 250_000
+REMEMBERED = 500_000  # words
 OFTEN = 800          # ids that are counted as neighbours
 BLOCK = 1024         # ids of a block of sums
 CELLS = 4_000_000    # neighbour counts that a task holds, about
@@ -109,24 +108,37 @@ _FIRST_BYTES = np.array([(1 << 8 * i) - 1 for i in range(9)], dtype=U64)
 _OF_SIZE = mix(np.arange(65, dtype=U64) * U64(0xD1342543DE82EF95))
 
 
-def _names(w: Words) -> np.ndarray:
+def _names(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """64-bit names of words, from 8 bytes at a time; of longer words than 64 bytes, their hashes."""
-    size = w.end - w.start
-    name = _OF_SIZE.take(np.minimum(size, 64))
-    eights = np.lib.stride_tricks.sliding_window_view(np.append(w.buf, np.zeros(8, dtype=np.uint8)), 8)
-    here, start, left = np.arange(len(size)), w.start, size
+    left = end - start
+    name, here, at = _OF_SIZE.take(np.minimum(left, 64)), np.arange(len(start)), start
+    eights = np.lib.stride_tricks.sliding_window_view(np.append(buf, np.zeros(8, dtype=np.uint8)), 8)
     for _ in range(8):
-        name[here] = mix(name[here] ^ (eights[start].view("<u8")[:, 0] & _FIRST_BYTES.take(np.minimum(left, 8))))
+        name[here] = mix(name[here] ^ (eights[at].view("<u8")[:, 0] & _FIRST_BYTES.take(np.minimum(left, 8))))
         more = np.flatnonzero(left > 8)
         if not len(more):
             return name
-        here, start, left = here[more], start[more] + 8, left[more] - 8
-    far = copy.copy(w)
-    far.start, far.end = w.start[here], w.end[here]
+        here, at, left = here[more], at[more] + 8, left[more] - 8
+    far = Words.__new__(Words)
+    far.buf, far.start, far.end = buf, start[here], end[here]
     name[here] = far.hashes()
     return name
 
 
+class Grown:
+    """An array ``all[:n]`` that grows into room kept behind it."""
+
+    def __init__(self, x, kind):
+        self.all, self.n = np.array([x], dtype=kind), 1
+
+    def add(self, x: np.ndarray) -> None:
+        n = self.n + len(x)
+        if n > len(self.all):
+            self.all = np.resize(self.all, 2 * n)
+        self.all[self.n:n] = x
+        self.n = n
+
+
 class Lexicon:
     """Ids of the words that were met, found by the words' names.  Place 0 is the end."""
 
@@ -135,25 +147,28 @@ class Lexicon:
         self.forget()
 
     def forget(self) -> None:
-        self.name, self.ids = np.array([END_WORD], dtype=U64), np.array([self.end], dtype=np.int32)
-        self.first, self.n = np.zeros(1, dtype=np.int64), np.ones(1, dtype=np.int64)  # by place: of its ids
-        self.sorted, self.place = self.name, np.zeros(1, dtype=np.int64)              # by name
+        self.name, self.ids = Grown(END_WORD, U64), Grown(self.end, np.int32)
+        self.first, self.n = Grown(0, np.int64), Grown(1, np.int64)  # by place: of its ids
+        self.found = [(self.name.all, self.first.all)]               # names in order with their places
 
     def read(self, buf: np.ndarray, off: np.ndarray) -> tuple[Words, np.ndarray, np.ndarray, np.ndarray]:
         """Of texts: their lower-cased words, all words' places, all ids, each text's between two
         ends, and where the ids of each word or end end."""
         w = Words(buf, off, lower=True)
-        name = _names(w)
+        name = _names(w.buf, w.start, w.end)
         order = np.argsort(name)
         own = name[order]
         new = np.append(True, own[1:] != own[:-1])[:len(own)]
         one, own = order[new], own[new]
-        at = np.searchsorted(self.sorted, own)
-        at[at == len(self.sorted)] = 0
-        place = self.place[at]
-        unmet = np.flatnonzero(self.sorted[at] != own)
+        place, unmet = np.zeros(len(own), dtype=np.int64), np.arange(len(own))
+        for names, their in self.found:
+            at = np.searchsorted(names, own[unmet])
+            at[at == len(names)] = 0
+            met = names[at] == own[unmet]
+            place[unmet[met]] = their[at[met]]
+            unmet = unmet[~met]
         if len(unmet):
-            place[unmet] = np.arange(len(self.n), len(self.n) + len(unmet))
+            place[unmet] = np.arange(self.n.n, self.n.n + len(unmet))
             self._learn(w, one[unmet], own[unmet], place[unmet])
         places = np.empty(len(name), dtype=np.int64)
         places[order] = place[np.cumsum(new) - 1]
@@ -163,19 +178,29 @@ class Lexicon:
         inner = np.ones(len(ended), dtype=bool)
         inner[stop - 1] = inner[stop - words - 2] = False
         ended[inner] = places
-        n = self.n.take(ended)
+        n = self.n.all.take(ended)
         after = np.cumsum(n)
-        return w, places, self.ids.take(np.repeat(self.first.take(ended) - after + n, n) + np.arange(after[-1])), after
+        at = np.repeat(self.first.all.take(ended) - after + n, n) + np.arange(after[-1])
+        return w, places, self.ids.all.take(at), after
 
     def _learn(self, w: Words, at: np.ndarray, name: np.ndarray, place: np.ndarray) -> None:
         raw = w.buf.tobytes()
         ids, first = word_ids(self.enc, [raw[a:b] for a, b in zip(w.start[at].tolist(), w.end[at].tolist())])
-        self.first = np.append(self.first, first + len(self.ids))
-        self.n = np.append(self.n, np.diff(np.append(first, len(ids))))
-        self.ids = np.append(self.ids, ids.astype(np.int32))
-        self.name, both = np.append(self.name, name), np.append(self.sorted, name)
-        order = np.argsort(both, kind="stable")
-        self.sorted, self.place = both[order], np.append(self.place, place)[order]
+        self.first.add(first + self.ids.n)
+        self.n.add(np.diff(np.append(first, len(ids))))
+        self.ids.add(ids)
+        self.name.add(name)
+        self.found.append((name, place))
+        while len(self.found) > 1 and len(self.found[-2][0]) < 2 * len(self.found[-1][0]):
+            name, place = (np.concatenate(x) for x in zip(self.found.pop(), self.found.pop()))
+            order = np.argsort(name, kind="stable")
+            self.found.append((name[order], place[order]))
+
+
+@functools.lru_cache(maxsize=1)
+def _lexicon(ranks: str, pattern: str) -> Lexicon:
+    """One per Python worker, which serves many tasks."""
+    return Lexicon(*subwords(ranks, pattern))
 
 
 # -- attention ----------------------------------------------------------------------------------
@@ -202,6 +227,12 @@ class Room:
         """Sums over the last axis, kept, which a product makes faster than ``sum`` over few items."""
         return self.dot(name, x, np.ones((x.shape[-1], 1), dtype=x.dtype))
 
+    def turned(self, name: str, x: np.ndarray) -> np.ndarray:
+        """``x`` with its last axes exchanged, in the order that products read fastest."""
+        out = self(name, x, x.shape[0], x.shape[2], x.shape[1])
+        out[...] = x.transpose(0, 2, 1)
+        return out
+
     def placed(self, w: dict, x: np.ndarray) -> np.ndarray:
         """Embeddings of the ids ``x[n, t]`` at their places."""
         h = w["e"].take(x, axis=0, out=self("h", w["e"], *x.shape, w["e"].shape[1]), mode="clip")
@@ -245,7 +276,7 @@ def _logits(w: dict, x: np.ndarray, room: Room | None = None) -> tuple:
     h = room.placed(w, x)
     m_qkv = np.hstack([w["q"] / np.float32(np.sqrt(d)), w["k"], w["v"]])
     qkv = room.dot("qkv", h, m_qkv)
-    a = np.matmul(qkv[..., :d], qkv[..., d:2 * d].transpose(0, 2, 1), out=room("a", h, n, t, t))
+    a = np.matmul(qkv[..., :d], room.turned("keys", qkv[..., d:2 * d]), out=room("a", h, n, t, t))
     a += _mask(0, t)
     _exp(a, 0)
     r = room.total("r", a)
@@ -265,9 +296,8 @@ def _logits_from(w: dict, x: np.ndarray, a: int, room: Room) -> np.ndarray:
     (n, t), d = x.shape, w["e"].shape[1]
     h = room.placed(w, x)
     own = h[:, a:]
-    keys = room("keys", h, n, d, t)
-    keys[...] = h.transpose(0, 2, 1)
-    s = np.matmul(room.dot("q", own, w["q"] @ w["k"].T / np.float32(np.sqrt(d))), keys, out=room("s", h, n, t - a, t))
+    q = room.dot("q", own, w["q"] @ w["k"].T / np.float32(np.sqrt(d)))
+    s = np.matmul(q, room.turned("keys", h), out=room("s", h, n, t - a, t))
     s += _mask(a, t)
     _exp(s, 0)
     m = np.matmul(s, h, out=room("m", h, n, t - a, d))
@@ -279,17 +309,18 @@ def _logits_from(w: dict, x: np.ndarray, a: int, room: Room) -> np.ndarray:
     return out
 
 
-def _gradients(w: dict, x: np.ndarray, y: np.ndarray, room: Room | None = None) -> tuple[float, dict]:
+def _gradients(w: dict, x: np.ndarray, y: np.ndarray, room: Room | None = None, loss: bool = True) -> tuple[float | None, dict]:
+    """The loss, unless it is not asked for, and its gradients."""
     room = room or Room()
     n, t = x.shape
     c, d = len(w["b"]), w["e"].shape[1]
     p, (h, m_qkv, qkv, a, r, m, z) = _logits(w, x, room)
     flat = lambda z: z.reshape(-1, z.shape[-1])
     at = np.arange(0, n * t * c, c) + y.ravel()
-    said = p.reshape(-1).take(at)
+    said = p.reshape(-1).take(at) if loss else 0
     top = _exp(p, int(w["b"].argmax()))
     total = room.total("total", p)
-    loss = (np.log(total) + top).mean() - said.mean()
+    lost = (np.log(total) + top).mean() - said.mean() if loss else None
     p.reshape(-1)[at] -= total.ravel()
     total *= n * t
     np.divide(1, total, out=total)  # the gradient by logits is this times p
@@ -306,7 +337,7 @@ def _gradients(w: dict, x: np.ndarray, y: np.ndarray, room: Room | None = None)
     dm *= r
     d_qkv = room("d_qkv", h, n, t, 3 * d)
     np.matmul(a.transpose(0, 2, 1), dm, out=d_qkv[..., 2 * d:])
-    da = np.matmul(dm, qkv[..., 2 * d:].transpose(0, 2, 1), out=room("da", h, n, t, t))
+    da = np.matmul(dm, room.turned("keys", qkv[..., 2 * d:]), out=room("da", h, n, t, t))
     da -= own
     da *= a
     np.matmul(da, qkv[..., d:2 * d], out=d_qkv[..., :d])
@@ -328,7 +359,7 @@ def _gradients(w: dict, x: np.ndarray, y: np.ndarray, room: Room | None = None)
         begin = np.cumsum(times[again]) - times[again]
         e[again] = np.add.reduceat(flat(dh).take(order[np.repeat(again, times)], axis=0), begin)
     g["e"] = ids[first], e
-    return loss, g
+    return lost, g
 
 
 def _places(count: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -411,13 +442,13 @@ class Reader:
     """Counts all subwords of training texts and cuts pieces of them out as ids."""
 
     def __init__(self, ranks: str, pattern: str, p: Training):
-        enc, self.end = subwords(ranks, pattern)
-        self.p, self.kind, self.lexicon = p, _kind(self.end), Lexicon(enc, self.end)
+        self.p, self.lexicon, self.end = p, _lexicon(ranks, pattern), subwords(ranks, pattern)[1]
+        self.kind = _kind(self.end)
         self.count = np.zeros(self.end + 1, dtype=np.int64)  # how often each id was read so far
 
     def read(self, buf: np.ndarray, off: np.ndarray, lots: list[int], limit: int = LOTS) -> Iterator[tuple[int, int, bytes]]:
         """(lot, key, ids) of the pieces whose lot, dealt from the text's, is under ``limit``."""
-        if len(self.lexicon.n) > REMEMBERED:
+        if self.lexicon.n.n > REMEMBERED:
             self.lexicon.forget()
         w, _, ids, after = self.lexicon.read(buf, off)
         self.count += np.bincount(ids, minlength=len(self.count))
@@ -516,7 +547,7 @@ def _descend(pieces, start: State, class_of: np.ndarray, p: Training, turn: Turn
             done = (turn.nth + min(1.0, (read + len(ids) * nth / turn.passes) / turn.ids)) / turn.rounds
             for x in _windows(ids, p, nth, r):
                 s.i += 1
-                _, g = _gradients(s.w, x[:, :-1], class_of[x[:, 1:]], room)
+                _, g = _gradients(s.w, x[:, :-1], class_of[x[:, 1:]], room, False)
                 rate = p.rate * min(1.0, s.i / 20) * max(0.01, 1 - done)
                 rows, step = g["e"]
                 times[rows] += 1
@@ -619,10 +650,9 @@ def train(pieces, n_ids: int, count: np.ndarray, ranks: str, pattern: str, p: Tr
     return Model(ranks, pattern, p.window, p.context, class_of, inside, w, p.prior)
 
 
-@functools.lru_cache(maxsize=200_000)
-def _sequence(classes: bytes) -> int:
-    """64-bit name of a class sequence."""
-    return int.from_bytes(hashlib.blake2b(classes, digest_size=8, person=b"classes").digest(), "little")
+def _sequences(classes: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit names of class sequences, which are not those of words."""
+    return mix(_names(classes, start, end) ^ U64(0x632BE59BD9B4E019))
 
 
 class Scorer:
@@ -631,30 +661,26 @@ class Scorer:
     def __init__(self, m: Model):
         self.m, (self.enc, self.end) = m, subwords(m.ranks, m.pattern)
         self.end_q = float(m.inside[self.end])
-        self.end_s = _sequence(bytes([m.class_of[self.end]]))
-        self.lexicon, self.room = Lexicon(self.enc, self.end), Room()
-        self.forget()
-
-    def forget(self) -> None:
-        self.lexicon.forget()
-        self.s, self.q = np.array([self.end_s], dtype=U64), np.array([self.end_q], dtype=np.float32)
+        self.end_s = int(_sequences(m.class_of[[self.end]], np.array([0]), np.array([1]))[0])
+        self.lexicon, self.room, self.known = _lexicon(m.ranks, m.pattern), Room(), None
 
     def _learn(self) -> None:
         """Of the words that the lexicon met since."""
-        first = self.lexicon.first[len(self.s):]
-        if len(first):
-            ids = self.lexicon.ids[first[0]:]
-            raw, cut = self.m.class_of[ids].tobytes(), [*(first - first[0]).tolist(), len(ids)]
-            names = map(_sequence, [raw[a:b] for a, b in itertools.pairwise(cut)])
-            self.s = np.append(self.s, np.fromiter(names, U64, len(first)))
-            self.q = np.append(self.q, np.add.reduceat(self.m.inside[ids], first - first[0]).astype(np.float32))
+        if self.known is not self.lexicon.name:  # a new memory
+            self.known, self.s, self.q = self.lexicon.name, Grown(self.end_s, U64), Grown(self.end_q, np.float32)
+        known, first, ids = self.s.n, self.lexicon.first, self.lexicon.ids
+        if first.n > known:
+            begin = first.all[known]
+            ids, first = ids.all[begin:ids.n], first.all[known:first.n] - begin
+            self.s.add(_sequences(self.m.class_of[ids], first, np.append(first[1:], len(ids))))
+            self.q.add(np.add.reduceat(self.m.inside[ids], first))
 
     def score(self, texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """log10 probability of each text's classes, and for all words in order the name of
         the class sequence and log10 q(word | sequence)."""
         raw = [b" ".join(words) for words in texts]
         total, _, places = self.classes(np.frombuffer(b"".join(raw), dtype=np.uint8), np.cumsum([0, *map(len, raw)]))
-        return total, self.s[places], self.q[places]
+        return total, self.s.all[places], self.q.all[places]
 
     def classes(self, buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """log10 probability of each text's classes, how many words it has, and all words' places."""
@@ -799,7 +825,7 @@ class Staged:
         dealt = F.floor(F.col("lot") * (turn.rounds * turn.shards) / self.limit).cast("int")
         own = self.found.select((dealt - turn.nth * turn.shards).alias("shard"), "key", "ids").filter(
             F.col("shard").between(0, turn.shards - 1))
-        sums = own.repartition(3 * turn.shards, "shard").sortWithinPartitions("shard", "key").mapInArrow(
+        sums = own.repartitionById(turn.shards, "shard").sortWithinPartitions("shard", "key").mapInArrow(
             task(_train_shards, self.kind, start, class_of, p, turn), SUMS)
         return self._summed(sums, BLOCK)
 
@@ -841,19 +867,19 @@ def _send(m: Model, parts: int):
             for a in range(0, big.num_rows, 60000):
                 s = big.slice(a, 60000)
                 buf, off = text_bytes(s.column("body"))
-                if len(scorer.s) > REMEMBERED:
-                    scorer.forget()
+                if scorer.lexicon.n.n > REMEMBERED:
+                    scorer.lexicon.forget()
                 got = [scorer.classes(buf[off[b]:off[e]], off[b:e + 1] - off[b]) for b, e in _portions(off)]
                 scores, size, places = (np.concatenate(x) for x in zip(*got))
                 k = s.num_rows
                 # Words and ends by document, in order of their names: the distinct ones are few.
                 places = np.concatenate([places, np.zeros(k, dtype=np.int64)])
                 doc = np.concatenate([np.repeat(np.arange(k), size), np.arange(k)])
-                used = np.flatnonzero(np.bincount(places, minlength=len(scorer.s)))
-                names, first, back = np.unique(np.concatenate([scorer.lexicon.name[used], scorer.s[used]]), return_index=True,
+                used = np.flatnonzero(np.bincount(places, minlength=scorer.s.n))
+                names, first, back = np.unique(np.concatenate([scorer.lexicon.name.all[used], scorer.s.all[used]]), return_index=True,
                                                return_inverse=True)
-                q = np.concatenate([scorer.q[used], np.full(len(used), np.nan, dtype=np.float32)])[first]
-                rank = np.zeros((2, len(scorer.s)), dtype=np.int64)
+                q = np.concatenate([scorer.q.all[used], np.full(len(used), np.nan, dtype=np.float32)])[first]
+                rank = np.zeros((2, scorer.s.n), dtype=np.int64)
                 rank[:, used] = back.reshape(2, -1) << 16
                 code = np.concatenate([rank[0].take(places) + doc, rank[1].take(places) + doc])
                 code.sort()
