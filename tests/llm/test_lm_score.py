@@ -273,7 +273,7 @@ def test_scores_far_from_0_are_lowered_first():
         want = (h + s / s.sum(axis=2, keepdims=True) @ (h @ w["v"]) @ w["o"]) @ w["u"] + w["b"]
         assert np.allclose(_logits(w, x)[0], want, rtol=1e-3, atol=1e-3 * np.abs(want).max())
         for a in (0, 4):
-            assert np.allclose(lm_score._logits_from(w, x, a, lm_score.Room()), want[:, a:], rtol=1e-3, atol=1e-3 * np.abs(want).max())
+            assert np.allclose(lm_score._logits_from(w, x, a, lm_score.Room()) + w["b"], want[:, a:], rtol=1e-3, atol=1e-3 * np.abs(want).max())
 
 
 def test_scores_outlive_a_forgotten_lexicon():

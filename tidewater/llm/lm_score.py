@@ -291,22 +291,22 @@ def _logits(w: dict, x: np.ndarray, room: Room | None = None) -> tuple:
 
 
 def _logits_from(w: dict, x: np.ndarray, a: int, room: Room) -> np.ndarray:
-    """Class logits after the places from ``a`` on, all places being seen: ``_logits`` without
-    the work for places that only serve as context."""
+    """Class logits, but for the classes' own ``b``, after the places from ``a`` on, all places being
+    seen: ``_logits`` without the work for places that only serve as context."""
     (n, t), d = x.shape, w["e"].shape[1]
     h = room.placed(w, x)
     own = h[:, a:]
     q = room.dot("q", own, w["q"] @ w["k"].T / np.float32(np.sqrt(d)))
     s = np.matmul(q, room.turned("keys", h), out=room("s", h, n, t - a, t))
-    s += _mask(a, t)
+    s[..., a:] += _mask(a, t)[:, a:]
     _exp(s, 0)
     m = np.matmul(s, h, out=room("m", h, n, t - a, d))
-    m /= room.total("r", s)
+    r = room.total("r", s)
+    np.divide(1, r, out=r)
+    m *= r
     z = room.dot("z", m, w["v"] @ w["o"])
     z += own
-    out = room.dot("out", z, w["u"])
-    out += w["b"]
-    return out
+    return room.dot("out", z, w["u"])
 
 
 def _gradients(w: dict, x: np.ndarray, y: np.ndarray, room: Room | None = None, loss: bool = True) -> tuple[float | None, dict]:
@@ -352,13 +352,7 @@ def _gradients(w: dict, x: np.ndarray, y: np.ndarray, room: Room | None = None,
     order = np.argsort(ids, kind="stable")  # of the embeddings only the ids that occur
     ids = ids[order]
     first = np.flatnonzero(np.append(True, ids[1:] != ids[:-1]))
-    e = flat(dh).take(order[first], axis=0)
-    times = np.diff(np.append(first, len(ids)))
-    again = times > 1  # sums only of ids that occur more than once
-    if again.any():
-        begin = np.cumsum(times[again]) - times[again]
-        e[again] = np.add.reduceat(flat(dh).take(order[np.repeat(again, times)], axis=0), begin)
-    g["e"] = ids[first], e
+    g["e"] = ids[first], np.add.reduceat(flat(dh).take(order, axis=0), first)
     return lost, g
 
 
@@ -703,6 +697,8 @@ class Scorer:
         stop = np.minimum(m.window, begin[doc] + size[doc] - 1 - start)
         place = np.arange(m.window)
         sure, room = int(m.weights["b"].argmax()), self.room
+        b = m.weights["b"] - m.weights["b"][sure]
+        weight = np.exp(b)[:, None]
         for behind in sorted({0, m.context}):
             mine = np.flatnonzero(skip == behind)
             for a in range(0, len(mine), WINDOWS):
@@ -710,13 +706,14 @@ class Scorer:
                 at = start[own, None] + place
                 out = _logits_from(m.weights, flat.take(at), behind, room)
                 shape = out.shape[:2]
-                said = said_class.take(at[:, behind:] + 1)
-                said += np.arange(0, out.size, c).reshape(shape)
-                said = out.reshape(-1).take(said)
+                y = said_class.take(at[:, behind:] + 1)
+                said = b.take(y)
+                y += np.arange(0, out.size, c).reshape(shape)
+                said += out.reshape(-1).take(y)
                 top = _exp(out, sure)
-                said -= (np.log(room.total("total", out)) + top).reshape(shape)
+                said -= (np.log(room.dot("total", out, weight)) + top).reshape(shape)
                 said *= place[behind:] < stop[own, None]
-                part = said.sum(axis=1, dtype=np.float64) / np.log(10)
+                part = said.astype(np.float64) @ np.ones(shape[1]) / np.log(10)
                 total += np.bincount(doc[own], part, minlength=len(total))
         return total, words, places
 
@@ -834,8 +831,10 @@ def model_of(rows: DataFrame, ranks: str, pattern: str, p: Training) -> Model:
     """The model of the training documents (``doc, body, held``): of all their pieces, unless
     ``p.share`` is less than 1."""
     learn = rows.filter(~F.col("held"))
-    size = learn.agg(F.coalesce(F.sum(F.octet_length("body")), F.lit(0))).collect()[0][0]  # bounded: one row
-    limit = int(np.ceil(LOTS * min(1.0, max(p.share, p.least / max(1, size)))))
+    limit = LOTS
+    if p.share < 1:
+        size = learn.agg(F.coalesce(F.sum(F.octet_length("body")), F.lit(0))).collect()[0][0]  # bounded: one row
+        limit = int(np.ceil(LOTS * min(1.0, max(p.share, p.least / max(1, size)))))
     lot = F.pmod(F.xxhash64("doc", F.lit(p.seed)), F.lit(LOTS))
     found = staged(learn.select("body", lot.alias("lot")).mapInArrow(
         task(_read, ranks, pattern, p, limit), "lot long, key long, ids binary, id array<int>, times array<long>"), "pieces")
@@ -846,7 +845,9 @@ def model_of(rows: DataFrame, ranks: str, pattern: str, p: Training) -> Model:
     for r in times:
         count[r["id"]] = r["times"]
     chosen, kind = found.filter("key is not null").select("lot", "key", "ids"), _kind(end)
-    n = chosen.agg(F.coalesce(F.sum(F.octet_length("ids")), F.lit(0))).collect()[0][0] // kind.itemsize  # bounded: one row
+    n = int(count.sum() + count[end])  # of all pieces: every text has two ends, of which one is counted
+    if limit < LOTS:
+        n = chosen.agg(F.coalesce(F.sum(F.octet_length("ids")), F.lit(0))).collect()[0][0] // kind.itemsize  # bounded: one row
     return train(Staged(chosen, kind, limit), n, count, ranks, pattern, p)
 
 
